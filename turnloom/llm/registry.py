@@ -1,10 +1,11 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from . import bpe, quality_rules, sharding
+from . import bpe, quality_rules, sharding, simhash
 
 _OPERATORS = {
     "op4_histogram_sharding": (sharding.op4_histogram_sharding, None),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
+    "op7_simhash": (simhash.op7_simhash, None),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.OP10_SQL),
 }
 

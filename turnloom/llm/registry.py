@@ -1,8 +1,9 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from . import bpe, quality_rules, sharding, simhash
+from . import bpe, quality_rules, sharding, simhash, toxicity
 
 _OPERATORS = {
+    "op2_toxicity": (toxicity.op2_toxicity, None),
     "op4_histogram_sharding": (sharding.op4_histogram_sharding, None),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
     "op7_simhash": (simhash.op7_simhash, None),

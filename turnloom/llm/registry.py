@@ -1,10 +1,12 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from . import bpe, quality_rules, sharding, simhash, toxicity
+from . import bpe, chat, html_text, quality_rules, sharding, simhash, toxicity
 
 _OPERATORS = {
+    "op1_chat_formatting": (chat.op1_chat_formatting, chat.OP1_SQL),
     "op2_toxicity": (toxicity.op2_toxicity, None),
     "op4_histogram_sharding": (sharding.op4_histogram_sharding, None),
+    "op5_html_text": (html_text.op5_html_text, None),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
     "op7_simhash": (simhash.op7_simhash, None),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.OP10_SQL),

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ._store import table, written
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
-#: Probes for each open boundary and pass.
-PROBES = 64
+#: Probes in the first pass, and for each open boundary in the later ones.
+FIRST_PROBES, PROBES = 4096, 256
 
 
 def _rank(keys: np.ndarray, ids: np.ndarray, probe_keys: np.ndarray, probe_ids: np.ndarray) -> np.ndarray:
@@ -38,24 +38,71 @@ def _rank(keys: np.ndarray, ids: np.ndarray, probe_keys: np.ndarray, probe_ids:
     return lo
 
 
-def _below(rows: DataFrame, probes: list[tuple[int, int]], weight: str) -> np.ndarray:
-    """Exact sum of `weight` below each probe. Each task sends one number for each interval."""
+def _histogram(rows: DataFrame, probes: list[tuple[int, int]], weight: str) -> tuple[np.ndarray, ...]:
+    """Of the rows from each probe up to the next (first of all those below every probe): exact sum of `weight`,
+    least and greatest key, least and greatest id. A task sends one row for each interval that it has rows of."""
     pk = np.array([p[0] for p in probes], np.int64)
     pi = np.array([p[1] for p in probes], np.int64)
 
     def count(batches):
         total = np.zeros(len(pk) + 1, np.int64)
+        least, most = np.full((2, len(pk) + 1), HIGH, np.int64), np.full((2, len(pk) + 1), LOW, np.int64)
         for b in batches:
-            w = b.column(2).to_numpy()
-            np.add.at(total, _rank(b.column(0).to_numpy(), b.column(1).to_numpy(), pk, pi), w)
+            key, i, w = (c.to_numpy() for c in b.columns)
+            at = _rank(key, i, pk, pi)
+            np.add.at(total, at, w)
+            for k, x in enumerate((key, i)):
+                np.minimum.at(least[k], at, x)
+                np.maximum.at(most[k], at, x)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    counted = rows.select("key", "id", F.col(weight).alias("w")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    total = np.zeros(len(pk) + 1, np.int64)
-    for r in counted.toLocalIterator():
-        total[r["at"]] = r["n"]
-    return np.cumsum(total)[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, total[at], least[0, at], most[0, at], least[1, at], most[1, at])], names=["at", "n", "k0", "k1", "i0", "i1"])
+
+    counted = (
+        rows.select("key", "id", F.col(weight).alias("w"))
+        .mapInArrow(count, "at long, n long, k0 long, k1 long, i0 long, i1 long")
+        .groupBy("at")
+        .agg(F.sum("n"), F.min("k0"), F.max("k1"), F.min("i0"), F.max("i1"))
+        .toArrow()
+    )
+    out = [np.full(len(pk) + 1, x, np.int64) for x in (0, HIGH, LOW, HIGH, LOW)]
+    at = counted.column(0).to_numpy()
+    for k in range(5):
+        out[k][at] = counted.column(k + 1).to_numpy()
+    return tuple(out)
+
+
+class _Cut:
+    """One boundary: the interval that holds it, and the best probe so far."""
+
+    def __init__(self, target: float):
+        self.target, self.key, self.lo, self.hi, self.best, self.error, self.open = target, None, LOW, HIGH, (LOW, LOW), target, True
+
+    def probes(self, n: int) -> list[tuple[int, int]]:
+        steps = sorted({self.lo + (self.hi - self.lo) * k // n for k in range(n + 1)} | {min(self.hi + 1, HIGH)})
+        return [(x, LOW) if self.key is None else (self.key, x) for x in steps]
+
+    def learn(self, probes, own, below, found, tolerance: float, whole: float) -> None:
+        for p in own:
+            if abs(below[p] - self.target) < self.error:
+                self.best, self.error = probes[p], abs(below[p] - self.target)
+        if self.error <= tolerance:
+            self.open = False
+            return
+        under = [p for p in own if below[p] <= self.target]
+        over = [p for p in own if below[p] > self.target]
+        # intervals between the last probe under the target and the first one over it, shrunk to the rows that they hold
+        between = slice((under[-1] if under else -1) + 1, (over[0] if over else len(probes)) + 1)
+        n, k0, k1, i0, i1 = (x[between] for x in found)
+        if not n.any():
+            self.open = False
+        elif self.key is None and k0.min() < k1.max():
+            self.lo, self.hi = int(k0.min()), int(k1.max())
+        elif self.key is None and self.error > whole:  # one text; the boundary goes between two of its ids
+            self.key, self.lo, self.hi = int(k0.min()), int(i0.min()), int(i1.max())
+        elif self.key is not None and i0.min() < i1.max():
+            self.lo, self.hi = int(i0.min()), int(i1.max())
+        else:
+            self.open = False
 
 
 def find_splitters(rows: DataFrame, parts: int, total: int, weight: str, *, tolerance: float, whole: float) -> list[tuple[int, int]]:
@@ -64,39 +111,17 @@ def find_splitters(rows: DataFrame, parts: int, total: int, weight: str, *, tole
     tolerance, whole: as shares of a part's weight; see the module.
     """
     mean = total / parts
-
-    class Cut:
-        def __init__(self, target: float):
-            self.target, self.key, self.lo, self.hi, self.best, self.error, self.open = target, None, LOW, HIGH, (LOW, LOW), target, True
-
-        def probes(self):
-            span = self.hi - self.lo
-            steps = sorted({self.lo + span * k // PROBES for k in range(1, PROBES)} - {self.lo}) or [self.hi]
-            return [(x, LOW) if self.key is None else (self.key, x) for x in steps]
-
-        def learn(self, below: dict):
-            own = [(p, below[p]) for p in self.probes()]
-            for p, n in own:
-                if abs(n - self.target) < self.error:
-                    self.best, self.error = p, abs(n - self.target)
-            at = [p[0] if self.key is None else p[1] for p, _ in own]
-            under = [x for x, (_, n) in zip(at, own, strict=True) if n <= self.target]
-            over = [x for x, (_, n) in zip(at, own, strict=True) if n > self.target]
-            self.lo, self.hi = max([self.lo, *under]), min([self.hi, *over])
-            if self.error <= tolerance * mean:
-                self.open = False
-            elif self.hi - self.lo <= 1:
-                if self.key is None and self.error > whole * mean:
-                    self.key, self.lo, self.hi = self.lo, LOW, HIGH
-                else:
-                    self.open = False
-
-    cuts = [Cut(total * j / parts) for j in range(1, parts)]
+    cuts = [_Cut(total * j / parts) for j in range(1, parts)]
+    n_probes = FIRST_PROBES
     while open_cuts := [c for c in cuts if c.open]:
-        probes = sorted({p for c in open_cuts for p in c.probes()})
-        below = dict(zip(probes, _below(rows, probes, weight).tolist(), strict=True))
-        for c in open_cuts:
-            c.learn(below)
+        own = [c.probes(n_probes) for c in open_cuts]
+        probes = sorted({p for x in own for p in x})
+        place = {p: k for k, p in enumerate(probes)}
+        found = _histogram(rows, probes, weight)
+        below = np.cumsum(found[0])[:-1]
+        for c, x in zip(open_cuts, own, strict=True):
+            c.learn(probes, [place[p] for p in x], below, found, tolerance * mean, whole * mean)
+        n_probes = PROBES
     return sorted(c.best for c in cuts)
 
 
@@ -114,7 +139,7 @@ def histogram_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", te
     cuts = find_splitters(rows, shards, total, "size", tolerance=tolerance, whole=whole) if n else []
     ranges = max(1, n // rows_per_range)
     fine = sorted({*cuts, *(find_splitters(rows, ranges, n, "one", tolerance=0.3, whole=0.3) if ranges > 1 else [])})
-    before = [0, *(_below(rows, fine, "one").tolist() if fine else [])]
+    before = [0, *(np.cumsum(_histogram(rows, fine, "one")[0])[:-1].tolist() if fine else [])]
     shard_of = [sum(c <= f for c in cuts) for f in fine] if len(fine) * len(cuts) < 1e6 else np.searchsorted(np.array(cuts, "i8,i8"), np.array(fine, "i8,i8"), "right").tolist()
     shard_of = [0, *shard_of]
     if len(set(cuts)) < len(cuts):  # more shards than rows: some stay empty, and the boundaries of equal place count once each

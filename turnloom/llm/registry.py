@@ -1,10 +1,11 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from . import bpe, chat, html_text, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, chat, decontamination, html_text, quality_rules, sharding, simhash, suffix_dedup, toxicity
 
 _OPERATORS = {
     "op1_chat_formatting": (chat.op1_chat_formatting, chat.OP1_SQL),
     "op2_toxicity": (toxicity.op2_toxicity, None),
+    "op3_decontamination": (decontamination.op3_decontamination, None),
     "op4_histogram_sharding": (sharding.op4_histogram_sharding, None),
     "op5_html_text": (html_text.op5_html_text, None),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),

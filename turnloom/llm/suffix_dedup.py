@@ -10,10 +10,13 @@ goes no further:
    windows of one anchor go as one row. Rows whose digit occurs once are dropped.
 2. Second digit: all bytes of the row's windows. Rows that agree in it repeat each other whole; the
    first of them in (doc_id, start) order stands for all, the others' bytes are removed.
-3. Last digit, only where rows share the first digit but not the second: the single windows of the
-   standing rows, each by all its WINDOW bytes. What remains equal is exactly the repeated windows.
+3. Third and fourth digit, only where rows share the first but not the second: a standing row's windows in
+   blocks of BLOCK, dealt by their place against the anchor; first by the bytes that all windows of a
+   block have in common, then by all bytes of the block's windows.
+4. Last digit, only where blocks share the third digit but not the fourth: single windows, each by all its
+   WINDOW bytes. What remains equal is exactly the repeated windows.
 
-Digits longer than a word are compared by hashes (64 bits for the first and the second within the first; 128 for the last).
+Digits longer than a word are compared by hashes (64 bits for each, so 128 for two passes in a row; 128 for the last).
 Every pass is a grouped minimum with partial aggregation and a join back, so a passage that a third of
 all documents share is one row for each task before it is shuffled.
 
@@ -31,6 +34,7 @@ from ._store import table, written
 from ._text import buffers, mixed, prefix_sums, slices, span_hash
 
 WINDOW, GRAM = 100, 24
+BLOCK = 16
 #: Bytes of one text that are worked on at a time.
 TILE = 2 << 20
 #: Ids of this many documents at most are sent to all executors as a filter; beyond, texts are filtered by the join alone.
@@ -40,10 +44,10 @@ _OTHER = ((np.arange(256) * 167 + 13) % 256).astype(np.uint8)
 
 
 def anchor_rows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Rows of windows with a common anchor: text's index, first window's start in the text, number of windows, first and second digit (hashes)."""
+    """Rows of windows with a common anchor: text's index, first window's start in the text, number of windows, the anchor's distance from the first start, first and second digit (hashes)."""
     n = len(data)
     if n < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = prefix_sums(data)
     at = np.arange(n - gram + 1)
     digit = span_hash(sums, at, at + gram)
@@ -68,7 +72,7 @@ def anchor_rows(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gra
     a, b, p = starts[first], starts[last], anchor[first]
     text = np.searchsorted(offsets, a, "right") - 1
     second = mixed(span_hash(sums, a, b + window) ^ mixed(((p - a) * 128 + (b - a)).astype(np.uint64)))
-    return text, a - offsets[text], b - a + 1, digit[p], second
+    return text, a - offsets[text], b - a + 1, p - a, digit[p], second
 
 
 def _tiles(column):
@@ -87,16 +91,25 @@ def _with_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """docs: doc, text. h, c: first and second digit."""
+    """docs: doc, text. key, full: first and second digit; doc, start, n: where the row's windows start and how many they are; lead: the anchor's distance from start."""
 
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo, data, offsets, base in _tiles(b.column(1)):
-                text, start, n, h, c = anchor_rows(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[lo + text]), pa.array(start + base), pa.array(n.astype(np.int32))], names=["h", "c", "doc", "start", "n"])
+                text, start, n, lead, h, c = anchor_rows(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[lo + text]), pa.array(start + base), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))], names=["key", "full", "doc", "start", "n", "lead"])
 
-    return docs.mapInArrow(run, "h long, c long, doc long, start long, n int")
+    return docs.mapInArrow(run, "key long, full long, doc long, start long, n int, lead int")
+
+
+def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows: key, full, doc, start, n, lead. Spans of the rows that repeat an earlier one whole, and the standing rows whose key others share with another full."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("full").alias("f0"), F.max("full").alias("f1")).filter("rows > 1").select("key", (F.col("f0") != F.col("f1")).alias("differ"))
+    kept = written(rows.join(keys, "key"), name)
+    stands = kept.groupBy("key", "full").agg(F.min(F.struct("doc", "start")).alias("first"), F.first(F.struct("n", "lead", "differ")).alias("row"), F.count("*").alias("rows"))
+    later = kept.join(stands.filter("rows > 1").select("key", "full", "first"), ["key", "full"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    return later.select("doc", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end")), stands.filter("row.differ").select("first.doc", "first.start", "row.n", "row.lead")
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -123,38 +136,56 @@ def _unpack(z: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(z, n), np.uint8) if n else np.zeros(0, np.uint8)
 
 
-def _windows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The single windows of rows(doc, start, n): w1, w2 (128 bits of hash), doc, start."""
-    by_doc = rows.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("rows"))
+def _with_text(docs: DataFrame, rows: DataFrame, of_row, schema: str) -> DataFrame:
+    """of_row(bytes, doc, starts, ns, leads) over the documents of rows(doc, start, n, lead)."""
+    by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "lead")).alias("rows"))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                data = _unpack(b.column(2)[i].as_py(), b.column(1)[i].as_py())
-                own = b.column(3)[i].values
-                a, n = (own.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.unique(at[at + WINDOW <= len(data)])
-                w1 = span_hash(prefix_sums(data), at, at + WINDOW)
-                w2 = span_hash(prefix_sums(_OTHER[data]), at, at + WINDOW)
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(at), b.column(0)[i].as_py(), np.int64)), pa.array(at)], names=["w1", "w2", "doc", "start"])
+                data, own = _unpack(b.column(2)[i].as_py(), b.column(1)[i].as_py()), b.column(3)[i].values
+                start, n, lead = (own.field(k).to_numpy().astype(np.int64) for k in range(3))
+                ok = start + n - 1 + WINDOW <= len(data)
+                yield of_row(data, b.column(0)[i].as_py(), start[ok], n[ok], lead[ok])
+
+    return _packed(docs, by_doc.select("doc")).join(by_doc, "doc").select("doc", "n_bytes", "z", "rows").mapInArrow(run, schema)
+
+
+def _blocks(data, doc, start, n, lead):
+    anchor, last = start + lead, start + n - 1
+    k0, k1 = (anchor - last) // BLOCK, lead // BLOCK  # windows by their distance before the anchor
+    many = k1 - k0 + 1
+    row = np.repeat(np.arange(len(start)), many)
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + k0[row]
+    high, low = anchor[row] - BLOCK * k, anchor[row] - BLOCK * k - BLOCK + 1
+    a, b = np.maximum(low, start[row]), np.minimum(high, last[row])
+    sums = prefix_sums(data)
+    # low may lie before the text, but what all windows from low to high share lies in each of them
+    key = mixed(span_hash(sums, high, low + WINDOW) ^ mixed(k.astype(np.uint64)))
+    full = mixed(span_hash(sums, a, b + WINDOW) ^ mixed(((high - a) * 128 + (b - a)).astype(np.uint64)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), pa.array(np.full(len(a), doc, np.int64)), pa.array(a), pa.array((b - a + 1).astype(np.int32)), pa.array(np.zeros(len(a), np.int32))],
+        names=["key", "full", "doc", "start", "n", "lead"],
+    )
+
 
-    return _packed(docs, by_doc.select("doc")).join(by_doc, "doc").select("doc", "n_bytes", "z", "rows").mapInArrow(run, "w1 long, w2 long, doc long, start long")
+def _single(data, doc, start, n, lead):
+    at = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    w1 = span_hash(prefix_sums(data), at, at + WINDOW)
+    w2 = span_hash(prefix_sums(_OTHER[data]), at, at + WINDOW)
+    return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at)], names=["w1", "w2", "doc", "start"])
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and spans, an array of (start, end) in bytes, of the documents that repeat earlier passages. Spans may overlap."""
     docs = _with_id(docs, id_col, text_col)
-    anchors = _anchors(docs)
-    digits = anchors.groupBy("h").agg(F.count("*").alias("rows"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("rows > 1").select("h", (F.col("c0") != F.col("c1")).alias("differ"))
-    kept = written(anchors.join(digits, "h"), "repeated-anchors")
-    stands = kept.groupBy("h", "c").agg(F.min(F.struct("doc", "start")).alias("first"), F.first("n").alias("n"), F.first("differ").alias("differ"), F.count("*").alias("rows"))
-    later = kept.join(stands.filter("rows > 1").select("h", "c", "first"), ["h", "c"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    spans = later.select("doc", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end"))
-    windows = written(_windows(docs, stands.filter("differ").select("first.doc", "first.start", "n")), "windows")
+    of_rows, open_rows = _settle(_anchors(docs), "repeated-rows")
+    blocks = written(_with_text(docs, open_rows, _blocks, "key long, full long, doc long, start long, n int, lead int"), "blocks")
+    of_blocks, open_blocks = _settle(blocks, "repeated-blocks")
+    windows = written(_with_text(docs, open_blocks, _single, "w1 long, w2 long, doc long, start long"), "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     again = windows.join(earliest, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    spans = spans.unionByName(again.select("doc", "start", (F.col("start") + WINDOW).alias("end")))
+    spans = of_rows.unionByName(of_blocks).unionByName(again.select("doc", "start", (F.col("start") + WINDOW).alias("end")))
     return spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 

@@ -1,8 +1,62 @@
-"""Corpus cleaning in five stages, each one of the operators of turnloom.llm."""
+"""Corpus cleaning in five stages, each one of the operators of turnloom.llm.
 
-STAGES: list = []
+A stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last
+return the columns of documents. Between two stages the documents are written and read again.
+"""
+
+from pyspark.sql import functions as F
+
+from turnloom.llm import bpe, decontamination, simhash, suffix_dedup, toxicity
+from turnloom.llm._store import table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents predicted toxic go; labels of the held-out fold aren't learnt from. A doc_id goes as a whole."""
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    toxic = toxicity.score(docs, labels).filter("predicted = 1").select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(COLUMNS)
+
+
+def one_of_near_copies(spark, docs, sf_dir):
+    """The smallest doc_id of each group of near copies stays; rows that repeat it whole go."""
+    found = simhash.near_duplicates(docs)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "__first")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def cut_repeated_passages(spark, docs, sf_dir):
+    """Later copies of passages of 100 bytes and more are cut from the texts; documents stay, even empty."""
+    cut = suffix_dedup.deduplicated_text(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_leaks(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+
+
+def encode(spark, docs, sf_dir):
+    """doc_id, number of tokens, and digests of the ids and of what they decode to."""
+    return bpe.digests(docs, keep=["doc_id"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", one_of_near_copies),
+    ("suffix_dedup", cut_repeated_passages),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", encode),
+]
+#: The language models, fingerprints and the latent space have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

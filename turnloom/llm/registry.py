@@ -1,6 +1,6 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from . import bpe, chat, decontamination, html_text, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, chat, decontamination, html_text, quality_rules, sharding, simhash, site_quality, suffix_dedup, toxicity
 
 _OPERATORS = {
     "op1_chat_formatting": (chat.op1_chat_formatting, chat.OP1_SQL),
@@ -10,6 +10,7 @@ _OPERATORS = {
     "op5_html_text": (html_text.op5_html_text, None),
     "op6_byte_bpe": (bpe.op6_byte_bpe, None),
     "op7_simhash": (simhash.op7_simhash, None),
+    "op8_site_quality": (site_quality.op8_site_quality, None),
     "op9_suffix_dedup": (suffix_dedup.op9_suffix_dedup, None),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.OP10_SQL),
 }

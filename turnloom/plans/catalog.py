@@ -1,9 +1,445 @@
-"""All queries of the library proper, with their SQL."""
+"""All queries of the library proper, each with DuckDB SQL for the same rows. Names begin with the IDs of the inventory."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from turnloom.functions import text as T
+from turnloom.operators import intervals as I
+from turnloom.operators import labels as L
+from turnloom.sources.adapters import INTERVALS, TURNS, WORDS, intervals, read, turns, words
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+def _b(df, *longs):
+    return df.withColumns({c: F.col(c).cast("bigint") for c in longs})
+
+
+# --- summary and naming ---------------------------------------------------------------------------------------------
+
+SUMMARY = TURNS + """, g AS (
+  SELECT video_id, speaker, sum(end_ms - start_ms)::BIGINT AS total_ms, count(*) AS num_turns, max(end_ms - start_ms) AS max_turn_ms, min(pos) AS first_pos
+  FROM turns GROUP BY ALL
+), summary AS (
+  SELECT video_id, speaker, total_ms, num_turns, max_turn_ms, row_number() OVER (PARTITION BY video_id ORDER BY total_ms DESC, first_pos) AS rank,
+    round(CASE WHEN sum(total_ms) OVER (PARTITION BY video_id) = 0 THEN 0 ELSE total_ms / (sum(total_ms) OVER (PARTITION BY video_id))::DOUBLE END, 6) AS share,
+    round(total_ms / num_turns, 6) AS avg_turn_ms FROM g
+)"""
+NAMES = [("S0", "Ada"), ("S1", " "), ("S7", "Nobody")]
+NAMES_SQL = "names AS (SELECT * FROM (VALUES ('S0', 'Ada'), ('S1', ' '), ('S7', 'Nobody')) AS t(speaker_id, display_name))"
+
+
+def _names(spark):
+    return spark.createDataFrame(NAMES, "speaker_id string, display_name string")
+
+
+@query("op05_speaker_summary", f"WITH {SUMMARY}, {NAMES_SQL} SELECT s.*, s.rank <= 8 AS selected_for_labeling, s.speaker AS speaker_id, coalesce(n.display_name, s.speaker) AS speaker_display FROM summary s LEFT JOIN names n ON n.speaker_id = s.speaker AND trim(n.display_name) <> ''")
+def _(spark, d):
+    return L.apply_names(L.speaker_summary(turns(spark, d)), _names(spark))
+
+
+@query("agg04_known_totals", f"WITH {TURNS} SELECT video_id, coalesce(sum(end_ms - start_ms) FILTER (WHERE upper(speaker) <> 'UNKNOWN'), 0)::BIGINT AS known_ms, coalesce(sum(end_ms - start_ms) FILTER (WHERE upper(speaker) = 'UNKNOWN'), 0)::BIGINT AS unknown_ms, count(DISTINCT speaker) AS num_speakers FROM (SELECT video_id, CASE WHEN pos = 3 THEN 'Unknown' ELSE speaker END AS speaker, start_ms, end_ms FROM turns) GROUP BY video_id")
+def _(spark, d):
+    return L.known_totals(turns(spark, d).withColumn("speaker", F.when(F.col("pos") == 3, "Unknown").otherwise(F.col("speaker"))))
+
+
+@query("agg03_segment_share_at_volume", "SELECT c_mktsegment AS speaker, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total, count(*) AS n, max(round(o_totalprice * 100)::BIGINT) AS most, round(sum(round(o_totalprice * 100)::BIGINT) / (sum(sum(round(o_totalprice * 100)::BIGINT)) OVER ())::DOUBLE, 6) AS share FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def _(spark, d):
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    j = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("speaker")).agg(F.sum(cents).alias("total"), F.count("*").alias("n"), F.max(cents).alias("most"))
+    return j.withColumn("share", F.round(F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(1))), 6))
+
+
+@query("sort04_top_k_per_group", "SELECT l_suppkey, l_orderkey, l_linenumber, cents, rn FROM (SELECT l_suppkey, l_orderkey, l_linenumber, round(l_extendedprice * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY l_suppkey ORDER BY round(l_extendedprice * 100)::BIGINT DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn <= 3")
+def _(spark, d):
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents")
+    t = read(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", cents)
+    return t.withColumn("rn", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("cents"), "l_orderkey", "l_linenumber")).cast("bigint")).filter("rn <= 3")
+
+
+@query("join07_update_names", f"WITH {TURNS}, {NAMES_SQL} SELECT video_id, pos, speaker AS speaker_id, coalesce(n.display_name, speaker) AS speaker_display FROM turns LEFT JOIN names n ON n.speaker_id = speaker")
+def _(spark, d):
+    return L.update_names(turns(spark, d).select("video_id", "pos", F.col("speaker").alias("speaker_id"), F.col("speaker").alias("speaker_display")), _names(spark))
+
+
+@query("snk10_saved_map", f"WITH {NAMES_SQL} SELECT speaker_id, coalesce(nullif(trim(display_name), ''), speaker_id) AS display_name FROM names")
+def _(spark, d):
+    return L.saved_map(_names(spark))
+
+
+def _labels(spark, d):
+    return turns(spark, d).select(F.when(F.expr("pos % 3 = 0"), F.concat(F.lit("FACE_"), F.col("video_id") % 12)).when(F.expr("pos % 3 = 1"), F.concat(F.lit("AUDIO_"), F.col("pos"))).otherwise(F.col("speaker")).alias("label"))
+
+
+_LABELS = TURNS + ", labelled AS (SELECT CASE WHEN pos % 3 = 0 THEN 'FACE_' || (video_id % 12) WHEN pos % 3 = 1 THEN 'AUDIO_' || pos ELSE speaker END AS label FROM turns)"
+
+
+@query("op11_naming_rows", f"WITH {_LABELS}, w AS (SELECT DISTINCT label AS speaker FROM labelled WHERE label LIKE 'FACE\\_%' ESCAPE '\\' OR label LIKE 'AUDIO\\_%' ESCAPE '\\'), tab AS (SELECT * FROM (VALUES ('FACE_1', 10), ('AUDIO_4', 20), ('S1', 30)) AS t(speaker, total_ms)) SELECT speaker, total_ms::BIGINT AS total_ms, CASE WHEN speaker LIKE 'FACE%' THEN 0 ELSE 1 END AS sort_kind, coalesce(try_cast(nullif(regexp_replace(speaker, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS sort_no FROM w LEFT JOIN tab USING (speaker)")
+def _(spark, d):
+    return L.naming_rows(spark.createDataFrame([("FACE_1", 10), ("AUDIO_4", 20), ("S1", 30)], "speaker string, total_ms long"), _labels(spark, d))
+
+
+_VERSIONS = "versions AS (SELECT conv_id AS video_id, CASE turn % 5 WHEN 0 THEN 'raw' WHEN 1 THEN 'corrected' WHEN 2 THEN 'gap_corrected' WHEN 3 THEN 'final' ELSE 'other' END AS version, min(turn) AS turn FROM conversations WHERE (conv_id + turn) % 3 <> 0 GROUP BY ALL)"
+
+
+@query("src05_latest_segments", f"WITH {_VERSIONS} SELECT video_id, version, turn FROM versions QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY CASE version WHEN 'final' THEN 1 WHEN 'gap_corrected' THEN 2 WHEN 'corrected' THEN 3 WHEN 'raw' THEN 4 ELSE 5 END, version) = 1")
+def _(spark, d):
+    kind = F.expr("case turn % 5 when 0 then 'raw' when 1 then 'corrected' when 2 then 'gap_corrected' when 3 then 'final' else 'other' end")
+    v = read(spark, d, "conversations").filter("(conv_id + turn) % 3 <> 0").groupBy(F.col("conv_id").alias("video_id"), kind.alias("version")).agg(F.min("turn").alias("turn"))
+    return L.latest(v, ["final", "gap_corrected", "corrected", "raw"], ["video_id"])
+
+
+@query("src11_library_listing", "SELECT c_custkey AS item, lower(c_name) AS title, n_orders FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)")
+def _(spark, d):
+    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+    return read(spark, d, "customer").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").join(o, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("item"), F.lower("c_name").alias("title"), "n_orders")
+
+
+@query("src15_read_map", "SELECT 1::BIGINT AS video_id, * FROM (VALUES ('S0', 'Ada'), ('S1', 'Bo'), ('S2', 'S2')) AS t(speaker_id, display_name)")
+def _(spark, d):
+    doc = spark.createDataFrame([(1, {"S0": "Ada"}, [("S0", "x", None), ("S1", " ", "Bo"), ("S2", None, "")])], "video_id long, speakers map<string,string>, rows array<struct<speaker_id:string,display_name:string,name:string>>")
+    return L.read_map(doc)
+
+
+# --- alignment ------------------------------------------------------------------------------------------------------
+
+CANDIDATES = WORDS + """, cand AS (
+  SELECT w.video_id, w.asr_segment_id, w.word_index, t.speaker, sum(least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms))::BIGINT AS overlap_ms, min(t.pos) AS first_pos
+  FROM words w JOIN turns t ON w.video_id = t.video_id AND least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms) > 0 GROUP BY ALL
+), top AS (
+  SELECT video_id, asr_segment_id, word_index, speaker, overlap_ms, overlap_ms - second AS overlap_margin_ms, coalesce(overlap_ms - second <= 50, false) AS boundary_ambiguous
+  FROM (SELECT *, row_number() OVER w AS rn, lead(overlap_ms) OVER w AS second FROM cand WINDOW w AS (PARTITION BY video_id, asr_segment_id, word_index ORDER BY overlap_ms DESC, first_pos)) WHERE rn = 1
+)"""
+ASSIGNED = CANDIDATES + """, rest AS (
+  SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.video_id = w.video_id AND top.asr_segment_id = w.asr_segment_id AND top.word_index = w.word_index)
+), near AS (
+  SELECT w.video_id, w.asr_segment_id, w.word_index, t.speaker, greatest(t.start_ms - w.end_ms, w.start_ms - t.end_ms, 0) AS nearest_gap_ms
+  FROM rest w JOIN turns t USING (video_id) WHERE greatest(t.start_ms - w.end_ms, w.start_ms - t.end_ms, 0) <= 3000
+  QUALIFY row_number() OVER (PARTITION BY w.video_id, w.asr_segment_id, w.word_index ORDER BY greatest(t.start_ms - w.end_ms, w.start_ms - t.end_ms, 0), abs(w.start_ms + w.end_ms - t.start_ms - t.end_ms), t.pos) = 1
+), assigned AS (
+  SELECT w.*, coalesce(top.speaker, near.speaker, 'UNKNOWN') AS speaker, CASE WHEN top.speaker IS NOT NULL THEN 'overlap' WHEN near.speaker IS NOT NULL THEN 'nearest' ELSE 'unknown' END AS matched_by,
+    coalesce(overlap_ms, 0) AS overlap_ms, overlap_margin_ms, coalesce(boundary_ambiguous, false) AS boundary_ambiguous, nearest_gap_ms::BIGINT AS nearest_gap_ms
+  FROM words w LEFT JOIN top USING (video_id, asr_segment_id, word_index) LEFT JOIN near USING (video_id, asr_segment_id, word_index)
+)"""
+
+
+@query("prj02_words", f"WITH {WORDS} SELECT * FROM words")
+def _(spark, d):
+    return words(spark, d)
+
+
+@query("join01_overlap_candidates", f"WITH {CANDIDATES} SELECT * FROM cand")
+def _(spark, d):
+    return I.candidates(words(spark, d), turns(spark, d))
+
+
+@query("join02_dominant_speaker", f"WITH {CANDIDATES} SELECT * FROM top")
+def _(spark, d):
+    return I.dominant(words(spark, d), turns(spark, d))
+
+
+@query("join04_assign_speakers", f"WITH {ASSIGNED} SELECT * FROM assigned")
+def _(spark, d):
+    return I.assign(words(spark, d), turns(spark, d))
+
+
+SEGMENTS = ASSIGNED + """, f AS (
+  SELECT *, CASE WHEN speaker = lag(speaker) OVER w AND asr_segment_id = lag(asr_segment_id) OVER w AND start_ms - lag(end_ms) OVER w <= 500 THEN 0 ELSE 1 END AS new
+  FROM assigned WINDOW w AS (PARTITION BY video_id ORDER BY asr_segment_id, word_index)
+), i AS (
+  SELECT *, (sum(new) OVER (PARTITION BY video_id ORDER BY asr_segment_id, word_index) - 1)::BIGINT AS index FROM f
+), segments AS (
+  SELECT video_id, index, arg_min(start_ms, asr_segment_id * 100000 + word_index) AS start_ms, arg_max(end_ms, asr_segment_id * 100000 + word_index) AS end_ms, any_value(speaker) AS speaker,
+    string_agg(word, ' ' ORDER BY asr_segment_id, word_index) AS text, count(*) AS num_words, sum(overlap_ms)::BIGINT AS overlap_ms, bool_or(boundary_ambiguous) AS boundary_ambiguous,
+    string_agg(DISTINCT matched_by, ',' ORDER BY matched_by) AS match_methods, string_agg(DISTINCT asr_segment_id::VARCHAR, ',' ORDER BY asr_segment_id::VARCHAR) AS asr_segment_ids
+  FROM i GROUP BY video_id, index
+)"""
+
+
+@query("op01_align", f"WITH {SEGMENTS} SELECT * FROM segments")
+def _(spark, d):
+    return I.segments(I.assign(words(spark, d), turns(spark, d)))
+
+
+# --- islands --------------------------------------------------------------------------------------------------------
+
+RUNS = TURNS + """, r0 AS (
+  SELECT *, sum(CASE WHEN speaker = ls THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) AS stretch FROM (SELECT *, lag(speaker) OVER (PARTITION BY video_id ORDER BY pos) AS ls FROM turns)
+), r1 AS (
+  SELECT *, max(end_ms) OVER (PARTITION BY video_id, stretch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r0
+), r2 AS (
+  SELECT *, (sum(CASE WHEN start_ms - reach <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) - 1)::BIGINT AS run_index FROM r1
+), runs AS (
+  SELECT video_id, run_index, min(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(end_ms - start_ms)::BIGINT AS speech_ms, min(pos) AS first_pos, max(pos) AS last_pos, string_agg(text, ' ' ORDER BY pos) AS text
+  FROM r2 GROUP BY video_id, run_index
+)"""
+
+
+def _runs(spark, d):
+    return I.runs(turns(spark, d), merge_gap_ms=200)
+
+
+@query("win02_speaker_runs", f"WITH {RUNS} SELECT * FROM runs")
+def _(spark, d):
+    return _runs(spark, d)
+
+
+@query("win03_interval_packing", f"WITH {INTERVALS}, a AS (SELECT *, max(end_ms) OVER (PARTITION BY video_id, label ORDER BY start_ms, end_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals), b AS (SELECT *, (sum(CASE WHEN start_ms > reach + 3600000 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, label ORDER BY start_ms, end_ms, event_id) - 1)::BIGINT AS island FROM a) SELECT video_id, label, island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM b GROUP BY ALL")
+def _(spark, d):
+    return I.pack(intervals(spark, d), ["video_id", "label"], gap_ms=3_600_000)
+
+
+GLUED = TURNS + """, g0 AS (SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY video_id ORDER BY pos) AS gap_ms FROM turns
+), glued AS (SELECT *, (sum(CASE WHEN gap_ms >= -50 AND gap_ms < 100 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) - 1)::BIGINT AS span FROM g0)"""
+
+
+@query("win04_glued_spans", f"WITH {GLUED} SELECT video_id, pos, gap_ms, span FROM glued")
+def _(spark, d):
+    return I.glued_spans(turns(spark, d)).select("video_id", "pos", "gap_ms", "span")
+
+
+@query("win05_remerge_glued", f"WITH {GLUED}, m AS (SELECT *, (sum(CASE WHEN speaker = ls AND gap_ms BETWEEN -50 AND 100 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) - 1)::BIGINT AS index FROM (SELECT *, lag(speaker) OVER (PARTITION BY video_id ORDER BY pos) AS ls FROM glued)) SELECT video_id, index, min(speaker) AS speaker, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms, count(*) AS merged, string_agg(text, ' ' ORDER BY pos) AS text FROM m GROUP BY video_id, index")
+def _(spark, d):
+    return I.remerge_glued(turns(spark, d))
+
+
+BOUNDARY = GLUED + """, n AS (
+  SELECT *, lag(speaker) OVER w AS ls, lag(span) OVER w AS lsp, lead(gap_ms) OVER w AS after, lead(speaker) OVER w AS nx FROM glued WINDOW w AS (PARTITION BY video_id ORDER BY pos)
+), b AS (
+  SELECT video_id, span, min(pos) AS lo, max(pos) AS hi, coalesce(sum((speaker <> ls AND span = lsp)::INT), 0) AS changes, arg_min(coalesce(gap_ms, 300), pos) AS b, arg_max(coalesce(after, 300), pos) AS a,
+    arg_min(speaker, pos) AS left_label, arg_max(speaker, pos) AS right_label, arg_min(coalesce(ls, ''), pos) AS left_anchor, arg_max(coalesce(nx, ''), pos) AS right_anchor FROM n GROUP BY video_id, span
+), boundary AS (
+  SELECT video_id, lo, hi, left_label, right_label,
+    CASE WHEN len(list_distinct(list_filter([left_anchor, right_anchor], lambda x: x IN (left_label, right_label)))) = 1 THEN list_filter([left_anchor, right_anchor], lambda x: x IN (left_label, right_label))[1] END AS target_speaker
+  FROM b WHERE changes = 1 AND b >= 300 AND a >= 300
+)"""
+
+
+def _boundary(spark, d):
+    t = turns(spark, d)
+    return L.anchor_target(L.boundary_candidates(I.glued_spans(t)), t)
+
+
+@query("win06_boundary_candidates", f"WITH {BOUNDARY} SELECT * FROM boundary")
+def _(spark, d):
+    return _boundary(spark, d).select("video_id", "lo", "hi", "left_label", "right_label", "target_speaker")
+
+
+@query("op03_boundary_repair", f"WITH {BOUNDARY} SELECT t.video_id, t.pos, coalesce(b.target_speaker, t.speaker) AS speaker, CASE WHEN b.target_speaker <> t.speaker THEN t.speaker END AS speaker_original FROM turns t LEFT JOIN boundary b ON t.video_id = b.video_id AND t.pos BETWEEN b.lo AND b.hi AND b.target_speaker IS NOT NULL AND (b.video_id + b.lo) % 2 = 0")
+def _(spark, d):
+    judged = _boundary(spark, d).withColumn("approved", F.expr("(video_id + lo) % 2 = 0"))
+    return L.repair_boundaries(turns(spark, d), judged).select("video_id", "pos", "speaker", "speaker_original")
+
+
+CANDIDATE_RUNS = RUNS + """, cr AS (
+  SELECT *, lag(speaker) OVER w AS left_speaker, lead(speaker) OVER w AS right_speaker, count(*) OVER (PARTITION BY video_id) AS n, lead(text) OVER w AS next_text, lead(start_ms) OVER w - end_ms AS gap_ms
+  FROM runs WINDOW w AS (PARTITION BY video_id ORDER BY run_index)
+), candidates AS (
+  SELECT * FROM cr WHERE text <> '' AND speech_ms <= 60000 AND (coalesce(left_speaker <> speaker, false) OR coalesce(right_speaker <> speaker, false))
+    AND CASE WHEN n = 2 THEN left_speaker IS NOT NULL ELSE left_speaker IS NOT NULL AND right_speaker IS NOT NULL END
+)"""
+PROPOSALS = CANDIDATE_RUNS + """, borders AS (
+  SELECT video_id, run_index, speaker <> right_speaker AND gap_ms <= 1500 AND gap_ms >= -50 AND text <> '' AND next_text <> '' AND (video_id + run_index) % 2 = 0 AS same FROM cr WHERE right_speaker IS NOT NULL
+), pr AS (
+  SELECT c.video_id, c.run_index, c.speaker AS from_speaker, c.left_speaker, c.right_speaker, coalesce(l.same, false) AS ls, coalesce(r.same, false) AS rs
+  FROM candidates c LEFT JOIN borders l ON l.video_id = c.video_id AND l.run_index + 1 = c.run_index LEFT JOIN borders r ON r.video_id = c.video_id AND r.run_index = c.run_index
+), proposals AS (
+  SELECT * FROM (SELECT video_id, run_index, from_speaker,
+    CASE WHEN ls AND rs THEN CASE WHEN left_speaker = right_speaker THEN 'both_agree' ELSE 'both_conflict' END WHEN ls THEN 'left' WHEN rs THEN 'right' ELSE 'none' END AS resolution,
+    CASE WHEN ls AND rs THEN CASE WHEN left_speaker = right_speaker THEN left_speaker END WHEN ls THEN left_speaker WHEN rs THEN right_speaker END AS to_speaker FROM pr) WHERE to_speaker <> from_speaker
+)"""
+
+
+@query("win09_candidate_runs", f"WITH {CANDIDATE_RUNS} SELECT video_id, run_index, speaker, left_speaker, right_speaker, speech_ms FROM candidates")
+def _(spark, d):
+    return L.run_candidates(_runs(spark, d), max_ms=60_000).select("video_id", "run_index", "speaker", "left_speaker", "right_speaker", "speech_ms")
+
+
+@query("prj20_border_eligibility", f"WITH {CANDIDATE_RUNS} SELECT video_id, run_index, gap_ms, CASE WHEN speaker = right_speaker THEN 'same_label' WHEN gap_ms > 1500 THEN 'gap_too_large' WHEN gap_ms < -50 THEN 'overlap' WHEN text = '' OR next_text = '' THEN 'empty_text' END AS reason, NOT (speaker = right_speaker OR gap_ms > 1500 OR gap_ms < -50 OR text = '' OR next_text = '') AS eligible FROM cr WHERE right_speaker IS NOT NULL")
+def _(spark, d):
+    return L.eligibility(_runs(spark, d))
+
+
+def _proposals(spark, d):
+    borders = L.eligibility(_runs(spark, d)).select("video_id", "run_index", F.expr("eligible and (video_id + run_index) % 2 = 0").alias("same"))
+    return L.proposals(L.run_candidates(_runs(spark, d), max_ms=60_000), borders)
+
+
+@query("prj21_proposals", f"WITH {PROPOSALS} SELECT * FROM proposals")
+def _(spark, d):
+    return _proposals(spark, d).drop("anchors")
+
+
+@query("join14_conflicts", f"WITH {PROPOSALS}, an AS (SELECT video_id, run_index, to_speaker, unnest(CASE resolution WHEN 'both_agree' THEN [run_index - 1, run_index + 1] WHEN 'left' THEN [run_index - 1] ELSE [run_index + 1] END) AS anchor FROM proposals), hit AS (SELECT an.video_id, an.run_index, an.anchor FROM an JOIN proposals q ON q.video_id = an.video_id AND q.run_index = an.anchor AND q.to_speaker <> an.to_speaker) SELECT video_id, run_index FROM hit UNION SELECT video_id, anchor FROM hit")
+def _(spark, d):
+    return L.conflicts(_proposals(spark, d))
+
+
+# --- reconciliation -------------------------------------------------------------------------------------------------
+
+FACES = "faces AS (SELECT conv_id AS video_id, (conv_id + turn) % 4 AS face_id, (turn * 2500 + conv_id % 7 * 300)::BIGINT AS start_ms, (turn * 2500 + conv_id % 7 * 300 + length(text) * 30)::BIGINT AS end_ms FROM conversations)"
+
+
+def _faces(spark, d):
+    c = read(spark, d, "conversations")
+    start = F.expr("cast(turn * 2500 + conv_id % 7 * 300 as bigint)")
+    return c.select(F.col("conv_id").alias("video_id"), F.expr("(conv_id + turn) % 4").alias("face_id"), start.alias("start_ms"), (start + F.length("text") * 30).alias("end_ms"))
+
+
+RECONCILED = TURNS + ", " + FACES + """, fo AS (
+  SELECT t.video_id, t.pos, t.speaker, t.end_ms - t.start_ms AS dur, f.face_id, sum(least(t.end_ms, f.end_ms) - greatest(t.start_ms, f.start_ms))::BIGINT AS o, min(f.start_ms) AS seen
+  FROM turns t JOIN faces f ON t.video_id = f.video_id AND least(t.end_ms, f.end_ms) - greatest(t.start_ms, f.start_ms) > 0 GROUP BY ALL
+), fr AS (
+  SELECT *, row_number() OVER w AS rn, coalesce(lead(o) OVER w, 0) AS second FROM fo WINDOW w AS (PARTITION BY video_id, pos ORDER BY o DESC, seen, face_id)
+), direct AS (
+  SELECT video_id, pos, face_id, round(o / dur, 6) AS cov, round((o - second) / dur, 6) AS margin FROM fr WHERE rn = 1 AND 100 * o >= 20 * dur AND 100 * (o - second) >= 15 * dur AND o >= 120
+), tot AS (SELECT video_id, speaker, sum(end_ms - start_ms)::BIGINT AS total FROM turns GROUP BY ALL
+), mx AS (SELECT video_id, speaker, face_id, sum(o)::BIGINT AS o, min(pos * 100 + rn) AS first FROM fr GROUP BY ALL
+), tp AS (
+  SELECT *, row_number() OVER w AS k, coalesce(lead(o) OVER w, 0) AS o2 FROM mx WINDOW w AS (PARTITION BY video_id, speaker ORDER BY o DESC, first)
+), fd AS (SELECT t.video_id, t.speaker, count(DISTINCT face_id) AS n, min(face_id) AS f FROM turns t JOIN direct USING (video_id, pos) GROUP BY ALL
+), back AS (
+  SELECT tp.video_id, tp.speaker, tp.face_id AS back_face FROM tp JOIN tot USING (video_id, speaker) LEFT JOIN fd USING (video_id, speaker)
+  WHERE k = 1 AND 100 * o >= 65 * total AND 100 * (o - o2) >= 25 * total AND total >= 2000 AND (fd.n IS NULL OR fd.n = 1 AND fd.f = tp.face_id)
+), reconciled AS (
+  SELECT t.video_id, t.pos, t.speaker AS speaker_audio, coalesce('FACE_' || coalesce(face_id, back_face), t.speaker) AS speaker,
+    CASE WHEN face_id IS NOT NULL THEN 'visual' WHEN back_face IS NOT NULL THEN 'visual_global' ELSE 'audio' END AS reconcile_source, cov, margin, t.start_ms, t.end_ms
+  FROM turns t LEFT JOIN direct USING (video_id, pos) LEFT JOIN back ON back.video_id = t.video_id AND back.speaker = t.speaker
+)"""
+
+
+@query("op02_reconcile", f"WITH {RECONCILED} SELECT * FROM reconciled")
+def _(spark, d):
+    return L.reconcile(turns(spark, d), _faces(spark, d))
+
+
+@query("agg09_reconcile_audit", f"WITH {RECONCILED}, a AS (SELECT video_id, round(sum(CASE WHEN reconcile_source = 'visual' THEN end_ms - start_ms ELSE 0 END) / sum(end_ms - start_ms), 6) AS onscreen_coverage, round(sum(CASE WHEN reconcile_source = 'visual_global' THEN end_ms - start_ms ELSE 0 END) / sum(end_ms - start_ms), 6) AS global_backfill_coverage FROM reconciled GROUP BY 1), m AS (SELECT video_id, count(*) FILTER (WHERE n >= 2) AS n_merges_fixed FROM (SELECT video_id, speaker, count(DISTINCT speaker_audio) AS n FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL) GROUP BY 1), s AS (SELECT video_id, count(*) FILTER (WHERE n >= 2) AS n_splits_fixed FROM (SELECT video_id, speaker_audio, count(DISTINCT speaker) AS n FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL) GROUP BY 1) SELECT a.*, coalesce(n_merges_fixed, 0) AS n_merges_fixed, coalesce(n_splits_fixed, 0) AS n_splits_fixed FROM a LEFT JOIN m USING (video_id) LEFT JOIN s USING (video_id)")
+def _(spark, d):
+    return L.reconcile_audit(L.reconcile(turns(spark, d), _faces(spark, d)))
+
+
+# --- captions and text ----------------------------------------------------------------------------------------------
+
+
+@query("win14_timeline", f"WITH {TURNS}, o AS (SELECT *, lead(start_ms) OVER w AS after, row_number() OVER w AS i FROM turns WINDOW w AS (PARTITION BY video_id ORDER BY start_ms, end_ms, pos)), h AS (SELECT *, greatest(CASE WHEN after > start_ms THEN least(greatest(end_ms, start_ms + 1200), after) ELSE greatest(end_ms, start_ms + 1200) END, start_ms + 50) AS held_ms FROM o), t AS (SELECT *, (max(greatest(held_ms, start_ms + 50) - 50 * i) OVER (PARTITION BY video_id ORDER BY i) + 50 * i)::BIGINT AS until_ms FROM h), l AS (SELECT *, coalesce(lag(until_ms) OVER (PARTITION BY video_id ORDER BY i), 0) AS before FROM t) SELECT video_id, pos, held_ms, greatest(start_ms, before)::BIGINT AS shown_ms, until_ms, start_ms > before + 1 AS gap_before FROM l")
+def _(spark, d):
+    return I.timeline(turns(spark, d))
+
+
+_SRT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+
+
+@query("snk04_srt", f"WITH {TURNS} SELECT video_id, string_agg((pos + 1) || chr(10) || {_SRT.format('start_ms')} || ' --> ' || {_SRT.format('end_ms')} || chr(10) || '[' || speaker || '] ' || text || chr(10), chr(10) ORDER BY pos) AS srt FROM turns GROUP BY video_id")
+def _(spark, d):
+    from turnloom.sources.sinks import srt
+
+    return srt(turns(spark, d).withColumn("caption", F.concat(F.lit("["), F.col("speaker"), F.lit("] "), F.col("text"))))
+
+
+@query("snk02_rttm", f"WITH {TURNS} SELECT video_id, pos, 'SPEAKER ' || video_id || ' 1 ' || (start_ms // 1000) || '.' || lpad((start_ms % 1000)::VARCHAR, 3, '0') || ' ' || ((end_ms - start_ms) // 1000) || '.' || lpad(((end_ms - start_ms) % 1000)::VARCHAR, 3, '0') || ' <NA> <NA> ' || speaker || ' <NA> <NA>' AS line FROM turns")
+def _(spark, d):
+    from turnloom.sources.sinks import rttm_line
+
+    return turns(spark, d).select("video_id", "pos", rttm_line().alias("line"))
+
+
+@query("win16_parts", f"WITH {TURNS} SELECT video_id, pos, (row_number() OVER (PARTITION BY video_id, speaker ORDER BY pos) - 1)::BIGINT AS part, count(*) OVER (PARTITION BY video_id, speaker) AS part_count, (row_number() OVER (PARTITION BY video_id ORDER BY pos) - 1) // 40 AS batch FROM turns")
+def _(spark, d):
+    w = Window.partitionBy("video_id", "speaker")
+    return turns(spark, d).select("video_id", "pos", (F.row_number().over(w.orderBy("pos")) - 1).cast("bigint").alias("part"), F.count("*").over(w).alias("part_count"), F.expr("cast((row_number() over (partition by video_id order by pos) - 1) div 40 as bigint)").alias("batch"))
+
+
+@query("win08_context_window", f"WITH {RUNS}, c AS (SELECT video_id, run_index AS t, count(*) OVER (PARTITION BY video_id) AS n FROM runs), s AS (SELECT video_id, t, least(3, n) AS c, greatest(0, least(t - least(3, n) // 2, n - least(3, n))) AS s FROM c) SELECT s.video_id, s.t AS run_index, string_agg(r.speaker, ',' ORDER BY r.run_index) AS context FROM s JOIN runs r ON r.video_id = s.video_id AND r.run_index >= s.s AND r.run_index < s.s + s.c GROUP BY ALL")
+def _(spark, d):
+    r = _runs(spark, d)
+    w = Window.partitionBy("video_id").orderBy("run_index")
+    # a full-width window lies within two runs of its centre, so no whole timeline is collected
+    near = F.collect_list(F.struct("run_index", "speaker")).over(w.rowsBetween(-2, 2))
+    t = r.select("video_id", "run_index", near.alias("near"), F.count("*").over(Window.partitionBy("video_id")).alias("n"))
+    t = t.withColumn("c", F.least(F.lit(3), "n")).withColumn("s", F.expr("greatest(0, least(run_index - c div 2, n - c))"))
+    return t.select("video_id", "run_index", F.expr("array_join(transform(filter(near, x -> x.run_index >= s and x.run_index < s + c), x -> x.speaker), ',')").alias("context"))
+
+
+@query("fn_text_functions", r"SELECT doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 300), '[ \n]+', ' ', 'g')), '^$', '') AS collapsed, nullif(substr(regexp_replace(regexp_replace(source || '-' || lang || '_', '[^A-Za-z0-9_-]', '', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 64), '') AS clean_id, lower(lang) || '--' || source AS repo, rtrim(text) ~ '.*[.!?…][""'')\]]*$' AS ends FROM (SELECT doc_id, source, lang, replace(text, chr(10), ' ') AS text FROM documents)".replace('""', '"'))
+def _(spark, d):
+    t = read(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    return t.select("doc_id", T.collapsed(F.substring("text", 1, 300)).alias("collapsed"), T.sanitised_id(F.concat_ws("", "source", F.lit("-"), "lang", F.lit("_"))).alias("clean_id"), F.replace(F.concat_ws("/", F.lower("lang"), "source"), F.lit("/"), F.lit("--")).alias("repo"), T.ends_sentence(F.col("text")).alias("ends"))
+
+
+@query("fn27_basename", "SELECT page_id, regexp_extract(url, '[^\\\\/]+$', 0) AS base FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", T.basename(F.col("url")).alias("base"))
+
+
+@query("prj10_parsed_tags", "SELECT conv_id, turn, '|' || upper(role) || '|' AS emotion, trim(text) AS transcript FROM conversations")
+def _(spark, d):
+    raw = F.concat(F.lit("<|en|><|"), F.upper("role"), F.lit("|>> "), F.col("text"))
+    emotion, transcript = T.parsed_tags(raw)
+    return read(spark, d, "conversations").select("conv_id", "turn", emotion.alias("emotion"), transcript.alias("transcript"))
+
+
+@query("prj12_display_prefix", f"WITH {TURNS} SELECT video_id, pos, CASE WHEN speaker = 'S0' THEN 'Ada' END AS prefix FROM turns")
+def _(spark, d):
+    name = F.when(F.col("speaker") == "S0", " Ada ").when(F.col("speaker") == "S1", "unknown").otherwise(F.col("speaker"))
+    return turns(spark, d).select("video_id", "pos", T.display_prefix(F.col("speaker"), name).alias("prefix"))
+
+
+@query("fn03_ass_time", "SELECT event_id, printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS ass FROM (SELECT event_id, (event_id * 7919) // 10 AS cs FROM events)")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", T.ass_time(F.col("event_id") * 7919).alias("ass"))
+
+
+@query("fn04_hex_rgb", "SELECT * FROM (VALUES ('#FF8000', '255,128,0'), ('00ff7f', '0,255,127'), ('bad', '255,255,255')) AS t(hex, rgb)")
+def _(spark, d):
+    return spark.createDataFrame([("#FF8000",), ("00ff7f",), ("bad",)], "hex string").select("hex", T.hex_rgb(F.col("hex")).alias("rgb"))
+
+
+@query("fn16_agg18_mean_embedding", "SELECT label, i, round(avg(v), 4) AS mean FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
+    return e.groupBy("label", (F.col("i") + 1).cast("bigint").alias("i")).agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("mean"))
+
+
+@query("agg11_representative", "SELECT label, arg_max(vec_id, (round(embedding[1]::DOUBLE * 1000000)::BIGINT, -vec_id)) AS best FROM embeddings GROUP BY label")
+def _(spark, d):
+    return read(spark, d, "embeddings").groupBy("label").agg(F.max_by("vec_id", F.struct(F.round(F.col("embedding")[0].cast("double") * 1000000).cast("bigint"), -F.col("vec_id"))).alias("best"))
+
+
+@query("agg07_bipartite_sets", f"WITH {RECONCILED} SELECT video_id, speaker_audio, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS faces FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL")
+def _(spark, d):
+    return L.reconcile(turns(spark, d), _faces(spark, d)).filter("reconcile_source <> 'audio'").groupBy("video_id", "speaker_audio").agg(F.array_join(F.sort_array(F.collect_set("speaker")), ",").alias("faces"))
+
+
+@query("join15_condition_grid", f"WITH {TURNS} SELECT video_id, pos, condition FROM turns, (VALUES ('none'), ('speaker'), ('emotion'), ('both')) AS c(condition)")
+def _(spark, d):
+    # four fixed conditions for each caption
+    return turns(spark, d).select("video_id", "pos", F.explode(F.array(*[F.lit(c) for c in ("none", "speaker", "emotion", "both")])).alias("condition"))
+
+
+@query("sort09_even_sample", "SELECT conv_id, list_aggregate(list_transform(range(0, 8), lambda i: (i * (n - 1) / 7)::DOUBLE::VARCHAR), 'string_agg', ',') IS NOT NULL AS ok, n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)")
+def _(spark, d):
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.expr("size(transform(sequence(0, 7), i -> int(i * (n - 1) / 7))) = 8").alias("ok"), "n")
+
+
+@query("set03_tag_union", f"WITH {TURNS} SELECT video_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT video_id, speaker AS tag FROM turns UNION ALL SELECT video_id, 'gap' FROM turns) GROUP BY 1")
+def _(spark, d):
+    return turns(spark, d).groupBy("video_id").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("speaker"), F.array(F.lit("gap")))), ",").alias("tags"))

@@ -379,7 +379,7 @@ def _(spark, d):
     return t.select("video_id", "run_index", F.expr("array_join(transform(filter(near, x -> x.run_index >= s and x.run_index < s + c), x -> x.speaker), ',')").alias("context"))
 
 
-@query("fn_text_functions", r"SELECT doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 300), '[ \n]+', ' ', 'g')), '^$', '') AS collapsed, nullif(substr(regexp_replace(regexp_replace(source || '-' || lang || '_', '[^A-Za-z0-9_-]', '', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 64), '') AS clean_id, lower(lang) || '--' || source AS repo, rtrim(text) ~ '.*[.!?…][""'')\]]*$' AS ends FROM (SELECT doc_id, source, lang, replace(text, chr(10), ' ') AS text FROM documents)".replace('""', '"'))
+@query("fn_text_functions", r"""SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '[ \n]+', ' ', 'g')) AS collapsed, nullif(substr(regexp_replace(regexp_replace(source || '-' || lang || '_', '[^A-Za-z0-9_-]', '', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 64), '') AS clean_id, lower(lang) || '--' || source AS repo, regexp_matches(rtrim(text), '[.!?…][")\]'']*$') AS ends FROM (SELECT doc_id, source, lang, replace(text, chr(10), ' ') AS text FROM documents)""")
 def _(spark, d):
     t = read(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
     return t.select("doc_id", T.collapsed(F.substring("text", 1, 300)).alias("collapsed"), T.sanitised_id(F.concat_ws("", "source", F.lit("-"), "lang", F.lit("_"))).alias("clean_id"), F.replace(F.concat_ws("/", F.lower("lang"), "source"), F.lit("/"), F.lit("--")).alias("repo"), T.ends_sentence(F.col("text")).alias("ends"))
@@ -413,10 +413,10 @@ def _(spark, d):
     return spark.createDataFrame([("#FF8000",), ("00ff7f",), ("bad",)], "hex string").select("hex", T.hex_rgb(F.col("hex")).alias("rgb"))
 
 
-@query("fn16_agg18_mean_embedding", "SELECT label, i, round(avg(v), 4) AS mean FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
+@query("fn16_agg18_mean_embedding", "SELECT label, i, round(avg(v) * 10000)::BIGINT AS mean FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
 def _(spark, d):
     e = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    return e.groupBy("label", (F.col("i") + 1).cast("bigint").alias("i")).agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("mean"))
+    return e.groupBy("label", (F.col("i") + 1).cast("bigint").alias("i")).agg(F.round(F.avg(F.col("v").cast("double")) * 10000).cast("bigint").alias("mean"))
 
 
 @query("agg11_representative", "SELECT label, arg_max(vec_id, (round(embedding[1]::DOUBLE * 1000000)::BIGINT, -vec_id)) AS best FROM embeddings GROUP BY label")
@@ -443,3 +443,39 @@ def _(spark, d):
 @query("set03_tag_union", f"WITH {TURNS} SELECT video_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT video_id, speaker AS tag FROM turns UNION ALL SELECT video_id, 'gap' FROM turns) GROUP BY 1")
 def _(spark, d):
     return turns(spark, d).groupBy("video_id").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("speaker"), F.array(F.lit("gap")))), ",").alias("tags"))
+
+
+# --- grouped pandas, without SQL ------------------------------------------------------------------------------------
+
+
+@query("win19_caption_cues")
+def _(spark, d):
+    from turnloom.operators.sequential import split_cues
+
+    return split_cues(words(spark, d).withColumnRenamed("asr_segment_id", "parent_index"))
+
+
+@query("agg19_face_clusters")
+def _(spark, d):
+    from turnloom.operators.sequential import cluster_tracks
+
+    # a video has a few hundred tracks; the table's vectors are dealt to as many videos as that takes
+    e = read(spark, d, "embeddings").select(F.expr("vec_id div 200").alias("video_id"), F.col("vec_id").alias("track"), "embedding")
+    return cluster_tracks(e)
+
+
+@query("join20_centre_tracks")
+def _(spark, d):
+    from turnloom.operators.sequential import centre_tracks
+
+    boxes = turns(spark, d).select("video_id", F.col("pos").alias("frame"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(3)])).alias("box"))
+    return centre_tracks(boxes.withColumns({"x": F.expr("box * 100 + frame * 7"), "y": F.expr("video_id % 50"), "w": F.lit(40), "h": F.lit(40)}))
+
+
+@query("win18_move_openers")
+def _(spark, d):
+    from turnloom.operators.sequential import move_openers
+
+    w = I.word_islands(I.assign(words(spark, d), turns(spark, d)))
+    w = w.withColumn("speaker", F.when(F.col("speaker") == "S1", "FACE_1").otherwise(F.col("speaker")))
+    return move_openers(w.select("video_id", F.col("island").alias("index"), "speaker", F.expr("asr_segment_id * 100000 + word_index").alias("word_index"), "start_ms", "end_ms", "word", (F.col("speaker") == "FACE_1").alias("visual")))

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import table, written
 from ._text import LOWER, NOT_ALNUM, prefix_sums, slices, span_hash, word_bounds
 
 #: Labelled texts of each class that the class models are fitted on, at most.
 MAX_LABELLED = 10_000
 STEM_BYTES = 5
-WORD_BITS, PAIR_BITS = 18, 20
+WORD_BITS, PAIR_BITS = 17, 18
 #: Nats of one word's ratio that sparse counts produce by chance; only what goes beyond is evidence, up to MOST.
 NOISE, MOST = 0.75, 8.0
 #: Windows in which the strongest passage is sought.
@@ -123,7 +123,7 @@ def _linear_count(cells: np.ndarray) -> np.ndarray:
 
 DISCOUNT = 0.75
 REPEATS = 4
-#: How many times the chance level, in nats, a split has to gain.
+#: How many times the chance level, in nats, a split has to gain at most.
 GAIN = 2.0
 #: Share of a word's probability that comes from the word before it.
 PAIR_WEIGHT = 0.25
@@ -139,7 +139,9 @@ def told_apart(ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.
     share = toxic.sum() / max(both.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(ordinary > 0, ordinary * np.log(ordinary / (both * (1 - share))), 0)
-    sure = gain > (np.log(max((both > 0).sum(), 1)) + 1) * GAIN
+    # copies of a text aren't independent, and the more texts there are the more copies: up to GAIN times the chance level
+    times = min(max(np.log10(max(toxic.max(initial=0) / REPEATS, 1)), 1.0), GAIN)
+    sure = gain > (np.log(max((both > 0).sum(), 1)) + 1) * times
     return tuple(np.where(sure, np.maximum(n - DISCOUNT, 0), 0) for n in (ordinary, toxic))
 
 
@@ -238,12 +240,10 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         label_of[i] = label | (seen[label] % 2) << 1
         seen[label] += 1
     counts: dict = {}
-    gathered = _gather(docs, label_of, id_col, text_col).toArrow()
-    what, label, fold, at, n, cells = (c.to_numpy() for c in gathered.columns)
-    kind = (what * 2 + label) * 2 + fold
-    for k in np.unique(kind):
-        own = kind == k
-        counts[(int(k) // 4, int(k) // 2 % 2, int(k) % 2)] = (at[own], n[own], cells[own].view(np.uint64))
+    gathered = written(_gather(docs, label_of, id_col, text_col), "expressions")
+    for what, label, fold in [(ALL_WORDS, 0, 0), (ALL_STEMS, 0, 0), *((w, c, f) for w in (WORDS, STEMS, PAIRS) for c in (0, 1) for f in (0, 1))]:  # one table at a time, to spare the driver
+        own = gathered.filter((F.col("what") == what) & (F.col("class") == label) & (F.col("fold") == fold)).select("at", "n", "cells").toArrow()
+        counts[(what, label, fold)] = (own.column(0).to_numpy(), own.column(1).to_numpy(), own.column(2).to_numpy().view(np.uint64))
     # each labelled text gets its evidence from the model of the other fold
     halves = spark.sparkContext.broadcast((Model(counts, (0,)), Model(counts, (1,))))
     own = spark.createDataFrame([(i, x) for i, x in label_of.items()], f"`{id_col}` {dict(docs.dtypes)[id_col]}, __label int")

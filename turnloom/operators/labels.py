@@ -183,3 +183,14 @@ def conflicts(approved: DataFrame) -> DataFrame:
     q = approved.select("video_id", F.col("run_index").alias("anchor"), F.col("to_speaker").alias("q_to"))
     hit = a.join(q, ["video_id", "anchor"]).filter("to_speaker <> q_to")
     return hit.select("video_id", "run_index").union(hit.select("video_id", "anchor")).distinct()
+
+
+def word_support(words: DataFrame) -> DataFrame:
+    """AGG-13 to AGG-15 by segment: share of time with a visual label, whether that is half, a stable word, only weak words."""
+    dur = F.col("end_ms") - F.col("start_ms")
+    seen = F.sum(F.when(F.col("visual"), dur).otherwise(0))
+    sure = 100 * F.col("overlap_ms") >= 75 * dur
+    return words.groupBy("video_id", "index").agg(
+        F.round(seen / F.sum(dur), 6).alias("visual_share"), (2 * seen >= F.sum(dur)).alias("direct_visual"),
+        F.bool_or(~F.col("boundary_ambiguous") & sure).alias("stable"), (F.bool_and(F.col("boundary_ambiguous") & ~sure) & (F.count("*") <= 2)).alias("weak"),
+    )

@@ -479,3 +479,79 @@ def _(spark, d):
     w = I.word_islands(I.assign(words(spark, d), turns(spark, d)))
     w = w.withColumn("speaker", F.when(F.col("speaker") == "S1", "FACE_1").otherwise(F.col("speaker")))
     return move_openers(w.select("video_id", F.col("island").alias("index"), "speaker", F.expr("asr_segment_id * 100000 + word_index").alias("word_index"), "start_ms", "end_ms", "word", (F.col("speaker") == "FACE_1").alias("visual")))
+
+
+# --- further projections, joins and aggregates ----------------------------------------------------------------------
+
+
+@query("op10_face_intervals", f"WITH {INTERVALS}, f AS (SELECT video_id, event_id % 3 AS face_id, event_id, (start_ms // 40) * 40 AS start_ms, (start_ms // 40) * 40 + 40 AS end_ms FROM intervals), a AS (SELECT *, max(end_ms) OVER (PARTITION BY video_id, face_id ORDER BY start_ms, end_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f), b AS (SELECT *, (sum(CASE WHEN start_ms > reach + 7200000 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, face_id ORDER BY start_ms, end_ms, event_id) - 1)::BIGINT AS island FROM a) SELECT video_id, face_id, island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM b GROUP BY ALL")
+def _(spark, d):
+    # FN-19: a frame of 25 a second is an interval of 40 ms
+    f = intervals(spark, d).select("video_id", F.expr("event_id % 3").alias("face_id"), "event_id", F.expr("(start_ms div 40) * 40").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 40)
+    return I.pack(f, ["video_id", "face_id"], gap_ms=7_200_000)
+
+
+@query("prj01_normalised_text", f"WITH {TURNS} SELECT video_id, count(*) AS num_segments, sum(len(list_filter(string_split(trim(text), ' '), lambda x: x <> '')))::BIGINT AS num_words FROM turns GROUP BY video_id")
+def _(spark, d):
+    n = F.size(F.filter(F.split(F.trim("text"), " "), lambda w: w != ""))
+    return turns(spark, d).groupBy("video_id").agg(F.count("*").alias("num_segments"), F.sum(n).alias("num_words"))
+
+
+@query("prj11_padded_clips", f"WITH {TURNS} SELECT video_id, pos, greatest(start_ms + 100, end_ms + 200) AS clip_end, least(greatest((start_ms * 16)::BIGINT, 0), 10000000) AS first_sample FROM turns")
+def _(spark, d):
+    return turns(spark, d).select("video_id", "pos", F.greatest(F.col("start_ms") + 100, F.col("end_ms") + 200).alias("clip_end"), F.least(F.greatest(F.col("start_ms") * 16, F.lit(0)), F.lit(10000000)).cast("bigint").alias("first_sample"))
+
+
+@query("prj09_stub_emotion", f"WITH {TURNS} SELECT video_id, pos, '|EMO_UNKNOWN|' AS emotion, 'stub' AS emotion_backend FROM turns")
+def _(spark, d):
+    return turns(spark, d).select("video_id", "pos", F.lit("|EMO_UNKNOWN|").alias("emotion"), F.lit("stub").alias("emotion_backend"))
+
+
+@query("prj13_caption_text", f"WITH {TURNS} SELECT video_id, pos, CASE WHEN speaker = 'S0' THEN '[Ada] ' ELSE '' END || CASE pos % 3 WHEN 0 THEN '😊 ' WHEN 1 THEN '' ELSE '[|LOST|] ' END || coalesce(nullif(CASE WHEN pos % 2 = 0 THEN '' ELSE upper(speaker) END, ''), text) AS caption FROM turns")
+def _(spark, d):
+    name = F.when(F.col("speaker") == "S0", "Ada")
+    tag = F.expr("case pos % 3 when 0 then '|HAPPY|' when 1 then '|EMO_UNKNOWN|' else '|LOST|' end")
+    translated = F.when(F.expr("pos % 2 = 0"), "").otherwise(F.upper("speaker"))
+    return turns(spark, d).select("video_id", "pos", T.caption_text(T.display_prefix(F.col("speaker"), name), tag, translated, F.col("text")).alias("caption"))
+
+
+@query("prj15_untranslated_rows", f"WITH {TURNS} SELECT video_id, pos FROM turns WHERE trim(text) <> '' AND pos % 2 = 0")
+def _(spark, d):
+    t = turns(spark, d).withColumn("text_ko", F.when(F.expr("pos % 2 = 1"), "x"))
+    return t.filter((F.trim("text") != "") & F.col("text_ko").isNull()).select("video_id", "pos")
+
+
+@query("join12_translations_back", f"WITH {TURNS} SELECT video_id, pos, CASE WHEN pos % 2 = 0 THEN 'ko: ' || text END AS text_ko FROM turns")
+def _(spark, d):
+    t = turns(spark, d)
+    done = t.filter("pos % 2 = 0").select("video_id", "pos", F.concat(F.lit("ko: "), F.col("text")).alias("text_ko"))
+    return t.select("video_id", "pos").join(done, ["video_id", "pos"], "left")
+
+
+@query("join11_hints_without_resolved", f"WITH {RECONCILED} SELECT DISTINCT video_id, speaker_audio FROM reconciled r WHERE reconcile_source = 'visual' AND NOT EXISTS (SELECT 1 FROM reconciled g WHERE g.video_id = r.video_id AND g.speaker_audio = r.speaker_audio AND g.reconcile_source = 'visual_global')")
+def _(spark, d):
+    r = L.reconcile(turns(spark, d), _faces(spark, d))
+    keys = ["video_id", "speaker_audio"]
+    return r.filter("reconcile_source = 'visual'").select(keys).distinct().join(r.filter("reconcile_source = 'visual_global'").select(keys), keys, "left_anti")
+
+
+@query("join16_track_faces", "SELECT label AS face_id, count(*) AS tracks, sum(vec_id % 25)::BIGINT AS frames FROM embeddings GROUP BY label")
+def _(spark, d):
+    # AGG-17: speaking frames by face, tracks joined to their faces
+    e = read(spark, d, "embeddings")
+    tracks, faces = e.select("vec_id", F.expr("vec_id % 25").alias("n")), e.select("vec_id", F.col("label").alias("face_id"))
+    return tracks.join(faces, "vec_id").groupBy("face_id").agg(F.count("*").alias("tracks"), F.sum("n").alias("frames"))
+
+
+_WORD_SUPPORT = f"WITH {SEGMENTS}, w AS (SELECT video_id, index, speaker, asr_segment_id % 2 = 0 AS visual, end_ms - start_ms AS dur, boundary_ambiguous, 100 * overlap_ms >= 75 * (end_ms - start_ms) AS sure FROM i)"
+
+
+@query("agg13_visual_share", f"{_WORD_SUPPORT} SELECT video_id, index, round(sum(CASE WHEN visual THEN dur ELSE 0 END) / sum(dur), 6) AS visual_share, 2 * sum(CASE WHEN visual THEN dur ELSE 0 END) >= sum(dur) AS direct_visual, bool_or(NOT boundary_ambiguous AND sure) AS stable, bool_and(boundary_ambiguous AND NOT sure) AND count(*) <= 2 AS weak FROM w GROUP BY ALL")
+def _(spark, d):
+    w = I.word_islands(I.assign(words(spark, d), turns(spark, d)))
+    return L.word_support(w.withColumn("visual", F.expr("asr_segment_id % 2 = 0")).withColumnRenamed("island", "index"))
+
+
+@query("src13_video_by_name", "SELECT page_id, 'videos/' || coalesce(nullif(regexp_extract(url, '[^\\\\/]+$', 0), ''), 'none') AS path FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", F.concat(F.lit("videos/"), F.coalesce(F.nullif(T.basename(F.col("url")), F.lit("")), F.lit("none"))).alias("path"))

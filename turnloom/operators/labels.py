@@ -194,3 +194,10 @@ def word_support(words: DataFrame) -> DataFrame:
         F.round(seen / F.sum(dur), 6).alias("visual_share"), (2 * seen >= F.sum(dur)).alias("direct_visual"),
         F.bool_or(~F.col("boundary_ambiguous") & sure).alias("stable"), (F.bool_and(F.col("boundary_ambiguous") & ~sure) & (F.count("*") <= 2)).alias("weak"),
     )
+
+
+def correct_runs(runs: DataFrame, approved: DataFrame) -> DataFrame:
+    """OP-04's end: runs take the target of their approved proposal, unless it is in conflict with another."""
+    clear = approved.join(conflicts(approved), ["video_id", "run_index"], "left_anti").select("video_id", "run_index", "to_speaker")
+    out = runs.join(clear, ["video_id", "run_index"], "left")
+    return out.withColumn("speaker_original", F.when(F.col("to_speaker").isNotNull(), F.col("speaker"))).withColumn("speaker", F.coalesce("to_speaker", "speaker")).drop("to_speaker")

@@ -555,3 +555,63 @@ def _(spark, d):
 @query("src13_video_by_name", "SELECT page_id, 'videos/' || coalesce(nullif(regexp_extract(url, '[^\\\\/]+$', 0), ''), 'none') AS path FROM pages")
 def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.concat(F.lit("videos/"), F.coalesce(F.nullif(T.basename(F.col("url")), F.lit("")), F.lit("none"))).alias("path"))
+
+
+@query("op04_correction", f"WITH {PROPOSALS}, an AS (SELECT video_id, run_index, to_speaker, unnest(CASE resolution WHEN 'both_agree' THEN [run_index - 1, run_index + 1] WHEN 'left' THEN [run_index - 1] ELSE [run_index + 1] END) AS anchor FROM proposals), hit AS (SELECT an.video_id, an.run_index, an.anchor FROM an JOIN proposals q ON q.video_id = an.video_id AND q.run_index = an.anchor AND q.to_speaker <> an.to_speaker), bad AS (SELECT video_id, run_index FROM hit UNION SELECT video_id, anchor FROM hit), clear AS (SELECT * FROM proposals p WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.video_id = p.video_id AND bad.run_index = p.run_index)) SELECT r.video_id, r.run_index, coalesce(c.to_speaker, r.speaker) AS speaker, CASE WHEN c.to_speaker IS NOT NULL THEN r.speaker END AS speaker_original FROM runs r LEFT JOIN clear c USING (video_id, run_index)")
+def _(spark, d):
+    return L.correct_runs(_runs(spark, d), _proposals(spark, d)).select("video_id", "run_index", "speaker", "speaker_original")
+
+
+@query("op06_apply_names", f"WITH {TURNS}, {NAMES_SQL} SELECT t.video_id, t.pos, t.speaker AS speaker_id, coalesce(n.display_name, t.speaker) AS speaker_display FROM turns t LEFT JOIN names n ON n.speaker_id = t.speaker AND trim(n.display_name) <> ''")
+def _(spark, d):
+    return L.apply_names(turns(spark, d), _names(spark)).select("video_id", "pos", "speaker_id", "speaker_display")
+
+
+@query("op07_emotion", "SELECT conv_id, turn, '|' || upper(role) || '|' AS emotion, trim(text) AS emotion_transcript, 'sensevoice' AS emotion_backend FROM conversations")
+def _(spark, d):
+    emotion, transcript = T.parsed_tags(F.concat(F.lit("<|en|><|"), F.upper("role"), F.lit("|>> "), F.col("text")))
+    return read(spark, d, "conversations").select("conv_id", "turn", emotion.alias("emotion"), transcript.alias("emotion_transcript"), F.lit("sensevoice").alias("emotion_backend"))
+
+
+@query("op09_render_dialogue", f"WITH {TURNS} SELECT video_id, pos, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 10 % 100) || ',' || printf('%d:%02d:%02d.%02d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms // 10 % 100) || ',Default,,0,0,0,,' || replace(text, chr(10), '\\N') AS line FROM turns")
+def _(spark, d):
+    from turnloom.sources.sinks import ass_dialogue
+
+    return turns(spark, d).withColumn("caption", F.col("text")).select("video_id", "pos", ass_dialogue().alias("line"))
+
+
+@query("agg22_stage_counters", f"WITH {PROPOSALS} SELECT (SELECT count(*) FROM runs) AS num_runs, (SELECT count(*) FROM candidates) AS num_candidates, (SELECT count(*) FROM proposals) AS num_proposals")
+def _(spark, d):
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    all_ = one(_runs(spark, d), "num_runs").union(one(L.run_candidates(_runs(spark, d), max_ms=60_000), "num_candidates")).union(one(_proposals(spark, d), "num_proposals"))
+    return all_.agg(*[F.max(F.when(F.col("name") == k, F.col("n"))).alias(k) for k in ("num_runs", "num_candidates", "num_proposals")])
+
+
+@query("join17_positional_zip", f"WITH {TURNS} SELECT video_id, pos, speaker, 'cue_' || lpad(pos::VARCHAR, 4, '0') AS file FROM turns")
+def _(spark, d):
+    t = turns(spark, d)
+    files = t.select("video_id", "pos", F.concat(F.lit("cue_"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias("file"))
+    return t.select("video_id", "pos", "speaker").join(files, ["video_id", "pos"])
+
+
+@query("prj04_speaker_bounds", "SELECT * FROM (VALUES (1, 3, 3), (2, 1, 20), (3, 2, 9)) AS t(id, lo, hi)")
+def _(spark, d):
+    t = spark.createDataFrame([(1, 3, None, None), (2, None, None, None), (3, None, 2, 9)], "id int, num int, least int, most int")
+    return t.select("id", F.coalesce("num", "least", F.lit(1)).alias("lo"), F.coalesce("num", "most", F.lit(20)).alias("hi"))
+
+
+@query("prj05_turn_list_pick", "SELECT * FROM (VALUES (1, 'a'), (2, 'b,c'), (3, '')) AS t(id, picked)")
+def _(spark, d):
+    t = spark.createDataFrame([(1, ["a"], ["x"]), (2, [], ["b", "c"]), (3, None, None)], "id int, alignment array<string>, turns array<string>")
+    return t.select("id", F.array_join(F.when(F.size("alignment") > 0, F.col("alignment")).otherwise(F.coalesce("turns", F.array())), ",").alias("picked"))
+
+
+@query("prj03_turn_rows", f"WITH {INTERVALS} SELECT video_id, event_id, label AS speaker, (row_number() OVER (PARTITION BY video_id ORDER BY start_ms, event_id) - 1)::BIGINT AS index, end_ms - start_ms AS duration_ms FROM intervals")
+def _(spark, d):
+    order = Window.partitionBy("video_id").orderBy("start_ms", "event_id")
+    return intervals(spark, d).select("video_id", "event_id", F.col("label").alias("speaker"), (F.row_number().over(order) - 1).cast("bigint").alias("index"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+
+
+@query("src09_path_context", "SELECT page_id, nullif(regexp_extract(url, '/([a-z]{2})/', 1), '') AS split, regexp_extract(url, '/([^/?#]+)([?#].*)?$', 1) AS stem FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract("url", "/([a-z]{2})/", 1), F.lit("")).alias("split"), F.regexp_extract("url", r"/([^/?#]+)([?#].*)?$", 1).alias("stem"))

@@ -7,7 +7,7 @@ return the columns of documents. Between two stages the documents are written an
 from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, decontamination, simhash, suffix_dedup, toxicity
-from turnloom.llm._store import table, written
+from turnloom.llm._store import sized, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -15,16 +15,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark, docs, sf_dir):
     """Documents predicted toxic go; labels of the held-out fold aren't learnt from. A doc_id goes as a whole."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
-    toxic = toxicity.score(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(COLUMNS)
+    toxic = written(toxicity.score(docs, labels).filter("predicted = 1").select("doc_id").distinct(), "toxic-ids")
+    return docs.join(sized(toxic), "doc_id", "left_anti").select(COLUMNS)
 
 
 def one_of_near_copies(spark, docs, sf_dir):
     """The smallest doc_id of each group of near copies stays; rows that repeat it whole go."""
     found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "__first")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+    first = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("rows")), "first-ids")
+    kept = docs.join(sized(first.select("__first")), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").select(COLUMNS)
+    return kept if first.filter("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def cut_repeated_passages(spark, docs, sf_dir):
@@ -35,8 +35,8 @@ def cut_repeated_passages(spark, docs, sf_dir):
 
 def drop_leaks(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    leaks = written(decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leak-ids")
+    return docs.join(sized(leaks), "doc_id", "left_anti").select(COLUMNS)
 
 
 def encode(spark, docs, sf_dir):

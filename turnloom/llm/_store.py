@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,5 +33,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of ids that are broadcast at most (32 MB of longs).
+MOST_IDS = 4_000_000
+
+
+def sized(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """ids, to be broadcast in a join if they are counted to be few enough; else the join shuffles."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table, written
+from ._store import MOST_IDS, discard, sized, table, written
 from ._text import buffers, mixed, prefix_sums, slices, span_hash
 
 WINDOW, GRAM = 100, 24
 BLOCK = 16
 #: Bytes of one text that are worked on at a time.
 TILE = 2 << 20
-#: Ids of this many documents at most are sent to all executors as a filter; beyond, texts are filtered by the join alone.
-MOST_IDS = 4_000_000
 LOW = -(1 << 63)
 _OTHER = ((np.arange(256) * 167 + 13) % 256).astype(np.uint8)
 
@@ -103,13 +101,13 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, full long, doc long, start long, n int, lead int")
 
 
-def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows: key, full, doc, start, n, lead. Spans of the rows that repeat an earlier one whole, and the standing rows whose key others share with another full."""
+def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: key, full, doc, start, n, lead. Spans of the rows that repeat an earlier one whole, and the standing rows whose key others share with another full; and the table that both read."""
     keys = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("full").alias("f0"), F.max("full").alias("f1")).filter("rows > 1").select("key", (F.col("f0") != F.col("f1")).alias("differ"))
     kept = written(rows.join(keys, "key"), name)
     stands = kept.groupBy("key", "full").agg(F.min(F.struct("doc", "start")).alias("first"), F.first(F.struct("n", "lead", "differ")).alias("row"), F.count("*").alias("rows"))
     later = kept.join(stands.filter("rows > 1").select("key", "full", "first"), ["key", "full"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    return later.select("doc", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end")), stands.filter("row.differ").select("first.doc", "first.start", "row.n", "row.lead")
+    return later.select("doc", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end")), stands.filter("row.differ").select("first.doc", "first.start", "row.n", "row.lead"), kept
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -177,16 +175,19 @@ def _single(data, doc, start, n, lead):
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and spans, an array of (start, end) in bytes, of the documents that repeat earlier passages. Spans may overlap."""
+    """doc and spans, an array of (start, end) in bytes, of the documents that repeat earlier passages. Spans may overlap. A table of its own."""
     docs = _with_id(docs, id_col, text_col)
-    of_rows, open_rows = _settle(_anchors(docs), "repeated-rows")
+    of_rows, open_rows, rows = _settle(_anchors(docs), "repeated-rows")
     blocks = written(_with_text(docs, open_rows, _blocks, "key long, full long, doc long, start long, n int, lead int"), "blocks")
-    of_blocks, open_blocks = _settle(blocks, "repeated-blocks")
+    of_blocks, open_blocks, same_blocks = _settle(blocks, "repeated-blocks")
     windows = written(_with_text(docs, open_blocks, _single, "w1 long, w2 long, doc long, start long"), "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     again = windows.join(earliest, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     spans = of_rows.unionByName(of_blocks).unionByName(again.select("doc", "start", (F.col("start") + WINDOW).alias("end")))
-    return spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    out = written(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    for done in (rows, blocks, same_blocks, windows):
+        discard(done)
+    return out
 
 
 def merged(starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut from text_col. A character that a cut divides goes too."""
-    spans = written(repeated_spans(docs, id_col=id_col, text_col=text_col), "spans")
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col)
     left = cut(docs, spans, id_col=id_col, text_col=text_col)
 
     def run(batches):
@@ -230,7 +231,7 @@ def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=["doc", "left_text"])
 
     texts = left.select("doc", "kept").mapInArrow(run, "doc long, left_text string").dropDuplicates(["doc"])
-    untouched = docs.join(spans.select(F.nullif("doc", F.lit(LOW)).alias("__doc")), F.col(id_col).eqNullSafe(F.col("__doc")), "left_anti")
+    untouched = docs.join(sized(spans.select(F.nullif("doc", F.lit(LOW)).alias("__doc"))), F.col(id_col).eqNullSafe(F.col("__doc")), "left_anti")
     others = [c for c in docs.columns if c != text_col]
     touched = docs.select(*others).join(texts.withColumn("__doc", F.nullif("doc", F.lit(LOW))), F.col(id_col).eqNullSafe(F.col("__doc"))).select(*others, F.col("left_text").alias(text_col))
     return untouched.select(*docs.columns).unionByName(touched.select(*docs.columns))
@@ -238,7 +239,7 @@ def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    spans = written(repeated_spans(docs), "spans")
+    spans = repeated_spans(docs)
     left = cut(docs, spans).select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["doc"])
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha"))

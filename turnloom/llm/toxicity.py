@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table, written
+from ._store import discard, table, written
 from ._text import LOWER, NOT_ALNUM, prefix_sums, slices, span_hash, word_bounds
 
 #: Labelled texts of each class that the class models are fitted on, at most.
@@ -244,6 +244,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for what, label, fold in [(ALL_WORDS, 0, 0), (ALL_STEMS, 0, 0), *((w, c, f) for w in (WORDS, STEMS, PAIRS) for c in (0, 1) for f in (0, 1))]:  # one table at a time, to spare the driver
         own = gathered.filter((F.col("what") == what) & (F.col("class") == label) & (F.col("fold") == fold)).select("at", "n", "cells").toArrow()
         counts[(what, label, fold)] = (own.column(0).to_numpy(), own.column(1).to_numpy(), own.column(2).to_numpy().view(np.uint64))
+    discard(gathered)
     # each labelled text gets its evidence from the model of the other fold
     halves = spark.sparkContext.broadcast((Model(counts, (0,)), Model(counts, (1,))))
     own = spark.createDataFrame([(i, x) for i, x in label_of.items()], f"`{id_col}` {dict(docs.dtypes)[id_col]}, __label int")

@@ -4,6 +4,9 @@ All work on slices of a few MB, so a worker's memory doesn't depend on the batch
 text longer than a slice makes a slice of its own.
 """
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,18 +24,20 @@ NOT_ALNUM = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict = {}
-
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    if len(_POWERS.get("up", ())) <= n:
+    """BASE**i and BASE**-i modulo 2**64 for i up to n.
+
+    Kept in a module of their own: a global of this module would be pickled along with every function.
+    """
+    kept = sys.modules.setdefault("_turnloom_powers", types.ModuleType("_turnloom_powers")).__dict__
+    if len(kept.get("up", ())) <= n:
         size = max(n + 1, SLICE_BYTES + 65536)
         for key, base in (("up", BASE), ("down", BASE_INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1
-            _POWERS[key] = np.multiply.accumulate(x)
-    return _POWERS["up"], _POWERS["down"]
+            kept[key] = np.multiply.accumulate(x)
+    return kept["up"], kept["down"]
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:

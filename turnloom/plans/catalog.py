@@ -52,7 +52,7 @@ def _names(spark):
     return spark.createDataFrame(NAMES, "speaker_id string, display_name string")
 
 
-@query("op05_speaker_summary", f"WITH {SUMMARY}, {NAMES_SQL} SELECT s.*, s.rank <= 8 AS selected_for_labeling, s.speaker AS speaker_id, coalesce(n.display_name, s.speaker) AS speaker_display FROM summary s LEFT JOIN names n ON n.speaker_id = s.speaker AND trim(n.display_name) <> ''")
+@query("stage05_speaker_summary", f"WITH {SUMMARY}, {NAMES_SQL} SELECT s.*, s.rank <= 8 AS selected_for_labeling, s.speaker AS speaker_id, coalesce(n.display_name, s.speaker) AS speaker_display FROM summary s LEFT JOIN names n ON n.speaker_id = s.speaker AND trim(n.display_name) <> ''")
 def _(spark, d):
     return L.apply_names(L.speaker_summary(turns(spark, d)), _names(spark))
 
@@ -93,7 +93,7 @@ def _labels(spark, d):
 _LABELS = TURNS + ", labelled AS (SELECT CASE WHEN pos % 3 = 0 THEN 'FACE_' || (video_id % 12) WHEN pos % 3 = 1 THEN 'AUDIO_' || pos ELSE speaker END AS label FROM turns)"
 
 
-@query("op11_naming_rows", f"WITH {_LABELS}, w AS (SELECT DISTINCT label AS speaker FROM labelled WHERE label LIKE 'FACE\\_%' ESCAPE '\\' OR label LIKE 'AUDIO\\_%' ESCAPE '\\'), tab AS (SELECT * FROM (VALUES ('FACE_1', 10), ('AUDIO_4', 20), ('S1', 30)) AS t(speaker, total_ms)) SELECT speaker, total_ms::BIGINT AS total_ms, CASE WHEN speaker LIKE 'FACE%' THEN 0 ELSE 1 END AS sort_kind, coalesce(try_cast(nullif(regexp_replace(speaker, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS sort_no FROM w LEFT JOIN tab USING (speaker)")
+@query("stage11_naming_rows", f"WITH {_LABELS}, w AS (SELECT DISTINCT label AS speaker FROM labelled WHERE label LIKE 'FACE\\_%' ESCAPE '\\' OR label LIKE 'AUDIO\\_%' ESCAPE '\\'), tab AS (SELECT * FROM (VALUES ('FACE_1', 10), ('AUDIO_4', 20), ('S1', 30)) AS t(speaker, total_ms)) SELECT speaker, total_ms::BIGINT AS total_ms, CASE WHEN speaker LIKE 'FACE%' THEN 0 ELSE 1 END AS sort_kind, coalesce(try_cast(nullif(regexp_replace(speaker, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS sort_no FROM w LEFT JOIN tab USING (speaker)")
 def _(spark, d):
     return L.naming_rows(spark.createDataFrame([("FACE_1", 10), ("AUDIO_4", 20), ("S1", 30)], "speaker string, total_ms long"), _labels(spark, d))
 
@@ -175,7 +175,7 @@ SEGMENTS = ASSIGNED + """, f AS (
 )"""
 
 
-@query("op01_align", f"WITH {SEGMENTS} SELECT * FROM segments")
+@query("stage01_align", f"WITH {SEGMENTS} SELECT * FROM segments")
 def _(spark, d):
     return I.segments(I.assign(words(spark, d), turns(spark, d)))
 
@@ -244,7 +244,7 @@ def _(spark, d):
     return _boundary(spark, d).select("video_id", "lo", "hi", "left_label", "right_label", "target_speaker")
 
 
-@query("op03_boundary_repair", f"WITH {BOUNDARY} SELECT t.video_id, t.pos, coalesce(b.target_speaker, t.speaker) AS speaker, CASE WHEN b.target_speaker <> t.speaker THEN t.speaker END AS speaker_original FROM turns t LEFT JOIN boundary b ON t.video_id = b.video_id AND t.pos BETWEEN b.lo AND b.hi AND b.target_speaker IS NOT NULL AND (b.video_id + b.lo) % 2 = 0")
+@query("stage03_boundary_repair", f"WITH {BOUNDARY} SELECT t.video_id, t.pos, coalesce(b.target_speaker, t.speaker) AS speaker, CASE WHEN b.target_speaker <> t.speaker THEN t.speaker END AS speaker_original FROM turns t LEFT JOIN boundary b ON t.video_id = b.video_id AND t.pos BETWEEN b.lo AND b.hi AND b.target_speaker IS NOT NULL AND (b.video_id + b.lo) % 2 = 0")
 def _(spark, d):
     judged = _boundary(spark, d).withColumn("approved", F.expr("(video_id + lo) % 2 = 0"))
     return L.repair_boundaries(turns(spark, d), judged).select("video_id", "pos", "speaker", "speaker_original")
@@ -327,7 +327,7 @@ RECONCILED = TURNS + ", " + FACES + """, fo AS (
 )"""
 
 
-@query("op02_reconcile", f"WITH {RECONCILED} SELECT * FROM reconciled")
+@query("stage02_reconcile", f"WITH {RECONCILED} SELECT * FROM reconciled")
 def _(spark, d):
     return L.reconcile(turns(spark, d), _faces(spark, d))
 
@@ -484,7 +484,7 @@ def _(spark, d):
 # --- further projections, joins and aggregates ----------------------------------------------------------------------
 
 
-@query("op10_face_intervals", f"WITH {INTERVALS}, f AS (SELECT video_id, event_id % 3 AS face_id, event_id, (start_ms // 40) * 40 AS start_ms, (start_ms // 40) * 40 + 40 AS end_ms FROM intervals), a AS (SELECT *, max(end_ms) OVER (PARTITION BY video_id, face_id ORDER BY start_ms, end_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f), b AS (SELECT *, (sum(CASE WHEN start_ms > reach + 7200000 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, face_id ORDER BY start_ms, end_ms, event_id) - 1)::BIGINT AS island FROM a) SELECT video_id, face_id, island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM b GROUP BY ALL")
+@query("stage10_face_intervals", f"WITH {INTERVALS}, f AS (SELECT video_id, event_id % 3 AS face_id, event_id, (start_ms // 40) * 40 AS start_ms, (start_ms // 40) * 40 + 40 AS end_ms FROM intervals), a AS (SELECT *, max(end_ms) OVER (PARTITION BY video_id, face_id ORDER BY start_ms, end_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f), b AS (SELECT *, (sum(CASE WHEN start_ms > reach + 7200000 OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, face_id ORDER BY start_ms, end_ms, event_id) - 1)::BIGINT AS island FROM a) SELECT video_id, face_id, island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM b GROUP BY ALL")
 def _(spark, d):
     # FN-19: a frame of 25 a second is an interval of 40 ms
     f = intervals(spark, d).select("video_id", F.expr("event_id % 3").alias("face_id"), "event_id", F.expr("(start_ms div 40) * 40").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 40)
@@ -557,23 +557,23 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.concat(F.lit("videos/"), F.coalesce(F.nullif(T.basename(F.col("url")), F.lit("")), F.lit("none"))).alias("path"))
 
 
-@query("op04_correction", f"WITH {PROPOSALS}, an AS (SELECT video_id, run_index, to_speaker, unnest(CASE resolution WHEN 'both_agree' THEN [run_index - 1, run_index + 1] WHEN 'left' THEN [run_index - 1] ELSE [run_index + 1] END) AS anchor FROM proposals), hit AS (SELECT an.video_id, an.run_index, an.anchor FROM an JOIN proposals q ON q.video_id = an.video_id AND q.run_index = an.anchor AND q.to_speaker <> an.to_speaker), bad AS (SELECT video_id, run_index FROM hit UNION SELECT video_id, anchor FROM hit), clear AS (SELECT * FROM proposals p WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.video_id = p.video_id AND bad.run_index = p.run_index)) SELECT r.video_id, r.run_index, coalesce(c.to_speaker, r.speaker) AS speaker, CASE WHEN c.to_speaker IS NOT NULL THEN r.speaker END AS speaker_original FROM runs r LEFT JOIN clear c USING (video_id, run_index)")
+@query("stage04_correction", f"WITH {PROPOSALS}, an AS (SELECT video_id, run_index, to_speaker, unnest(CASE resolution WHEN 'both_agree' THEN [run_index - 1, run_index + 1] WHEN 'left' THEN [run_index - 1] ELSE [run_index + 1] END) AS anchor FROM proposals), hit AS (SELECT an.video_id, an.run_index, an.anchor FROM an JOIN proposals q ON q.video_id = an.video_id AND q.run_index = an.anchor AND q.to_speaker <> an.to_speaker), bad AS (SELECT video_id, run_index FROM hit UNION SELECT video_id, anchor FROM hit), clear AS (SELECT * FROM proposals p WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.video_id = p.video_id AND bad.run_index = p.run_index)) SELECT r.video_id, r.run_index, coalesce(c.to_speaker, r.speaker) AS speaker, CASE WHEN c.to_speaker IS NOT NULL THEN r.speaker END AS speaker_original FROM runs r LEFT JOIN clear c USING (video_id, run_index)")
 def _(spark, d):
     return L.correct_runs(_runs(spark, d), _proposals(spark, d)).select("video_id", "run_index", "speaker", "speaker_original")
 
 
-@query("op06_apply_names", f"WITH {TURNS}, {NAMES_SQL} SELECT t.video_id, t.pos, t.speaker AS speaker_id, coalesce(n.display_name, t.speaker) AS speaker_display FROM turns t LEFT JOIN names n ON n.speaker_id = t.speaker AND trim(n.display_name) <> ''")
+@query("stage06_apply_names", f"WITH {TURNS}, {NAMES_SQL} SELECT t.video_id, t.pos, t.speaker AS speaker_id, coalesce(n.display_name, t.speaker) AS speaker_display FROM turns t LEFT JOIN names n ON n.speaker_id = t.speaker AND trim(n.display_name) <> ''")
 def _(spark, d):
     return L.apply_names(turns(spark, d), _names(spark)).select("video_id", "pos", "speaker_id", "speaker_display")
 
 
-@query("op07_emotion", "SELECT conv_id, turn, '|' || upper(role) || '|' AS emotion, trim(text) AS emotion_transcript, 'sensevoice' AS emotion_backend FROM conversations")
+@query("stage07_emotion", "SELECT conv_id, turn, '|' || upper(role) || '|' AS emotion, trim(text) AS emotion_transcript, 'model' AS emotion_backend FROM conversations")
 def _(spark, d):
     emotion, transcript = T.parsed_tags(F.concat(F.lit("<|en|><|"), F.upper("role"), F.lit("|>> "), F.col("text")))
-    return read(spark, d, "conversations").select("conv_id", "turn", emotion.alias("emotion"), transcript.alias("emotion_transcript"), F.lit("sensevoice").alias("emotion_backend"))
+    return read(spark, d, "conversations").select("conv_id", "turn", emotion.alias("emotion"), transcript.alias("emotion_transcript"), F.lit("model").alias("emotion_backend"))
 
 
-@query("op09_render_dialogue", f"WITH {TURNS} SELECT video_id, pos, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 10 % 100) || ',' || printf('%d:%02d:%02d.%02d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms // 10 % 100) || ',Default,,0,0,0,,' || replace(text, chr(10), '\\N') AS line FROM turns")
+@query("stage09_render_dialogue", f"WITH {TURNS} SELECT video_id, pos, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 10 % 100) || ',' || printf('%d:%02d:%02d.%02d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms // 10 % 100) || ',Default,,0,0,0,,' || replace(text, chr(10), '\\N') AS line FROM turns")
 def _(spark, d):
     from turnloom.sources.sinks import ass_dialogue
 

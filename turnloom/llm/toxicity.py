@@ -7,8 +7,11 @@ expression too rare for either class thereby gets nearly the same probability fr
 evidence is the difference of its two log-likelihoods, divided by its length; a logistic
 curve over it, fitted by cross-fitting on the labelled texts, gives the score.
 
-Counts sit in tables of fixed size, by hash, so what is broadcast doesn't grow; contexts are
-counted by linear counting in 64 cells. The classes are fitted on at most MAX_LABELLED labelled
+Counts are exact and keyed by the full 64-bit hash of a word, stem or pair, however many there are.
+Only expressions that the classes are told apart by, and the words and stems that those rest on, have a
+ratio of their own; for every other one the shared counts cancel and the ratio is one constant. So all
+contexts of the corpus are counted, by groupBy, and only the counts of the former travel; these are
+bounded by the labelled texts. The classes are fitted on at most MAX_LABELLED labelled
 texts each; the shared counts cover all texts.
 
 Defined results: null and empty texts have no evidence and score the calibrated value at zero;
@@ -28,13 +31,12 @@ from ._text import LOWER, NOT_ALNUM, prefix_sums, slices, span_hash, word_bounds
 #: Labelled texts of each class that the class models are fitted on, at most.
 MAX_LABELLED = 10_000
 STEM_BYTES = 5
-WORD_BITS, PAIR_BITS = 17, 18
 #: Nats of one word's ratio that sparse counts produce by chance; only what goes beyond is evidence, up to MOST.
 NOISE, MOST = 0.75, 8.0
 #: Windows in which the strongest passage is sought.
 PASSAGE = 64
-# What is counted: in all texts words and stems; in the texts of a class (of a fold) words, stems and pairs.
-ALL_WORDS, ALL_STEMS, WORDS, STEMS, PAIRS = range(5)
+# What is counted: in all texts contexts of words and stems; in the texts of a class (of a fold) words, stems and pairs.
+WORDS, STEMS, PAIRS = range(3)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -50,75 +52,12 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
     return words, stems, before, first
 
 
-def _cell(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (before * np.uint64(0x9E3779B97F4A7C15)) ^ words
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << (h & np.uint64(63))
-
-
-def _few(cells: np.ndarray) -> np.ndarray:
-    """The cells, each at most REPEATS times."""
-    at, n = np.unique(cells, return_counts=True)
-    return np.repeat(at, np.minimum(n, REPEATS))
-
-
-class _Counter:
-    """Counts and context cells of one task."""
-
-    def __init__(self):
-        self.n: dict[tuple, np.ndarray] = {}
-        self.cells: dict[tuple, np.ndarray] = {}
-
-    def add(self, kind: tuple, at: np.ndarray, bits: int, context: np.ndarray | None = None) -> None:
-        if kind not in self.n:
-            self.n[kind], self.cells[kind] = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.uint64)
-        self.n[kind] += np.bincount(at, minlength=1 << bits)
-        if context is not None:
-            np.bitwise_or.at(self.cells[kind], at, _bit(context))
-
-    def rows(self):
-        for kind, n in self.n.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.full(len(at), k, np.int32)) for k in kind), pa.array(at), pa.array(n[at]), pa.array(self.cells[kind][at].view(np.int64))],
-                names=["what", "class", "fold", "at", "n", "cells"],
-            )
-
-
-def _gather(docs: DataFrame, label_of: dict[int, int], id_col: str, text_col: str) -> DataFrame:
-    """Counts over all texts, and over the labelled ones by class and fold."""
-
-    def run(batches):
-        counter = _Counter()
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for lo, hi, data, offsets in slices(b.column(1)):
-                words, stems, before, first = _tokens(data, offsets)
-                counter.add((ALL_WORDS, 0, 0), _cell(words, WORD_BITS), WORD_BITS, before)
-                counter.add((ALL_STEMS, 0, 0), _cell(stems, WORD_BITS), WORD_BITS, before)
-                for i in range(lo, hi):
-                    if (own := label_of.get(ids[i])) is not None:
-                        label, fold = own & 1, own >> 1
-                        s = slice(first[i - lo], first[i - lo + 1])
-                        # one text counts at most REPEATS times for an expression, so one that repeats itself is few witnesses
-                        counter.add((WORDS, label, fold), _few(_cell(words[s], WORD_BITS)), WORD_BITS)
-                        counter.add((STEMS, label, fold), _few(_cell(stems[s], WORD_BITS)), WORD_BITS)
-                        counter.add((PAIRS, label, fold), _few(_cell(_pair(before[s], words[s]), PAIR_BITS)), PAIR_BITS)
-        yield from counter.rows()
-
-    counted = docs.select(id_col, text_col).mapInArrow(run, "what int, class int, fold int, at long, n long, cells long")
-    return counted.groupBy("what", "class", "fold", "at").agg(F.sum("n").alias("n"), F.bit_or("cells").alias("cells"))
-
-
-def _linear_count(cells: np.ndarray) -> np.ndarray:
-    zero = 64 - np.bitwise_count(cells).astype(np.float64)
-    return -64 * np.log(np.maximum(zero, 0.5) / 64)
+def _signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
 
 
 DISCOUNT = 0.75
@@ -129,65 +68,135 @@ GAIN = 2.0
 PAIR_WEIGHT = 0.25
 
 
-def told_apart(ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes' own, discounted counts: 0 for an expression whose split between the classes may be chance.
+def class_counts(labelled: DataFrame) -> DataFrame:
+    """labelled: text, label + 2 * fold. what, fold, at (full hash), stem and before (0 where there is none), ordinary and toxic: counts in the texts of both classes.
+
+    One text counts at most REPEATS times for an expression, so one that repeats itself is few witnesses.
+    """
+
+    def run(batches):
+        for b in batches:
+            label = b.column(1).to_numpy()
+            for lo, _, data, offsets in slices(b.column(0)):
+                words, stems, before, first = _tokens(data, offsets)
+                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                none = np.zeros_like(words)
+                for what, h, stem, ctx in ((WORDS, words, stems, none), (STEMS, stems, stems, none), (PAIRS, _pair(before, words), stems, before)):
+                    order = np.lexsort((h, text))
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(text[order]) != 0) | (h[order][1:] != h[order][:-1])])) if len(h) else np.zeros(0, int)
+                    n = np.minimum(np.diff(np.append(new, len(h))), REPEATS)
+                    at = order[new]
+                    own = label[lo + text[at]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), what, np.int32)), pa.array((own >> 1).astype(np.int32)), _signed(h[at]), _signed(stem[at]), _signed(ctx[at]), pa.array(np.where(own & 1, 0, n)), pa.array(np.where(own & 1, n, 0))],
+                        names=["what", "fold", "at", "stem", "before", "ordinary", "toxic"],
+                    )
+
+    rows = labelled.mapInArrow(run, "what int, fold int, at long, stem long, before long, ordinary long, toxic long")
+    return rows.groupBy("what", "fold", "at", "stem", "before").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def told_apart(counts: DataFrame, sizes: dict) -> DataFrame:
+    """The rows of counts whose split between the classes may not be chance; sizes: row of sums for each (what, fold).
 
     The log-likelihood of its split, against a split by the classes' sizes, has to exceed the
     logarithm of how many expressions there are, so hardly one in all passes by chance.
     """
-    both = ordinary + toxic
-    share = toxic.sum() / max(both.sum(), 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(ordinary > 0, ordinary * np.log(ordinary / (both * (1 - share))), 0)
-    # copies of a text aren't independent, and the more texts there are the more copies: up to GAIN times the chance level
-    times = min(max(np.log10(max(toxic.max(initial=0) / REPEATS, 1)), 1.0), GAIN)
-    sure = gain > (np.log(max((both > 0).sum(), 1)) + 1) * times
-    return tuple(np.where(sure, np.maximum(n - DISCOUNT, 0), 0) for n in (ordinary, toxic))
+    sure = F.lit(False)
+    for (what, fold), r in sizes.items():
+        share = r.toxic / max(r.ordinary + r.toxic, 1)
+        if not 0 < share < 1:  # one class only: nothing can gain
+            continue
+        both = F.col("ordinary") + F.col("toxic")
+        gain = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * part))).otherwise(0.0) for c, part in (("toxic", share), ("ordinary", 1 - share))]
+        # copies of a text aren't independent, and the more texts there are the more copies: up to GAIN times the chance level
+        times = min(max(np.log10(max(r.most / REPEATS, 1)), 1.0), GAIN)
+        sure |= (F.col("what") == what) & (F.col("fold") == fold) & (gain[0] + gain[1] > float((np.log(r.n) + 1) * times))
+    return counts.filter(sure)
+
+
+def context_counts(docs: DataFrame, words: np.ndarray, stems: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
+    """Of all texts the exact numbers of different words before each of words and of stems (sorted hashes), and before any stem."""
+    wanted = docs.sparkSession.sparkContext.broadcast((Lookup(words), Lookup(stems)))
+
+    def run(batches):
+        own_words, own_stems = wanted.value
+        for b in batches:
+            for _, _, data, offsets in slices(b.column(0)):
+                w, s, before, _ = _tokens(data, offsets)
+                some = np.flatnonzero((k := own_words(w)) < len(own_words.keys))
+                for what, at, pair in ((WORDS, k[some], _pair(before[some], w[some])), (STEMS, own_stems(s), _pair(before, s))):
+                    pair, first = np.unique(pair, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), what, np.int32)), pa.array(at[first].astype(np.int32)), _signed(pair)], names=["what", "at", "pair"])
+
+    pairs = docs.select(text_col).mapInArrow(run, "what int, at int, pair long").distinct()
+    found = {(r.what, r["at"]): r.n for r in pairs.groupBy("what", "at").agg(F.count("*").alias("n")).collect()}
+    wanted.destroy()
+    return *(np.array([found.get((what, k), 0) for k in range(len(x))], float) for what, x in ((WORDS, words), (STEMS, stems))), sum(n for (what, _), n in found.items() if what == STEMS)
+
+
+class Lookup:
+    """Places of hashes among sorted keys; of any other hash, the number of keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.some = np.zeros(1 << 16, bool)
+        self.some[keys >> np.uint64(48)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), len(self.keys))
+        maybe = np.flatnonzero(self.some[h >> np.uint64(48)])
+        at = np.searchsorted(self.keys, h[maybe])
+        same = self.keys[np.minimum(at, len(self.keys) - 1)] == h[maybe] if len(self.keys) else np.zeros(0, bool)
+        out[maybe[same]] = at[same]
+        return out
 
 
 class Model:
-    """Log-likelihood ratios of toxic over ordinary, of each word of a text."""
-
-    def __init__(self, counts: dict, folds: tuple[int, ...]):
-        def total(what, label, bits):
-            n, cells = np.zeros(1 << bits), np.zeros(1 << bits, np.uint64)
-            for fold in folds if what >= WORDS else (0,):
-                if (x := counts.get((what, label, fold))) is not None:
-                    n[x[0]] += x[1]
-                    cells[x[0]] |= x[2]
-            return n, cells
-
-        def contexts(what):
-            n, cells = total(what, 0, WORD_BITS)
-            # nearly full cells tell no more; then nearly every occurrence has a context of its own
-            return np.maximum(np.where(np.bitwise_count(cells) < 48, np.minimum(_linear_count(cells), n), n), 0.5)
-
-        shared_stems = contexts(ALL_STEMS)
-        self.shared_words, self.shared_stems = contexts(ALL_WORDS).astype(np.float32), shared_stems.astype(np.float32)
-        base = shared_stems / shared_stems.sum()
+    """Log-likelihood ratios of toxic over ordinary, of each word of a text.
+
+    sure: told-apart rows of one fold, by what: (at, before, counts of both classes); sizes: for each of the
+    classes the sum of word counts; word_of_pair, stem_of: what the shared counts are known for.
+    """
+
+    def __init__(self, sure: dict, sizes, words: np.ndarray, word_contexts: np.ndarray, stem_of: np.ndarray, stems: np.ndarray, stem_contexts: np.ndarray, contexts: int, before_counts: list[np.ndarray]):
+        self.words, self.stems = Lookup(words), Lookup(stems)
+        at, _, pairs = sure[PAIRS]
+        order = np.argsort(at)
+        self.pairs = Lookup(at[order])
+        own_stem = np.append(np.searchsorted(stems, stem_of), len(stems))
+        stem_contexts = np.append(np.maximum(stem_contexts, 1), 1)  # where nothing is known both classes have it alike, and it cancels
+        self.share = np.append(np.maximum(word_contexts, 1), 1) / stem_contexts[own_stem]
+        self.share[-1] = 1
         self.classes = []
-        words, stems, pairs = ([total(what, label, bits)[0] for label in (0, 1)] for what, bits in ((WORDS, WORD_BITS), (STEMS, WORD_BITS), (PAIRS, PAIR_BITS)))
-        own = [told_apart(*x) for x in (words, stems, pairs)]
         for label in (0, 1):
-            n = words[label]
-            n_all = max(n.sum(), 1.0)
-            stem_p = own[1][label] / n_all + max(n_all - own[1][label].sum(), 1) / n_all * base
-            word_p = own[0][label] / n_all
-            back = max(n_all - own[0][label].sum(), 1) / n_all
-            self.classes.append(tuple(x.astype(np.float32) for x in (stem_p * back, word_p, own[2][label], PAIR_WEIGHT / np.maximum(n, 1))))
+            own = []
+            for what, keys in ((WORDS, words), (STEMS, stems)):
+                x = np.zeros(len(keys) + 1)
+                x[np.searchsorted(keys, sure[what][0])] = np.maximum(sure[what][2][label] - DISCOUNT, 0)
+                own.append(x)
+            n_all = max(sizes[label], 1.0)
+            stem_p = own[1] / n_all + max(n_all - own[1].sum(), 1) / n_all * stem_contexts / max(contexts, 1)
+            back = max(n_all - own[0].sum(), 1) / n_all
+            pair_p = np.minimum(np.maximum(pairs[label] - DISCOUNT, 0) * PAIR_WEIGHT / np.maximum(before_counts[label], 1), PAIR_WEIGHT)
+            self.classes.append((stem_p * back, own[0] / n_all, np.append(pair_p[order], 0)))
 
     def ratios(self, words, stems, before) -> np.ndarray:
-        w, s, h, p = _cell(words, WORD_BITS), _cell(stems, WORD_BITS), _cell(before, WORD_BITS), _cell(_pair(before, words), PAIR_BITS)
-        share = np.minimum(self.shared_words[w] / self.shared_stems[s], 1)
-        logs = []
-        for stem_p, word_p, pairs, per_context in self.classes:
-            logs.append(np.log(np.minimum(pairs[p] * per_context[h], PAIR_WEIGHT) + (1 - PAIR_WEIGHT) * (word_p[w] + stem_p[s] * share) + 1e-30))
-        return logs[1] - logs[0]
+        w, s, p = self.words(words), self.stems(stems), self.pairs(_pair(before, words))
+        hit = np.flatnonzero((w < len(self.words.keys)) | (s < len(self.stems.keys)) | (p < len(self.pairs.keys)))
+
+        def ratio(w, s, p):
+            logs = [np.log(pair_p[p] + (1 - PAIR_WEIGHT) * (word_p[w] + stem_p[s] * self.share[w])) for stem_p, word_p, pair_p in self.classes]
+            return logs[1] - logs[0]
+
+        out = np.full(len(words), ratio(-1, -1, -1))
+        out[hit] = ratio(w[hit], s[hit], p[hit])
+        return out
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each text the logarithms of: length-normalised log-likelihood ratio, the same times the root of its length, of its strongest passage, length."""
         words, stems, before, first = _tokens(data, offsets)
-        sums = np.concatenate([[0.0], np.cumsum(np.clip(self.ratios(words, stems, before) - NOISE, 0, MOST).astype(np.float64))])
+        sums = np.concatenate([[0.0], np.cumsum(np.clip(self.ratios(words, stems, before) - NOISE, 0, MOST))])
         n = np.diff(first)
         total = sums[first[1:]] - sums[first[:-1]]
         out = np.zeros((len(n), 4))
@@ -202,6 +211,33 @@ class Model:
         return out
 
 
+def fitted_models(docs: DataFrame, labelled: DataFrame, n_texts: dict, text_col: str) -> tuple[Model, Model]:
+    """The models of both folds. labelled: text, label + 2 * fold; n_texts: number of texts of each label + 2 * fold."""
+    spark = docs.sparkSession
+    counts = written(class_counts(labelled), "class-expressions")
+    sizes = {(r.what, r.fold): r for r in counts.groupBy("what", "fold").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.max("toxic").alias("most")).collect()}
+    sure = [x.to_numpy() for x in told_apart(counts, sizes).toArrow().columns]  # bounded by the labelled texts
+    what, fold = sure[:2]
+    at, stem, before = (x.view(np.uint64) for x in sure[2:5])
+    # what the told-apart expressions rest on: each pair's word, each word's stem
+    word = np.where(what == PAIRS, _pair(before, at), at)[what != STEMS]
+    words, place = np.unique(word, return_index=True)
+    stem_of = stem[what != STEMS][place]
+    stems = np.unique(np.concatenate([stem_of, at[what == STEMS]]))
+    word_contexts, stem_contexts, contexts = context_counts(docs, words, stems, text_col)
+    keys = spark.createDataFrame([(int(x),) for x in np.unique(before[what == PAIRS]).view(np.int64)], "at long")
+    of_context = {(r.fold, r["at"]): (r.ordinary, r.toxic) for r in counts.filter(F.col("what") == WORDS).join(F.broadcast(keys), "at").select("fold", "at", "ordinary", "toxic").collect()}
+    models = []
+    for f in (0, 1):
+        own = {k: (at[m], before[m], [x[m].astype(float) for x in sure[5:]]) for k in (WORDS, STEMS, PAIRS) for m in [(what == k) & (fold == f)]}
+        start = tuple(n_texts.get(label + 2 * f, 0) for label in (0, 1))
+        before_counts = np.array([start if not x else of_context.get((f, x), (0, 0)) for x in own[PAIRS][1].view(np.int64).tolist()], float).reshape(-1, 2).T
+        size = sizes.get((WORDS, f))
+        models.append(Model(own, (size.ordinary, size.toxic) if size else (0, 0), words, word_contexts, stem_of, stems, stem_contexts, contexts, list(before_counts)))
+    discard(counts)
+    return tuple(models)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centre, scale and weights (the last one constant) of a ridge logistic curve, its constant set to the prior share of ones."""
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -239,15 +275,12 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for i, label in sample:  # folds alternate within each class; the order is a hash's
         label_of[i] = label | (seen[label] % 2) << 1
         seen[label] += 1
-    counts: dict = {}
-    gathered = written(_gather(docs, label_of, id_col, text_col), "expressions")
-    for what, label, fold in [(ALL_WORDS, 0, 0), (ALL_STEMS, 0, 0), *((w, c, f) for w in (WORDS, STEMS, PAIRS) for c in (0, 1) for f in (0, 1))]:  # one table at a time, to spare the driver
-        own = gathered.filter((F.col("what") == what) & (F.col("class") == label) & (F.col("fold") == fold)).select("at", "n", "cells").toArrow()
-        counts[(what, label, fold)] = (own.column(0).to_numpy(), own.column(1).to_numpy(), own.column(2).to_numpy().view(np.uint64))
-    discard(gathered)
-    # each labelled text gets its evidence from the model of the other fold
-    halves = spark.sparkContext.broadcast((Model(counts, (0,)), Model(counts, (1,))))
     own = spark.createDataFrame([(i, x) for i, x in label_of.items()], f"`{id_col}` {dict(docs.dtypes)[id_col]}, __label int")
+    # own has at most 2 * max_labelled rows
+    labelled = docs.join(F.broadcast(own), id_col).select(text_col, "__label")
+    n_texts = {r[0]: r[1] for r in labelled.groupBy("__label").count().collect()}
+    # each labelled text gets its evidence from the model of the other fold
+    halves = spark.sparkContext.broadcast(fitted_models(docs, labelled, n_texts, text_col))
 
     def calibrate(batches):
         models = halves.value
@@ -260,8 +293,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = np.concatenate(parts) if parts else np.zeros((0, 4))
             yield pa.RecordBatch.from_arrays([pa.array(label & 1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(4))], names=["y", "a", "b", "c", "d"])
 
-    # own has at most 2 * max_labelled rows
-    fitted = docs.join(F.broadcast(own), id_col).select(text_col, "__label").mapInArrow(calibrate, "y int, a double, b double, c double, d double").toArrow()
+    fitted = labelled.mapInArrow(calibrate, "y int, a double, b double, c double, d double").toArrow()
     y, *x = (c.to_numpy() for c in fitted.columns)
     if len(np.unique(y)) < 2:
         return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))

@@ -32,3 +32,17 @@ def test_toxicity_continuation_counts_are_exact(spark):
     in_stem = Counter(b for _, b in {(a, b[:5]) for a, b in pairs})
     assert sorted(got[1].tolist()) == sorted([in_stem["targe"], 0]) and got[2] == sum(in_stem.values())
     assert want["target"] > 3000  # nearly 90 filled the former map of 64 bits
+
+
+def test_toxicity_evidence_is_the_plain_difference():
+    h, s, before, _ = _hashes(["bad", "good"])
+    order = np.argsort(h)
+    split = {("bad", 0): 1, ("bad", 1): 40, ("good", 0): 40, ("good", 1): 1}
+    own = [np.array([split[("bad", "good")[k], label] for k in order], float) for label in (0, 1)]
+    none = np.zeros(0, np.uint64)
+    stems = np.unique(s)
+    model = toxicity.Model({toxicity.WORDS: (h[order], none, own), toxicity.STEMS: (none, none, [np.zeros(0)] * 2), toxicity.PAIRS: (none, none, [np.zeros(0)] * 2)}, (100, 100), h[order], np.array([5.0, 5.0]), s[order], stems, np.array([5.0, 5.0]), 100, [np.zeros(0)] * 2)
+    raw = b"good bad good"
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    ratios = model.ratios(*toxicity._tokens(data, offsets)[:3])
+    assert ratios[0] < 0 < ratios[1] and abs(model.evidence(data, offsets)[0, 0] - ratios.mean()) < 1e-12

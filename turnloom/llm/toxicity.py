@@ -31,8 +31,6 @@ from ._text import LOWER, NOT_ALNUM, prefix_sums, slices, span_hash, word_bounds
 #: Labelled texts of each class that the class models are fitted on, at most.
 MAX_LABELLED = 10_000
 STEM_BYTES = 5
-#: Nats of one word's ratio that sparse counts produce by chance; only what goes beyond is evidence, up to MOST.
-NOISE, MOST = 0.75, 8.0
 #: Windows in which the strongest passage is sought.
 PASSAGE = 64
 # What is counted: in all texts contexts of words and stems; in the texts of a class (of a fold) words, stems and pairs.
@@ -194,9 +192,9 @@ class Model:
         return out
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text the logarithms of: length-normalised log-likelihood ratio, the same times the root of its length, of its strongest passage, length."""
+        """For each text: length-normalised log-likelihood ratio, the same times the root of its length, of its strongest passage, logarithm of its length."""
         words, stems, before, first = _tokens(data, offsets)
-        sums = np.concatenate([[0.0], np.cumsum(np.clip(self.ratios(words, stems, before) - NOISE, 0, MOST))])
+        sums = np.concatenate([[0.0], np.cumsum(self.ratios(words, stems, before))])
         n = np.diff(first)
         total = sums[first[1:]] - sums[first[:-1]]
         out = np.zeros((len(n), 4))
@@ -207,7 +205,6 @@ class Model:
             s = sums[first[i] : first[i + 1] + 1]
             k = min(PASSAGE, n[i])
             out[i, 2] = (s[k:] - s[:-k]).max() / np.sqrt(k)
-        out[:, :3] = np.log(out[:, :3] + (0.003, 0.05, 0.05))  # a few texts hold very much
         return out
 
 

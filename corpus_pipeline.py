@@ -12,19 +12,27 @@ from turnloom.llm._store import sized, table, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs):
+    """docs with __row, a hash of all columns: rows share it if they are equal in whole. A doc_id may be null or used again."""
+    return docs.withColumn("__row", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]))
+
+
 def drop_toxic(spark, docs, sf_dir):
-    """Documents predicted toxic go; labels of the held-out fold aren't learnt from. A doc_id goes as a whole."""
+    """Documents predicted toxic go; labels of the held-out fold aren't learnt from. Each row goes or stays for its own text."""
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
-    toxic = written(toxicity.score(docs, labels).filter("predicted = 1").select("doc_id").distinct(), "toxic-ids")
-    return docs.join(sized(toxic), "doc_id", "left_anti").select(COLUMNS)
+    docs = keyed(docs)
+    toxic = written(toxicity.score(docs, labels, keep=["__row"]).filter("predicted = 1").select("__row").distinct(), "toxic-rows")
+    return docs.join(sized(toxic), "__row", "left_anti").select(COLUMNS)
 
 
 def one_of_near_copies(spark, docs, sf_dir):
-    """The smallest doc_id of each group of near copies stays; rows that repeat it whole go."""
-    found = simhash.near_duplicates(docs)
-    first = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("rows")), "first-ids")
-    kept = docs.join(sized(first.select("__first")), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").select(COLUMNS)
-    return kept if first.filter("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """Of each group of near copies the row of the smallest doc_id stays (of several such rows that of the smallest hash); rows that repeat it whole go."""
+    docs = keyed(docs)
+    found = simhash.near_duplicates(docs, keep=["__row"])
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = written(found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.count_distinct("__row").alias("rows")).select("first.__row", (F.col("n") > F.col("rows")).alias("repeated")), "first-rows")
+    kept = docs.join(sized(first.select("__row")), "__row", "left_semi")
+    return (kept if first.filter("repeated").isEmpty() else kept.dropDuplicates(["__row"])).select(COLUMNS)
 
 
 def cut_repeated_passages(spark, docs, sf_dir):
@@ -35,8 +43,9 @@ def cut_repeated_passages(spark, docs, sf_dir):
 
 def drop_leaks(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
-    leaks = written(decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leak-ids")
-    return docs.join(sized(leaks), "doc_id", "left_anti").select(COLUMNS)
+    docs = keyed(docs)
+    leaks = written(decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="__row").select("__row").distinct(), "leak-rows")
+    return docs.join(sized(leaks), "__row", "left_anti").select(COLUMNS)
 
 
 def encode(spark, docs, sf_dir):

@@ -1,11 +1,17 @@
 """Cases in which an operator once did less than the whole job."""
 
+import hashlib
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
+import pandas as pd
+import pytest
 
-from turnloom.llm import toxicity
+from turnloom.llm import suffix_dedup, toxicity
+
+SF = "/root/testdata/sf0.001"
 
 
 def _hashes(words):
@@ -46,3 +52,59 @@ def test_toxicity_evidence_is_the_plain_difference():
     data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
     ratios = model.ratios(*toxicity._tokens(data, offsets)[:3])
     assert ratios[0] < 0 < ratios[1] and abs(model.evidence(data, offsets)[0, 0] - ratios.mean()) < 1e-12
+
+
+SHARED = "x y z " * 40
+ROWS = [  # without an id, or of one id, with different texts
+    (None, "first " + " ".join(f"a{i}" for i in range(90))), (None, "second " + " ".join(f"b{i}" for i in range(90))), (None, SHARED + "one"), (None, SHARED + "another ending, longer"),
+    (7, "third " + " ".join(f"c{i}" for i in range(90))), (7, "fourth " + " ".join(f"d{i}" for i in range(90))), (7, "fourth " + " ".join(f"d{i}" for i in range(90))),
+]
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _texts(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_near_copies_of_rows_that_share_an_id(spark, shared_ids):
+    once = [r for r in dict.fromkeys(ROWS) if not r[1].startswith("x y")]
+    got = _texts(corpus_pipeline.one_of_near_copies(spark, shared_ids, SF))
+    assert all(got[r] == 1 for r in once) and sum(got.values()) - len(once) in (1, 2)
+
+
+def test_passages_are_cut_by_row(spark, shared_ids, tmp_path):
+    got = _texts(suffix_dedup.deduplicated_text(shared_ids))
+    whole = [r for r in ROWS if not r[1].startswith("x y")]
+    assert all(got[r] == ROWS.count(r) for r in whole) and sum(got.values()) == len(ROWS)
+    ends = sorted(t for _, t in got if t and t.endswith(("one", "longer")))
+    assert len(ends) == 2 and min(map(len, ends)) < 100  # the later one lost what both hold
+    shared_ids.write.parquet(str(tmp_path / "documents.parquet"))
+    sha = Counter(r.kept_sha256 for r in suffix_dedup.op9_suffix_dedup(spark, str(tmp_path)).collect())
+    assert sha == Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in got.elements())
+
+
+def test_toxic_rows_without_an_id_go(spark, monkeypatch, shared_ids):
+    def score(docs, labels, keep):
+        return docs.selectExpr("doc_id", *keep, "int(text like 'first%' or text like 'third%') predicted")
+
+    monkeypatch.setattr(toxicity, "score", score)
+    got = _texts(corpus_pipeline.drop_toxic(spark, shared_ids, SF))
+    assert got == Counter(r for r in ROWS if not r[1].startswith(("first", "third")))
+
+
+def test_toxicity_score_keeps_columns(spark, shared_ids):
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    assert toxicity.score(shared_ids, labels, keep=["text"]).columns == ["doc_id", "text", "score", "predicted"]
+
+
+def test_leaking_rows_without_an_id_go(spark, shared_ids):
+    item = pd.read_parquet(f"{SF}/benchmark.parquet").text[0]
+    rows = [(None, "before it " + item + " after it"), (7, item)]
+    leaking = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], shared_ids.schema)
+    others = spark.read.parquet(f"{SF}/documents.parquet").select(shared_ids.columns)  # enough texts for a basis
+    got = _texts(corpus_pipeline.drop_leaks(spark, shared_ids.unionByName(leaking).unionByName(others), SF))
+    assert not any(r in got for r in rows) and all(got[r] >= n for r, n in Counter(ROWS).items())

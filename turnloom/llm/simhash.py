@@ -117,16 +117,17 @@ def simhash(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarr
     return (bits * LANES).sum(axis=1, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """id_col, the columns in keep, and fp, the fingerprint as a signed long."""
+    own = [id_col, *keep]
 
     def run(batches):
         for b in batches:
-            parts = [simhash(data, offsets) for _, _, data, offsets in slices(b.column(1))]
+            parts = [simhash(data, offsets) for _, _, data, offsets in slices(b.column(len(own)))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*own, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
+    return docs.select(*own, text_col).mapInArrow(run, ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own) + ", fp long")
 
 
 def _near(queries: np.ndarray, planes: np.ndarray, radius: int, lanes: int = 4096):
@@ -279,14 +280,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fp and component_id for every row."""
-    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+def near_duplicates(docs: DataFrame, *, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """id_col, the columns in keep, fp, component_id and root (the component's smallest fingerprint, which no other has) for every row."""
+    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, keep=keep), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(near_links(distinct.select("fp"), radius=radius))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select(id_col, *keep, "fp", "component_id", "root")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

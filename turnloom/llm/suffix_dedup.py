@@ -21,8 +21,9 @@ Every pass is a grouped minimum with partial aggregation and a join back, so a p
 all documents share is one row for each task before it is shuffled.
 
 Defined results: null and empty texts have no bytes and lose none; a null doc_id counts as
-smaller than all others; rows that share a doc_id are one document, so exactly repeated rows
-don't remove each other (if their texts differ, each is cut by the spans of all); an empty table gives an empty result; other columns aren't read.
+smaller than all others; rows that share a doc_id and the text are one document, so exactly repeated rows
+don't remove each other; rows that share a doc_id (or have none) but not the text are documents of their own, in the order of
+their texts' hashes; an empty table gives an empty result; other columns aren't read.
 """
 
 import numpy as np
@@ -88,6 +89,17 @@ def _with_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("doc"), F.col(text_col).alias("text"))
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __doc, a long in the order of the ids: the id itself, or, if any id has several texts, a number for each (id, text)."""
+    own = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)), "__hash": F.xxhash64(text_col)}
+    ids = docs.select(*[c.alias(name) for name, c in own.items()]).distinct()
+    if ids.groupBy("__id").count().filter("count > 1").isEmpty():
+        return docs.withColumn("__doc", own["__id"])
+    # increases from one range to the next, and within each
+    numbers = written(ids.repartitionByRange("__id", "__hash").sortWithinPartitions("__id", "__hash").withColumn("__doc", F.monotonically_increasing_id()), "numbers")
+    return written(docs.withColumns(own).join(numbers, ["__id", "__hash"]).select(*docs.columns, "__doc"), "numbered")
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
     """docs: doc, text. key, full: first and second digit; doc, start, n: where the row's windows start and how many they are; lead: the anchor's distance from start."""
 
@@ -223,26 +235,28 @@ def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut from text_col. A character that a cut divides goes too."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col)
-    left = cut(docs, spans, id_col=id_col, text_col=text_col)
+    columns = docs.columns
+    docs = _numbered(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col="__doc", text_col=text_col)
+    left = cut(docs, spans, id_col="__doc", text_col=text_col)
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=["doc", "left_text"])
 
     texts = left.select("doc", "kept").mapInArrow(run, "doc long, left_text string").dropDuplicates(["doc"])
-    untouched = docs.join(sized(spans.select(F.nullif("doc", F.lit(LOW)).alias("__doc"))), F.col(id_col).eqNullSafe(F.col("__doc")), "left_anti")
+    untouched = docs.join(sized(spans.select(F.col("doc").alias("__doc"))), "__doc", "left_anti")
     others = [c for c in docs.columns if c != text_col]
-    touched = docs.select(*others).join(texts.withColumn("__doc", F.nullif("doc", F.lit(LOW))), F.col(id_col).eqNullSafe(F.col("__doc"))).select(*others, F.col("left_text").alias(text_col))
-    return untouched.select(*docs.columns).unionByName(touched.select(*docs.columns))
+    touched = docs.select(*others).join(texts.withColumnRenamed("doc", "__doc"), "__doc").withColumnRenamed("left_text", text_col)
+    return untouched.select(*columns).unionByName(touched.select(*columns))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    spans = repeated_spans(docs)
-    left = cut(docs, spans).select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["doc"])
+    docs = _numbered(table(spark, sf_dir, "documents"), "doc_id", "text")
+    spans = repeated_spans(docs, id_col="__doc")
+    left = cut(docs, spans, id_col="__doc").select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["doc"])
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha"))
+    own = docs.select("doc_id", F.col("__doc").alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha"))
     return own.join(left, "doc", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("cut_sha", "whole_sha").alias("kept_sha256")
     )

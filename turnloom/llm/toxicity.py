@@ -256,14 +256,15 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, threshold: float = 0.7) -> DataFrame:
-    """id_col, score and predicted for every row of docs; labels: id_col, label_col (all of them are learnt from)."""
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, threshold: float = 0.7, keep: list[str] = ()) -> DataFrame:
+    """id_col, the columns in keep, score and predicted for every row of docs; labels: id_col, label_col (all of them are learnt from)."""
     spark = docs.sparkSession
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("label"))
     in_class = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    out_type = f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double, predicted int"
+    own_columns = [id_col, *keep]
+    out_type = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own_columns) + ", score double, predicted int"
     if len(in_class) < 2:
-        return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*own_columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     sample = []
     for label in (0, 1):
         sample += [(r[0], label) for r in known.filter(F.col("label") == label).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled).select(id_col).collect()]
@@ -293,19 +294,19 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     fitted = labelled.mapInArrow(calibrate, "y int, a double, b double, c double, d double").toArrow()
     y, *x = (c.to_numpy() for c in fitted.columns)
     if len(np.unique(y)) < 2:
-        return docs.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*own_columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     curve = _logistic(np.column_stack(x), y, in_class[1] / (in_class[0] + in_class[1]))
     # both halves' evidence, averaged, is distributed as what the curve was fitted on; a model of all counts would be surer than it
 
     def run(batches):
         models, (centre, scale, w) = halves.value, curve
         for b in batches:
-            parts = [(models[0].evidence(data, offsets) + models[1].evidence(data, offsets)) / 2 for _, _, data, offsets in slices(b.column(1))]
+            parts = [(models[0].evidence(data, offsets) + models[1].evidence(data, offsets)) / 2 for _, _, data, offsets in slices(b.column(len(own_columns)))]
             x = np.concatenate(parts) if parts else np.zeros((0, 4))
             p = 1 / (1 + np.exp(-np.clip((x - centre) / scale @ w[:-1] + w[-1], -40, 40)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*own_columns, "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, out_type)
+    return docs.select(*own_columns, text_col).mapInArrow(run, out_type)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

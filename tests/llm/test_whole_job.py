@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from turnloom.llm import suffix_dedup, toxicity
+from turnloom.llm import simhash, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +109,28 @@ def test_leaking_rows_without_an_id_go(spark, shared_ids):
     others = spark.read.parquet(f"{SF}/documents.parquet").select(shared_ids.columns)  # enough texts for a basis
     got = _texts(corpus_pipeline.drop_leaks(spark, shared_ids.unionByName(leaking).unionByName(others), SF))
     assert not any(r in got for r in rows) and all(got[r] >= n for r, n in Counter(ROWS).items())
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_simhash_radius(spark, radius):
+    rng = random.Random(radius)
+    fps = set()
+    for centre in [rng.getrandbits(63) for _ in range(40)]:
+        for _ in range(6):
+            x = centre
+            for bit in rng.sample(range(63), rng.randrange(6)):
+                x ^= 1 << bit
+            fps.add(x)
+    roots = {r.node: r.root for r in simhash.components(simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius=radius)).collect()}
+    least = {x: x for x in fps}
+    for _ in range(12):
+        least = {x: min(least[y] for y in fps if (x ^ y).bit_count() <= radius) for x in fps}
+    assert {x: roots.get(x, x) for x in fps} == least
+
+
+def test_simhash_settings(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    assert simhash.near_duplicates(docs, shingle=5).first().fp != simhash.near_duplicates(docs).first().fp
+    for radius in (-1, 63, 2.5):
+        with pytest.raises(ValueError):
+            simhash.near_duplicates(docs, radius=radius)

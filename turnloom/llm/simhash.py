@@ -2,8 +2,9 @@
 
 1. Fingerprints: 3-word shingles of the whole text, hashed by XXH64 in numpy; majority bits.
    (The contract of the query fixes three words and two bits, in place of five words and 0.8.)
-2. Candidates: two fingerprints that differ in at most two of four 16-bit blocks' bits agree on
-   at least two whole blocks, so each of the six pairs of blocks is a bucket key.
+2. Candidates: two fingerprints that differ in at most `radius` bits agree on at least two of radius + 2
+   blocks of bits, so each pair of blocks is a bucket key: six of 32 bits for two bits. Keys get more and
+   shorter with the radius, so a large one compares far more pairs.
 3. Buckets hold distinct fingerprints only. In a bucket the bits stand vertically, 64 fingerprints to
    a word; carry-save counters add up the differing bits of 64 pairs at a time, and words in which
    every pair is beyond the radius are abandoned. A bucket of more than BLOCK fingerprints is cut
@@ -117,19 +118,55 @@ def simhash(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarr
     return (bits * LANES).sum(axis=1, dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """id_col, the columns in keep, and fp, the fingerprint as a signed long."""
     own = [id_col, *keep]
 
     def run(batches):
         for b in batches:
-            parts = [simhash(data, offsets) for _, _, data, offsets in slices(b.column(len(own)))]
+            parts = [simhash(data, offsets, shingle) for _, _, data, offsets in slices(b.column(len(own)))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*own, "fp"])
 
     return docs.select(*own, text_col).mapInArrow(run, ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own) + ", fp long")
 
 
+class _Counters:
+    """Carry-save counters of 64 lanes to a word, as many planes as the radius needs."""
+
+    def __init__(self, n: int, radius: int):
+        self.radius = radius
+        self.planes = [np.zeros(n, np.uint64) for _ in range(max(1, radius.bit_length()))]
+        self.over = np.zeros(n, np.uint64)
+
+    def add(self, carry: np.ndarray) -> None:
+        for plane in self.planes:
+            more = plane & carry
+            plane ^= carry
+            carry = more
+        self.over |= carry
+
+    def beyond(self) -> np.ndarray:
+        """Lanes whose count is over the radius."""
+        over, equal = self.over.copy(), np.full(len(self.over), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for k in reversed(range(len(self.planes))):
+            if not self.radius >> k & 1:
+                over |= equal & self.planes[k]
+                equal &= ~self.planes[k]
+            else:
+                equal &= self.planes[k]
+        return over
+
+    def keep(self, alive: np.ndarray) -> None:
+        self.planes, self.over = [p[alive] for p in self.planes], self.over[alive]
+
+
+def _checked(radius: int) -> int:
+    if not isinstance(radius, int) or not 0 <= radius <= 62:
+        raise ValueError(f"radius has to be a whole number from 0 to 62, not {radius!r}")
+    return radius
+
+
 def _near(queries: np.ndarray, planes: np.ndarray, radius: int, lanes: int = 4096):
     """(query, word of planes, lanes within the radius). planes: [word, bit]. Yields arrays for blocks of pairs."""
     n_words = len(planes)
@@ -137,19 +174,15 @@ def _near(queries: np.ndarray, planes: np.ndarray, radius: int, lanes: int = 409
     for lo in range(0, len(queries), step):
         q = queries[lo : lo + step]
         qi, wi = np.repeat(np.arange(len(q)), n_words), np.tile(np.arange(n_words), len(q))
-        ones, twos, over = (np.zeros(len(qi), np.uint64) for _ in range(3))
+        counters = _Counters(len(qi), radius)
         for bit in range(64):
-            differs = planes[wi, bit] ^ (np.uint64(0) - (q[qi] >> np.uint64(bit) & np.uint64(1)))
-            carry = ones & differs
-            ones ^= differs
-            over |= twos & carry
-            twos ^= carry
-            if bit % 8 == 7:  # a radius of 0, 1 or 2 is exceeded at a count of 1, 2 or 3
-                beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones)
-                alive = beyond != np.uint64(0xFFFFFFFFFFFFFFFF)
+            counters.add(planes[wi, bit] ^ (np.uint64(0) - (q[qi] >> np.uint64(bit) & np.uint64(1))))
+            if bit % 8 == 7:
+                alive = counters.beyond() != np.uint64(0xFFFFFFFFFFFFFFFF)
                 if alive.sum() < 0.7 * len(alive):
-                    qi, wi, ones, twos, over = qi[alive], wi[alive], ones[alive], twos[alive], over[alive]
-        beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones)
+                    qi, wi = qi[alive], wi[alive]
+                    counters.keep(alive)
+        beyond = counters.beyond()
         hit = np.flatnonzero(~beyond)
         yield lo + qi[hit], wi[hit], ~beyond[hit]
 
@@ -180,19 +213,14 @@ def local_forest(fps: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.n
         lane = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         place = np.repeat(base, size) + lane
         f = fps[place]
-        ones, twos, over = (np.zeros(len(f), np.uint64) for _ in range(3))
+        counters = _Counters(len(f), radius)
         starts = np.cumsum(size) - size
         qi = np.arange(len(f))
         for bit in range(64):
             own = f >> np.uint64(bit) & np.uint64(1)
             plane = np.bitwise_or.reduceat(own << lane.astype(np.uint64), starts)
-            differs = plane[word[qi]] ^ (np.uint64(0) - own[qi])
-            carry = ones & differs
-            ones ^= differs
-            over |= twos & carry
-            twos ^= carry
-        beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones)
-        close = ~beyond & ((LANES - np.uint64(1))[lane])  # earlier lanes only: each link once
+            counters.add(plane[word[qi]] ^ (np.uint64(0) - own[qi]))
+        close = ~counters.beyond() & ((LANES - np.uint64(1))[lane])  # earlier lanes only: each link once
         some = np.flatnonzero(close)
         q, other = np.nonzero(close[some, None] & LANES)
         join(place[some[q]], np.repeat(base, size)[some[q]] + other)
@@ -224,10 +252,12 @@ def _block_pairs(keys: DataFrame, block: int) -> DataFrame:
 
 def near_links(distinct: DataFrame, *, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """Edges (a, b), a > b, that connect all fingerprints of distinct(fp) within the radius."""
-    blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    edges = [64 * i // (_checked(radius) + 2) for i in range(radius + 3)]
+    blocks = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    widths = [hi - lo for lo, hi in zip(edges, edges[1:], strict=False)]
     keys = distinct.select(
         "fp",
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), (F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j])).cast("long").alias("key")) for t, (i, j) in enumerate(itertools.combinations(range(4), 2))])).alias("k"),
+        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), (F.shiftleft(blocks[i].cast("long"), widths[j]).bitwiseOR(blocks[j])).cast("long").alias("key")) for t, (i, j) in enumerate(itertools.combinations(range(radius + 2), 2))])).alias("k"),
     ).select("k.t", "k.key", "fp")
     grouped = _block_pairs(keys, block).repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
 
@@ -280,9 +310,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """id_col, the columns in keep, fp, component_id and root (the component's smallest fingerprint, which no other has) for every row."""
-    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, keep=keep), "fingerprints")
+    _checked(radius)
+    fps = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col, keep=keep), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(near_links(distinct.select("fp"), radius=radius))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from turnloom.llm import simhash, suffix_dedup, toxicity
+from turnloom.llm import decontamination, sharding, simhash, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +134,25 @@ def test_simhash_settings(spark):
     for radius in (-1, 63, 2.5):
         with pytest.raises(ValueError):
             simhash.near_duplicates(docs, radius=radius)
+
+
+def test_longest_common_subsequence_of_long_items():
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (65, 128, 129, 200, 300, 40)]
+    w = [f"u{k}" for k in range(128)]
+    texts.append(" ".join(w))
+    items = decontamination._Items(list(range(7)), texts, np.zeros(((1 << decontamination.BITS) + 1, 4), np.float32))
+    for other in ([rng.choice(vocabulary) for _ in range(250)], w[64:] + w[:64]):
+        raw = " ".join(other).encode()
+        hashes, _ = decontamination._words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        place = np.searchsorted(items.vocabulary, hashes)
+        found, _ = items.shares(np.arange(7), np.zeros(7, int), place, np.zeros(7, int), np.full(7, len(other)))
+        for k, t in enumerate(texts):
+            row = [0] * (len(other) + 1)
+            for x in t.split():
+                new = [0]
+                for j, y in enumerate(other):
+                    new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+                row = new
+            assert round(found[k] * len(t.split())) == row[-1]

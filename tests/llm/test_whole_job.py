@@ -156,3 +156,11 @@ def test_longest_common_subsequence_of_long_items():
                     new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
                 row = new
             assert round(found[k] * len(t.split())) == row[-1]
+
+
+def test_shard_files_hold_every_row(spark, shared_ids, tmp_path):
+    placed = sharding.histogram_shards(shared_ids, 3)
+    sharding.write_shards(shared_ids, placed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert _texts(back) == Counter(ROWS)
+    assert Counter((r.doc_id, r.shard, r.slot) for r in back.collect()) == Counter((r.doc_id, r.shard, r.slot) for r in placed.collect())

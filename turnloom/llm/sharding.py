@@ -160,9 +160,15 @@ def histogram_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", te
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, id_col: str = "doc_id", files_per_shard: int = 1) -> None:
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_shard: int = 1) -> None:
     """The documents as one folder for each shard, rows in slot order within a file."""
-    docs = docs.join(placed.select(id_col, "shard", "slot").dropDuplicates([id_col]), id_col)
+    # rows are the placement's by text hash and id (null for none), and rows equal in both one by one
+    same = Window.partitionBy("__key", "__id")
+    docs = docs.withColumns({"__key": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))})
+    docs = docs.withColumn("__n", F.row_number().over(same.orderBy(F.lit(0))))
+    own = placed.select(F.col("key").alias("__key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("__id"), "shard", "slot")
+    own = own.withColumn("__n", F.row_number().over(same.orderBy("shard", "slot")))
+    docs = docs.join(own, ["__key", "__id", "__n"]).drop("__key", "__id", "__n")
     docs.repartition("shard", (F.col("slot") % files_per_shard)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

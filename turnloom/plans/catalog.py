@@ -385,6 +385,11 @@ def _(spark, d):
     return t.select("doc_id", T.collapsed(F.substring("text", 1, 300)).alias("collapsed"), T.sanitised_id(F.concat_ws("", "source", F.lit("-"), "lang", F.lit("_"))).alias("clean_id"), F.replace(F.concat_ws("/", F.lower("lang"), "source"), F.lit("/"), F.lit("--")).alias("repo"), T.ends_sentence(F.col("text")).alias("ends"))
 
 
+@query("fn01_collapsed_whole_text", r"SELECT doc_id, trim(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS collapsed FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.collapsed(F.col("text")).alias("collapsed"))
+
+
 @query("fn27_basename", "SELECT page_id, regexp_extract(url, '[^\\\\/]+$', 0) AS base FROM pages")
 def _(spark, d):
     return read(spark, d, "pages").select("page_id", T.basename(F.col("url")).alias("base"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
 from turnloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +12,16 @@ def test_collapsed_takes_the_whole_text(spark):
     got = {r.doc_id: r.collapsed for r in catalog.queries()["fn01_collapsed_whole_text"](spark, SF).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter(F.length("text") > 300).collect()}
     assert texts and all(got[i] == " ".join(t.split()) for i, t in texts.items())
+
+
+def test_even_places(spark):
+    rows = spark.range(0, 400).select("id", T.even_places(F.col("id"), 8).alias("eight"), T.even_places(F.col("id"), 30, rounded=True).alias("thirty")).collect()
+    for r in rows:
+        n = r.id
+        assert r.eight == ([int(k * (n - 1) / 7) for k in range(8)] if n >= 8 else list(range(n)))
+        assert r.thirty == ([round(i * (n - 1) / 29) for i in range(30)] if n > 30 else list(range(n)))
+
+
+def test_latest_of_all_segments_takes_every_conversation(spark):
+    got = catalog.queries()["src05_latest_of_all_segments"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()

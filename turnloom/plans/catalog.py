@@ -108,6 +108,17 @@ def _(spark, d):
     return L.latest(v, ["final", "gap_corrected", "corrected", "raw"], ["video_id"])
 
 
+_ALL_VERSIONS = "versions AS (SELECT conv_id AS video_id, CASE turn % 5 WHEN 0 THEN 'raw' WHEN 1 THEN 'corrected' WHEN 2 THEN 'gap_corrected' WHEN 3 THEN 'final' ELSE 'other' END AS version, min(turn) AS turn FROM conversations GROUP BY ALL)"
+
+
+# short conversations have no later versions
+@query("src05_latest_of_all_segments", f"WITH {_ALL_VERSIONS} SELECT video_id, version, turn FROM versions QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY CASE version WHEN 'final' THEN 1 WHEN 'gap_corrected' THEN 2 WHEN 'corrected' THEN 3 WHEN 'raw' THEN 4 ELSE 5 END, version) = 1")
+def _(spark, d):
+    kind = F.expr("case turn % 5 when 0 then 'raw' when 1 then 'corrected' when 2 then 'gap_corrected' when 3 then 'final' else 'other' end")
+    v = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("video_id"), kind.alias("version")).agg(F.min("turn").alias("turn"))
+    return L.latest(v, ["final", "gap_corrected", "corrected", "raw"], ["video_id"])
+
+
 @query("src11_library_listing", "SELECT c_custkey AS item, lower(c_name) AS title, n_orders FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)")
 def _(spark, d):
     o = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
@@ -445,6 +456,12 @@ def _(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.expr("size(transform(sequence(0, 7), i -> int(i * (n - 1) / 7))) = 8").alias("ok"), "n")
 
 
+@query("sort09_even_places", "SELECT o_custkey, n, CASE WHEN n >= 8 THEN list_transform(range(0, 8), lambda i: (i * (n - 1)) // 7) ELSE range(0, n) END::BIGINT[] AS eight, CASE WHEN n > 30 THEN list_transform(range(0, 30), lambda i: round_even(i * (n - 1) / 29.0, 0)::BIGINT) ELSE range(0, n) END::BIGINT[] AS thirty FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
+def _(spark, d):
+    n = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return n.select("o_custkey", "n", T.even_places(F.col("n"), 8).alias("eight"), T.even_places(F.col("n"), 30, rounded=True).alias("thirty"))
+
+
 @query("set03_tag_union", f"WITH {TURNS} SELECT video_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT video_id, speaker AS tag FROM turns UNION ALL SELECT video_id, 'gap' FROM turns) GROUP BY 1")
 def _(spark, d):
     return turns(spark, d).groupBy("video_id").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("speaker"), F.array(F.lit("gap")))), ",").alias("tags"))

@@ -1,5 +1,6 @@
 """Where operators put intermediate tables: the folder that all executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -8,29 +9,53 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, else the one given to setCheckpointDir; where neither is set, one of our own, with a local master only."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not base and (own := context._jsc.sc().getCheckpointDir()).isDefined():
+        base = own.get()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.gettempdir() + "/turnloom-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Paths of the tables made by written(), in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for x in paths:
+        path = jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a table made by written(), once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(conf).delete(path, True)
+    _delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def mark() -> int:
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, since: int, *, but: DataFrame | None = None) -> None:
+    """Removes all tables made after mark() gave `since`, but one: what a lazy result needed, once the result is written."""
+    keep = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in but.inputFiles()} if but is not None else set()
+    gone = [p for p in _made[since:] if p.rsplit("/", 1)[-1] not in keep]
+    _made[since:] = [p for p in _made[since:] if p not in gone]
+    _delete(spark, gone)
 
 
 #: Rows of ids that are broadcast at most (32 MB of longs).

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._store import table
-from ._text import slices
+from ._text import released, slices
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Pieces longer than this merge on a heap.
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, *, keep: list[str], text_col: str = "text", ids_col:
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[: len(keep)]), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, ids_col])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + f", `{ids_col}` array<int>"
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(released(run), schema)
 
 
 def decode(ids: DataFrame, *, keep: list[str], ids_col: str = "ids", text_col: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
@@ -248,7 +248,7 @@ def decode(ids: DataFrame, *, keep: list[str], ids_col: str = "ids", text_col: s
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, text_col])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in ids.select(*keep).dtypes) + f", `{text_col}` string"
-    return ids.select(*keep, ids_col).mapInArrow(run, schema)
+    return ids.select(*keep, ids_col).mapInArrow(released(run), schema)
 
 
 def digests(docs: DataFrame, *, keep: list[str], text_col: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
@@ -267,7 +267,7 @@ def digests(docs: DataFrame, *, keep: list[str], text_col: str = "text", files:
                 yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in b.columns[: len(keep)]), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(released(run), schema)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._text import released
 from ._store import table
 
 #: Elements whose content is never text.
@@ -171,7 +172,7 @@ def extract(pages: DataFrame, *, keep: list[str], html_col: str = "html") -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pages.select(*keep).dtypes) + ", text string, n_chars long"
-    return pages.select(*keep, html_col).mapInArrow(run, schema)
+    return pages.select(*keep, html_col).mapInArrow(released(run), schema)
 
 
 def op5_html_text(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import released
 from ._store import table, written
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -59,7 +60,7 @@ def _histogram(rows: DataFrame, probes: list[tuple[int, int]], weight: str) -> t
 
     counted = (
         rows.select("key", "id", F.col(weight).alias("w"))
-        .mapInArrow(count, "at long, n long, k0 long, k1 long, i0 long, i1 long")
+        .mapInArrow(released(count), "at long, n long, k0 long, k1 long, i0 long, i1 long")
         .groupBy("at")
         .agg(F.sum("n"), F.min("k0"), F.max("k1"), F.min("i0"), F.max("i1"))
         .toArrow()
@@ -153,7 +154,7 @@ def histogram_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", te
             at = _rank(b.column(0).to_numpy(), b.column(1).to_numpy(), pk, pi)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(shard_at[at]), pa.array(start_at[at])], names=[*b.schema.names, "range", "shard", "start"])
 
-    placed = rows.select("key", "id", "size", "text_crc32").mapInArrow(place, "key long, id long, size long, text_crc32 long, range int, shard int, start long")
+    placed = rows.select("key", "id", "size", "text_crc32").mapInArrow(released(place), "key long, id long, size long, text_crc32 long, range int, shard int, start long")
     in_range = Window.partitionBy("range").orderBy("key", "id")
     return placed.select(
         F.nullif(F.col("id"), F.lit(LOW)).alias(id_col), "size", "text_crc32", "key", "shard", (F.col("start") + F.row_number().over(in_range) - 1).cast("long").alias("slot")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import discard, shared_dir, table, written
-from ._text import LOWER, slices, word_bounds
+from ._text import LOWER, released, slices, word_bounds
 
 #: The primes of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*own, "fp"])
 
-    return docs.select(*own, text_col).mapInArrow(run, ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own) + ", fp long")
+    return docs.select(*own, text_col).mapInArrow(released(run), ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own) + ", fp long")
 
 
 class _Counters:
@@ -277,7 +277,7 @@ def near_links(distinct: DataFrame, *, radius: int = 2, block: int = BLOCK) -> D
             a, b_ = fps[a], fps[b_]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b_)), pa.array(np.minimum(a, b_))], names=["a", "b"])
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return grouped.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _with_last(batches):

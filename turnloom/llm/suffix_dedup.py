@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import MOST_IDS, discard, sized, table, written
-from ._text import buffers, mixed, prefix_sums, slices, span_hash
+from ._text import buffers, mixed, prefix_sums, released, slices, span_hash
 
 WINDOW, GRAM = 100, 24
 BLOCK = 16
@@ -110,16 +110,18 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 text, start, n, lead, h, c = anchor_rows(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[lo + text]), pa.array(start + base), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))], names=["key", "full", "doc", "start", "n", "lead"])
 
-    return docs.mapInArrow(run, "key long, full long, doc long, start long, n int, lead int")
+    return docs.mapInArrow(released(run), "key long, full long, doc long, start long, n int, lead int")
 
 
-def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows: key, full, doc, start, n, lead. Spans of the rows that repeat an earlier one whole, and the standing rows whose key others share with another full; and the table that both read."""
-    keys = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("full").alias("f0"), F.max("full").alias("f1")).filter("rows > 1").select("key", (F.col("f0") != F.col("f1")).alias("differ"))
+def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """rows: key, full, doc, start, n, lead. Spans of the rows that repeat an earlier one whole, and the standing rows whose key others share with another full; and the tables that both read."""
+    # counts are written before they are joined: a skew join can then split the rows of a hot key, which it can't above an aggregate
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("full").alias("f0"), F.max("full").alias("f1")).filter("rows > 1").select("key", (F.col("f0") != F.col("f1")).alias("differ")), name + "-keys")
     kept = written(rows.join(keys, "key"), name)
-    stands = kept.groupBy("key", "full").agg(F.min(F.struct("doc", "start")).alias("first"), F.first(F.struct("n", "lead", "differ")).alias("row"), F.count("*").alias("rows"))
+    discard(keys)
+    stands = written(kept.groupBy("key", "full").agg(F.min(F.struct("doc", "start")).alias("first"), F.first(F.struct("n", "lead", "differ")).alias("row"), F.count("*").alias("rows")), name + "-first")
     later = kept.join(stands.filter("rows > 1").select("key", "full", "first"), ["key", "full"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    return later.select("doc", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end")), stands.filter("row.differ").select("first.doc", "first.start", "row.n", "row.lead"), kept
+    return later.select("doc", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end")), stands.filter("row.differ").select("first.doc", "first.start", "row.n", "row.lead"), [kept, stands]
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
             z = [codec.compress(data[i:j].tobytes(), asbytes=True) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(z, pa.binary())], names=["doc", "n_bytes", "z"])
 
-    return docs.mapInArrow(run, "doc long, n_bytes long, z binary")
+    return docs.mapInArrow(released(run), "doc long, n_bytes long, z binary")
 
 
 def _unpack(z: bytes, n: int) -> np.ndarray:
@@ -158,7 +160,7 @@ def _with_text(docs: DataFrame, rows: DataFrame, of_row, schema: str) -> DataFra
                 ok = start + n - 1 + WINDOW <= len(data)
                 yield of_row(data, b.column(0)[i].as_py(), start[ok], n[ok], lead[ok])
 
-    return _packed(docs, by_doc.select("doc")).join(by_doc, "doc").select("doc", "n_bytes", "z", "rows").mapInArrow(run, schema)
+    return _packed(docs, by_doc.select("doc")).join(by_doc, "doc").select("doc", "n_bytes", "z", "rows").mapInArrow(released(run), schema)
 
 
 def _blocks(data, doc, start, n, lead):
@@ -197,7 +199,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     again = windows.join(earliest, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     spans = of_rows.unionByName(of_blocks).unionByName(again.select("doc", "start", (F.col("start") + WINDOW).alias("end")))
     out = written(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    for done in (rows, blocks, same_blocks, windows):
+    for done in (*rows, blocks, *same_blocks, windows):
         discard(done)
     return out
 
@@ -214,8 +216,8 @@ def merged(starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return starts[runs], reach[np.concatenate([runs[1:], [len(starts)]]) - 1]
 
 
-def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, n_bytes, n_removed, n_spans and kept (the bytes left) for the documents in spans."""
+def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """doc, n_bytes, n_removed, n_spans and kept (the bytes left; as_text: what is whole characters of them) for the documents in spans."""
 
     def run(batches):
         for b in batches:
@@ -226,11 +228,13 @@ def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col:
                 keep = np.ones(len(data), bool)
                 for lo, hi in zip(a.tolist(), e.tolist(), strict=True):
                     keep[lo:hi] = False
-                left = data[keep]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(data)]), pa.array([len(data) - len(left)]), pa.array([len(a)]), pa.array([left.tobytes()], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+                left = data[keep].tobytes()
+                kept = pa.array([left.decode("utf-8", "ignore")], pa.string()) if as_text else pa.array([left], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(data)]), pa.array([len(data) - len(left)]), pa.array([len(a)]), kept], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     docs = _with_id(docs, id_col, text_col)
-    return _packed(docs, spans.select("doc")).join(spans, "doc").select("doc", "n_bytes", "z", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    return _packed(docs, spans.select("doc")).join(spans, "doc").select("doc", "n_bytes", "z", "spans").mapInArrow(released(run), schema)
 
 
 def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,16 +242,11 @@ def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     columns = docs.columns
     docs = _numbered(docs, id_col, text_col)
     spans = repeated_spans(docs, id_col="__doc", text_col=text_col)
-    left = cut(docs, spans, id_col="__doc", text_col=text_col)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=["doc", "left_text"])
-
-    texts = left.select("doc", "kept").mapInArrow(run, "doc long, left_text string").dropDuplicates(["doc"])
+    left = cut(docs, spans, id_col="__doc", text_col=text_col, as_text=True)
+    texts = left.select(F.col("doc").alias("__doc"), F.col("kept").alias("__left")).dropDuplicates(["__doc"])
     untouched = docs.join(sized(spans.select(F.col("doc").alias("__doc"))), "__doc", "left_anti")
     others = [c for c in docs.columns if c != text_col]
-    touched = docs.select(*others).join(texts.withColumnRenamed("doc", "__doc"), "__doc").withColumnRenamed("left_text", text_col)
+    touched = docs.select(*others).join(texts, "__doc").withColumnRenamed("__left", text_col)
     return untouched.select(*columns).unionByName(touched.select(*columns))
 
 

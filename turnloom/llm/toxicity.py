@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import discard, table, written
-from ._text import LOWER, NOT_ALNUM, prefix_sums, slices, span_hash, word_bounds
+from ._text import LOWER, NOT_ALNUM, prefix_sums, released, slices, span_hash, word_bounds
 
 #: Labelled texts of each class that the class models are fitted on, at most.
 MAX_LABELLED = 10_000
@@ -62,8 +62,6 @@ DISCOUNT = 0.75
 REPEATS = 4
 #: How many times the chance level, in nats, a split has to gain at most.
 GAIN = 2.0
-#: Share of a word's probability that comes from the word before it.
-PAIR_WEIGHT = 0.25
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
@@ -90,7 +88,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
                         names=["what", "fold", "at", "stem", "before", "ordinary", "toxic"],
                     )
 
-    rows = labelled.mapInArrow(run, "what int, fold int, at long, stem long, before long, ordinary long, toxic long")
+    rows = labelled.mapInArrow(released(run), "what int, fold int, at long, stem long, before long, ordinary long, toxic long")
     return rows.groupBy("what", "fold", "at", "stem", "before").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
@@ -113,24 +111,86 @@ def told_apart(counts: DataFrame, sizes: dict) -> DataFrame:
     return counts.filter(sure)
 
 
-def context_counts(docs: DataFrame, words: np.ndarray, stems: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
-    """Of all texts the exact numbers of different words before each of words and of stems (sorted hashes), and before any stem."""
+#: Distinct pairs that one bucket of context_counts() holds about, and after how many a task sends what it has.
+BUCKET_PAIRS, SENT_PAIRS = 1 << 20, 1 << 21
+
+
+def _thin(h: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, each in as few bytes as the largest takes; the first byte says how many."""
+    steps = np.diff(h, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(h) else 1
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _thick(b: bytes) -> np.ndarray:
+    width = b[0]
+    steps = np.zeros(((len(b) - 1) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _one_each(at: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (at, pair) once, sorted by pair."""
+    order = np.lexsort((at, pair))
+    at, pair = at[order], pair[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (pair[1:] != pair[:-1])
+    return at[new], pair[new]
+
+
+def context_counts(docs: DataFrame, words: np.ndarray, stems: np.ndarray, text_col: str = "text", bucket_pairs: int = BUCKET_PAIRS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of all texts the exact numbers of different words before each of words and of stems (sorted hashes), and before any stem.
+
+    A pair is known by its hash. Tasks make their pairs distinct and send them sorted, in buckets by the first
+    bits of the hash; a bucket holds about bucket_pairs pairs whatever the corpus, and no word is hot, as its pairs are in all buckets.
+    """
     wanted = docs.sparkSession.sparkContext.broadcast((Lookup(words), Lookup(stems)))
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = int(np.log2(max(n_bytes // 6 // bucket_pairs, 64)))  # a word has some six bytes
+    n_own = len(words) + len(stems)
+    low = [np.uint64(k << (64 - bits)) for k in range(1 << bits)]
+
+    def sent(every: list, own: list):
+        every = np.unique(np.concatenate(every))
+        at, pair = _one_each(*(np.concatenate(x) for x in zip(*own, strict=True)))
+        cuts, own_cuts = (np.append(np.searchsorted(x, low), len(x)).tolist() for x in (every, pair))
+        rows = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]  # own pairs stand among every stem's or are words'
+        rows += [k for k in range(1 << bits) if cuts[k] == cuts[k + 1] and own_cuts[k] < own_cuts[k + 1]]
+        parts = [(k, slice(cuts[k], cuts[k + 1]), slice(own_cuts[k], own_cuts[k + 1])) for k in rows]
+        columns = [pa.array([k for k, _, _ in parts], pa.int64()), pa.array([_thin(every[e] - low[k]) for k, e, _ in parts], pa.binary()), pa.array([_thin(pair[o] - low[k]) for k, _, o in parts], pa.binary()), pa.array([at[o].astype(np.int32).tobytes() for _, _, o in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "every", "pair", "at"])
 
     def run(batches):
         own_words, own_stems = wanted.value
+        every, own, n = [], [], 0
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 w, s, before, _ = _tokens(data, offsets)
-                some = np.flatnonzero((k := own_words(w)) < len(own_words.keys))
-                for what, at, pair in ((WORDS, k[some], _pair(before[some], w[some])), (STEMS, own_stems(s), _pair(before, s))):
-                    pair, first = np.unique(pair, return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), what, np.int32)), pa.array(at[first].astype(np.int32)), _signed(pair)], names=["what", "at", "pair"])
-
-    pairs = docs.select(text_col).mapInArrow(run, "what int, at int, pair long").distinct()
-    found = {(r.what, r["at"]): r.n for r in pairs.groupBy("what", "at").agg(F.count("*").alias("n")).collect()}
+                of_word, of_stem = own_words(w), own_stems(s)
+                some, few = np.flatnonzero(of_word < len(own_words.keys)), np.flatnonzero(of_stem < len(own_stems.keys))
+                stem_pair = _pair(before, s)
+                every.append(np.unique(stem_pair))
+                own.append(_one_each(np.concatenate([of_word[some], len(own_words.keys) + of_stem[few]]), np.concatenate([_pair(before[some], w[some]), stem_pair[few]])))
+                n += len(every[-1]) + len(own[-1][0])
+                if n > SENT_PAIRS:
+                    yield sent(every, own)
+                    every, own, n = [], [], 0
+        if n:
+            yield sent(every, own)
+
+    def count(_, rows):
+        every = [_thick(x) for x in rows.column("every").to_pylist()]
+        pair = [_thick(x) for x in rows.column("pair").to_pylist()]
+        at = [np.frombuffer(x, np.int32) for x in rows.column("at").to_pylist()]
+        own, n = np.unique(_one_each(np.concatenate(at), np.concatenate(pair))[0], return_counts=True)
+        return pa.table({"at": pa.array(np.append(own, n_own), pa.int64()), "n": pa.array(np.append(n, len(np.unique(np.concatenate(every)))), pa.int64())})
+
+    buckets = docs.select(text_col).mapInArrow(released(run), "bucket long, every binary, pair binary, at binary")
+    counted = buckets.groupBy("bucket").applyInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    found = dict(map(tuple, counted.collect()))  # one row for each of words and stems
     wanted.destroy()
-    return *(np.array([found.get((what, k), 0) for k in range(len(x))], float) for what, x in ((WORDS, words), (STEMS, stems))), sum(n for (what, _), n in found.items() if what == STEMS)
+    n = np.array([found.get(k, 0) for k in range(n_own)], float)
+    return n[: len(words)], n[len(words) :], int(found.get(n_own, 0))
 
 
 class Lookup:
@@ -159,13 +219,15 @@ class Model:
 
     def __init__(self, sure: dict, sizes, words: np.ndarray, word_contexts: np.ndarray, stem_of: np.ndarray, stems: np.ndarray, stem_contexts: np.ndarray, contexts: int, before_counts: list[np.ndarray]):
         self.words, self.stems = Lookup(words), Lookup(stems)
-        at, _, pairs = sure[PAIRS]
+        at, before_of, pairs = sure[PAIRS]
         order = np.argsort(at)
         self.pairs = Lookup(at[order])
         own_stem = np.append(np.searchsorted(stems, stem_of), len(stems))
         stem_contexts = np.append(np.maximum(stem_contexts, 1), 1)  # where nothing is known both classes have it alike, and it cancels
         self.share = np.append(np.maximum(word_contexts, 1), 1) / stem_contexts[own_stem]
         self.share[-1] = 1
+        contexts_of, place = np.unique(before_of, return_inverse=True)
+        self.contexts = Lookup(contexts_of)
         self.classes = []
         for label in (0, 1):
             own = []
@@ -176,19 +238,20 @@ class Model:
             n_all = max(sizes[label], 1.0)
             stem_p = own[1] / n_all + max(n_all - own[1].sum(), 1) / n_all * stem_contexts / max(contexts, 1)
             back = max(n_all - own[0].sum(), 1) / n_all
-            pair_p = np.minimum(np.maximum(pairs[label] - DISCOUNT, 0) * PAIR_WEIGHT / np.maximum(before_counts[label], 1), PAIR_WEIGHT)
-            self.classes.append((stem_p * back, own[0] / n_all, np.append(pair_p[order], 0)))
+            kept = np.maximum(pairs[label] - DISCOUNT, 0) / np.maximum(before_counts[label], 1)
+            left = 1 - np.bincount(place, kept, len(contexts_of))  # the discounted mass, which backs off
+            self.classes.append((stem_p * back, own[0] / n_all, np.append(kept[order], 0), np.append(left, 1)))
 
     def ratios(self, words, stems, before) -> np.ndarray:
-        w, s, p = self.words(words), self.stems(stems), self.pairs(_pair(before, words))
-        hit = np.flatnonzero((w < len(self.words.keys)) | (s < len(self.stems.keys)) | (p < len(self.pairs.keys)))
+        w, s, p, c = self.words(words), self.stems(stems), self.pairs(_pair(before, words)), self.contexts(before)
+        hit = np.flatnonzero((w < len(self.words.keys)) | (s < len(self.stems.keys)) | (c < len(self.contexts.keys)))
 
-        def ratio(w, s, p):
-            logs = [np.log(pair_p[p] + (1 - PAIR_WEIGHT) * (word_p[w] + stem_p[s] * self.share[w])) for stem_p, word_p, pair_p in self.classes]
+        def ratio(w, s, p, c):
+            logs = [np.log(pair_p[p] + left[c] * (word_p[w] + stem_p[s] * self.share[w])) for stem_p, word_p, pair_p, left in self.classes]
             return logs[1] - logs[0]
 
-        out = np.full(len(words), ratio(-1, -1, -1))
-        out[hit] = ratio(w[hit], s[hit], p[hit])
+        out = np.full(len(words), ratio(-1, -1, -1, -1))
+        out[hit] = ratio(w[hit], s[hit], p[hit], c[hit])
         return out
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -208,8 +271,8 @@ class Model:
         return out
 
 
-def fitted_models(docs: DataFrame, labelled: DataFrame, n_texts: dict, text_col: str) -> tuple[Model, Model]:
-    """The models of both folds. labelled: text, label + 2 * fold; n_texts: number of texts of each label + 2 * fold."""
+def fitted_models(docs: DataFrame, labelled: DataFrame, text_col: str) -> tuple[Model, Model]:
+    """The models of both folds. labelled: text, label + 2 * fold."""
     spark = docs.sparkSession
     counts = written(class_counts(labelled), "class-expressions")
     sizes = {(r.what, r.fold): r for r in counts.groupBy("what", "fold").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.max("toxic").alias("most")).collect()}
@@ -222,13 +285,13 @@ def fitted_models(docs: DataFrame, labelled: DataFrame, n_texts: dict, text_col:
     stem_of = stem[what != STEMS][place]
     stems = np.unique(np.concatenate([stem_of, at[what == STEMS]]))
     word_contexts, stem_contexts, contexts = context_counts(docs, words, stems, text_col)
-    keys = spark.createDataFrame([(int(x),) for x in np.unique(before[what == PAIRS]).view(np.int64)], "at long")
-    of_context = {(r.fold, r["at"]): (r.ordinary, r.toxic) for r in counts.filter(F.col("what") == WORDS).join(F.broadcast(keys), "at").select("fold", "at", "ordinary", "toxic").collect()}
+    keys = spark.createDataFrame([(int(x),) for x in np.unique(before[what == PAIRS]).view(np.int64)], "before long")
+    # of the words before told-apart pairs, how many pairs they begin
+    of_context = {(r.fold, r.before): (r.ordinary, r.toxic) for r in counts.filter(F.col("what") == PAIRS).join(F.broadcast(keys), "before").groupBy("fold", "before").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).collect()}
     models = []
     for f in (0, 1):
         own = {k: (at[m], before[m], [x[m].astype(float) for x in sure[5:]]) for k in (WORDS, STEMS, PAIRS) for m in [(what == k) & (fold == f)]}
-        start = tuple(n_texts.get(label + 2 * f, 0) for label in (0, 1))
-        before_counts = np.array([start if not x else of_context.get((f, x), (0, 0)) for x in own[PAIRS][1].view(np.int64).tolist()], float).reshape(-1, 2).T
+        before_counts = np.array([of_context.get((f, x), (0, 0)) for x in own[PAIRS][1].view(np.int64).tolist()], float).reshape(-1, 2).T
         size = sizes.get((WORDS, f))
         models.append(Model(own, (size.ordinary, size.toxic) if size else (0, 0), words, word_contexts, stem_of, stems, stem_contexts, contexts, list(before_counts)))
     discard(counts)
@@ -276,9 +339,8 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     own = spark.createDataFrame([(i, x) for i, x in label_of.items()], f"`{id_col}` {dict(docs.dtypes)[id_col]}, __label int")
     # own has at most 2 * max_labelled rows
     labelled = docs.join(F.broadcast(own), id_col).select(text_col, "__label")
-    n_texts = {r[0]: r[1] for r in labelled.groupBy("__label").count().collect()}
     # each labelled text gets its evidence from the model of the other fold
-    halves = spark.sparkContext.broadcast(fitted_models(docs, labelled, n_texts, text_col))
+    halves = spark.sparkContext.broadcast(fitted_models(docs, labelled, text_col))
 
     def calibrate(batches):
         models = halves.value
@@ -291,7 +353,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = np.concatenate(parts) if parts else np.zeros((0, 4))
             yield pa.RecordBatch.from_arrays([pa.array(label & 1), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(4))], names=["y", "a", "b", "c", "d"])
 
-    fitted = labelled.mapInArrow(calibrate, "y int, a double, b double, c double, d double").toArrow()
+    fitted = labelled.mapInArrow(released(calibrate), "y int, a double, b double, c double, d double").toArrow()
     y, *x = (c.to_numpy() for c in fitted.columns)
     if len(np.unique(y)) < 2:
         return docs.select(*own_columns, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -306,7 +368,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             p = 1 / (1 + np.exp(-np.clip((x - centre) / scale @ w[:-1] + w[-1], -40, 40)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*own_columns, "score", "predicted"])
 
-    return docs.select(*own_columns, text_col).mapInArrow(run, out_type)
+    return docs.select(*own_columns, text_col).mapInArrow(released(run), out_type)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ minimum rank, found by a hashed pair lookup, and the matrix closes up by one col
 without a known pair are done. Ids of frequent pieces are kept in a bounded dictionary, which
 changes speed only.
 
-Pieces longer than LONG bytes merge on a heap, as a round for each merge would be quadratic.
+A piece longer than LONG bytes is a matrix of one row, in which a round merges all pairs of the minimum rank, from the
+left and none overlapping another, as a round for each merge would be quadratic. That is the same as one after the other,
+unless a merged token makes a pair of lower rank than its own; of such tokens, if a vocabulary has any, only the leftmost pair merges.
 
 Defined results: a null or empty text has no ids, and decodes to no bytes; every row is
 encoded for itself, repeated ones too; an empty table gives an empty result; other columns of
@@ -15,7 +17,6 @@ the input are read only where asked for.
 
 import base64
 import hashlib
-import heapq
 import re
 
 import numpy as np
@@ -26,7 +27,7 @@ from ._store import table
 from ._text import released, slices
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Pieces longer than this merge on a heap.
+#: Pieces longer than this merge several pairs a round.
 LONG = 192
 #: Pieces kept with their ids, in each worker.
 KEPT_PIECES = 150_000
@@ -50,7 +51,10 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = rank
         keys, merged = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
-        self.pairs = pairs
+        if len(self.bytes_of) > 1 << 20:
+            raise ValueError("ids have to be below 2**20")
+        #: tokens of which a pair merges to a lower rank than their own
+        self.early = np.unique(np.concatenate([part[merged < part] for part in (keys >> 20, keys & 0xFFFFF)]))
         self.bits = max(4, int(len(pairs)).bit_length() + 1)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.merged = np.full(1 << self.bits, _NONE, np.int32)
@@ -140,24 +144,22 @@ class Vocabulary:
                 ranks[ok, pair[ok]] = self.rank_of(ids[ok, pair[ok]], ids[ok, pair[ok] + 1])
 
     def _encode_long(self, piece: bytes) -> list[int]:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := self.pairs.get(a << 20 | b)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = k = after[j]
-            if k < len(ids):
-                before[k] = i
-                if (r := self.pairs.get(rank << 20 | ids[k])) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := self.pairs.get(ids[h] << 20 | rank)) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
-        return [x for x in ids if x >= 0]
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.rank_of(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == best)
+            if best in self.early:
+                at = at[:1]
+            else:  # of pairs that overlap, as in aaaa, every second one
+                first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            ids[at] = best
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            new = at - np.arange(len(at))
+            for pair in (new - 1, new):  # only the merged tokens' pairs are new
+                pair = pair[(pair >= 0) & (pair < len(ranks))]
+                ranks[pair] = self.rank_of(ids[pair], ids[pair + 1])
+        return ids.tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -187,30 +189,29 @@ class Splitter:
 
 
 class Encoder:
-    """Whole texts to ids. Keeps the ids of pieces seen, in dictionaries of bounded size."""
+    """Whole texts to ids. Keeps the ids of pieces seen, in a dictionary of bounded size."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary, self.split = Vocabulary(path), Splitter(pattern)
         self.id_text = [str(i) for i in range(len(self.vocabulary.bytes_of))]
+        self.bytes_of = dict(zip(self.id_text, self.vocabulary.bytes_of, strict=True))
         self.ids_of: dict[str, str] = {}
-        self.bytes_of: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str], data: np.ndarray | None = None):
         """For each text its ids, as decimal numbers joined by commas, and the bytes that they decode to."""
         split = self.split(texts, data)
         if len(self.ids_of) > KEPT_PIECES:
-            self.ids_of, self.bytes_of = {}, {}
+            self.ids_of = {}
         new: set[str] = set()
         for pieces in split:
             new.update(pieces)
         new.difference_update(self.ids_of)
         found = self.vocabulary.encode_pieces([p.encode() for p in new])
-        text_of, bytes_of = self.id_text.__getitem__, self.vocabulary.bytes_of.__getitem__
         for p, ids in zip(new, found, strict=True):
-            self.ids_of[p] = ",".join(map(text_of, ids))
-            self.bytes_of[p] = b"".join(map(bytes_of, ids))
+            self.ids_of[p] = ",".join(map(self.id_text.__getitem__, ids))
         for pieces in split:
-            yield ",".join(map(self.ids_of.__getitem__, pieces)), b"".join(map(self.bytes_of.__getitem__, pieces))
+            ids = ",".join(map(self.ids_of.__getitem__, pieces))
+            yield ids, b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
 def default_files() -> tuple[str, str]:

@@ -7,8 +7,8 @@ hash of a longer one's proper prefix is dropped by an anti-join; of equal conver
 the smallest conv_id stays. Only what is left is rendered. Prefixes are made distinct before the
 join, so a first turn that all conversations share is one row.
 
-One exchange by conversation serves the windows and the rendering. A rendered conversation is
-one string, so its turns meet in one task.
+The query writes the prefixes once. Only their narrow columns are read to find the maximal conversations,
+and the texts of these alone are read to render them. A rendered conversation is one string, so its turns meet in one task.
 
 Defined results: rows of null conv_id make one conversation with a null id; null roles and texts
 count as empty; exactly repeated rows of a conversation count once; turns are ordered by
@@ -18,7 +18,7 @@ count as empty; exactly repeated rows of a conversation count once; turns are or
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import table, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -51,7 +51,7 @@ def render(prefixes: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def op1_chat_formatting(spark, sf_dir: str) -> DataFrame:
-    prefixes = turn_prefixes(table(spark, sf_dir, "conversations"))
+    prefixes = written(turn_prefixes(table(spark, sf_dir, "conversations")), "prefixes")
     return render(prefixes, maximal_conversations(prefixes))
 
 

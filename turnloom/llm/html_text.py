@@ -4,8 +4,12 @@ A page is cut into flat blocks at block-level tags. Each block has its word coun
 those of its two neighbours, and what encloses it; a decision tree, trained here on the small
 labelled table LABELLED, says whether it belongs to the article.
 
+Elements close as HTML lets them: a list item, table cell or paragraph ends where the next begins or its list, row or
+parent ends. Whole names in class, id and role are evidence (`ad`, `site-footer`), names that only say what the
+element has or lacks are not (`with-sidebar`, `no-banner`).
+
 Defined results: a null or empty page has the empty text; broken markup is read as far as it
-goes (an open comment, script or tag runs to the end); every page is read for itself, repeated ones
+goes (an open comment, script, style or tag runs to the end; an open svg, select or other embedded element is only a tag); every page is read for itself, repeated ones
 too; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -15,12 +19,14 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import released
 from ._store import table
+from ._text import released
 
-#: Elements whose content is never text.
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|head|object|canvas|math|audio|video"
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Elements whose content is no markup, and runs to the end if they aren't closed; and such as embed something, if they are closed.
+RAW, EMBEDDED = "script|style|textarea|title|iframe|noembed", "noscript|template|svg|math|select|object|canvas|audio|video"
+_MARKUP = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<({EMBEDDED})\b[^>]*>.*?</\2\s*>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I
+)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input button".split())
@@ -31,7 +37,17 @@ BOILER_WORDS = frozenset(
     "sharing social related comment comments disqus reply replies breadcrumb breadcrumbs newsletter subscribe subscription login signup widget pagination pager toolbar masthead alert legal "
     "copyright search contentinfo complementary".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li td th tr dt dd option".split())
+#: First words of names that tell what an element has, not what it is.
+MODIFIERS = frozenset("has have no not with without is hide show above below before after".split())
+VOID = frozenset("area base col embed hr img input link meta param source track".split())
+#: What an opening tag closes, up to an element of the second set.
+_CELLS = frozenset("td th".split())
+CLOSES = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu".split())), "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])),
+    "td": (_CELLS, frozenset("tr table".split())), "th": (_CELLS, frozenset("tr table".split())), "tr": (frozenset(["tr"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset()),
+}
+PARAGRAPH = (frozenset(["p"]), frozenset("li td th dd article section main div body blockquote aside nav footer header form figure table ul ol dl".split()))
+
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "boiler", "article", "heading")
 #: Blocks labelled by hand: values of FEATURES, then 1 for the article's text. boiler: an enclosing element is of BOILER_*;
@@ -50,6 +66,9 @@ LABELLED = (
     (22, 0.05, 21, 0.0, 1, 0.0, 0, 0.5, 0, 1), (18, 0.1, 9, 0.0, 2, 1.0, 0, 0.5, 0, 1), (14, 0.0, 22, 0.0, 16, 0.0, 0, 0.5, 0, 1), (11, 0.0, 3, 1.0, 14, 0.0, 0, 0.5, 0, 1), (19, 0.2, 18, 0.1, 20, 0.0, 0, 0.5, 0, 1),
     (16, 0.0, 12, 0.0, 0, 0.0, 0, 0.5, 0, 1), (24, 0.0, 0, 0.0, 25, 0.0, 0, 0.5, 0, 1), (9, 0.0, 30, 0.0, 22, 0.0, 0, 0.5, 0, 1), (21, 0.15, 4, 0.0, 5, 0.0, 0, 0.5, 0, 1), (8, 0.0, 12, 0.0, 11, 0.0, 0, 0.5, 0, 1),
     (18, 0.7, 25, 0.0, 22, 0.0, 0, 0.5, 0, 0), (22, 0.9, 4, 1.0, 30, 0.0, 0, 0.5, 0, 0), (6, 0.8, 20, 0.0, 15, 0.0, 0, 0.5, 0, 0), (50, 0.6, 3, 1.0, 5, 1.0, 0, 0.5, 0, 0),
+    (3, 0.0, 0, 0.0, 60, 0.0, 0, 0.5, 1, 1), (5, 0.0, 0, 0.0, 25, 0.0, 0, 0.5, 1, 1), (2, 0.0, 0, 0.0, 40, 0.0, 0, 0.5, 1, 1), (4, 0.0, 2, 1.0, 45, 0.0, 0, 0.5, 1, 1), (2, 0.0, 4, 1.0, 30, 0.0, 0, 0.5, 1, 1),
+    (9, 0.0, 22, 0.0, 0, 0.0, 0, 0.5, 0, 1), (4, 0.0, 40, 0.0, 0, 0.0, 0, 0.5, 0, 1), (8, 0.0, 3, 0.0, 0, 0.0, 0, 0.5, 0, 1), (6, 0.0, 12, 0.0, 0, 0.0, 0, 0.5, 0, 1),
+    (4, 0.0, 2, 1.0, 60, 0.0, 0, 0.5, 0, 1), (5, 0.0, 1, 1.0, 35, 0.0, 0, 0.5, 0, 1), (3, 0.0, 1, 1.0, 50, 0.0, 0, 0.5, 0, 1), (2, 0.0, 6, 1.0, 28, 0.1, 0, 0.5, 0, 1),
     (2, 0.0, 3, 1.0, 4, 1.0, 0, 0.5, 0, 0), (4, 0.0, 5, 0.5, 3, 1.0, 0, 0.5, 0, 0), (5, 0.0, 3, 1.0, 0, 0.0, 0, 0.5, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0.5, 1, 0),
 )
 
@@ -84,8 +103,17 @@ def predict(tree, features) -> int:
     return tree
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """Flat blocks in page order: text, words, words in links, boiler, in an article, heading."""
+def _is_boiler(tag: str) -> bool:
+    """Whether a class, id or role of the tag names what isn't the article."""
+    for name in " ".join(map("".join, _NAMES.findall(tag))).lower().split():
+        parts = re.findall("[a-z]+", name)
+        if parts and parts[0] not in MODIFIERS and not BOILER_WORDS.isdisjoint(parts):
+            return True
+    return False
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, float, bool]]:
+    """Flat blocks in page order: text, words, words in links, boiler, article (see LABELLED), heading."""
     out, parts, links = [], [], []
     stack: list[tuple[str, bool]] = []  # enclosing elements: name, boiler
     boiler = article = in_link = 0
@@ -99,6 +127,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             out.append((text, len(text.split()), len(html.unescape(" ".join(links)).split()), boiler > 0, article > 0, heading))
         parts, links = [], []
 
+    def leave(depth: int) -> None:
+        nonlocal boiler, article
+        while len(stack) > depth:
+            name, was = stack.pop()
+            boiler -= was
+            article -= name in ("article", "main")
+
+    def end(names: frozenset, within: frozenset) -> None:
+        """Leaves the innermost of names, if no element of within is inside it."""
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth][0] in names:
+                return leave(depth)
+            if stack[depth][0] in within:
+                return None
+
     at = 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
@@ -107,7 +150,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 links.append(page[at : m.start()])
         at = m.end()
         tag = _TAG.match(m[0])
-        if m[1] or not tag:
+        if m[1] or m[2] or not tag or m[0].endswith("/>") and tag[2].lower() in ("svg", "math"):
             continue
         name, closing = tag[2].lower(), bool(tag[1])
         if name == "a":
@@ -116,34 +159,28 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name == "br":
             parts.append(" ")
             continue
-        names = [] if closing or name in VOID or name == "body" or name == "html" else re.findall(r"[a-z]+", " ".join(map("".join, _NAMES.findall(m[0]))).lower())
-        bad = name in BOILER_TAGS or name == "header" and not article or not BOILER_WORDS.isdisjoint(names)
-        if name in INLINE and not bad:
-            continue
-        if not (name in INLINE):
-            close()
-            in_link = 0
-        if re.fullmatch("h[1-6]", name):
-            heading = not closing
-        elif name in VOID or m[0].endswith("/>"):
+        bad = not closing and (name in BOILER_TAGS or name == "header" and not article or name not in ("body", "html") and _is_boiler(m[0]))
+        if name in INLINE and not bad and not (closing and any(n == name for n, _ in stack)):
+            continue  # an inline element is on the stack only if its names say that it isn't the article
+        close()
+        in_link = in_link if name in INLINE else 0
+        if closing:
+            end(frozenset([name]), frozenset())
             heading = False
-        elif closing:
-            heading = False
-            if any(n == name for n, _ in stack):
-                while stack:
-                    n, was = stack.pop()
-                    boiler -= was
-                    article -= n in ("article", "main")
-                    if n == name:
-                        break
-        else:
-            if name in INLINE:
-                close()
+            continue
+        if name in CLOSES:
+            end(*CLOSES[name])
+        elif name not in INLINE:
+            end(*PARAGRAPH)
+        heading = re.fullmatch("h[1-6]", name) is not None
+        if name not in VOID and name not in ("body", "html", "head", "wbr"):
             stack.append((name, bad))
             boiler += bad
             article += name in ("article", "main")
     if at < len(page):
         parts.append(page[at:])
+        if in_link:
+            links.append(page[at:])
     close()
     return [(*b[:4], 1 if b[4] else -1 if has_article else 0.5, b[5]) for b in out]
 

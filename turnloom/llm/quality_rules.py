@@ -148,7 +148,9 @@ def quality_measures(docs: DataFrame, *, keep: list[str], text_col: str = "text"
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     from ._store import table
 
-    return quality_measures(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = quality_measures(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    asked = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*asked, *[c for c in out.columns if c not in asked])
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_FORMS)

@@ -15,17 +15,19 @@ sorts first; equal rows are neighbours with slots of their own; an empty table g
 empty result; other columns aren't read.
 """
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import released
 from ._store import table, written
+from ._text import released
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
-#: Probes in the first pass, and for each open boundary in the later ones.
-FIRST_PROBES, PROBES = 4096, 256
+#: Probes in the first pass; for each open boundary in the later ones, and of all boundaries about.
+FIRST_PROBES, PROBES, ALL_PROBES = 4096, 256, 1 << 18
 
 
 def _rank(keys: np.ndarray, ids: np.ndarray, probe_keys: np.ndarray, probe_ids: np.ndarray) -> np.ndarray:
@@ -79,29 +81,29 @@ class _Cut:
         self.target, self.key, self.lo, self.hi, self.best, self.error, self.open = target, None, LOW, HIGH, (LOW, LOW), target, True
 
     def probes(self, n: int) -> list[tuple[int, int]]:
+        """About n places in the interval, in order."""
         steps = sorted({self.lo + (self.hi - self.lo) * k // n for k in range(n + 1)} | {min(self.hi + 1, HIGH)})
         return [(x, LOW) if self.key is None else (self.key, x) for x in steps]
 
-    def learn(self, probes, own, below, found, tolerance: float, whole: float) -> None:
-        for p in own:
-            if abs(below[p] - self.target) < self.error:
+    def learn(self, probes, own: slice, below, found, tolerance: float, whole: float) -> None:
+        """own: where this boundary's interval is in probes; below: for each probe the weight below it, which never falls."""
+        place = own.start + int(np.searchsorted(below[own], self.target, "right"))  # the first probe over the target
+        for p in (place - 1, place):
+            if own.start <= p < own.stop and abs(below[p] - self.target) < self.error:
                 self.best, self.error = probes[p], abs(below[p] - self.target)
         if self.error <= tolerance:
             self.open = False
             return
-        under = [p for p in own if below[p] <= self.target]
-        over = [p for p in own if below[p] > self.target]
-        # intervals between the last probe under the target and the first one over it, shrunk to the rows that they hold
-        between = slice((under[-1] if under else -1) + 1, (over[0] if over else len(probes)) + 1)
-        n, k0, k1, i0, i1 = (x[between] for x in found)
-        if not n.any():
+        # the interval between the last probe under the target and the first one over it, shrunk to the rows that it holds
+        n, k0, k1, i0, i1 = (int(x[place]) for x in found)
+        if not n:
             self.open = False
-        elif self.key is None and k0.min() < k1.max():
-            self.lo, self.hi = int(k0.min()), int(k1.max())
+        elif self.key is None and k0 < k1:
+            self.lo, self.hi = k0, k1
         elif self.key is None and self.error > whole:  # one text; the boundary goes between two of its ids
-            self.key, self.lo, self.hi = int(k0.min()), int(i0.min()), int(i1.max())
-        elif self.key is not None and i0.min() < i1.max():
-            self.lo, self.hi = int(i0.min()), int(i1.max())
+            self.key, self.lo, self.hi = k0, i0, i1
+        elif self.key is not None and i0 < i1:
+            self.lo, self.hi = i0, i1
         else:
             self.open = False
 
@@ -115,14 +117,14 @@ def find_splitters(rows: DataFrame, parts: int, total: int, weight: str, *, tole
     cuts = [_Cut(total * j / parts) for j in range(1, parts)]
     n_probes = FIRST_PROBES
     while open_cuts := [c for c in cuts if c.open]:
-        own = [c.probes(n_probes) for c in open_cuts]
-        probes = sorted({p for x in own for p in x})
-        place = {p: k for k, p in enumerate(probes)}
+        # boundaries in the same interval, as all are at first, share its probes
+        shared = {(c.key, c.lo, c.hi): c for c in open_cuts}
+        probes = sorted({p for c in shared.values() for p in c.probes(n_probes)})
         found = _histogram(rows, probes, weight)
         below = np.cumsum(found[0])[:-1]
-        for c, x in zip(open_cuts, own, strict=True):
-            c.learn(probes, [place[p] for p in x], below, found, tolerance * mean, whole * mean)
-        n_probes = PROBES
+        for c in open_cuts:
+            c.learn(probes, slice(0, len(probes)), below, found, tolerance * mean, whole * mean)
+        n_probes = max(8, min(PROBES, ALL_PROBES // len(open_cuts)))
     return sorted(c.best for c in cuts)
 
 
@@ -141,13 +143,11 @@ def histogram_shards(docs: DataFrame, shards: int, *, id_col: str = "doc_id", te
     ranges = max(1, n // rows_per_range)
     fine = sorted({*cuts, *(find_splitters(rows, ranges, n, "one", tolerance=0.3, whole=0.3) if ranges > 1 else [])})
     before = [0, *(np.cumsum(_histogram(rows, fine, "one")[0])[:-1].tolist() if fine else [])]
-    shard_of = [sum(c <= f for c in cuts) for f in fine] if len(fine) * len(cuts) < 1e6 else np.searchsorted(np.array(cuts, "i8,i8"), np.array(fine, "i8,i8"), "right").tolist()
-    shard_of = [0, *shard_of]
-    if len(set(cuts)) < len(cuts):  # more shards than rows: some stay empty, and the boundaries of equal place count once each
-        shard_of = [0, *(sum(c <= f for c in cuts) for f in fine)]
-    first = [next(b for b, s in zip(before, shard_of, strict=True) if s == own) for own in shard_of]
+    # more shards than rows: some stay empty, and the boundaries of equal place count once each
+    shard_of = np.array([0, *(bisect.bisect_right(cuts, f) for f in fine)])
+    first = np.array(before, np.int64)[np.unique(shard_of, return_index=True)[1]][np.unique(shard_of, return_inverse=True)[1]]
     pk, pi = np.array([f[0] for f in fine], np.int64), np.array([f[1] for f in fine], np.int64)
-    shard_at, start_at = np.array(shard_of, np.int32), np.array(before, np.int64) - np.array(first, np.int64)
+    shard_at, start_at = shard_of.astype(np.int32), np.array(before, np.int64) - first
 
     def place(batches):
         for b in batches:

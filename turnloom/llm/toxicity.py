@@ -15,7 +15,7 @@ bounded by the labelled texts. The classes are fitted on at most MAX_LABELLED la
 texts each; the shared counts cover all texts.
 
 Defined results: null and empty texts have no evidence and score the calibrated value at zero;
-of several labels of a doc_id a toxic one wins; null labels and labels without a document aren't
+of several labels of a doc_id a toxic one wins; of several texts of a labelled doc_id the least is learnt from; null labels and labels without a document aren't
 learnt from; repeated rows are scored each for itself; without labels of both classes every score is 0; an empty
 table gives an empty result; other columns aren't read.
 """
@@ -336,9 +336,10 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for i, label in sample:  # folds alternate within each class; the order is a hash's
         label_of[i] = label | (seen[label] % 2) << 1
         seen[label] += 1
-    own = spark.createDataFrame([(i, x) for i, x in label_of.items()], f"`{id_col}` {dict(docs.dtypes)[id_col]}, __label int")
-    # own has at most 2 * max_labelled rows
-    labelled = docs.join(F.broadcast(own), id_col).select(text_col, "__label")
+    own = spark.createDataFrame([(i, x) for i, x in label_of.items()], f"__known {dict(docs.dtypes)[id_col]}, __label int")
+    # own has at most 2 * max_labelled rows, and of texts that share an id one is learnt from, so labelled has no more
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    labelled = texts.join(F.broadcast(own), F.col("__id") == F.col("__known")).groupBy("__known", "__label").agg(F.min("__text").alias("__text")).select("__text", "__label")
     # each labelled text gets its evidence from the model of the other fold
     halves = spark.sparkContext.broadcast(fitted_models(docs, labelled, text_col))
 

@@ -7,7 +7,7 @@ return the columns of documents. Between two stages the documents are written an
 from pyspark.sql import functions as F
 
 from turnloom.llm import bpe, decontamination, simhash, suffix_dedup, toxicity
-from turnloom.llm._store import sized, table, written
+from turnloom.llm._store import discard_since, mark, sized, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,5 +67,7 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since = mark() - (name != STAGES[0][0])  # the documents that the stage reads go too, once its own are written
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard_since(spark, since, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

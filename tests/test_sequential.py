@@ -1,60 +1,154 @@
+"""Properties, brute force and cases worked out by hand."""
+
+import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
+
+from turnloom.functions import text as T
+from turnloom.operators import sequential as S
+
+
+def _timed(rng, n):
+    t, starts, ends = 0, [], []
+    for _ in range(n):
+        starts.append(t)
+        t += rng.randrange(50, 900)
+        ends.append(t)
+        t += rng.choice([0, 0, 100, 400])
+    kind = [rng.choice(["", "", "", "soft", "sentence"]) for _ in range(n)]
+    return starts, ends, [k == "sentence" for k in kind], [k != "" for k in kind]
 
-from turnloom.operators.sequential import average_linkage, cue_cuts, joined, wrap_lines
-
-
-def _plain_cuts(starts, ends, tokens):
-    """The cue rules, step by step."""
-    n, out, at = len(starts), [], 0
-    sentence = lambda k: tokens[k].endswith((".", "!", "?"))
-    soft = lambda k: sentence(k) or tokens[k].endswith((",", ";", ":"))
-    viable = lambda c: c == n or n - c >= 2 and ends[-1] - starts[c] >= 750
-    while at < n:
-        chosen = n
-        for stop in range(at + 1, n):
-            long = ends[stop - 1] - starts[at]
-            if sentence(stop - 1) and long >= 750 and viable(stop):
-                chosen = stop
-                break
-            if long >= 3500 or stop - at >= 12:
-                good = [c for c in range(at + 1, stop + 1) if soft(c - 1) and ends[c - 1] - starts[at] >= 750 and viable(c)]
-                if good or viable(stop):
-                    chosen = good[-1] if good else stop
-                    break
-        out.append(chosen)
-        at = chosen
-    return out
-
-
-def test_cue_cuts_against_plain_rules():
+
+def test_cues_are_readable():
     rng = random.Random(5)
     for _ in range(400):
-        t, starts, ends, tokens = 0, [], [], []
-        for _ in range(rng.randrange(1, 40)):
-            starts.append(t)
-            t += rng.randrange(50, 900)
-            ends.append(t)
-            t += rng.choice([0, 0, 100, 400])
-            tokens.append("w" + rng.choice(["", "", "", ",", ".", "?"]))
-        assert cue_cuts(starts, ends, tokens) == _plain_cuts(starts, ends, tokens)
+        n = rng.randrange(1, 40)
+        starts, ends, sentence, soft = _timed(rng, n)
+        cuts = S.cue_cuts(starts, ends, sentence, soft)
+        assert cuts == sorted(set(cuts)) and cuts[-1] == n
+        leaves = lambda c: n - c >= 2 and ends[-1] - starts[c] >= 750  # noqa: E731, B023
+        for lo, hi in itertools.pairwise([0, *cuts]):
+            good = [c for c in range(lo + 1, min(hi + 1, n)) if ends[c - 1] - starts[lo] >= 750 and leaves(c)]
+            if hi < n:
+                assert leaves(hi)  # no cut leaves a rest that can't be read
+                limit = ends[hi - 1] - starts[lo] >= 3500 or hi - lo >= 12
+                assert hi in good or limit
+                if sentence[hi - 1] and hi in good:  # the first sentence end that will do, before any limit
+                    assert not any(sentence[c - 1] for c in good if c < hi)
+            assert not any(sentence[c - 1] for c in good if c < hi and c - lo < 12 and ends[c - 1] - starts[lo] < 3500)
+
+
+def test_cues_by_hand():
+    half = lambda n: ([500 * k for k in range(n)], [500 * k + 500 for k in range(n)])
+    no = [False] * 20
+    mark = lambda *at: [k in at for k in range(20)]
+    assert S.cue_cuts(*half(3), no[:3], no[:3]) == [3]
+    assert S.cue_cuts(*half(6), mark(1)[:6], mark(1)[:6]) == [2, 6]  # a second is enough, and two are left
+    assert S.cue_cuts(*half(6), mark(0)[:6], mark(0)[:6]) == [6]  # half a second isn't
+    assert S.cue_cuts(*half(5), mark(3)[:5], mark(3)[:5]) == [5]  # one word would be left
+    assert S.cue_cuts(*half(10), no[:10], mark(4)[:10]) == [5, 10]  # at the limit of 3.5 s, back to the comma
+    assert S.cue_cuts(*half(10), no[:10], no[:10]) == [7, 10]  # or there
+    quick = ([100 * k for k in range(20)], [100 * k + 100 for k in range(20)])
+    assert S.cue_cuts(*quick, no, no) == [12, 20]  # twelve words
+
+
+def test_cues_of_words(spark):
+    rows = [(1, 0, k, 500 * k, 500 * k + 500, w) for k, w in enumerate([" Hello", " there", ".", " Dr.", " Who", " is", " here", " now"])]
+    rows += [(1, 1, 0, 0, 400, " late"), (1, 1, 1, 300, 700, " early"), (1, 2, 0, 0, 10, " one")]
+    got = S.split_cues(spark.createDataFrame(rows, "video_id long, parent_index long, word_index long, start_ms long, end_ms long, word string")).orderBy("parent_index", "part").collect()
+    assert [(r.parent_index, r.part, r.part_count, r.start_ms, r.end_ms, r.text) for r in got] == [(0, 1, 2, 0, 1500, "Hello there."), (0, 2, 2, 1500, 4000, "Dr. Who is here now"), (1, 1, 1, 0, 700, "late early"), (2, 1, 1, 0, 10, "one")]
+
+
+def test_joined(spark):
+    cases = [(["Hello", " there", ",", "you", " "], "Hello there, you"), ([" a", "b", "...", None][:3], "a b..."), (["x", ")", "(y", "\u3000z "], "x) (y\u3000z"), ([], ""), (["", "  "], "")]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "t array<string>")
+    assert [r[0] for r in df.select(T.joined(F.col("t"))).collect()] == [want for _, want in cases]
+
+
+def test_sentence_ends(spark):
+    cases = [("end.", True, True), ("Dr.", False, False), ("no", False, False), ("well, ", False, True), ("끝。", False, False), ("what？", True, True), ("", False, False)]
+    got = spark.createDataFrame([(c[0],) for c in cases], "t string").select(T.ends_sentence(F.col("t")), T.ends_phrase(F.col("t")), T.ends_sentence(F.col("t"), T.MOVE_ENDS, ())).collect()
+    assert [tuple(r)[:2] for r in got] == [c[1:] for c in cases] and got[1][2] and got[4][2]
 
 
-def test_joined():
-    assert joined(["Hello", " there", ",", "you", " "]) == "Hello there, you".replace(" ,", ",")
+def test_break_penalties(spark):
+    cases = [("end.\"", "next", -0.12), ("했는데", "그", -0.06), ("있을", "수도", 0.30), ("하고", "싶다", 0.20), ("가면서,", "(것은", 0.18), ("a", "b", 0.0)]
+    got = spark.createDataFrame([c[:2] for c in cases], "a string, b string").select(T.break_penalty(F.col("a"), F.col("b"))).collect()
+    assert all(abs(r[0] - c[2]) < 1e-12 for r, c in zip(got, cases, strict=True))
 
 
-def test_wrap_balances():
-    assert wrap_lines(["aa", "bb", "cc", "dd"], [2, 2, 2, 2], 1, 5) == [["aa", "bb"], ["cc", "dd"]]
-    assert wrap_lines([], [], 1, 5) == []
-    assert wrap_lines(["long"], [9], 1, 5) == [["long"]]
+def test_lines_cost_least():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randrange(1, 9)
+        widths, costs, room, space = [rng.randrange(1, 9) for _ in range(n)], [rng.choice([-0.12, 0.0, 0.3]) for _ in range(n - 1)], 10, 1
+
+        def cost(ends):
+            total = 0.0
+            for lo, hi in itertools.pairwise([0, *ends]):  # noqa: B023
+                w = sum(widths[lo:hi]) + space * (hi - lo - 1)  # noqa: B023
+                if w > room and hi - lo > 1:  # noqa: B023
+                    return float("inf")
+                total += max(room - w, 0) ** 2 / room**2 + (costs[hi - 1] if hi < n else 0)  # noqa: B023
+            return total
+
+        every = [[*c, n] for k in range(n) for c in itertools.combinations(range(1, n), k)]
+        assert abs(cost(S.line_ends(widths, costs, space, room)) - min(map(cost, every))) < 1e-9
+    assert S.line_ends([], [], 1, 5) == [] and S.line_ends([9], [], 1, 5) == [1]
+
+
+def test_wrapped_texts(spark):
+    got = S.wrap_lines(spark.createDataFrame([("a", ["aa", "bb", "cc", "dd"]), ("b", [])], "id string, words array<string>"), room=5.0).collect()
+    assert {r.id: r.lines for r in got} == {"a": ["aa bb", "cc dd"], "b": []}
+
+
+def test_words_move_to_the_next_face(spark):
+    def seg(i, speaker, start, *tokens):
+        return [(1, i, speaker, 10 * i + k, start + 300 * k, start + 300 * k + 300, w, speaker.startswith("FACE")) for k, w in enumerate(tokens)]
+
+    rows = seg(0, "S0", 0, " One", " end.", " So") + seg(1, "FACE_1", 900, " it", " goes.", " And") + seg(2, "FACE_2", 1800, " on") + seg(3, "FACE_3", 5000, " far", " off")
+    w = spark.createDataFrame(rows, "video_id long, index long, speaker string, word_index long, start_ms long, end_ms long, word string, visual boolean")
+    got = {r.word_index: (r["index"], r.speaker, r.speaker_original) for r in S.move_openers(w).filter("moved").collect()}
+    assert got == {2: (1, "FACE_1", "S0"), 12: (2, "FACE_2", "FACE_1")}
+
+
+def test_a_moved_word_can_move_on():
+    word = lambda ms, ends: {"ms": ms, "ends": ends, "own": True}
+    steps = [
+        {"n": 3, "tail": [word(300, False), word(300, True), word(200, False)], "goes": True},  # its last word goes on
+        {"n": 1, "tail": [word(300, False)], "goes": True},  # now two words, but the first doesn't end a sentence
+        {"n": 2, "tail": [word(300, True), word(200, False)], "goes": True},
+        {"n": 1, "tail": [word(100, False)], "goes": False},
+    ]
+    assert S.moved_words(steps) == [(0, 1, 1), (2, 1, 3)]
+    steps[0]["tail"][-1]["ends"] = True  # the last word is a sentence of its own: it moves, and what follows it moves after it
+    assert S.moved_words(steps) == [(0, 1, 1), (1, 1, 2), (2, 1, 3)]
+    steps[0]["tail"][1]["ms"] = 9000
+    assert S.moved_words([{"n": 1, "tail": [word(1, True)], "goes": True}, *steps[3:]]) == []  # a lone word stays
 
 
 def test_average_linkage():
     rng = np.random.default_rng(0)
     centres = np.eye(4)[:3]
     v = np.concatenate([c + rng.normal(0, 0.05, (5, 4)) for c in centres])
-    labels = average_linkage(v)
+    labels = S.average_linkage(v)
     assert len(set(labels)) == 3 and all(len(set(labels[k : k + 5])) == 1 for k in (0, 5, 10))
-    assert average_linkage(v[:1]).tolist() == [0]
+    assert S.average_linkage(v[:1]).tolist() == [0]
+
+
+def test_tracks_by_hand(spark):
+    at = lambda f, k, x: (1, f, k, x, 0, x + 10, 10)
+    rows = [at(0, 0, 0), at(0, 1, 100), at(1, 0, 1), at(1, 1, 101), at(3, 0, 102), at(30, 0, 2)]
+    got = {(r.frame, r.box): r.track for r in S.overlap_tracks(spark.createDataFrame(rows, "video_id long, frame long, box long, x1 int, y1 int, x2 int, y2 int")).collect()}
+    assert got == {(0, 0): 0, (1, 0): 0, (0, 1): 1, (1, 1): 1, (3, 0): 1, (30, 0): 2}
+    centres = [(1, 0, 0, 0, 0, 10, 10), (1, 0, 1, 50, 0, 10, 10), (1, 1, 0, 52, 0, 10, 10), (1, 1, 1, 20, 0, 10, 10)]
+    got = {(r.frame, r.box): r.track for r in S.centre_tracks(spark.createDataFrame(centres, "video_id long, frame long, box long, x int, y int, w int, h int")).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (1, 0): 1, (1, 1): 2}
+
+
+def test_filled_tracks(spark):
+    rows = [(1, 0, f, f, 0, f + 10, 10) for f in (*range(10), 14)] + [(1, 1, f, 0, 0, 5, 5) for f in range(10)]
+    got = {(r.track, r.frame): r.x1 for r in S.filled_tracks(spark.createDataFrame(rows, "video_id long, track long, frame long, x1 int, y1 int, x2 int, y2 int")).collect()}
+    assert got == {(0, f): float(f) for f in range(15)}  # ten boxes aren't enough for the other

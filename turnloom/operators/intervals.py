@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import joined_lines, stripped
+
 KEY = ("video_id", "asr_segment_id", "word_index")
 
 
@@ -19,44 +21,67 @@ def centre_distance2(a0, a1, b0, b1) -> Column:
     return F.abs(a0 + a1 - b0 - b1)
 
 
-def overlap_join(words: DataFrame, turns: DataFrame, *, bucket_ms: int = 600_000) -> DataFrame:
-    """JOIN-01: pairs with a positive overlap. A time bucket beside video_id keeps long timelines from
-    meeting whole; a pair that shares several buckets is taken in its first common one only."""
-    own = words.filter("end_ms > start_ms").withColumn("b", F.explode(F.expr(f"sequence(start_ms div {bucket_ms}, (end_ms - 1) div {bucket_ms})")))
-    t = turns.filter("end_ms > start_ms").select("video_id", "pos", "speaker", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
-    t = t.withColumn("b", F.explode(F.expr(f"sequence(t0 div {bucket_ms}, (t1 - 1) div {bucket_ms})")))
+def buckets(start: Column, end: Column, bucket_ms: int) -> Column:
+    """The time buckets that an interval touches."""
+    return F.sequence(F.floor(start / bucket_ms), F.floor(end / bucket_ms))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keep: tuple[str, ...] = ("pos", "speaker"), *, bucket_ms: int = 600_000) -> DataFrame:
+    """JOIN-01: pairs with a positive overlap; right's columns in keep, its times as t0 and t1. A time bucket beside video_id keeps long
+    timelines from meeting whole; a pair that shares several buckets is taken in its first common one only."""
+    own = left.filter("end_ms > start_ms").withColumn("b", F.explode(buckets(F.col("start_ms"), F.col("end_ms") - 1, bucket_ms)))
+    t = right.filter("end_ms > start_ms").select("video_id", *keep, F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
+    t = t.withColumn("b", F.explode(buckets(F.col("t0"), F.col("t1") - 1, bucket_ms)))
     shared = overlap(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1"))
-    return own.join(t, ["video_id", "b"]).withColumn("overlap_ms", shared).filter(f"overlap_ms > 0 and b = greatest(start_ms div {bucket_ms}, t0 div {bucket_ms})").drop("b")
+    first_common = F.floor(F.greatest("start_ms", "t0") / bucket_ms)
+    return own.join(t, ["video_id", "b"]).withColumn("overlap_ms", shared).filter((F.col("overlap_ms") > 0) & (F.col("b") == first_common)).drop("b")
+
+
+def _evidence(turns: DataFrame) -> DataFrame:
+    """turns with the fields that reconciliation adds, null where it hasn't been."""
+    return turns.withColumns({c: F.lit(None).cast(t) for c, t in (("reconcile_source", "string"), ("cov", "double")) if c not in turns.columns})
 
 
 def candidates(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """AGG-01: overlap by word and speaker; other fields from the first overlapping turn."""
-    return overlap_join(words, turns).groupBy(*KEY, "speaker").agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("pos").alias("first_pos"))
+    """AGG-01: by word and speaker the overlap and its share of the word (over 1 if turns overlap); other fields from the first overlapping turn."""
+    pairs = overlap_join(words, _evidence(turns), ("pos", "speaker", "reconcile_source", "cov"))
+    g = pairs.groupBy(*KEY, "speaker").agg(F.sum("overlap_ms").alias("overlap_ms"), F.min(F.struct("pos", "t0", "t1", "reconcile_source", "cov")).alias("t"), F.first(F.col("end_ms") - F.col("start_ms")).alias("dur"))
+    return g.select(
+        *KEY, "speaker", "overlap_ms", (F.col("overlap_ms") / F.col("dur")).alias("coverage"), F.col("t.pos").alias("first_pos"),
+        F.col("t.t0").alias("turn_start_ms"), F.col("t.t1").alias("turn_end_ms"), "t.reconcile_source", F.col("t.cov").alias("reconcile_cov"),
+    )
 
 
 def dominant(words: DataFrame, turns: DataFrame, *, margin_ms: int = 50) -> DataFrame:
-    """JOIN-02: the speaker with most overlap, and whether the runner-up is within the margin."""
-    order = Window.partitionBy(*KEY).orderBy(F.desc("overlap_ms"), "first_pos")
-    ranked = candidates(words, turns).select("*", F.row_number().over(order).alias("rn"), F.lead("overlap_ms").over(order).alias("second"))
-    return ranked.filter("rn = 1").select(*KEY, "speaker", "overlap_ms", (F.col("overlap_ms") - F.col("second")).alias("overlap_margin_ms"), F.coalesce(F.col("overlap_ms") - F.col("second") <= margin_ms, F.lit(False)).alias("boundary_ambiguous"))
+    """JOIN-02: the speaker with most overlap, whether the runner-up is within the margin, and all candidates in this order."""
+    best_first = F.struct((-F.col("overlap_ms")).alias("o"), "first_pos", "speaker", "overlap_ms", "coverage", "turn_start_ms", "turn_end_ms", "reconcile_source", "reconcile_cov")
+    g = candidates(words, turns).groupBy(*KEY).agg(F.sort_array(F.collect_list(best_first)).alias("c"))
+    top, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    margin = top["overlap_ms"] - second["overlap_ms"]
+    return g.select(
+        *KEY, top["speaker"].alias("speaker"), top["overlap_ms"].alias("overlap_ms"), top["coverage"].alias("coverage"), margin.alias("overlap_margin_ms"), F.coalesce(margin <= margin_ms, F.lit(False)).alias("boundary_ambiguous"),
+        top["reconcile_source"].alias("reconcile_source"), top["reconcile_cov"].alias("reconcile_cov"), F.transform("c", lambda x: F.struct(x["speaker"].alias("speaker"), x["overlap_ms"].alias("overlap_ms"), x["coverage"].alias("coverage"))).alias("candidates"),
+    )
 
 
-def nearest(words: DataFrame, turns: DataFrame, *, max_gap_ms: int) -> DataFrame:
-    """JOIN-03: nearest turn within the tolerance by (gap, centre distance, position)."""
-    t = turns.select("video_id", "pos", "speaker", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
-    pair = words.join(t, "video_id").withColumn("gap_ms", interval_gap(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1"))).filter(F.col("gap_ms") <= max_gap_ms)
-    best = F.min(F.struct("gap_ms", centre_distance2(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1")).alias("d"), "pos", "speaker")).alias("best")
-    return pair.groupBy(*KEY).agg(best).select(*KEY, F.col("best.speaker").alias("speaker"), F.col("best.gap_ms").alias("nearest_gap_ms"))
+def nearest(words: DataFrame, turns: DataFrame, *, max_gap_ms: int, bucket_ms: int = 60_000) -> DataFrame:
+    """JOIN-03: nearest turn within the tolerance by (gap, centre distance, position). Words meet the turns of their
+    time buckets, turns are widened by the tolerance; a pair met twice has one minimum."""
+    t = _evidence(turns).select("video_id", "pos", "speaker", "reconcile_source", "cov", F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
+    t = t.withColumn("b", F.explode(buckets(F.col("t0") - max_gap_ms, F.col("t1") + max_gap_ms, bucket_ms)))
+    own = words.withColumn("b", F.explode(buckets(F.col("start_ms"), F.col("end_ms"), bucket_ms)))
+    pair = own.join(t, ["video_id", "b"]).withColumn("gap_ms", interval_gap(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1"))).filter(F.col("gap_ms") <= max_gap_ms)
+    best = F.min(F.struct("gap_ms", centre_distance2(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1")).alias("d"), "pos", "speaker", "reconcile_source", "cov")).alias("best")
+    return pair.groupBy(*KEY).agg(best).select(*KEY, F.col("best.speaker").alias("speaker"), F.col("best.gap_ms").alias("nearest_gap_ms"), "best.reconcile_source", F.col("best.cov").alias("reconcile_cov"))
 
 
 def assign(words: DataFrame, turns: DataFrame, *, max_gap_ms: int = 3000, margin_ms: int = 50, unknown: str = "UNKNOWN") -> DataFrame:
-    """JOIN-01 to JOIN-04: every word with its speaker, by overlap, else nearest turn, else unknown."""
+    """JOIN-01 to JOIN-04: every word with its speaker, by overlap, else nearest turn, else unknown, and what speaks for it."""
     top = dominant(words, turns, margin_ms=margin_ms)
     rest = nearest(words.join(top.select(*KEY), list(KEY), "left_anti"), turns, max_gap_ms=max_gap_ms)
     found = top.withColumn("matched_by", F.lit("overlap")).unionByName(rest.withColumn("matched_by", F.lit("nearest")), allowMissingColumns=True)
-    return words.join(found, list(KEY), "left").withColumns(
-        {"speaker": F.coalesce("speaker", F.lit(unknown)), "matched_by": F.coalesce("matched_by", F.lit("unknown")), "overlap_ms": F.coalesce("overlap_ms", F.lit(0).cast("bigint")), "boundary_ambiguous": F.coalesce("boundary_ambiguous", F.lit(False))}
-    )
+    none = {"speaker": F.lit(unknown), "matched_by": F.lit("unknown"), "overlap_ms": F.lit(0).cast("bigint"), "coverage": F.lit(0.0), "boundary_ambiguous": F.lit(False), "candidates": F.array().cast("array<struct<speaker:string,overlap_ms:bigint,coverage:double>>")}
+    return words.join(found, list(KEY), "left").withColumns({c: F.coalesce(c, x) for c, x in none.items()})
 
 
 def islands(df: DataFrame, order: list, breaks: Column, name: str = "island") -> DataFrame:
@@ -76,27 +101,49 @@ def word_islands(words: DataFrame, *, merge_gap_ms: int = 500, merge_across: boo
     return islands(words, order, new if merge_across else new | (previous("asr_segment_id", order) != F.col("asr_segment_id")))
 
 
+#: What a segment keeps of a word.
+WORD_FIELDS = ("start_ms", "end_ms", "word", "speaker", "matched_by", "overlap_ms", "coverage", "candidates", "overlap_margin_ms", "boundary_ambiguous", "reconcile_source", "reconcile_cov", "speaker_original")
+
+
+def from_words(words: Column) -> dict[str, Column]:
+    """PRJ-17: the fields of a segment that follow from its array of words."""
+    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
+    total = lambda field, kind: F.aggregate(words, F.lit(0).cast(kind), lambda a, w: a + F.coalesce(w[field], F.lit(0)))
+    return {
+        "start_ms": first["start_ms"], "end_ms": last["end_ms"], "duration_ms": F.greatest(last["end_ms"] - first["start_ms"], F.lit(0)), "text": stripped(F.array_join(F.transform(words, lambda w: w["word"]), "")),
+        "num_words": F.size(words).cast("bigint"), "overlap_ms": total("overlap_ms", "bigint"), "coverage": total("coverage", "double") / F.size(words), "boundary_ambiguous": F.exists(words, lambda w: F.coalesce(w["boundary_ambiguous"], F.lit(False))),
+        "match_methods": F.array_sort(F.array_distinct(F.filter(F.transform(words, lambda w: w["matched_by"]), lambda m: m.isNotNull()))),
+    }
+
+
 def segments(words: DataFrame, **rules) -> DataFrame:
-    """AGG-02 / OP-01: assigned words rolled up into segments. The end is the last word's, not the greatest."""
-    w = word_islands(words, **rules)
-    order = F.struct("asr_segment_id", "word_index")
-    return w.groupBy("video_id", F.col("island").alias("index")).agg(
-        F.min_by("start_ms", order).alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), F.min_by("speaker", order).alias("speaker"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("asr_segment_id", "word_index", "word"))), lambda x: x["word"]), " ").alias("text"),
-        F.count("*").alias("num_words"), F.sum("overlap_ms").alias("overlap_ms"), F.bool_or("boundary_ambiguous").alias("boundary_ambiguous"),
-        F.array_join(F.sort_array(F.collect_set("matched_by")), ",").alias("match_methods"), F.array_join(F.sort_array(F.collect_set("asr_segment_id")), ",").alias("asr_segment_ids"),
+    """AGG-02, PRJ-06, OP-01: assigned words rolled up into segments; texts are the tokens as they are, put together. The end is the last word's, not the greatest."""
+    w = word_islands(words, **rules).withColumn("speaker_original", F.lit(None).cast("string"))
+    g = w.groupBy("video_id", F.col("island").alias("index")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("asr_segment_id", "word_index", F.struct(*WORD_FIELDS).alias("w")))), lambda x: x["w"]).alias("words"),
+        F.array_sort(F.collect_set("asr_segment_id")).alias("asr_segment_ids"), F.min_by("speaker", F.struct("asr_segment_id", "word_index")).alias("speaker"),
     )
+    return g.select("video_id", "index", "speaker", F.lit("word_alignment").alias("source"), *[c.alias(name) for name, c in from_words(F.col("words")).items()], "asr_segment_ids", "words")
 
 
-def runs(turns: DataFrame, *, merge_gap_ms: int = 1500) -> DataFrame:
-    """WIN-02 with AGG-12: same speaker, start within the gap of the greatest end so far in the speaker's stretch."""
+def run_members(turns: DataFrame, *, merge_gap_ms: int = 1500) -> DataFrame:
+    """WIN-02: turns with run_index: same speaker, start within the gap of the greatest end so far in the speaker's stretch."""
     order = ["pos"]
     t = islands(turns, order, previous("speaker", order) != F.col("speaker"), "stretch")
     so_far = Window.partitionBy("video_id", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = islands(t.withColumn("reach", F.max("end_ms").over(so_far)), order, F.col("start_ms") - F.col("reach") > merge_gap_ms, "run_index")
-    return t.groupBy("video_id", "run_index").agg(
-        F.min("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"),
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
+    return islands(t.withColumn("reach", F.max("end_ms").over(so_far)), order, F.col("start_ms") - F.col("reach") > merge_gap_ms, "run_index").drop("stretch", "reach")
+
+
+def runs(turns: DataFrame, *, merge_gap_ms: int = 1500) -> DataFrame:
+    """AGG-12, PRJ-22: the runs of run_members(). Blank texts say nothing."""
+    return rolled_up(run_members(turns, merge_gap_ms=merge_gap_ms))
+
+
+def rolled_up(members: DataFrame, *more: Column) -> DataFrame:
+    speech = F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)))
+    return members.groupBy("video_id", "run_index").agg(
+        F.min("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), speech.alias("speech_ms"),
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("num_segments"), joined_lines(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("text"), *more,
     )
 
 
@@ -121,23 +168,46 @@ def glued_spans(turns: DataFrame, *, glue_ms: int = 100) -> DataFrame:
 
 
 def remerge_glued(turns: DataFrame, *, glue_ms: int = 100) -> DataFrame:
-    """WIN-05 with AGG-16: same speaker and a gap of -50 to glue_ms, here inclusive."""
+    """WIN-05 with AGG-16: same speaker and a gap of -50 to glue_ms, here inclusive. A row that merges with none keeps its text as it is."""
     gap = F.col("start_ms") - previous("end_ms", ["pos"])
     t = islands(turns, ["pos"], (previous("speaker", ["pos"]) != F.col("speaker")) | ~gap.between(-50, glue_ms), "index")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     return t.groupBy("video_id", "index").agg(
         F.min("speaker").alias("speaker"), F.min_by("start_ms", "pos").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"), F.count("*").alias("merged"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
+        F.when(F.count("*") == 1, F.first("text")).otherwise(joined_lines(parts)).alias("text"),
     )
 
 
-def timeline(cues: DataFrame, *, hold_ms: int = 1200, floor_ms: int = 50) -> DataFrame:
-    """WIN-13, WIN-14: held ends, capped at the next start; then a timeline without overlaps, by a running maximum."""
+def timeline(cues: DataFrame, totals: DataFrame | None = None, *, hold_ms: int = 1200, floor_ms: int = 50) -> DataFrame:
+    """WIN-13, WIN-14: held ends, capped at the next start or at last the total; then a timeline without overlaps, by a running maximum.
+
+    totals: video_id, total_ms; where there is none above zero, the last cue's end is the total. gap_ms and tail_ms: silence before
+    a cue, and after the last one, where it is over a millisecond.
+    """
     w = Window.partitionBy("video_id").orderBy("start_ms", "end_ms", "pos")
-    after = F.lead("start_ms").over(w)
+    c = cues.withColumn("start_ms", F.greatest(F.lit(0), "start_ms")).withColumn("end_ms", F.greatest(F.col("start_ms") + floor_ms, "end_ms"))
+    c = c.join(totals, "video_id", "left") if totals is not None else c.withColumn("total_ms", F.lit(None).cast("bigint"))
+    last_end = F.last("end_ms").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    c = c.withColumn("total_ms", F.when(F.col("total_ms") > 0, F.col("total_ms")).otherwise(last_end)).withColumn("after", F.lead("start_ms").over(w))
+    until = F.coalesce("after", "total_ms")
     held = F.greatest("end_ms", F.col("start_ms") + hold_ms)
-    capped = F.when(after > F.col("start_ms"), F.least(held, after)).otherwise(held)
-    c = cues.withColumn("held_ms", F.greatest(capped, F.col("start_ms") + floor_ms)).withColumn("i", F.row_number().over(w))
+    capped = F.when(until > F.col("start_ms"), F.least(held, until)).otherwise(held)
+    c = c.withColumn("held_ms", F.greatest(capped, F.col("start_ms") + floor_ms)).withColumn("i", F.row_number().over(w))
     reach = F.max(F.greatest("held_ms", F.col("start_ms") + floor_ms) - floor_ms * F.col("i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     c = c.withColumn("t", reach + floor_ms * F.col("i"))
     before = F.coalesce(F.lag("t").over(w), F.lit(0))
-    return c.select("video_id", "pos", "held_ms", F.greatest("start_ms", before).cast("bigint").alias("shown_ms"), F.col("t").cast("bigint").alias("until_ms"), (F.col("start_ms") > before + 1).alias("gap_before"))
+    silence = lambda ms: F.when(ms > 1, ms).otherwise(0).cast("bigint")
+    return c.select(
+        "video_id", "pos", "held_ms", F.greatest("start_ms", before).cast("bigint").alias("shown_ms"), F.col("t").cast("bigint").alias("until_ms"),
+        silence(F.col("start_ms") - before).alias("gap_ms"), F.when(F.col("after").isNull(), silence(F.col("total_ms") - F.col("t"))).otherwise(0).cast("bigint").alias("tail_ms"),
+    )
+
+
+def timeline_entries(shown: DataFrame) -> DataFrame:
+    """WIN-14: timeline()'s rows with the silences as rows of their own (pos null): entry (from 0 in each video), pos, duration_ms."""
+    entry = lambda pos, ms: F.struct(pos.alias("pos"), ms.alias("duration_ms"))
+    none = F.lit(None).cast("bigint")
+    all_ = F.array(entry(none, F.col("gap_ms")), entry(F.col("pos"), F.col("until_ms") - F.col("shown_ms")), entry(none, F.col("tail_ms")))
+    rows = shown.select("video_id", "shown_ms", F.col("pos").alias("cue"), F.posexplode(F.filter(all_, lambda x: x["duration_ms"] > 0)).alias("k", "e"))
+    order = Window.partitionBy("video_id").orderBy("shown_ms", "cue", "k")
+    return rows.select("video_id", (F.row_number().over(order) - 1).cast("bigint").alias("entry"), "e.pos", "e.duration_ms")

@@ -3,25 +3,38 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import assignment, collapsed, stripped
+from turnloom.operators.intervals import overlap_join
+
+
+def unknown(speaker: Column) -> Column:
+    return F.upper(speaker) == "UNKNOWN"
+
 
 def speaker_summary(turns: DataFrame, *, top_k: int = 8) -> DataFrame:
-    """OP-05 (AGG-03 to 05, WIN-10/11, SORT-03/04, PRJ-07): totals, share, rank by total with ties by first turn."""
+    """OP-05 (AGG-03 to 05, WIN-10/11, SORT-03/04, PRJ-07): totals, share, rank by total with ties by first turn. UNKNOWN, in any case, is nobody and has no row; shares are of the known time."""
     dur = F.col("end_ms") - F.col("start_ms")
-    s = turns.groupBy("video_id", "speaker").agg(F.sum(dur).alias("total_ms"), F.count("*").alias("num_turns"), F.max(dur).alias("max_turn_ms"), F.min("pos").alias("first_pos"))
+    known = turns.filter(~unknown(F.col("speaker")))
+    s = known.groupBy("video_id", "speaker").agg(F.sum(dur).alias("total_ms"), F.count("*").alias("num_turns"), F.max(dur).alias("max_turn_ms"), F.min("pos").alias("first_pos"))
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("total_ms"), "first_pos"))
     whole = F.sum("total_ms").over(Window.partitionBy("video_id"))
     return s.select(
         "video_id", "speaker", "total_ms", "num_turns", "max_turn_ms", rank.cast("bigint").alias("rank"),
         F.round(F.when(whole == 0, 0.0).otherwise(F.col("total_ms") / whole), 6).alias("share"), F.round(F.col("total_ms") / F.col("num_turns"), 6).alias("avg_turn_ms"),
-        (rank <= top_k).alias("selected_for_labeling"),
+        (rank <= max(top_k, 0)).alias("selected_for_labeling"),
     )
 
 
+def map_template(summary: DataFrame) -> DataFrame:
+    """OP-05: the ids to be named, each with itself for a name."""
+    return summary.filter("selected_for_labeling").select("video_id", F.col("speaker").alias("speaker_id"), F.col("speaker").alias("display_name"))
+
+
 def known_totals(turns: DataFrame) -> DataFrame:
     """AGG-04: speaking time of known speakers and of UNKNOWN in any case."""
     dur = F.col("end_ms") - F.col("start_ms")
-    unknown = F.upper("speaker") == "UNKNOWN"
-    return turns.groupBy("video_id").agg(F.coalesce(F.sum(F.when(~unknown, dur)), F.lit(0)).alias("known_ms"), F.coalesce(F.sum(F.when(unknown, dur)), F.lit(0)).alias("unknown_ms"), F.countDistinct("speaker").alias("num_speakers"))
+    nobody = unknown(F.col("speaker"))
+    return turns.groupBy("video_id").agg(F.coalesce(F.sum(F.when(~nobody, dur)), F.lit(0)).alias("known_ms"), F.coalesce(F.sum(F.when(nobody, dur)), F.lit(0)).alias("unknown_ms"), F.countDistinct("speaker").alias("num_speakers"))
 
 
 def apply_names(segments: DataFrame, names: DataFrame) -> DataFrame:
@@ -38,14 +51,25 @@ def update_names(captions: DataFrame, names: DataFrame) -> DataFrame:
 
 def saved_map(names: DataFrame) -> DataFrame:
     """SNK-10: a blank name becomes the id."""
-    return names.select("speaker_id", F.coalesce(F.nullif(F.trim("display_name"), F.lit("")), F.col("speaker_id")).alias("display_name"))
+    return names.select("speaker_id", F.coalesce(F.nullif(stripped(F.col("display_name")), F.lit("")), F.col("speaker_id")).alias("display_name"))
+
+
+#: SRC-15. Where a row of names may have the name, the best first.
+NAME_FIELDS = ("display_name", "speaker_display", "speaker_name", "name", "edited_name")
 
 
-def read_map(document: DataFrame) -> DataFrame:
-    """SRC-15: the `speakers` map if it has entries, else the `rows` list with its fallbacks for the name."""
-    rows = document.select("video_id", F.inline("rows")).select("video_id", "speaker_id", F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("display_name", "name")], F.col("speaker_id")).alias("display_name"))
-    mapped = document.select("video_id", F.explode("speakers").alias("speaker_id", "display_name"))
-    return mapped.unionByName(rows.join(mapped, ["video_id", "speaker_id"], "left_anti"))
+def read_map(documents: DataFrame, overrides: list[str] = ()) -> DataFrame:
+    """SRC-15: names by speaker of documents(video_id, speakers map, rows array of structs, bare map): the speakers map if there is one, even an
+    empty one, else the list of rows (of a repeated id the last) with the first name that isn't empty, else the bare map. overrides: 'id=name', over all."""
+    have = set(documents.schema["rows"].dataType.elementType.fieldNames())
+    filled = lambda r: F.coalesce(*[F.nullif(r[c], F.lit("")) for c in NAME_FIELDS if c in have], r["speaker_id"])
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    listed = F.transform(F.filter("rows", lambda r: r["speaker_id"].isNotNull()), lambda r: entry(r["speaker_id"], filled(r)))
+    entries = lambda m: F.transform(F.map_entries(m), lambda e: entry(e["key"], e["value"]))
+    picked = F.when(F.col("speakers").isNotNull(), entries(F.col("speakers"))).when(F.col("rows").isNotNull(), listed).otherwise(F.coalesce(entries(F.col("bare")), F.array()))
+    over = [entry(*assignment(F.lit(x))) for x in overrides]
+    rows = documents.select("video_id", F.posexplode(F.concat(picked, F.array(*over)) if over else picked).alias("at", "e"))
+    return rows.groupBy("video_id", F.col("e.key").alias("speaker_id")).agg(F.max_by("e.value", "at").alias("display_name"))
 
 
 def nameable(labels: DataFrame) -> DataFrame:
@@ -62,16 +86,21 @@ def naming_rows(table: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def latest(versions: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
-    """SRC-04/05/06: of each key the row of the best version; `order` lists versions best first."""
+    """SRC-04/05/06: of each key the row of the best version, with its name; `order` lists versions best first."""
     prio = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in order]), F.col("version")), F.lit(0)), F.lit(len(order) + 1))
     return versions.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(prio, "version"))).filter("rn = 1").drop("rn")
 
 
+#: SRC-04, 05, 06: versions of the turns and of the segments, the best first. gap_corrected comes before corrected, though it is made earlier.
+TURN_VERSIONS = ["reconciled", "raw"]
+SEGMENT_VERSIONS = ["final", "gap_corrected", "corrected", "raw"]
+CAPTION_VERSIONS = ["emotion", *SEGMENT_VERSIONS]
+
+
 def face_overlaps(turns: DataFrame, faces: DataFrame) -> DataFrame:
     """JOIN-05, SORT-02: overlap of a turn with each face's speaking intervals, with rank and lead over the next."""
-    f = faces.select("video_id", "face_id", F.col("start_ms").alias("f0"), F.col("end_ms").alias("f1"))
-    pair = turns.join(f, "video_id").withColumn("o", F.least("end_ms", "f1") - F.greatest("start_ms", "f0")).filter("o > 0")
-    g = pair.groupBy("video_id", "pos", "speaker", F.expr("end_ms - start_ms").alias("dur"), "face_id").agg(F.sum("o").alias("overlap_ms"), F.min("f0").alias("first_seen"))
+    pair = overlap_join(turns.select("video_id", "pos", "speaker", "start_ms", "end_ms"), faces, ("face_id",))
+    g = pair.groupBy("video_id", "pos", "speaker", F.expr("end_ms - start_ms").alias("dur"), "face_id").agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("t0").alias("first_seen"))
     w = Window.partitionBy("video_id", "pos").orderBy(F.desc("overlap_ms"), "first_seen", "face_id")
     return g.select("*", F.row_number().over(w).alias("rn"), F.coalesce(F.lead("overlap_ms").over(w), F.lit(0)).alias("second"))
 
@@ -81,7 +110,7 @@ def reconcile(turns: DataFrame, faces: DataFrame) -> DataFrame:
     the confident face of its audio label (coverage 0.65, margin 0.25, 2 s) if A found that label no other. Thresholds are compared as integers."""
     ranked = face_overlaps(turns, faces)
     sure = F.expr("rn = 1 and 100 * overlap_ms >= 20 * dur and 100 * (overlap_ms - second) >= 15 * dur and overlap_ms >= 120")
-    direct = ranked.filter(sure).select("video_id", "pos", "face_id", F.round(F.col("overlap_ms") / F.col("dur"), 6).alias("cov"), F.round((F.col("overlap_ms") - F.col("second")) / F.col("dur"), 6).alias("margin"))
+    direct = ranked.filter(sure).select("video_id", "pos", "face_id", F.round(F.col("overlap_ms") / F.col("dur"), 3).alias("cov"), F.round((F.col("overlap_ms") - F.col("second")) / F.col("dur"), 3).alias("margin"))
     totals = turns.groupBy("video_id", "speaker").agg(F.sum(F.expr("end_ms - start_ms")).alias("total"))
     matrix = ranked.groupBy("video_id", "speaker", "face_id").agg(F.sum("overlap_ms").alias("o"), F.min(F.struct("pos", "rn")).alias("first"))
     w = Window.partitionBy("video_id", "speaker").orderBy(F.desc("o"), "first")
@@ -101,13 +130,28 @@ def reconcile(turns: DataFrame, faces: DataFrame) -> DataFrame:
     )
 
 
+def face_hints(turns: DataFrame, faces: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """JOIN-11: for each audio label the face that it overlaps most, unless the label was given a face as a whole."""
+    by_face = face_overlaps(turns, faces).groupBy("video_id", "speaker", "face_id").agg(F.sum("overlap_ms").alias("o"), F.min(F.struct("pos", "rn")).alias("first"))
+    best = by_face.groupBy("video_id", F.col("speaker").alias("speaker_audio")).agg(F.min(F.struct((-F.col("o")).alias("o"), "first", "face_id")).alias("best"))
+    resolved = reconciled.filter("reconcile_source = 'visual_global'").select("video_id", "speaker_audio").distinct()
+    return best.join(resolved, ["video_id", "speaker_audio"], "left_anti").select("video_id", "speaker_audio", F.col("best.face_id").alias("face_id"))
+
+
+def shown_crops(speakers: DataFrame, crops: DataFrame, hints: DataFrame) -> DataFrame:
+    """JOIN-10: the face crop of each speaker (video_id, speaker): its own FACE_n, else that of its hint; only crops(video_id, crop) that exist."""
+    hinted = speakers.join(hints.select("video_id", F.col("speaker_audio").alias("speaker"), "face_id"), ["video_id", "speaker"], "left")
+    crop = F.when(F.col("speaker").startswith("FACE_"), F.col("speaker")).otherwise(F.concat(F.lit("FACE_"), F.col("face_id")))
+    return hinted.select("video_id", "speaker", crop.alias("crop"), (~F.col("speaker").startswith("FACE_")).alias("hint")).join(crops, ["video_id", "crop"], "left_semi")
+
+
 def reconcile_audit(reconciled: DataFrame) -> DataFrame:
     """AGG-07 to AGG-09: faces with several labels, labels with several faces, coverage of either source."""
     seen = reconciled.filter("reconcile_source <> 'audio'")
     dur = F.col("end_ms") - F.col("start_ms")
     merges = seen.groupBy("video_id", "speaker").agg(F.countDistinct("speaker_audio").alias("n")).groupBy("video_id").agg(F.count_if(F.col("n") >= 2).alias("n_merges_fixed"))
     splits = seen.groupBy("video_id", "speaker_audio").agg(F.countDistinct("speaker").alias("n")).groupBy("video_id").agg(F.count_if(F.col("n") >= 2).alias("n_splits_fixed"))
-    share = lambda kind: F.round(F.sum(F.when(F.col("reconcile_source") == kind, dur).otherwise(0)) / F.sum(dur), 6)
+    share = lambda kind: F.round(F.sum(F.when(F.col("reconcile_source") == kind, dur).otherwise(0)) / F.sum(dur), 3)
     cover = reconciled.groupBy("video_id").agg(share("visual").alias("onscreen_coverage"), share("visual_global").alias("global_backfill_coverage"))
     return cover.join(merges, "video_id", "left").join(splits, "video_id", "left").fillna(0, ["n_merges_fixed", "n_splits_fixed"])
 
@@ -118,7 +162,7 @@ def boundary_candidates(spans: DataFrame, *, pause_ms: int = 300) -> DataFrame:
     t = spans.withColumns({"change": ((F.lag("speaker").over(w) != F.col("speaker")) & (F.lag("span").over(w) == F.col("span"))).cast("int"), "before": F.col("gap_ms"), "after": F.lead("gap_ms").over(w)})
     g = t.groupBy("video_id", "span").agg(
         F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.coalesce(F.sum("change"), F.lit(0)).alias("changes"), F.min_by("before", "pos").alias("before_ms"), F.max_by("after", "pos").alias("after_ms"),
-        F.min_by("speaker", "pos").alias("left_label"), F.max_by("speaker", "pos").alias("right_label"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"),
+        F.min_by("speaker", "pos").alias("left_label"), F.max_by("speaker", "pos").alias("right_label"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: collapsed(x["text"])), " ").alias("text"),
     )
     return g.filter((F.col("changes") == 1) & (F.coalesce("before_ms", F.lit(pause_ms)) >= pause_ms) & (F.coalesce("after_ms", F.lit(pause_ms)) >= pause_ms))
 
@@ -134,27 +178,33 @@ def anchor_target(candidates: DataFrame, turns: DataFrame) -> DataFrame:
     return c.withColumn("target_speaker", F.when(F.size(hits) == 1, F.get(hits, F.lit(0))))
 
 
-def rule_judge(text: Column, gap_ms: Column, glue_ms: int = 100) -> Column:
-    """UDF-01's default: one utterance if the text before the border doesn't end a sentence and the gap is short."""
-    return ~F.rtrim(text).rlike(r"[.!?。…]$") & (gap_ms < glue_ms)
-
-
 def repair_boundaries(turns: DataFrame, judged: DataFrame) -> DataFrame:
-    """OP-03: turns of approved spans (judged: video_id, lo, hi, target_speaker, approved) take the target's label; their old one is kept."""
-    j = judged.filter("approved and target_speaker is not null").select("video_id", "lo", "hi", "target_speaker")
-    t = turns.join(j, (turns.video_id == j.video_id) & turns.pos.between(j.lo, j.hi), "left").drop(j.video_id)
-    moved = F.col("target_speaker").isNotNull() & (F.col("target_speaker") != F.col("speaker"))
-    return t.withColumn("speaker_original", F.when(moved, F.col("speaker"))).withColumn("speaker", F.coalesce("target_speaker", "speaker")).drop("lo", "hi", "target_speaker")
+    """OP-03: turns of approved spans (judged: video_id, lo, hi, target_speaker, approved) take the target's label; their old one is kept.
+    Turns of every candidate span are marked as checked."""
+    approved = F.coalesce(F.col("approved"), F.lit(False)) & F.col("target_speaker").isNotNull()
+    span = judged.select("video_id", F.explode(F.sequence("lo", "hi")).alias("pos"), F.when(approved, F.col("target_speaker")).alias("__to"), F.lit(True).alias("__in"))
+    t = turns.join(span, ["video_id", "pos"], "left")
+    moved = F.col("__to").isNotNull() & (F.col("__to") != F.col("speaker"))
+    return t.withColumns({"speaker_original": F.when(moved, F.col("speaker")), "speaker": F.coalesce("__to", "speaker"), "checked": F.col("__in").isNotNull()}).drop("__to", "__in")
 
 
 def run_candidates(runs: DataFrame, *, max_ms: int = 3000) -> DataFrame:
-    """WIN-09 with JOIN-13: centres of three runs (or the second of two) that are short, have text, and differ from a neighbour."""
+    """WIN-09 with JOIN-13: centres of three runs that are short, have text, and differ from a neighbour. Of only two runs the one with
+    fewer segments, if it is short; else the first, if it is short and shorter; else so the second."""
     w = Window.partitionBy("video_id").orderBy("run_index")
-    r = runs.withColumns({"left_speaker": F.lag("speaker").over(w), "right_speaker": F.lead("speaker").over(w), "n": F.count("*").over(Window.partitionBy("video_id"))})
-    short = (F.col("text") != "") & (F.col("speech_ms") <= max_ms)
+    beside = {f"{side}_{c}": f(c).over(w) for side, f in (("left", F.lag), ("right", F.lead)) for c in ("speaker", "speech_ms", "num_segments")}
+    r = runs.withColumns({**beside, "n": F.count("*").over(Window.partitionBy("video_id"))})
+    short = F.col("speech_ms") <= max_ms
     differs = F.coalesce(F.col("left_speaker") != F.col("speaker"), F.lit(False)) | F.coalesce(F.col("right_speaker") != F.col("speaker"), F.lit(False))
-    inner = F.when(F.col("n") == 2, F.col("left_speaker").isNotNull()).otherwise(F.col("left_speaker").isNotNull() & F.col("right_speaker").isNotNull())
-    return r.filter(short & differs & inner)
+    inner = F.col("left_speaker").isNotNull() & F.col("right_speaker").isNotNull()
+    other = lambda c: F.coalesce(f"left_{c}", f"right_{c}")
+    fewer, more = F.col("num_segments") < other("num_segments"), F.col("num_segments") > other("num_segments")
+    other_picked = more & (other("speech_ms") <= max_ms)  # the other one, as it has fewer segments
+    shorter = short & (F.col("speech_ms") < other("speech_ms"))
+    # between two runs at most one is shorter, so the order of asking doesn't matter
+    of_two = differs & F.when(fewer & short, F.lit(True)).when(other_picked, F.lit(False)).otherwise(shorter)
+    of_many = (F.col("text") != "") & short & differs & inner
+    return r.filter(F.when(F.col("n") == 2, of_two).otherwise(of_many)).drop("left_speech_ms", "right_speech_ms", "left_num_segments", "right_num_segments")
 
 
 def eligibility(runs: DataFrame, *, max_gap_ms: int = 1500, max_overlap_ms: int = 50) -> DataFrame:
@@ -165,37 +215,37 @@ def eligibility(runs: DataFrame, *, max_gap_ms: int = 1500, max_overlap_ms: int
     return r.select("video_id", "run_index", "gap_ms", reason.alias("reason"), reason.isNull().alias("eligible"))
 
 
-def proposals(candidates: DataFrame, borders: DataFrame) -> DataFrame:
-    """PRJ-21: target of a run from its two judged borders (borders: video_id, run_index of the left run, same)."""
+def resolved(left_speaker: Column, right_speaker: Column, left_same: Column, right_same: Column, run_index: Column) -> tuple[Column, Column, Column]:
+    """PRJ-21: (resolution, target, anchor runs) of a run from its two judged borders."""
+    agree = left_speaker == right_speaker
+    how = F.when(left_same & right_same, F.when(agree, "both_agree").otherwise("both_conflict")).when(left_same, "left").when(right_same, "right").otherwise("none")
+    target = F.when(how.isin("both_agree", "left"), left_speaker).when(how == "right", right_speaker)
+    anchors = F.when(how == "both_agree", F.array(run_index - 1, run_index + 1)).when(how == "left", F.array(run_index - 1)).when(how == "right", F.array(run_index + 1))
+    return how, target, anchors
+
+
+def with_borders(candidates: DataFrame, borders: DataFrame) -> DataFrame:
+    """Candidates with left_same and right_same (borders: video_id, run_index of the left run, same)."""
     left = borders.select("video_id", (F.col("run_index") + 1).alias("run_index"), F.col("same").alias("left_same"))
     right = borders.select("video_id", "run_index", F.col("same").alias("right_same"))
-    c = candidates.join(left, ["video_id", "run_index"], "left").join(right, ["video_id", "run_index"], "left").fillna(False, ["left_same", "right_same"])
-    agree = F.col("left_speaker") == F.col("right_speaker")
-    how = F.when(F.expr("left_same and right_same"), F.when(agree, "both_agree").otherwise("both_conflict")).when(F.col("left_same"), "left").when(F.col("right_same"), "right").otherwise("none")
-    target = F.when(how.isin("both_agree", "left"), F.col("left_speaker")).when(how == "right", F.col("right_speaker"))
-    anchors = F.when(how == "both_agree", F.array(F.col("run_index") - 1, F.col("run_index") + 1)).when(how == "left", F.array(F.col("run_index") - 1)).when(how == "right", F.array(F.col("run_index") + 1))
+    return candidates.join(left, ["video_id", "run_index"], "left").join(right, ["video_id", "run_index"], "left").fillna(False, ["left_same", "right_same"])
+
+
+def proposals(candidates: DataFrame, borders: DataFrame) -> DataFrame:
+    """PRJ-21: new labels for runs, from their judged borders."""
+    c = with_borders(candidates, borders)
+    how, target, anchors = resolved(*(F.col(x) for x in ("left_speaker", "right_speaker", "left_same", "right_same", "run_index")))
     return c.select("video_id", "run_index", F.col("speaker").alias("from_speaker"), how.alias("resolution"), target.alias("to_speaker"), anchors.alias("anchors")).filter("to_speaker is not null and to_speaker <> from_speaker")
 
 
 def conflicts(approved: DataFrame) -> DataFrame:
-    """JOIN-14, SET-08: proposals whose anchor run is itself approved to another target; both are conflicted."""
+    """JOIN-14, JOIN-18, SET-08: proposals whose anchor run is itself approved to another target; both are conflicted."""
     a = approved.select("video_id", "run_index", "to_speaker", F.explode("anchors").alias("anchor"))
     q = approved.select("video_id", F.col("run_index").alias("anchor"), F.col("to_speaker").alias("q_to"))
     hit = a.join(q, ["video_id", "anchor"]).filter("to_speaker <> q_to")
     return hit.select("video_id", "run_index").union(hit.select("video_id", "anchor")).distinct()
 
 
-def word_support(words: DataFrame) -> DataFrame:
-    """AGG-13 to AGG-15 by segment: share of time with a visual label, whether that is half, a stable word, only weak words."""
-    dur = F.col("end_ms") - F.col("start_ms")
-    seen = F.sum(F.when(F.col("visual"), dur).otherwise(0))
-    sure = 100 * F.col("overlap_ms") >= 75 * dur
-    return words.groupBy("video_id", "index").agg(
-        F.round(seen / F.sum(dur), 6).alias("visual_share"), (2 * seen >= F.sum(dur)).alias("direct_visual"),
-        F.bool_or(~F.col("boundary_ambiguous") & sure).alias("stable"), (F.bool_and(F.col("boundary_ambiguous") & ~sure) & (F.count("*") <= 2)).alias("weak"),
-    )
-
-
 def correct_runs(runs: DataFrame, approved: DataFrame) -> DataFrame:
     """OP-04's end: runs take the target of their approved proposal, unless it is in conflict with another."""
     clear = approved.join(conflicts(approved), ["video_id", "run_index"], "left_anti").select("video_id", "run_index", "to_speaker")

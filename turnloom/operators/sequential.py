@@ -1,35 +1,32 @@
-"""Rules in which each step's outcome changes the next one's input: grouped pandas, one group for each video or segment.
+"""Rules in which each step's outcome changes the next one's input.
 
-Times are integer milliseconds, as everywhere in this library.
+What can be a column is one: the tests of words, costs and texts run in the JVM. Only the narrow step that depends on its own
+last outcome is Python, over arrays of one segment or a few numbers for each segment of a video. Times are integer milliseconds.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Fixed values of the cue rules.
+from turnloom.functions.text import MOVE_ENDS, break_penalty, ends_phrase, ends_sentence, joined, stripped
+
+#: Fixed values of the cue rules, of the word moves and of face tracks.
 MIN_CUE_MS, MAX_CUE_MS, MAX_CUE_WORDS = 750, 3500, 12
-ABBREVIATIONS = frozenset({"mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "st.", "vs.", "etc.", "e.g.", "i.e."})
-SENTENCE_ENDS = (".", "!", "?", "…", "！", "？")
-SOFT_ENDS = (",", ";", ":", "，", "；", "：")
-#: The word-move rule's sentence ends have one more.
-MOVE_ENDS = (".", "!", "?", "…", "。", "！", "？")
 MOVE_MS, MOVE_WORDS, MOVE_GAP_MS, MOVE_SHARE = 650, 2, 100, 0.75
-#: Line breaks: heads that cling to the word before them, and where a line likes to end.
-BOUND_HEADS, AUXILIARY_HEADS = frozenset("수것때줄바데뿐채척터리"), frozenset("있없싶")
-BREAK_MARKS, CLAUSE_ENDS = (",", "，", ".", "?", "!", "…"), ("는데", "지만", "다가", "면서", "거나", "든지", "라서")
+TRACK_IOU, TRACK_GAP, TRACK_FRAMES, TRACK_SIZE = 0.5, 10, 10, 1
 
 
-def cue_cuts(starts, ends, tokens) -> list[int]:
-    """WIN-19: exclusive ends of the cues of one segment's words."""
-    starts, ends = np.asarray(starts), np.asarray(ends)
+def cue_cuts(starts, ends, sentence, soft) -> list[int]:
+    """WIN-19: exclusive ends of the cues of one segment's words; sentence and soft: where a word ends a sentence, or at least a phrase."""
+    starts, ends, sentence, soft = (np.asarray(x) for x in (starts, ends, sentence, soft))
     n = len(starts)
-    sentence = np.array([t.strip().endswith(SENTENCE_ENDS) and t.strip().lower() not in ABBREVIATIONS for t in tokens], bool)
-    soft = sentence | np.array([t.strip().endswith(SOFT_ENDS) for t in tokens], bool)
     cut = np.arange(1, n + 1)
     # what would be left after a cut has to be nothing, or two words and MIN_CUE_MS at least
     viable = cut == n
-    viable[:-1] = (n - cut[:-1] >= 2) & (ends[-1] - starts[1:] >= MIN_CUE_MS) if n > 1 else False
+    viable[:-1] = (n - cut[:-1] >= 2) & (ends[-1] - starts[1:] >= MIN_CUE_MS)
     out, at = [], 0
     while at < n:
         lasts = ends[at:] - starts[at]
@@ -45,58 +42,137 @@ def cue_cuts(starts, ends, tokens) -> list[int]:
     return out
 
 
-def joined(tokens) -> str:
-    """FN-07: tokens with one space between, none before closing marks."""
-    text = ""
-    for token in tokens:
-        bare = token.strip()
-        if bare:
-            text += bare if not text else token if token[0].isspace() or bare[0] in ".,!?:;…)]}" else " " + token
-    return text.strip()
+def valid_words(words: Column) -> Column:
+    """PRJ-18: at least two words, none blank, none that ends before it starts or starts before the last one's end."""
+    order = F.forall(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.get(words, i)["start_ms"] >= F.get(words, i - 1)["end_ms"])
+    good = F.forall(words, lambda w: F.coalesce((stripped(w["word"]) != "") & (w["end_ms"] >= w["start_ms"]), F.lit(False)))
+    return F.when(F.size(words) < 2, False).otherwise(good & F.coalesce(order, F.lit(False)))
 
 
 def split_cues(words: DataFrame) -> DataFrame:
-    """words: video_id, parent_index, word_index, start_ms, end_ms, word. One row for each cue."""
-
-    def of_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf.sort_values("word_index")
-        # PRJ-18: a segment of bad or too few words stays one cue
-        good = len(w) >= 2 and (w.word.str.strip() != "").all() and (w.end_ms >= w.start_ms).all() and (w.start_ms.to_numpy()[1:] >= w.end_ms.to_numpy()[:-1]).all()
-        cuts = cue_cuts(w.start_ms.to_numpy(), w.end_ms.to_numpy(), w.word.tolist()) if good else [len(w)]
-        rows, lo = [], 0
-        for part, hi in enumerate(cuts, 1):
-            own = w.iloc[lo:hi]
-            rows.append((own.video_id.iloc[0], own.parent_index.iloc[0], part, len(cuts), own.start_ms.iloc[0], own.end_ms.iloc[-1], joined(own.word), len(own)))
-            lo = hi
-        return pd.DataFrame(rows, columns=["video_id", "parent_index", "part", "part_count", "start_ms", "end_ms", "text", "num_words"])
-
-    return words.groupBy("video_id", "parent_index").applyInPandas(of_segment, "video_id long, parent_index long, part long, part_count long, start_ms long, end_ms long, text string, num_words long")
-
-
-def break_penalty(before: str, after: str) -> float:
-    """FN-28."""
-    core, head = before.rstrip("]\"')”’"), after.lstrip("[\"'(“‘")[:1]
-    ends = -0.12 if core.endswith(BREAK_MARKS) else -0.06 if core.endswith(CLAUSE_ENDS) else 0.0
-    return ends + (0.30 if head in BOUND_HEADS else 0.20 if head in AUXILIARY_HEADS else 0.0)
-
-
-def wrap_lines(texts: list[str], widths: list[float], space: float, room: float) -> list[list[str]]:
-    """WIN-21: the split into lines of least total cost (squared slack and break penalties)."""
-    n = len(texts)
-    best: list[tuple[float, int]] = [(0.0, n)] * (n + 1)
-    for i in reversed(range(n)):
-        options, width = [], -space
-        for j in range(i + 1, n + 1):
-            width += space + widths[j - 1]
-            if width > room and j > i + 1:
-                break
-            options.append((max(room - width, 0.0) ** 2 / room**2 + (break_penalty(texts[j - 1], texts[j]) if j < n else 0.0) + best[j][0], j))
-        best[i] = min(options)
-    lines, i = [], 0
+    """WIN-19, WIN-16, FN-07. words: video_id, parent_index, word_index, start_ms, end_ms, word. One row for each cue; a segment whose words aren't valid stays one."""
+    word = F.struct("word_index", "start_ms", "end_ms", "word", ends_sentence(F.col("word")).alias("sentence"), ends_phrase(F.col("word")).alias("soft"))
+    rows = words.groupBy("video_id", "parent_index").agg(F.sort_array(F.collect_list(word)).alias("w")).withColumn("valid", valid_words(F.col("w")))
+
+    def run(batches):
+        for b in batches:
+            w, valid = b.column("w"), b.column("valid").to_pylist()
+            flat, offsets = w.flatten(), w.offsets.to_numpy() - w.offsets[0].as_py()
+            start, end, sentence, soft = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start_ms", "end_ms", "sentence", "soft"))
+            cuts = [cue_cuts(start[i:j], end[i:j], sentence[i:j], soft[i:j]) if ok else [j - i] for i, j, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cuts, pa.list_(pa.int32()))], names=["video_id", "parent_index", "w", "cuts"])
+
+    kinds = dict(rows.dtypes)
+    cut = rows.mapInArrow(run, f"video_id {kinds['video_id']}, parent_index {kinds['parent_index']}, w {kinds['w']}, cuts array<int>")
+    parts = cut.select("video_id", "parent_index", "w", "cuts", F.posexplode("cuts").alias("k", "hi"))
+    lo = F.when(F.col("k") == 0, 0).otherwise(F.get("cuts", F.col("k") - 1))
+    own = parts.select("video_id", "parent_index", (F.col("k") + 1).cast("bigint").alias("part"), F.size("cuts").cast("bigint").alias("part_count"), F.slice("w", lo + 1, F.col("hi") - lo).alias("w"))
+    return own.select(
+        "video_id", "parent_index", "part", "part_count", F.get("w", F.lit(0))["start_ms"].alias("start_ms"), F.element_at("w", -1)["end_ms"].alias("end_ms"),
+        joined(F.transform("w", lambda x: x["word"])).alias("text"), F.size("w").cast("bigint").alias("num_words"),
+    )
+
+
+def line_ends(widths, penalties, space: float, room: float) -> list[int]:
+    """WIN-21: exclusive ends of the lines of least total cost: squared slack, and the penalty of the break after each line but the last."""
+    widths = np.asarray(widths, float)
+    n = len(widths)
+    edge = np.concatenate([[0.0], np.cumsum(widths + space)])  # where word i begins, on one long line
+    after = np.append(np.asarray(penalties, float)[: max(n - 1, 0)], 0.0)
+    best, stop = np.zeros(n + 1), np.full(n + 1, n)
+    for i in range(n - 1, -1, -1):
+        wide = edge[i + 1 :] - edge[i] - space
+        fits = max(1, int(np.searchsorted(wide, room, "right")))  # a word wider than the room has a line of its own
+        cost = np.maximum(room - wide[:fits], 0) ** 2 / room**2 + after[i : i + fits] + best[i + 1 : i + 1 + fits]
+        k = int(np.argmin(cost))
+        best[i], stop[i] = cost[k], i + 1 + k
+    out, i = [], 0
     while i < n:
-        lines.append(texts[i : best[i][1]])
-        i = best[i][1]
-    return lines
+        i = int(stop[i])
+        out.append(i)
+    return out
+
+
+def wrap_lines(texts: DataFrame, *, letter: float = 1.0, space: float = 1.0, room: float = 44.0) -> DataFrame:
+    """WIN-21: texts(id, words array<string>) with lines; widths are `letter` for each character."""
+    penalty = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: break_penalty(F.get("words", i - 1), F.get("words", i)))
+    rows = texts.select("id", "words", F.transform("words", lambda w: F.length(w) * letter).cast("array<double>").alias("widths"), F.when(F.size("words") > 1, penalty).otherwise(F.array().cast("array<double>")).alias("penalties"))
+
+    def run(batches):
+        for b in batches:
+            ends = [line_ends(w, p, space, room) for w, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends, pa.list_(pa.int32()))], names=["id", "words", "ends"])
+
+    out = rows.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, words array<string>, ends array<int>")
+    line = F.transform("ends", lambda hi, k: F.array_join(F.slice("words", F.when(k == 0, 0).otherwise(F.get("ends", k - 1)) + 1, hi - F.when(k == 0, 0).otherwise(F.get("ends", k - 1))), " "))
+    return out.select("id", line.alias("lines"))
+
+
+@F.pandas_udf(StringType())
+def wrapped_44(text: pd.Series) -> pd.Series:
+    """FN-06: lines of at most 44 characters, words whole."""
+    import textwrap
+
+    return text.map(lambda t: "\n".join(textwrap.wrap(t or "", width=44, break_long_words=False) or [""]))
+
+
+def moved_words(steps: list[dict]) -> list[tuple[int, int, int]]:
+    """WIN-18's order-dependent part: (segment, place from its end, segment that it ends up in) of the words that move.
+
+    steps: of each segment in order: n (its words), tail (of its last words, at most MOVE_WORDS + 1: ms, whether it ends a sentence,
+    whether it carries the segment's label), goes (whether words may go to the next segment).
+    """
+    out, got = {}, []  # got: words that came from the segment before
+    for k, step in enumerate(steps):
+        own = [(k, len(step["tail"]) - i, w) for i, w in enumerate(step["tail"])]
+        all_n, line = len(got) + step["n"], (got + own if step["n"] <= MOVE_WORDS else own)
+        going = []
+        if step["goes"]:
+            for size in range(1, min(MOVE_WORDS, all_n - 1) + 1):
+                tail = line[-size:]
+                if line[-size - 1][2]["ends"] and sum(w["ms"] for _, _, w in tail) <= MOVE_MS:
+                    going = tail if all(w["own"] for _, _, w in tail) else []
+                    break
+        got = [(s, place, {**w, "own": True}) for s, place, w in going]
+        for s, place, _ in going:
+            out[s, place] = k + 1
+    return [(s, place, to) for (s, place), to in out.items()]
+
+
+def move_openers(words: DataFrame) -> DataFrame:
+    """WIN-17, WIN-18: one or two short words after a sentence end go to the next segment, if a face there is sure.
+
+    words: video_id, index (segment, from 0), speaker, word_index, start_ms, end_ms, word, visual (the word's label came
+    from a face), and word_speaker, if it may differ from the segment's. Segments are taken in order, each with what the step before left
+    it; a segment's own times and its faces don't change before its turn, so whether words may go is known beforehand.
+    """
+    own = F.col("word_speaker") == F.col("speaker") if "word_speaker" in words.columns else F.lit(True)
+    ms = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
+    tail = F.struct("word_index", ms.alias("ms"), ends_sentence(F.col("word"), MOVE_ENDS, ()).alias("ends"), own.alias("own"))
+    s = words.groupBy("video_id", "index").agg(
+        F.first("speaker").alias("speaker"), F.min_by("start_ms", "word_index").alias("start_ms"), F.max_by("end_ms", "word_index").alias("end_ms"), F.count("*").cast("int").alias("n"),
+        F.slice(F.reverse(F.array_sort(F.collect_list(tail))), 1, MOVE_WORDS + 1).alias("last"), F.sum(F.when(own, ms)).alias("own_ms"), F.sum(F.when(own & F.col("visual"), ms)).alias("visual_ms"),
+    )
+    order = Window.partitionBy("video_id").orderBy("index")
+    after = lambda c: F.lead(c).over(order)
+    goes = (F.col("speaker") != after("speaker")) & after("speaker").startswith("FACE_") & (F.abs(after("start_ms") - F.col("end_ms")) <= MOVE_GAP_MS) & (after("visual_ms") >= MOVE_SHARE * after("own_ms")) & (after("own_ms") > 0)
+    step = F.struct("index", "n", F.reverse("last").alias("tail"), F.coalesce(goes, F.lit(False)).alias("goes"), after("index").alias("next"), after("speaker").alias("to_speaker"))
+    videos = s.select("video_id", step.alias("step")).groupBy("video_id").agg(F.sort_array(F.collect_list("step")).alias("steps")).filter(F.exists("steps", lambda x: x["goes"]))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for video, steps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += [(video, steps[k]["tail"][-place]["word_index"], steps[k]["index"], steps[to]["index"], steps[to - 1]["to_speaker"]) for k, place, to in moved_words(steps)]
+            video, word, old, new, speaker = zip(*rows, strict=True) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(video, b.schema.field(0).type), *(pa.array(x, pa.int64()) for x in (word, old, new)), pa.array(speaker, pa.string())], names=["video_id", "word_index", "index", "new_index", "new_speaker"])
+
+    moved = videos.mapInArrow(run, f"video_id {dict(words.dtypes)['video_id']}, word_index long, index long, new_index long, new_speaker string")
+    out = words.join(moved, ["video_id", "index", "word_index"], "left")
+    went = F.col("new_index").isNotNull()
+    return out.select(
+        "video_id", F.coalesce("new_index", "index").alias("index"), "word_index", "start_ms", F.coalesce("new_speaker", "speaker").alias("speaker"), F.when(went, F.col("speaker")).alias("speaker_original"), went.alias("moved"),
+    )
 
 
 def average_linkage(vectors: np.ndarray, cut: float = 0.7) -> np.ndarray:
@@ -147,34 +223,72 @@ def centre_tracks(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("video_id").applyInPandas(of_video, "video_id long, frame long, box long, track long")
 
 
-def move_openers(words: DataFrame) -> DataFrame:
-    """WIN-17, WIN-18: one or two short words after a sentence end go to the next segment, if a face there is sure.
+def _iou(box: np.ndarray, other: np.ndarray) -> float:
+    side = np.maximum(np.minimum(box[2:], other[2:]) - np.maximum(box[:2], other[:2]), 0)
+    shared = side.prod()
+    whole = (box[2:] - box[:2]).prod() + (other[2:] - other[:2]).prod() - shared
+    return shared / (whole or 1.0)
 
-    words: video_id, index (segment), speaker, word_index, start_ms, end_ms, word, visual (the word's label came
-    from a face). Segments are taken in order, each with what the step before left it.
-    """
+
+def overlap_tracks(boxes: DataFrame, *, least: float = TRACK_IOU, gap: int = TRACK_GAP) -> DataFrame:
+    """JOIN-19: boxes (video_id, frame, box, x1, y1, x2, y2) to tracks. The first free box begins a track, and each later free one that overlaps
+    its last box by more than `least`, at most `gap` frames on, goes on with it; of a frame the box right after one that was taken waits for the next track."""
 
     def of_video(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["index", "word_index"]).reset_index(drop=True)
-        p["moved"] = False
-        members = {k: list(v) for k, v in p.groupby("index").groups.items()}
-        speaker = p.groupby("index").speaker.first().to_dict()
-        start, end = p.start_ms.to_numpy(), p.end_ms.to_numpy()
-        order = sorted(members)
-        for left, right in zip(order, order[1:], strict=False):
-            a, b = members[left], members[right]
-            if speaker[left] == speaker[right] or not speaker[right].startswith("FACE_") or len(a) < 2 or not b or abs(start[b[0]] - end[a[-1]]) > MOVE_GAP_MS:
-                continue
-            long = (end - start)[b]
-            if (long * p.visual.to_numpy()[b]).sum() < MOVE_SHARE * long.sum():
-                continue
-            sizes = [k for k in range(1, min(MOVE_WORDS, len(a) - 1) + 1) if p.word[a[-k - 1]].strip().endswith(MOVE_ENDS) and (end - start)[a[-k:]].sum() <= MOVE_MS]
-            if sizes:
-                k = sizes[0]
-                if (p.speaker[a[-k:]] == speaker[left]).all():
-                    tail = a[-k:]
-                    members[left], members[right] = a[:-k], tail + b
-                    p.loc[tail, ["speaker", "index", "moved"]] = [speaker[right], right, True]
-        return p[["video_id", "index", "word_index", "start_ms", "speaker", "moved"]]
-
-    return words.groupBy("video_id").applyInPandas(of_video, "video_id long, index long, word_index long, start_ms long, speaker string, moved boolean")
+        p = pdf.sort_values(["frame", "box"])
+        frame, at = p.frame.to_numpy(), p[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        track, n = np.full(len(p), -1), 0
+        while (free := np.flatnonzero(track < 0)).size:
+            last = skipped = None
+            for k in free:
+                if skipped == frame[k]:  # of this frame one was just taken
+                    skipped = None
+                    continue
+                if last is None or frame[k] - frame[last] <= gap and _iou(at[k], at[last]) > least:
+                    track[k], last, skipped = n, k, frame[k]
+                elif frame[k] - frame[last] > gap:
+                    break
+            n += 1
+        return pd.DataFrame({"video_id": p.video_id, "frame": p.frame, "box": p.box, "track": track})
+
+    return boxes.groupBy("video_id").applyInPandas(of_video, "video_id long, frame long, box long, track long")
+
+
+def filled_tracks(boxes: DataFrame, *, frames: int = TRACK_FRAMES, size: float = TRACK_SIZE) -> DataFrame:
+    """WIN-22: tracks of more than `frames` boxes (video_id, track, frame, x1, y1, x2, y2) with a row for every frame, boxes in between by straight
+    lines; only those whose mean width or height is over `size`. The earliest of several boxes of a frame counts. All in the JVM."""
+    corners = ("x1", "y1", "x2", "y2")
+    order = Window.partitionBy("video_id", "track").orderBy("frame")
+    one = boxes.groupBy("video_id", "track", "frame").agg(F.min(F.struct(*corners)).alias("b"), F.count("*").alias("n")).select("video_id", "track", "frame", "n", "b.*")
+    t = one.withColumns({"seen": F.sum("n").over(Window.partitionBy("video_id", "track")), "to": F.coalesce(F.lead("frame").over(order), F.col("frame") + 1), **{f"_{c}": F.coalesce(F.lead(c).over(order), c) for c in corners}})
+    t = t.filter(F.col("seen") > frames).withColumn("at", F.explode(F.sequence("frame", F.col("to") - 1)))
+    part = (F.col("at") - F.col("frame")) / (F.col("to") - F.col("frame"))
+    t = t.select("video_id", "track", F.col("at").alias("frame"), *[(F.col(c) + (F.col(f"_{c}") - F.col(c)) * part).alias(c) for c in corners])
+    whole = Window.partitionBy("video_id", "track")
+    big = F.greatest(F.avg(F.col("x2") - F.col("x1")).over(whole), F.avg(F.col("y2") - F.col("y1")).over(whole)) > size
+    return t.withColumn("big", big).filter("big").drop("big")
+
+
+def median_13(values: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """WIN-22: of each row the median of the 13 values around it; beyond the edges there are zeros."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-6, 6)
+    near = F.collect_list(F.col(value).cast("double")).over(w)
+    padded = F.array_sort(F.concat(near, F.array_repeat(F.lit(0.0), 13 - F.size(near))))
+    return values.withColumn("median", F.get(padded, F.lit(6)))
+
+
+#: Fixed values of the lip-motion gates.
+LIP_WIDTH, LIP_FRAMES, LIP_MOTION, LIP_OPEN = 70, 4, 0.022, 0.13
+
+
+def speaking_tracks(openings: DataFrame) -> DataFrame:
+    """AGG-20: of each clip the track (clip, track, frame, width, opening) whose lips move most, with its most open frame: median width and number of
+    measured frames high enough, spread (of the population) and greatest opening above their gates. opening is null where it wasn't measured."""
+    t = openings.groupBy("clip", "track").agg(F.median("width").alias("width"), F.count("opening").alias("n"), F.stddev_pop("opening").alias("motion"), F.max_by("frame", F.struct("opening", -F.col("frame"))).alias("frame"), F.max("opening").alias("open"))
+    best = t.filter((F.col("width") >= LIP_WIDTH) & (F.col("n") >= LIP_FRAMES)).groupBy("clip").agg(F.max_by(F.struct("track", "motion", "frame", "open"), F.struct("motion", -F.col("track"))).alias("b"))
+    return best.select("clip", "b.*").filter((F.col("motion") >= LIP_MOTION) & (F.col("open") >= LIP_OPEN))
+
+
+def mean_scores(scores: DataFrame) -> DataFrame:
+    """AGG-21: of each frame (track, frame, scale, score) the mean over the scales, to one place, halves to even."""
+    return scores.groupBy("track", "frame").agg((F.rint(F.avg("score") * 10) / 10).alias("score"))

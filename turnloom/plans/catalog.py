@@ -11,6 +11,19 @@ from turnloom.sources.adapters import INTERVALS, TURNS, WORDS, intervals, read,
 _QUERIES: dict = {}
 _SQL: dict = {}
 
+_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}|{_WS}$', '', 'g')"
+
+
+def clean_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}', ' ', 'g'))"
+
+
+_CLEAN_TEXT = f"coalesce(string_agg(nullif({clean_sql('text')}, ''), ' ' ORDER BY pos), '')"
+
 
 def query(name: str, sql: str | None = None):
     def add(f):
@@ -38,7 +51,7 @@ def _b(df, *longs):
 
 SUMMARY = TURNS + """, g AS (
   SELECT video_id, speaker, sum(end_ms - start_ms)::BIGINT AS total_ms, count(*) AS num_turns, max(end_ms - start_ms) AS max_turn_ms, min(pos) AS first_pos
-  FROM turns GROUP BY ALL
+  FROM turns WHERE upper(speaker) <> 'UNKNOWN' GROUP BY ALL
 ), summary AS (
   SELECT video_id, speaker, total_ms, num_turns, max_turn_ms, row_number() OVER (PARTITION BY video_id ORDER BY total_ms DESC, first_pos) AS rank,
     round(CASE WHEN sum(total_ms) OVER (PARTITION BY video_id) = 0 THEN 0 ELSE total_ms / (sum(total_ms) OVER (PARTITION BY video_id))::DOUBLE END, 6) AS share,
@@ -81,11 +94,6 @@ def _(spark, d):
     return L.update_names(turns(spark, d).select("video_id", "pos", F.col("speaker").alias("speaker_id"), F.col("speaker").alias("speaker_display")), _names(spark))
 
 
-@query("snk10_saved_map", f"WITH {NAMES_SQL} SELECT speaker_id, coalesce(nullif(trim(display_name), ''), speaker_id) AS display_name FROM names")
-def _(spark, d):
-    return L.saved_map(_names(spark))
-
-
 def _labels(spark, d):
     return turns(spark, d).select(F.when(F.expr("pos % 3 = 0"), F.concat(F.lit("FACE_"), F.col("video_id") % 12)).when(F.expr("pos % 3 = 1"), F.concat(F.lit("AUDIO_"), F.col("pos"))).otherwise(F.col("speaker")).alias("label"))
 
@@ -119,26 +127,16 @@ def _(spark, d):
     return L.latest(v, ["final", "gap_corrected", "corrected", "raw"], ["video_id"])
 
 
-@query("src11_library_listing", "SELECT c_custkey AS item, lower(c_name) AS title, n_orders FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)")
-def _(spark, d):
-    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
-    return read(spark, d, "customer").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").join(o, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("item"), F.lower("c_name").alias("title"), "n_orders")
-
-
-@query("src15_read_map", "SELECT 1::BIGINT AS video_id, * FROM (VALUES ('S0', 'Ada'), ('S1', 'Bo'), ('S2', 'S2')) AS t(speaker_id, display_name)")
-def _(spark, d):
-    doc = spark.createDataFrame([(1, {"S0": "Ada"}, [("S0", "x", None), ("S1", " ", "Bo"), ("S2", None, "")])], "video_id long, speakers map<string,string>, rows array<struct<speaker_id:string,display_name:string,name:string>>")
-    return L.read_map(doc)
-
-
 # --- alignment ------------------------------------------------------------------------------------------------------
 
 CANDIDATES = WORDS + """, cand AS (
-  SELECT w.video_id, w.asr_segment_id, w.word_index, t.speaker, sum(least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms))::BIGINT AS overlap_ms, min(t.pos) AS first_pos
+  SELECT w.video_id, w.asr_segment_id, w.word_index, t.speaker, sum(least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms))::BIGINT AS overlap_ms,
+    sum(least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms)) / any_value(w.end_ms - w.start_ms) AS coverage, min(t.pos) AS first_pos, arg_min(t.start_ms, t.pos) AS turn_start_ms, arg_min(t.end_ms, t.pos) AS turn_end_ms
   FROM words w JOIN turns t ON w.video_id = t.video_id AND least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms) > 0 GROUP BY ALL
 ), top AS (
-  SELECT video_id, asr_segment_id, word_index, speaker, overlap_ms, overlap_ms - second AS overlap_margin_ms, coalesce(overlap_ms - second <= 50, false) AS boundary_ambiguous
-  FROM (SELECT *, row_number() OVER w AS rn, lead(overlap_ms) OVER w AS second FROM cand WINDOW w AS (PARTITION BY video_id, asr_segment_id, word_index ORDER BY overlap_ms DESC, first_pos)) WHERE rn = 1
+  SELECT video_id, asr_segment_id, word_index, speaker, overlap_ms, coverage, overlap_ms - second AS overlap_margin_ms, coalesce(overlap_ms - second <= 50, false) AS boundary_ambiguous, candidates
+  FROM (SELECT *, row_number() OVER w AS rn, lead(overlap_ms) OVER w AS second, string_agg(speaker || ':' || overlap_ms, ',') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS candidates
+    FROM cand WINDOW w AS (PARTITION BY video_id, asr_segment_id, word_index ORDER BY overlap_ms DESC, first_pos)) WHERE rn = 1
 )"""
 ASSIGNED = CANDIDATES + """, rest AS (
   SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.video_id = w.video_id AND top.asr_segment_id = w.asr_segment_id AND top.word_index = w.word_index)
@@ -148,9 +146,18 @@ ASSIGNED = CANDIDATES + """, rest AS (
   QUALIFY row_number() OVER (PARTITION BY w.video_id, w.asr_segment_id, w.word_index ORDER BY greatest(t.start_ms - w.end_ms, w.start_ms - t.end_ms, 0), abs(w.start_ms + w.end_ms - t.start_ms - t.end_ms), t.pos) = 1
 ), assigned AS (
   SELECT w.*, coalesce(top.speaker, near.speaker, 'UNKNOWN') AS speaker, CASE WHEN top.speaker IS NOT NULL THEN 'overlap' WHEN near.speaker IS NOT NULL THEN 'nearest' ELSE 'unknown' END AS matched_by,
-    coalesce(overlap_ms, 0) AS overlap_ms, overlap_margin_ms, coalesce(boundary_ambiguous, false) AS boundary_ambiguous, nearest_gap_ms::BIGINT AS nearest_gap_ms
+    coalesce(overlap_ms, 0) AS overlap_ms, coalesce(coverage, 0) AS coverage, overlap_margin_ms, coalesce(boundary_ambiguous, false) AS boundary_ambiguous, nearest_gap_ms::BIGINT AS nearest_gap_ms, coalesce(candidates, '') AS candidates
   FROM words w LEFT JOIN top USING (video_id, asr_segment_id, word_index) LEFT JOIN near USING (video_id, asr_segment_id, word_index)
 )"""
+_SHOWN = "* REPLACE (round(coverage, 6) AS coverage)"
+
+
+def _shown(df):
+    """Coverage to six places, candidates as text."""
+    out = df.withColumn("coverage", F.round("coverage", 6)).drop("reconcile_source", "reconcile_cov")
+    if "candidates" in df.columns:
+        out = out.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.concat(c["speaker"], F.lit(":"), c["overlap_ms"])), ","))
+    return out
 
 
 @query("prj02_words", f"WITH {WORDS} SELECT * FROM words")
@@ -158,49 +165,54 @@ def _(spark, d):
     return words(spark, d)
 
 
-@query("join01_overlap_candidates", f"WITH {CANDIDATES} SELECT * FROM cand")
+@query("join01_overlap_candidates", f"WITH {CANDIDATES} SELECT {_SHOWN} FROM cand")
 def _(spark, d):
-    return I.candidates(words(spark, d), turns(spark, d))
+    return _shown(I.candidates(words(spark, d), turns(spark, d)))
 
 
-@query("join02_dominant_speaker", f"WITH {CANDIDATES} SELECT * FROM top")
+@query("join02_dominant_speaker", f"WITH {CANDIDATES} SELECT {_SHOWN} FROM top")
 def _(spark, d):
-    return I.dominant(words(spark, d), turns(spark, d))
+    return _shown(I.dominant(words(spark, d), turns(spark, d)))
 
 
-@query("join04_assign_speakers", f"WITH {ASSIGNED} SELECT * FROM assigned")
+@query("join04_assign_speakers", f"WITH {ASSIGNED} SELECT {_SHOWN} FROM assigned")
 def _(spark, d):
-    return I.assign(words(spark, d), turns(spark, d))
+    return _shown(I.assign(words(spark, d), turns(spark, d)))
 
 
-SEGMENTS = ASSIGNED + """, f AS (
+SEGMENTS = ASSIGNED + f""", f AS (
   SELECT *, CASE WHEN speaker = lag(speaker) OVER w AND asr_segment_id = lag(asr_segment_id) OVER w AND start_ms - lag(end_ms) OVER w <= 500 THEN 0 ELSE 1 END AS new
   FROM assigned WINDOW w AS (PARTITION BY video_id ORDER BY asr_segment_id, word_index)
 ), i AS (
   SELECT *, (sum(new) OVER (PARTITION BY video_id ORDER BY asr_segment_id, word_index) - 1)::BIGINT AS index FROM f
 ), segments AS (
   SELECT video_id, index, arg_min(start_ms, asr_segment_id * 100000 + word_index) AS start_ms, arg_max(end_ms, asr_segment_id * 100000 + word_index) AS end_ms, any_value(speaker) AS speaker,
-    string_agg(word, ' ' ORDER BY asr_segment_id, word_index) AS text, count(*) AS num_words, sum(overlap_ms)::BIGINT AS overlap_ms, bool_or(boundary_ambiguous) AS boundary_ambiguous,
-    string_agg(DISTINCT matched_by, ',' ORDER BY matched_by) AS match_methods, string_agg(DISTINCT asr_segment_id::VARCHAR, ',' ORDER BY asr_segment_id::VARCHAR) AS asr_segment_ids
+    'word_alignment' AS source, {strip_sql("string_agg(word, '' ORDER BY asr_segment_id, word_index)")} AS text, count(*) AS num_words, sum(overlap_ms)::BIGINT AS overlap_ms, round(avg(coverage), 6) AS coverage, bool_or(boundary_ambiguous) AS boundary_ambiguous,
+    string_agg(DISTINCT matched_by, ',' ORDER BY matched_by) AS match_methods, array_to_string(list_sort(list(DISTINCT asr_segment_id)), ',') AS asr_segment_ids
   FROM i GROUP BY video_id, index
 )"""
 
 
-@query("stage01_align", f"WITH {SEGMENTS} SELECT * FROM segments")
+def flat_segments(s):
+    """Segments with lists as text and without the words."""
+    return s.drop("words").withColumns({"coverage": F.round("coverage", 6), "match_methods": F.array_join("match_methods", ","), "asr_segment_ids": F.array_join(F.col("asr_segment_ids").cast("array<string>"), ",")})
+
+
+@query("stage01_align", f"WITH {SEGMENTS} SELECT *, greatest(end_ms - start_ms, 0) AS duration_ms FROM segments")
 def _(spark, d):
-    return I.segments(I.assign(words(spark, d), turns(spark, d)))
+    return flat_segments(I.segments(I.assign(words(spark, d), turns(spark, d))))
 
 
 # --- islands --------------------------------------------------------------------------------------------------------
 
-RUNS = TURNS + """, r0 AS (
+RUNS = TURNS + f""", r0 AS (
   SELECT *, sum(CASE WHEN speaker = ls THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) AS stretch FROM (SELECT *, lag(speaker) OVER (PARTITION BY video_id ORDER BY pos) AS ls FROM turns)
 ), r1 AS (
   SELECT *, max(end_ms) OVER (PARTITION BY video_id, stretch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r0
 ), r2 AS (
   SELECT *, (sum(CASE WHEN start_ms - reach <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) - 1)::BIGINT AS run_index FROM r1
 ), runs AS (
-  SELECT video_id, run_index, min(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(end_ms - start_ms)::BIGINT AS speech_ms, min(pos) AS first_pos, max(pos) AS last_pos, string_agg(text, ' ' ORDER BY pos) AS text
+  SELECT video_id, run_index, min(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, sum(greatest(end_ms - start_ms, 0))::BIGINT AS speech_ms, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS num_segments, {_CLEAN_TEXT} AS text
   FROM r2 GROUP BY video_id, run_index
 )"""
 
@@ -228,7 +240,7 @@ def _(spark, d):
     return I.glued_spans(turns(spark, d)).select("video_id", "pos", "gap_ms", "span")
 
 
-@query("win05_remerge_glued", f"WITH {GLUED}, m AS (SELECT *, (sum(CASE WHEN speaker = ls AND gap_ms BETWEEN -50 AND 100 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) - 1)::BIGINT AS index FROM (SELECT *, lag(speaker) OVER (PARTITION BY video_id ORDER BY pos) AS ls FROM glued)) SELECT video_id, index, min(speaker) AS speaker, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms, count(*) AS merged, string_agg(text, ' ' ORDER BY pos) AS text FROM m GROUP BY video_id, index")
+@query("win05_remerge_glued", f"WITH {GLUED}, m AS (SELECT *, (sum(CASE WHEN speaker = ls AND gap_ms BETWEEN -50 AND 100 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) - 1)::BIGINT AS index FROM (SELECT *, lag(speaker) OVER (PARTITION BY video_id ORDER BY pos) AS ls FROM glued)) SELECT video_id, index, min(speaker) AS speaker, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms, count(*) AS merged, CASE WHEN count(*) = 1 THEN any_value(text) ELSE {_CLEAN_TEXT} END AS text FROM m GROUP BY video_id, index")
 def _(spark, d):
     return I.remerge_glued(turns(spark, d))
 
@@ -255,18 +267,20 @@ def _(spark, d):
     return _boundary(spark, d).select("video_id", "lo", "hi", "left_label", "right_label", "target_speaker")
 
 
-@query("stage03_boundary_repair", f"WITH {BOUNDARY} SELECT t.video_id, t.pos, coalesce(b.target_speaker, t.speaker) AS speaker, CASE WHEN b.target_speaker <> t.speaker THEN t.speaker END AS speaker_original FROM turns t LEFT JOIN boundary b ON t.video_id = b.video_id AND t.pos BETWEEN b.lo AND b.hi AND b.target_speaker IS NOT NULL AND (b.video_id + b.lo) % 2 = 0")
+@query("stage03_boundary_repair", f"WITH {BOUNDARY} SELECT t.video_id, t.pos, coalesce(b.target_speaker, t.speaker) AS speaker, CASE WHEN b.target_speaker <> t.speaker THEN t.speaker END AS speaker_original, EXISTS (SELECT 1 FROM boundary c WHERE c.video_id = t.video_id AND t.pos BETWEEN c.lo AND c.hi) AS checked FROM turns t LEFT JOIN boundary b ON t.video_id = b.video_id AND t.pos BETWEEN b.lo AND b.hi AND b.target_speaker IS NOT NULL AND (b.video_id + b.lo) % 2 = 0")
 def _(spark, d):
     judged = _boundary(spark, d).withColumn("approved", F.expr("(video_id + lo) % 2 = 0"))
-    return L.repair_boundaries(turns(spark, d), judged).select("video_id", "pos", "speaker", "speaker_original")
+    return L.repair_boundaries(turns(spark, d), judged).select("video_id", "pos", "speaker", "speaker_original", "checked")
 
 
 CANDIDATE_RUNS = RUNS + """, cr AS (
-  SELECT *, lag(speaker) OVER w AS left_speaker, lead(speaker) OVER w AS right_speaker, count(*) OVER (PARTITION BY video_id) AS n, lead(text) OVER w AS next_text, lead(start_ms) OVER w - end_ms AS gap_ms
+  SELECT *, lag(speaker) OVER w AS left_speaker, lead(speaker) OVER w AS right_speaker, count(*) OVER (PARTITION BY video_id) AS n, lead(text) OVER w AS next_text, lead(start_ms) OVER w - end_ms AS gap_ms,
+    coalesce(lag(speech_ms) OVER w, lead(speech_ms) OVER w) AS other_ms, coalesce(lag(num_segments) OVER w, lead(num_segments) OVER w) AS other_n
   FROM runs WINDOW w AS (PARTITION BY video_id ORDER BY run_index)
 ), candidates AS (
-  SELECT * FROM cr WHERE text <> '' AND speech_ms <= 60000 AND (coalesce(left_speaker <> speaker, false) OR coalesce(right_speaker <> speaker, false))
-    AND CASE WHEN n = 2 THEN left_speaker IS NOT NULL ELSE left_speaker IS NOT NULL AND right_speaker IS NOT NULL END
+  SELECT * FROM cr WHERE (coalesce(left_speaker <> speaker, false) OR coalesce(right_speaker <> speaker, false)) AND CASE
+    WHEN n <> 2 THEN text <> '' AND speech_ms <= 60000 AND left_speaker IS NOT NULL AND right_speaker IS NOT NULL
+    WHEN num_segments < other_n AND speech_ms <= 60000 THEN true WHEN num_segments > other_n AND other_ms <= 60000 THEN false ELSE speech_ms <= 60000 AND speech_ms < other_ms END
 )"""
 PROPOSALS = CANDIDATE_RUNS + """, borders AS (
   SELECT video_id, run_index, speaker <> right_speaker AND gap_ms <= 1500 AND gap_ms >= -50 AND text <> '' AND next_text <> '' AND (video_id + run_index) % 2 = 0 AS same FROM cr WHERE right_speaker IS NOT NULL
@@ -322,7 +336,7 @@ RECONCILED = TURNS + ", " + FACES + """, fo AS (
 ), fr AS (
   SELECT *, row_number() OVER w AS rn, coalesce(lead(o) OVER w, 0) AS second FROM fo WINDOW w AS (PARTITION BY video_id, pos ORDER BY o DESC, seen, face_id)
 ), direct AS (
-  SELECT video_id, pos, face_id, round(o / dur, 6) AS cov, round((o - second) / dur, 6) AS margin FROM fr WHERE rn = 1 AND 100 * o >= 20 * dur AND 100 * (o - second) >= 15 * dur AND o >= 120
+  SELECT video_id, pos, face_id, round(o / dur, 3) AS cov, round((o - second) / dur, 3) AS margin FROM fr WHERE rn = 1 AND 100 * o >= 20 * dur AND 100 * (o - second) >= 15 * dur AND o >= 120
 ), tot AS (SELECT video_id, speaker, sum(end_ms - start_ms)::BIGINT AS total FROM turns GROUP BY ALL
 ), mx AS (SELECT video_id, speaker, face_id, sum(o)::BIGINT AS o, min(pos * 100 + rn) AS first FROM fr GROUP BY ALL
 ), tp AS (
@@ -343,7 +357,7 @@ def _(spark, d):
     return L.reconcile(turns(spark, d), _faces(spark, d))
 
 
-@query("agg09_reconcile_audit", f"WITH {RECONCILED}, a AS (SELECT video_id, round(sum(CASE WHEN reconcile_source = 'visual' THEN end_ms - start_ms ELSE 0 END) / sum(end_ms - start_ms), 6) AS onscreen_coverage, round(sum(CASE WHEN reconcile_source = 'visual_global' THEN end_ms - start_ms ELSE 0 END) / sum(end_ms - start_ms), 6) AS global_backfill_coverage FROM reconciled GROUP BY 1), m AS (SELECT video_id, count(*) FILTER (WHERE n >= 2) AS n_merges_fixed FROM (SELECT video_id, speaker, count(DISTINCT speaker_audio) AS n FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL) GROUP BY 1), s AS (SELECT video_id, count(*) FILTER (WHERE n >= 2) AS n_splits_fixed FROM (SELECT video_id, speaker_audio, count(DISTINCT speaker) AS n FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL) GROUP BY 1) SELECT a.*, coalesce(n_merges_fixed, 0) AS n_merges_fixed, coalesce(n_splits_fixed, 0) AS n_splits_fixed FROM a LEFT JOIN m USING (video_id) LEFT JOIN s USING (video_id)")
+@query("agg09_reconcile_audit", f"WITH {RECONCILED}, a AS (SELECT video_id, round(sum(CASE WHEN reconcile_source = 'visual' THEN end_ms - start_ms ELSE 0 END) / sum(end_ms - start_ms), 3) AS onscreen_coverage, round(sum(CASE WHEN reconcile_source = 'visual_global' THEN end_ms - start_ms ELSE 0 END) / sum(end_ms - start_ms), 3) AS global_backfill_coverage FROM reconciled GROUP BY 1), m AS (SELECT video_id, count(*) FILTER (WHERE n >= 2) AS n_merges_fixed FROM (SELECT video_id, speaker, count(DISTINCT speaker_audio) AS n FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL) GROUP BY 1), s AS (SELECT video_id, count(*) FILTER (WHERE n >= 2) AS n_splits_fixed FROM (SELECT video_id, speaker_audio, count(DISTINCT speaker) AS n FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL) GROUP BY 1) SELECT a.*, coalesce(n_merges_fixed, 0) AS n_merges_fixed, coalesce(n_splits_fixed, 0) AS n_splits_fixed FROM a LEFT JOIN m USING (video_id) LEFT JOIN s USING (video_id)")
 def _(spark, d):
     return L.reconcile_audit(L.reconcile(turns(spark, d), _faces(spark, d)))
 
@@ -351,9 +365,38 @@ def _(spark, d):
 # --- captions and text ----------------------------------------------------------------------------------------------
 
 
-@query("win14_timeline", f"WITH {TURNS}, o AS (SELECT *, lead(start_ms) OVER w AS after, row_number() OVER w AS i FROM turns WINDOW w AS (PARTITION BY video_id ORDER BY start_ms, end_ms, pos)), h AS (SELECT *, greatest(CASE WHEN after > start_ms THEN least(greatest(end_ms, start_ms + 1200), after) ELSE greatest(end_ms, start_ms + 1200) END, start_ms + 50) AS held_ms FROM o), t AS (SELECT *, (max(greatest(held_ms, start_ms + 50) - 50 * i) OVER (PARTITION BY video_id ORDER BY i) + 50 * i)::BIGINT AS until_ms FROM h), l AS (SELECT *, coalesce(lag(until_ms) OVER (PARTITION BY video_id ORDER BY i), 0) AS before FROM t) SELECT video_id, pos, held_ms, greatest(start_ms, before)::BIGINT AS shown_ms, until_ms, start_ms > before + 1 AS gap_before FROM l")
+TIMELINE = TURNS + """, totals AS (
+  SELECT video_id, CASE video_id % 3 WHEN 0 THEN 0 WHEN 1 THEN max(end_ms) + 700 ELSE max(end_ms) - 300 END AS total_ms FROM turns GROUP BY video_id
+), o0 AS (
+  SELECT video_id, pos, greatest(start_ms, 0) AS start_ms, greatest(end_ms, start_ms + 50) AS end_ms, total_ms FROM turns JOIN totals USING (video_id)
+), o AS (
+  SELECT * REPLACE (CASE WHEN total_ms > 0 THEN total_ms ELSE last_value(end_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS total_ms), lead(start_ms) OVER w AS after, row_number() OVER w AS i
+  FROM o0 WINDOW w AS (PARTITION BY video_id ORDER BY start_ms, end_ms, pos)
+), h AS (
+  SELECT *, greatest(CASE WHEN coalesce(after, total_ms) > start_ms THEN least(greatest(end_ms, start_ms + 1200), coalesce(after, total_ms)) ELSE greatest(end_ms, start_ms + 1200) END, start_ms + 50) AS held_ms FROM o
+), t AS (
+  SELECT *, (max(greatest(held_ms, start_ms + 50) - 50 * i) OVER (PARTITION BY video_id ORDER BY i) + 50 * i)::BIGINT AS until_ms FROM h
+), l AS (
+  SELECT *, coalesce(lag(until_ms) OVER (PARTITION BY video_id ORDER BY i), 0) AS before FROM t
+), shown AS (
+  SELECT video_id, pos, held_ms, greatest(start_ms, before)::BIGINT AS shown_ms, until_ms, CASE WHEN start_ms - before > 1 THEN start_ms - before ELSE 0 END::BIGINT AS gap_ms,
+    CASE WHEN after IS NULL AND total_ms - until_ms > 1 THEN total_ms - until_ms ELSE 0 END::BIGINT AS tail_ms FROM l
+), entries AS (
+  SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY shown_ms, cue, k) - 1 AS entry, pos, duration_ms FROM (
+    SELECT video_id, shown_ms, pos AS cue, 0 AS k, NULL AS pos, gap_ms AS duration_ms FROM shown UNION ALL SELECT video_id, shown_ms, pos, 1, pos, until_ms - shown_ms FROM shown UNION ALL SELECT video_id, shown_ms, pos, 2, NULL, tail_ms FROM shown
+  ) WHERE duration_ms > 0
+)"""
+
+
+def _timeline(spark, d):
+    t = turns(spark, d)
+    total = F.expr("case video_id % 3 when 0 then 0 when 1 then max(end_ms) + 700 else max(end_ms) - 300 end")
+    return I.timeline(t, t.groupBy("video_id").agg(total.alias("total_ms")))
+
+
+@query("win14_timeline", f"WITH {TIMELINE} SELECT * FROM shown")
 def _(spark, d):
-    return I.timeline(turns(spark, d))
+    return _timeline(spark, d)
 
 
 _SRT = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
@@ -390,10 +433,10 @@ def _(spark, d):
     return t.select("video_id", "run_index", F.expr("array_join(transform(filter(near, x -> x.run_index >= s and x.run_index < s + c), x -> x.speaker), ',')").alias("context"))
 
 
-@query("fn_text_functions", r"""SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '[ \n]+', ' ', 'g')) AS collapsed, nullif(substr(regexp_replace(regexp_replace(source || '-' || lang || '_', '[^A-Za-z0-9_-]', '', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 64), '') AS clean_id, lower(lang) || '--' || source AS repo, regexp_matches(rtrim(text), '[.!?…][")\]'']*$') AS ends FROM (SELECT doc_id, source, lang, replace(text, chr(10), ' ') AS text FROM documents)""")
+@query("fn_text_functions", r"""SELECT doc_id, trim(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS collapsed, nullif(substr(regexp_replace(regexp_replace(source || '-' || lang || '_', '[^A-Za-z0-9_-]', '', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 64), '') AS clean_id, lower(lang) || '--' || source AS repo, regexp_matches(text, '[.!?…！？][\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*$') AND lower(trim(text)) NOT IN ('mr.', 'mrs.', 'ms.', 'dr.', 'prof.', 'sr.', 'jr.', 'st.', 'vs.', 'etc.', 'e.g.', 'i.e.') AS ends FROM (SELECT doc_id, source, lang, replace(text, chr(10), ' ') AS text FROM documents)""")
 def _(spark, d):
     t = read(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
-    return t.select("doc_id", T.collapsed(F.substring("text", 1, 300)).alias("collapsed"), T.sanitised_id(F.concat_ws("", "source", F.lit("-"), "lang", F.lit("_"))).alias("clean_id"), F.replace(F.concat_ws("/", F.lower("lang"), "source"), F.lit("/"), F.lit("--")).alias("repo"), T.ends_sentence(F.col("text")).alias("ends"))
+    return t.select("doc_id", T.collapsed(F.col("text")).alias("collapsed"), T.sanitised_id(F.concat_ws("", "source", F.lit("-"), "lang", F.lit("_"))).alias("clean_id"), F.replace(F.concat_ws("/", F.lower("lang"), "source"), F.lit("/"), F.lit("--")).alias("repo"), T.ends_sentence(F.col("text")).alias("ends"))
 
 
 @query("fn01_collapsed_whole_text", r"SELECT doc_id, trim(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS collapsed FROM documents")
@@ -406,10 +449,19 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", T.basename(F.col("url")).alias("base"))
 
 
-@query("prj10_parsed_tags", "SELECT conv_id, turn, '|' || upper(role) || '|' AS emotion, trim(text) AS transcript FROM conversations")
+#: What a recogniser may give: two tags, one of another kind, none, three and a stray bracket.
+TAGGED = f"""tagged AS (
+  SELECT *, CASE turn % 4 WHEN 0 THEN '<|en|><|' || upper(role) || '|>' || text WHEN 1 THEN '<b> ' || text WHEN 2 THEN text ELSE '<|en|><|SAD|><x>> ' || text END AS raw FROM conversations
+), parsed AS (
+  SELECT *, coalesce(tags[2], tags[1], '|EMO_UNKNOWN|') AS emotion, CASE WHEN starts_with(said, '>') THEN {strip_sql("said[2:]")} ELSE said END AS transcript
+  FROM (SELECT *, regexp_extract_all(raw, '<([^<>]+)>', 1) AS tags, {strip_sql("regexp_replace(raw, '<[^<>]+>', '', 'g')")} AS said FROM tagged)
+)"""
+RAW = "case turn % 4 when 0 then concat('<|en|><|', upper(role), '|>', text) when 1 then concat('<b> ', text) when 2 then text else concat('<|en|><|SAD|><x>> ', text) end"
+
+
+@query("prj10_parsed_tags", f"WITH {TAGGED} SELECT conv_id, turn, emotion, transcript FROM parsed")
 def _(spark, d):
-    raw = F.concat(F.lit("<|en|><|"), F.upper("role"), F.lit("|>> "), F.col("text"))
-    emotion, transcript = T.parsed_tags(raw)
+    emotion, transcript = T.parsed_tags(F.expr(RAW))
     return read(spark, d, "conversations").select("conv_id", "turn", emotion.alias("emotion"), transcript.alias("transcript"))
 
 
@@ -419,25 +471,43 @@ def _(spark, d):
     return turns(spark, d).select("video_id", "pos", T.display_prefix(F.col("speaker"), name).alias("prefix"))
 
 
-@query("fn03_ass_time", "SELECT event_id, printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS ass FROM (SELECT event_id, (event_id * 7919) // 10 AS cs FROM events)")
+@query("fn03_ass_time", "SELECT event_id, printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS ass FROM (SELECT event_id, round_even(event_id * 7919 / 10, 0)::BIGINT AS cs FROM events)")
 def _(spark, d):
     return read(spark, d, "events").select("event_id", T.ass_time(F.col("event_id") * 7919).alias("ass"))
 
 
-@query("fn04_hex_rgb", "SELECT * FROM (VALUES ('#FF8000', '255,128,0'), ('00ff7f', '0,255,127'), ('bad', '255,255,255')) AS t(hex, rgb)")
+_HEX = "CASE p_partkey % 3 WHEN 0 THEN '#' || printf('%06x', p_partkey * 7919 % 16777216) WHEN 1 THEN printf('%06X', p_partkey * 7919 % 16777216) ELSE '#' || printf('%04x', p_partkey % 65536) END"
+
+
+@query("fn04_hex_rgb", f"SELECT p_partkey, hex, ('0x' || h[1:2])::INT || ',' || ('0x' || h[3:4])::INT || ',' || ('0x' || h[5:6])::INT AS rgb, upper('&H' || h[5:6] || h[3:4] || h[1:2]) AS ass, '0x' || upper(h) AS drawtext FROM (SELECT *, CASE WHEN length(ltrim(hex, '#')) = 6 THEN ltrim(hex, '#') ELSE 'FFFFFF' END AS h FROM (SELECT p_partkey, {_HEX} AS hex FROM part))")
 def _(spark, d):
-    return spark.createDataFrame([("#FF8000",), ("00ff7f",), ("bad",)], "hex string").select("hex", T.hex_rgb(F.col("hex")).alias("rgb"))
+    n = F.expr("p_partkey * 7919 % 16777216")
+    hex_ = F.when(F.expr("p_partkey % 3 = 0"), F.format_string("#%06x", n)).when(F.expr("p_partkey % 3 = 1"), F.format_string("%06X", n)).otherwise(F.format_string("#%04x", F.expr("p_partkey % 65536")))
+    p = read(spark, d, "part").select("p_partkey", hex_.alias("hex"))
+    return p.select("p_partkey", "hex", T.hex_rgb(F.col("hex")).alias("rgb"), T.hex_ass(F.col("hex")).alias("ass"), T.hex_drawtext(F.col("hex")).alias("drawtext"))
 
 
-@query("fn16_agg18_mean_embedding", "SELECT label, i, round(avg(v) * 10000)::BIGINT AS mean FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL")
+MEANS = "means AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL), norms AS (SELECT label, sqrt(sum(m * m)) + 1e-9 AS norm, list(m ORDER BY i) AS v FROM means GROUP BY label)"
+
+
+def mean_vectors(vectors, key: str):
+    """AGG-18: the mean of each group's vectors, to length one."""
+    e = vectors.select(key, F.posexplode("embedding").alias("i", "v")).groupBy(key, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    g = e.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
+    return g.select(key, T.unit_vector(F.col("mean")).alias("mean"))
+
+
+@query("fn16_agg18_mean_embedding", f"WITH {MEANS} SELECT label, i, round(m / norm * 10000)::BIGINT AS mean FROM means JOIN norms USING (label)")
 def _(spark, d):
-    e = read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    return e.groupBy("label", (F.col("i") + 1).cast("bigint").alias("i")).agg(F.round(F.avg(F.col("v").cast("double")) * 10000).cast("bigint").alias("mean"))
+    return mean_vectors(read(spark, d, "embeddings"), "label").select("label", F.posexplode("mean").alias("k", "m")).select("label", (F.col("k") + 1).cast("bigint").alias("i"), F.round(F.col("m") * 10000).cast("bigint").alias("mean"))
 
 
-@query("agg11_representative", "SELECT label, arg_max(vec_id, (round(embedding[1]::DOUBLE * 1000000)::BIGINT, -vec_id)) AS best FROM embeddings GROUP BY label")
+@query("agg11_representative", "SELECT label, arg_max(vec_id, (greatest(vec_id * 7 % 25, 1), -vec_id)) AS best FROM (SELECT *, sum(vec_id * 7 % 25) OVER (PARTITION BY label) AS n FROM embeddings) WHERE n > 0 GROUP BY label")
 def _(spark, d):
-    return read(spark, d, "embeddings").groupBy("label").agg(F.max_by("vec_id", F.struct(F.round(F.col("embedding")[0].cast("double") * 1000000).cast("bigint"), -F.col("vec_id"))).alias("best"))
+    # a face's representative track is the one with most speaking frames (at least one counts), the first of equals; silent faces have none
+    n = F.expr("vec_id * 7 % 25")
+    e = read(spark, d, "embeddings").groupBy("label").agg(F.sum(n).alias("n"), F.max_by("vec_id", F.struct(F.greatest(n, F.lit(1)), -F.col("vec_id"))).alias("best"))
+    return e.filter("n > 0").select("label", "best")
 
 
 @query("agg07_bipartite_sets", f"WITH {RECONCILED} SELECT video_id, speaker_audio, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS faces FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL")
@@ -451,9 +521,11 @@ def _(spark, d):
     return turns(spark, d).select("video_id", "pos", F.explode(F.array(*[F.lit(c) for c in ("none", "speaker", "emotion", "both")])).alias("condition"))
 
 
-@query("sort09_even_sample", "SELECT conv_id, list_aggregate(list_transform(range(0, 8), lambda i: (i * (n - 1) / 7)::DOUBLE::VARCHAR), 'string_agg', ',') IS NOT NULL AS ok, n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)")
+@query("sort09_even_sample", "SELECT conv_id, turn FROM (SELECT conv_id, turn, count(*) OVER w AS n, row_number() OVER (w ORDER BY turn) - 1 AS i FROM conversations WINDOW w AS (PARTITION BY conv_id)) WHERE CASE WHEN n >= 8 THEN list_contains(list_transform(range(0, 8), lambda k: (k * (n - 1)) // 7), i) ELSE true END")
 def _(spark, d):
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.expr("size(transform(sequence(0, 7), i -> int(i * (n - 1) / 7))) = 8").alias("ok"), "n")
+    w = Window.partitionBy("conv_id")
+    t = read(spark, d, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy("turn")) - 1).cast("bigint").alias("i"))
+    return t.filter(F.array_contains(T.even_places(F.col("n"), 8), F.col("i"))).select("conv_id", "turn")
 
 
 @query("sort09_even_places", "SELECT o_custkey, n, CASE WHEN n >= 8 THEN list_transform(range(0, 8), lambda i: (i * (n - 1)) // 7) ELSE range(0, n) END::BIGINT[] AS eight, CASE WHEN n > 30 THEN list_transform(range(0, 30), lambda i: round_even(i * (n - 1) / 29.0, 0)::BIGINT) ELSE range(0, n) END::BIGINT[] AS thirty FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
@@ -519,35 +591,51 @@ def _(spark, d):
     return turns(spark, d).groupBy("video_id").agg(F.count("*").alias("num_segments"), F.sum(n).alias("num_words"))
 
 
-@query("prj11_padded_clips", f"WITH {TURNS} SELECT video_id, pos, greatest(start_ms + 100, end_ms + 200) AS clip_end, least(greatest((start_ms * 16)::BIGINT, 0), 10000000) AS first_sample FROM turns")
+@query("prj11_padded_clips", f"WITH {TURNS} SELECT video_id, pos, greatest(start_ms + 100, end_ms + 200) AS clip_end, greatest(start_ms * 16, 0)::BIGINT AS first_sample, least(greatest(start_ms + 100, end_ms + 200) * 16, 2000000)::BIGINT AS last_sample FROM turns")
 def _(spark, d):
-    return turns(spark, d).select("video_id", "pos", F.greatest(F.col("start_ms") + 100, F.col("end_ms") + 200).alias("clip_end"), F.least(F.greatest(F.col("start_ms") * 16, F.lit(0)), F.lit(10000000)).cast("bigint").alias("first_sample"))
+    from turnloom.operators.captions import clip_end, sample_range
 
+    end = clip_end(F.col("start_ms"), F.col("end_ms"))
+    first, last = sample_range(F.col("start_ms"), end, F.lit(16000), F.lit(2_000_000).cast("bigint"))
+    return turns(spark, d).select("video_id", "pos", end.alias("clip_end"), first.alias("first_sample"), last.alias("last_sample"))
 
-@query("prj09_stub_emotion", f"WITH {TURNS} SELECT video_id, pos, '|EMO_UNKNOWN|' AS emotion, 'stub' AS emotion_backend FROM turns")
+
+@query("prj09_stub_emotion", f"WITH {TURNS} SELECT video_id, pos, speaker, '|EMO_UNKNOWN|' AS emotion, NULL::VARCHAR AS emotion_transcript, 'stub' AS emotion_backend FROM turns")
 def _(spark, d):
-    return turns(spark, d).select("video_id", "pos", F.lit("|EMO_UNKNOWN|").alias("emotion"), F.lit("stub").alias("emotion_backend"))
+    from turnloom.operators.captions import stub_emotion
+
+    return stub_emotion(turns(spark, d).select("video_id", "pos", "speaker"))
+
+
+_MARK = "CASE pos % 5 WHEN 0 THEN '😄' WHEN 1 THEN '' WHEN 2 THEN '[|LOST|]' WHEN 3 THEN '' ELSE '' END"
+_TAG = "case pos % 5 when 0 then '|HAPPY|' when 1 then '|EMO_UNKNOWN|' when 2 then '|LOST|' when 3 then '|NEUTRAL|' else null end"
+_BODY = strip_sql("coalesce(nullif(CASE WHEN pos % 2 = 0 THEN '' ELSE upper(speaker) END, ''), text)")
+_NAME = "CASE WHEN speaker = 'S0' THEN '[Ada]' ELSE '' END"
 
 
-@query("prj13_caption_text", f"WITH {TURNS} SELECT video_id, pos, CASE WHEN speaker = 'S0' THEN '[Ada] ' ELSE '' END || CASE pos % 3 WHEN 0 THEN '😊 ' WHEN 1 THEN '' ELSE '[|LOST|] ' END || coalesce(nullif(CASE WHEN pos % 2 = 0 THEN '' ELSE upper(speaker) END, ''), text) AS caption FROM turns")
+@query("prj13_caption_text", f"WITH {TURNS} SELECT video_id, pos, {strip_sql(f'{_NAME} || {_MARK} || chr(32) || {_BODY}')} AS caption, {strip_sql(f'{_MARK} || chr(32) || {_BODY}')} AS without_name, {_BODY} AS plain FROM turns")
 def _(spark, d):
-    name = F.when(F.col("speaker") == "S0", "Ada")
-    tag = F.expr("case pos % 3 when 0 then '|HAPPY|' when 1 then '|EMO_UNKNOWN|' else '|LOST|' end")
-    translated = F.when(F.expr("pos % 2 = 0"), "").otherwise(F.upper("speaker"))
-    return turns(spark, d).select("video_id", "pos", T.caption_text(T.display_prefix(F.col("speaker"), name), tag, translated, F.col("text")).alias("caption"))
+    prefix = T.display_prefix(F.col("speaker"), F.when(F.col("speaker") == "S0", "Ada"))
+    args = prefix, F.expr(_TAG), F.when(F.expr("pos % 2 = 0"), "").otherwise(F.upper("speaker")), F.col("text")
+    return turns(spark, d).select("video_id", "pos", T.caption_text(*args).alias("caption"), T.caption_text(*args, speaker=False, hide_unknown=False).alias("without_name"), T.caption_text(*args, speaker=False, emotion=False).alias("plain"))
 
 
-@query("prj15_untranslated_rows", f"WITH {TURNS} SELECT video_id, pos FROM turns WHERE trim(text) <> '' AND pos % 2 = 0")
+@query("prj15_untranslated_rows", f"WITH {TURNS} SELECT video_id, pos, false AS overwrite FROM turns WHERE trim(text) <> '' AND pos % 2 = 0 UNION ALL SELECT video_id, pos, true FROM turns WHERE trim(text) <> ''")
 def _(spark, d):
+    from turnloom.operators.captions import untranslated
+
     t = turns(spark, d).withColumn("text_ko", F.when(F.expr("pos % 2 = 1"), "x"))
-    return t.filter((F.trim("text") != "") & F.col("text_ko").isNull()).select("video_id", "pos")
+    both = [untranslated(t, overwrite=o).select("video_id", "pos", F.lit(o).alias("overwrite")) for o in (False, True)]
+    return both[0].union(both[1])
 
 
-@query("join12_translations_back", f"WITH {TURNS} SELECT video_id, pos, CASE WHEN pos % 2 = 0 THEN 'ko: ' || text END AS text_ko FROM turns")
+@query("join12_translations_back", f"WITH {TURNS} SELECT video_id, pos AS index, CASE WHEN pos % 3 = 1 THEN 'old' WHEN trim(text) <> '' AND pos % 2 = 0 THEN 'ko: ' || {strip_sql('text')} END AS text_ko FROM turns")
 def _(spark, d):
-    t = turns(spark, d)
-    done = t.filter("pos % 2 = 0").select("video_id", "pos", F.concat(F.lit("ko: "), F.col("text")).alias("text_ko"))
-    return t.select("video_id", "pos").join(done, ["video_id", "pos"], "left")
+    from turnloom.operators.captions import translated
+
+    t = turns(spark, d).select("video_id", F.col("pos").alias("index"), "text", F.when(F.expr("pos % 3 = 1"), "old").alias("text_ko"))
+    some = lambda rows: rows.filter("index % 2 = 0").withColumn("text_ko", F.concat(F.lit("ko: "), F.col("text")))
+    return translated(t, some).select("video_id", "index", "text_ko")
 
 
 @query("join11_hints_without_resolved", f"WITH {RECONCILED} SELECT DISTINCT video_id, speaker_audio FROM reconciled r WHERE reconcile_source = 'visual' AND NOT EXISTS (SELECT 1 FROM reconciled g WHERE g.video_id = r.video_id AND g.speaker_audio = r.speaker_audio AND g.reconcile_source = 'visual_global')")
@@ -557,23 +645,6 @@ def _(spark, d):
     return r.filter("reconcile_source = 'visual'").select(keys).distinct().join(r.filter("reconcile_source = 'visual_global'").select(keys), keys, "left_anti")
 
 
-@query("join16_track_faces", "SELECT label AS face_id, count(*) AS tracks, sum(vec_id % 25)::BIGINT AS frames FROM embeddings GROUP BY label")
-def _(spark, d):
-    # AGG-17: speaking frames by face, tracks joined to their faces
-    e = read(spark, d, "embeddings")
-    tracks, faces = e.select("vec_id", F.expr("vec_id % 25").alias("n")), e.select("vec_id", F.col("label").alias("face_id"))
-    return tracks.join(faces, "vec_id").groupBy("face_id").agg(F.count("*").alias("tracks"), F.sum("n").alias("frames"))
-
-
-_WORD_SUPPORT = f"WITH {SEGMENTS}, w AS (SELECT video_id, index, speaker, asr_segment_id % 2 = 0 AS visual, end_ms - start_ms AS dur, boundary_ambiguous, 100 * overlap_ms >= 75 * (end_ms - start_ms) AS sure FROM i)"
-
-
-@query("agg13_visual_share", f"{_WORD_SUPPORT} SELECT video_id, index, round(sum(CASE WHEN visual THEN dur ELSE 0 END) / sum(dur), 6) AS visual_share, 2 * sum(CASE WHEN visual THEN dur ELSE 0 END) >= sum(dur) AS direct_visual, bool_or(NOT boundary_ambiguous AND sure) AS stable, bool_and(boundary_ambiguous AND NOT sure) AND count(*) <= 2 AS weak FROM w GROUP BY ALL")
-def _(spark, d):
-    w = I.word_islands(I.assign(words(spark, d), turns(spark, d)))
-    return L.word_support(w.withColumn("visual", F.expr("asr_segment_id % 2 = 0")).withColumnRenamed("island", "index"))
-
-
 @query("src13_video_by_name", "SELECT page_id, 'videos/' || coalesce(nullif(regexp_extract(url, '[^\\\\/]+$', 0), ''), 'none') AS path FROM pages")
 def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.concat(F.lit("videos/"), F.coalesce(F.nullif(T.basename(F.col("url")), F.lit("")), F.lit("none"))).alias("path"))
@@ -589,17 +660,31 @@ def _(spark, d):
     return L.apply_names(turns(spark, d), _names(spark)).select("video_id", "pos", "speaker_id", "speaker_display")
 
 
-@query("stage07_emotion", "SELECT conv_id, turn, '|' || upper(role) || '|' AS emotion, trim(text) AS emotion_transcript, 'model' AS emotion_backend FROM conversations")
+@query("stage07_emotion", f"WITH {TAGGED} SELECT conv_id AS video_id, turn AS index, turn * 1000 AS start_ms, emotion, transcript AS emotion_transcript, raw AS emotion_raw, 'model' AS emotion_backend, greatest(turn * 1000 + 100, turn * 1000 + length(text) + 200)::BIGINT AS clip_end_ms FROM parsed")
 def _(spark, d):
-    emotion, transcript = T.parsed_tags(F.concat(F.lit("<|en|><|"), F.upper("role"), F.lit("|>> "), F.col("text")))
-    return read(spark, d, "conversations").select("conv_id", "turn", emotion.alias("emotion"), transcript.alias("emotion_transcript"), F.lit("model").alias("emotion_backend"))
+    from turnloom.operators.captions import read_emotion
+
+    c = read(spark, d, "conversations")
+    s = c.select(F.col("conv_id").alias("video_id"), F.col("turn").alias("index"), (F.col("turn") * 1000).alias("start_ms"), (F.col("turn") * 1000 + F.length("text")).alias("end_ms"), F.expr(RAW).alias("raw"))
+    return read_emotion(s, lambda rows: rows.withColumnRenamed("raw", "emotion_raw")).drop("end_ms")
+
+
+_ESCAPED = r"replace(replace(translate(replace({0}, '\', '\\'), '{{}}', '()'), chr(13) || chr(10), '\N'), chr(10), '\N')"
+_ASS_TIME = "printf('%d:%02d:%02d.%02d', round_even({0} / 10, 0)::BIGINT // 360000, round_even({0} / 10, 0)::BIGINT // 6000 % 60, round_even({0} / 10, 0)::BIGINT // 100 % 60, round_even({0} / 10, 0)::BIGINT % 100)"
+#: A caption with everything that has to be escaped.
+CAPTION = r"'{' || speaker || '}\' || chr(13) || chr(10) || text"
+DIALOGUE = "'Dialogue: 0,' || " + _ASS_TIME.format("start_ms") + " || ',' || " + _ASS_TIME.format("end_ms") + " || ',Default,,0,0,0,,{\\c&HFFFFFF&}' || " + _ESCAPED.format("(" + CAPTION + ")")
 
 
-@query("stage09_render_dialogue", f"WITH {TURNS} SELECT video_id, pos, 'Dialogue: 0,' || printf('%d:%02d:%02d.%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms // 10 % 100) || ',' || printf('%d:%02d:%02d.%02d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms // 10 % 100) || ',Default,,0,0,0,,' || replace(text, chr(10), '\\N') AS line FROM turns")
+def with_caption(t):
+    return t.withColumn("caption", F.concat(F.lit("{"), "speaker", F.lit("}\\\r\n"), "text"))
+
+
+@query("stage09_render_dialogue", f"WITH {TURNS} SELECT video_id, pos, {DIALOGUE} AS line FROM turns")
 def _(spark, d):
     from turnloom.sources.sinks import ass_dialogue
 
-    return turns(spark, d).withColumn("caption", F.col("text")).select("video_id", "pos", ass_dialogue().alias("line"))
+    return with_caption(turns(spark, d)).select("video_id", "pos", ass_dialogue().alias("line"))
 
 
 @query("agg22_stage_counters", f"WITH {PROPOSALS} SELECT (SELECT count(*) FROM runs) AS num_runs, (SELECT count(*) FROM candidates) AS num_candidates, (SELECT count(*) FROM proposals) AS num_proposals")
@@ -609,23 +694,22 @@ def _(spark, d):
     return all_.agg(*[F.max(F.when(F.col("name") == k, F.col("n"))).alias(k) for k in ("num_runs", "num_candidates", "num_proposals")])
 
 
-@query("join17_positional_zip", f"WITH {TURNS} SELECT video_id, pos, speaker, 'cue_' || lpad(pos::VARCHAR, 4, '0') AS file FROM turns")
+@query("prj04_speaker_bounds", "SELECT s_suppkey, coalesce(num, lo, 1) AS lo, coalesce(num, hi, 20) AS hi FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END AS num, CASE WHEN s_suppkey % 2 = 0 THEN 2 END AS lo, CASE WHEN s_suppkey % 5 < 2 THEN s_nationkey + 3 END AS hi FROM supplier)")
 def _(spark, d):
-    t = turns(spark, d)
-    files = t.select("video_id", "pos", F.concat(F.lit("cue_"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias("file"))
-    return t.select("video_id", "pos", "speaker").join(files, ["video_id", "pos"])
+    from turnloom.sources.artifacts import speaker_bounds
 
+    lo, hi = speaker_bounds(F.expr("case when s_suppkey % 3 = 0 then s_nationkey end"), F.expr("case when s_suppkey % 2 = 0 then 2 end"), F.expr("case when s_suppkey % 5 < 2 then s_nationkey + 3 end"))
+    return read(spark, d, "supplier").select("s_suppkey", lo.alias("lo"), hi.alias("hi"))
 
-@query("prj04_speaker_bounds", "SELECT * FROM (VALUES (1, 3, 3), (2, 1, 20), (3, 2, 9)) AS t(id, lo, hi)")
-def _(spark, d):
-    t = spark.createDataFrame([(1, 3, None, None), (2, None, None, None), (3, None, 2, 9)], "id int, num int, least int, most int")
-    return t.select("id", F.coalesce("num", "least", F.lit(1)).alias("lo"), F.coalesce("num", "most", F.lit(20)).alias("hi"))
 
-
-@query("prj05_turn_list_pick", "SELECT * FROM (VALUES (1, 'a'), (2, 'b,c'), (3, '')) AS t(id, picked)")
+@query("prj05_turn_list_pick", f"WITH {TURNS} SELECT video_id, pos, speaker FROM turns WHERE CASE WHEN video_id % 3 = 0 THEN pos % 2 = 0 ELSE true END AND video_id % 3 < 2 AND NOT (video_id % 3 = 0 AND pos % 2 = 1)")
 def _(spark, d):
-    t = spark.createDataFrame([(1, ["a"], ["x"]), (2, [], ["b", "c"]), (3, None, None)], "id int, alignment array<string>, turns array<string>")
-    return t.select("id", F.array_join(F.when(F.size("alignment") > 0, F.col("alignment")).otherwise(F.coalesce("turns", F.array())), ",").alias("picked"))
+    # of every third video the first list has the even turns, of others it is empty, and of some there is neither
+    from turnloom.sources.artifacts import picked_turns
+
+    one = F.struct("pos", "speaker")
+    g = turns(spark, d).groupBy("video_id").agg(F.collect_list(F.when(F.expr("video_id % 3 = 0 and pos % 2 = 0"), one)).alias("a"), F.when(F.expr("video_id % 3 < 2"), F.collect_list(one)).alias("s"))
+    return g.select("video_id", F.inline(picked_turns(F.col("a"), F.col("s"))))
 
 
 @query("prj03_turn_rows", f"WITH {INTERVALS} SELECT video_id, event_id, label AS speaker, (row_number() OVER (PARTITION BY video_id ORDER BY start_ms, event_id) - 1)::BIGINT AS index, end_ms - start_ms AS duration_ms FROM intervals")
@@ -634,6 +718,4 @@ def _(spark, d):
     return intervals(spark, d).select("video_id", "event_id", F.col("label").alias("speaker"), (F.row_number().over(order) - 1).cast("bigint").alias("index"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
 
 
-@query("src09_path_context", "SELECT page_id, nullif(regexp_extract(url, '/([a-z]{2})/', 1), '') AS split, regexp_extract(url, '/([^/?#]+)([?#].*)?$', 1) AS stem FROM pages")
-def _(spark, d):
-    return read(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract("url", "/([a-z]{2})/", 1), F.lit("")).alias("split"), F.regexp_extract("url", r"/([^/?#]+)([?#].*)?$", 1).alias("stem"))
+from turnloom.plans import more  # noqa: E402, F401  its queries register with these

@@ -1,6 +1,7 @@
 """The driver's tables as timed, labelled sequences, in integer milliseconds.
 
-turns: conversations laid on a timeline. words: the turns' words, some across a turn's border.
+turns: conversations laid on a timeline; some have the label Unknown, a blank text or doubled spaces. words: the turns' words with
+the space before them, as recognisers give them, some across a turn's border.
 intervals: events as labelled intervals. The SQL of each is beside it, for the oracles.
 """
 
@@ -16,8 +17,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("video_id"),
         F.col("turn").alias("pos"),
-        F.expr("concat('S', (conv_id + (turn + conv_id % 2) div 2) % 3)").alias("speaker"),
-        "text",
+        F.expr("case when (conv_id * 2 + turn * 3) % 13 = 0 then 'Unknown' else concat('S', (conv_id + (turn + conv_id % 2) div 2) % 3) end").alias("speaker"),
+        F.expr("case when (conv_id * 3 + turn) % 17 = 0 then '  ' when (conv_id + turn) % 7 = 3 then replace(text, ' ', '  ') else text end").alias("text"),
         F.expr("cast(60 * length(text) as bigint)").alias("dur"),
         F.expr("cast(((conv_id * 7 + turn * turn * 5 + turn * 3) % 9 - 1) * 50 as bigint)").alias("gap"),
     )
@@ -27,9 +28,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TURNS = """c0 AS (
-  SELECT conv_id AS video_id, turn AS pos, 'S' || ((conv_id + (turn + conv_id % 2) // 2) % 3) AS speaker, text,
-    (60 * length(text))::BIGINT AS dur, (((conv_id * 7 + turn * turn * 5 + turn * 3) % 9 - 1) * 50)::BIGINT AS gap
-  FROM conversations
+  SELECT conv_id AS video_id, turn AS pos, CASE WHEN (conv_id * 2 + turn * 3) % 13 = 0 THEN 'Unknown' ELSE 'S' || ((conv_id + (turn + conv_id % 2) // 2) % 3) END AS speaker,
+    CASE WHEN (conv_id * 3 + turn) % 17 = 0 THEN '  ' WHEN (conv_id + turn) % 7 = 3 THEN replace(c.text, ' ', '  ') ELSE c.text END AS text, (60 * length(c.text))::BIGINT AS dur, (((conv_id * 7 + turn * turn * 5 + turn * 3) % 9 - 1) * 50)::BIGINT AS gap
+  FROM conversations AS c
 ), c1 AS (
   SELECT *, coalesce(sum(dur + gap) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM c0
 ), turns AS (
@@ -44,7 +45,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = t.withColumn("tokens", tokens).select("video_id", "pos", "start_ms", "tokens", F.posexplode("tokens").alias("word_index", "word"))
     w = w.withColumn("k", F.sum(F.length("word") + 1).over(Window.partitionBy("video_id", "pos").orderBy("word_index").rowsBetween(Window.unboundedPreceding, -1)))
     start = F.col("start_ms") + 60 * F.coalesce("k", F.lit(0)) + F.expr("((video_id + pos) % 5 - 2) * 120")
-    return w.filter("word <> ''").select("video_id", F.col("pos").alias("asr_segment_id"), F.col("word_index").cast("bigint").alias("word_index"), start.cast("bigint").alias("start_ms"), (start + 60 * F.length("word")).cast("bigint").alias("end_ms"), "word")
+    return w.filter("word <> ''").select("video_id", F.col("pos").alias("asr_segment_id"), F.col("word_index").cast("bigint").alias("word_index"), start.cast("bigint").alias("start_ms"), (start + 60 * F.length("word")).cast("bigint").alias("end_ms"), F.expr("if(word_index % 9 = 4, word, concat(' ', word))").alias("word"))
 
 
 WORDS = TURNS + """, w0 AS (
@@ -53,7 +54,7 @@ WORDS = TURNS + """, w0 AS (
   SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY video_id, pos ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM w0
 ), words AS (
   SELECT video_id, pos AS asr_segment_id, word_index::BIGINT AS word_index, (start_ms + 60 * k + ((video_id + pos) % 5 - 2) * 120)::BIGINT AS start_ms,
-    (start_ms + 60 * k + ((video_id + pos) % 5 - 2) * 120 + 60 * length(word))::BIGINT AS end_ms, word
+    (start_ms + 60 * k + ((video_id + pos) % 5 - 2) * 120 + 60 * length(word))::BIGINT AS end_ms, CASE WHEN word_index % 9 = 4 THEN word ELSE ' ' || word END AS word
   FROM w1 WHERE word <> ''
 )"""
 

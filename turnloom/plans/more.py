@@ -390,14 +390,14 @@ def _boxes(spark, d):
     e = read(spark, d, "events")
     order = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     b = e.select("user_id", "event_type", "event_id", ((F.row_number().over(order) - 1) * F.expr("1 + user_id % 3")).cast("bigint").alias("frame"), F.expr("event_id % 100").alias("v"))
-    return b.select(F.col("user_id").alias("video_id"), F.col("event_type").alias("track"), "frame", F.col("v").alias("x1"), (F.col("v") * 2).alias("y1"), (F.col("v") + F.expr("user_id % 4")).alias("x2"), (F.col("v") * 2 + 1).alias("y2"))
+    return b.select(F.col("user_id").alias("video_id"), F.col("event_type").alias("track"), "frame", F.col("v").alias("x1"), F.lit(0).alias("y1"), (F.col("v") + F.expr("user_id % 4 * 2")).alias("x2"), F.lit(0).alias("y2"))
 
 
 @query("win22_filled_tracks", f"""WITH b AS ({_BOXES}), t AS (
   SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS seen, coalesce(lead(frame) OVER w, frame + 1) AS nxt, coalesce(lead(v) OVER w, v) AS v2 FROM b WINDOW w AS (PARTITION BY user_id, event_type ORDER BY frame)
 ), f AS (
   SELECT user_id AS video_id, event_type AS track, fr AS frame, v + (v2 - v) * ((fr - frame) / (nxt - frame)) AS x1 FROM (SELECT *, unnest(range(frame, nxt)) AS fr FROM t WHERE seen > 10)
-) SELECT video_id, track, frame, round(x1, 6) AS x1, round(x1 + video_id % 4, 6) AS x2 FROM f WHERE video_id % 4 > 1""")
+) SELECT video_id, track, frame, round(x1, 6) AS x1, round(x1 + video_id % 4 * 2, 6) AS x2 FROM f WHERE video_id % 4 > 0""")
 def _(spark, d):
     return S.filled_tracks(_boxes(spark, d)).select("video_id", "track", "frame", F.round("x1", 6).alias("x1"), F.round("x2", 6).alias("x2"))
 

@@ -240,14 +240,15 @@ def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col:
 def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut from text_col. A character that a cut divides goes too."""
     columns = docs.columns
-    docs = _numbered(docs, id_col, text_col)
-    spans = repeated_spans(docs, id_col="__doc", text_col=text_col)
-    left = cut(docs, spans, id_col="__doc", text_col=text_col, as_text=True)
-    texts = left.select(F.col("doc").alias("__doc"), F.col("kept").alias("__left")).dropDuplicates(["__doc"])
-    untouched = docs.join(sized(spans.select(F.col("doc").alias("__doc"))), "__doc", "left_anti")
-    others = [c for c in docs.columns if c != text_col]
-    touched = docs.select(*others).join(texts, "__doc").withColumnRenamed("__left", text_col)
-    return untouched.select(*columns).unionByName(touched.select(*columns))
+    # other columns go along as one, so that none clashes with those made here
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = _numbered(docs, "id", "text")
+    spans = repeated_spans(docs, id_col="__doc")
+    left = cut(docs, spans, id_col="__doc", as_text=True)
+    texts = left.select(F.col("doc").alias("__doc"), F.col("kept").alias("text")).dropDuplicates(["__doc"])
+    untouched = docs.join(sized(spans.select(F.col("doc").alias("__doc"))), "__doc", "left_anti").select("rest", "text")
+    touched = docs.select("rest", "__doc").join(texts, "__doc").select("rest", "text")
+    return untouched.unionByName(touched).select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns])
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

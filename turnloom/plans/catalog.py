@@ -106,13 +106,13 @@ def _(spark, d):
     return L.naming_rows(spark.createDataFrame([("FACE_1", 10), ("AUDIO_4", 20), ("S1", 30)], "speaker string, total_ms long"), _labels(spark, d))
 
 
-_VERSIONS = "versions AS (SELECT conv_id AS video_id, CASE turn % 5 WHEN 0 THEN 'raw' WHEN 1 THEN 'corrected' WHEN 2 THEN 'gap_corrected' WHEN 3 THEN 'final' ELSE 'other' END AS version, min(turn) AS turn FROM conversations WHERE (conv_id + turn) % 3 <> 0 GROUP BY ALL)"
+_VERSIONS = "versions AS (SELECT conv_id AS video_id, CASE turn % 5 WHEN 0 THEN 'raw' WHEN 1 THEN 'corrected' WHEN 2 THEN 'gap_corrected' WHEN 3 THEN 'final' ELSE 'other' END AS version, min(turn) AS turn FROM conversations GROUP BY ALL)"
 
 
 @query("src05_latest_segments", f"WITH {_VERSIONS} SELECT video_id, version, turn FROM versions QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY CASE version WHEN 'final' THEN 1 WHEN 'gap_corrected' THEN 2 WHEN 'corrected' THEN 3 WHEN 'raw' THEN 4 ELSE 5 END, version) = 1")
 def _(spark, d):
     kind = F.expr("case turn % 5 when 0 then 'raw' when 1 then 'corrected' when 2 then 'gap_corrected' when 3 then 'final' else 'other' end")
-    v = read(spark, d, "conversations").filter("(conv_id + turn) % 3 <> 0").groupBy(F.col("conv_id").alias("video_id"), kind.alias("version")).agg(F.min("turn").alias("turn"))
+    v = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("video_id"), kind.alias("version")).agg(F.min("turn").alias("turn"))
     return L.latest(v, ["final", "gap_corrected", "corrected", "raw"], ["video_id"])
 
 

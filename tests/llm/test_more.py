@@ -8,8 +8,9 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, decontamination, html_text, sharding, site_quality
+from turnloom.llm import bpe, decontamination, html_text, sharding, site_quality, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 LONG = "A paragraph of the article with quite enough words to be told from a menu, a notice or an advert by anyone."
@@ -179,3 +180,12 @@ def test_paraphrases_are_found(spark):
     got = {(r.doc_id, r.item_id) for r in leaks.collect()}
     assert len(want & got) >= 0.9 * len(want)
     print("recall of paraphrases", len(want & got) / len(want))
+
+
+def test_a_hot_group_is_dealt_over_parts(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(suffix_dedup, "PARTS", 8)
+    rows = spark.range(900).selectExpr("if(id % 3 = 0, -1, id) as key", "id as doc")
+    rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc").alias("first")).write.parquet(str(tmp_path / "groups"))
+    groups = spark.read.parquet(str(tmp_path / "groups"))
+    got = suffix_dedup._of_groups(rows, groups, ["key"])
+    assert sorted(got.collect()) == sorted(rows.join(groups, "key").drop("rows").collect())

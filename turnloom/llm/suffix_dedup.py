@@ -18,7 +18,7 @@ goes no further:
 
 Digits longer than a word are compared by hashes (64 bits for each, so 128 for two passes in a row; 128 for the last).
 Every pass is a grouped minimum with partial aggregation and a join back, so a passage that a third of
-all documents share is one row for each task before it is shuffled.
+all documents share is one row for each task before it is shuffled; the join back deals the rows of such a group over many tasks.
 
 Defined results: null and empty texts have no bytes and lose none; a null doc_id counts as
 smaller than all others; rows that share a doc_id and the text are one document, so exactly repeated rows
@@ -36,6 +36,8 @@ from ._text import buffers, mixed, prefix_sums, released, slices, span_hash
 
 WINDOW, GRAM = 100, 24
 BLOCK = 16
+#: A group with more than this part of all rows is dealt over several tasks.
+PARTS = 4096
 #: Bytes of one text that are worked on at a time.
 TILE = 2 << 20
 LOW = -(1 << 63)
@@ -113,14 +115,23 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(released(run), "key long, full long, doc long, start long, n int, lead int")
 
 
+def _of_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with groups, a written table with the number of each group's rows. A group with over 1 / PARTS of all rows goes to one task for each such part; fewer than PARTS groups are so, and their keys are broadcast."""
+    most = (groups.agg(F.sum("rows")).first()[0] or 0) // PARTS + 1
+    parts = F.ceil(F.col("rows") / most)
+    hot = F.broadcast(groups.filter(F.col("rows") > most).select(*on, parts.alias("parts")))
+    # rows come straight from a scan, so a task that is run again numbers them as before
+    dealt = rows.join(hot, on, "left").withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "parts"), F.lit(0))).drop("parts")
+    return dealt.join(groups.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows"), [*on, "part"]).drop("part")
+
+
 def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """rows: key, full, doc, start, n, lead. Spans of the rows that repeat an earlier one whole, and the standing rows whose key others share with another full; and the tables that both read."""
-    # counts are written before they are joined: a skew join can then split the rows of a hot key, which it can't above an aggregate
-    keys = written(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("full").alias("f0"), F.max("full").alias("f1")).filter("rows > 1").select("key", (F.col("f0") != F.col("f1")).alias("differ")), name + "-keys")
-    kept = written(rows.join(keys, "key"), name)
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("full").alias("f0"), F.max("full").alias("f1")).filter("rows > 1").select("key", "rows", (F.col("f0") != F.col("f1")).alias("differ")), name + "-keys")
+    kept = written(_of_groups(rows, keys, ["key"]), name)
     discard(keys)
     stands = written(kept.groupBy("key", "full").agg(F.min(F.struct("doc", "start")).alias("first"), F.first(F.struct("n", "lead", "differ")).alias("row"), F.count("*").alias("rows")), name + "-first")
-    later = kept.join(stands.filter("rows > 1").select("key", "full", "first"), ["key", "full"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    later = _of_groups(kept, stands.filter("rows > 1").select("key", "full", "first", "rows"), ["key", "full"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     return later.select("doc", "start", (F.col("start") + F.col("n") - 1 + WINDOW).alias("end")), stands.filter("row.differ").select("first.doc", "first.start", "row.n", "row.lead"), [kept, stands]
 
 
@@ -195,11 +206,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     blocks = written(_with_text(docs, open_rows, _blocks, "key long, full long, doc long, start long, n int, lead int"), "blocks")
     of_blocks, open_blocks, same_blocks = _settle(blocks, "repeated-blocks")
     windows = written(_with_text(docs, open_blocks, _single, "w1 long, w2 long, doc long, start long"), "windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    again = windows.join(earliest, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    earliest = written(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1"), "earliest")
+    again = _of_groups(windows, earliest, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     spans = of_rows.unionByName(of_blocks).unionByName(again.select("doc", "start", (F.col("start") + WINDOW).alias("end")))
     out = written(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    for done in (*rows, blocks, *same_blocks, windows):
+    for done in (*rows, blocks, *same_blocks, windows, earliest):
         discard(done)
     return out
 

@@ -39,7 +39,7 @@ BLOCK = 16
 #: A group with more than this part of all rows is dealt over several tasks.
 PARTS = 4096
 #: Bytes of one text that are worked on at a time.
-TILE = 2 << 20
+TILE = 1 << 20
 LOW = -(1 << 63)
 _OTHER = ((np.arange(256) * 167 + 13) % 256).astype(np.uint8)
 

@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes and rows of an Arrow batch at most. Each batch stands in the JVM and in a Python worker at once, in buffers that double as they grow.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH, or of the session's own settings where those are smaller, for the actions inside; the settings are put back after them."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, most in BATCH.items():
+            if not (before[k] or "").isdigit() or not 0 < int(before[k]) <= most:  # 0: no limit
+                spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, own in before.items():
+            spark.conf.unset(k) if own is None else spark.conf.set(k, own)
+
+
 #: Paths of the tables made by written(), in order.
 _made: list[str] = []
 
@@ -29,7 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

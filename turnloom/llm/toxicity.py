@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import discard, table, written
+from ._store import discard, small_batches, table, written
 from ._text import LOWER, NOT_ALNUM, prefix_sums, released, slices, span_hash, word_bounds
 
 #: Labelled texts of each class that the class models are fitted on, at most.
@@ -187,7 +187,8 @@ def context_counts(docs: DataFrame, words: np.ndarray, stems: np.ndarray, text_c
 
     buckets = docs.select(text_col).mapInArrow(released(run), "bucket long, every binary, pair binary, at binary")
     counted = buckets.groupBy("bucket").applyInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    found = dict(map(tuple, counted.collect()))  # one row for each of words and stems
+    with small_batches(docs.sparkSession):
+        found = dict(map(tuple, counted.collect()))  # one row for each of words and stems
     wanted.destroy()
     n = np.array([found.get(k, 0) for k in range(n_own)], float)
     return n[: len(words)], n[len(words) :], int(found.get(n_own, 0))

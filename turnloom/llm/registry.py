@@ -1,6 +1,6 @@
 """The queries of this subpackage, with SQL where SQL can express them."""
 
-from . import bpe, chat, decontamination, html_text, quality_rules, sharding, simhash, site_quality, suffix_dedup, toxicity
+from . import bpe, chat, collocations, decontamination, html_text, pii, quality_rules, sharding, simhash, site_quality, suffix_dedup, toxicity, whitening
 
 _OPERATORS = {
     "op1_chat_formatting": (chat.op1_chat_formatting, chat.OP1_SQL),
@@ -13,6 +13,9 @@ _OPERATORS = {
     "op8_site_quality": (site_quality.op8_site_quality, None),
     "op9_suffix_dedup": (suffix_dedup.op9_suffix_dedup, None),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.OP10_SQL),
+    "op11_pii": (pii.op11_pii, None),
+    "op12_collocations": (collocations.op12_collocations, collocations.OP12_SQL),
+    "op13_embedding_whitening": (whitening.op13_embedding_whitening, None),
 }
 
 

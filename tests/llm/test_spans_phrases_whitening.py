@@ -1,5 +1,6 @@
 """Personal data, collocations and whitening held against plain versions."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -7,12 +8,14 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from turnloom.llm import collocations, pii, whitening
 from turnloom.llm._text import slices
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, spans string, kind int, h long, words string"
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -99,6 +102,17 @@ def test_spans_with_and_without_the_classifier(spark):
     assert [len(r.spans) for r in pii.personal_data(df.filter("doc_id = 206"), keep=["doc_id"]).collect()] == [0]
 
 
+def test_query_digests_the_base_spans(spark):
+    texts = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    got = {r.doc_id: r for r in pii.op11_pii(spark, SF).collect()}
+    assert set(got) == set(texts.index)
+    for i, text in texts.items():
+        base, r = base_spans(text), got[i]
+        shown = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in pii.KINDS)
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(",")) | {""}
+
+
 # collocations
 
 

@@ -154,6 +154,17 @@ def test_site_quality_by_brute_force(spark):
         assert abs(got.host_posterior[i] - host) < 1e-9 and abs(got.path_posterior[i] - path) < 1e-9 and abs(got.score[i] - want) < 1e-9
 
 
+def test_every_label_is_pooled(spark):
+    """The curve is fitted on a few labels; the posteriors know all of them."""
+    rows = [(i, f"plain words number {i % 7} here", "good" if i % 2 else "bad", "en") for i in range(2000)]
+    docs = spark.createDataFrame(rows + [(None, "plain words", "good", "en")] * 3, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    few, all_ = (site_quality.site_quality(docs, labels, max_labelled=n).toPandas().set_index("doc_id") for n in (200, 20_000))
+    known = few[few.index.notna()]
+    assert len(few) == 2003 and known.host_posterior[known.index % 2 == 1].min() > 0.99 and known.host_posterior[known.index % 2 == 0].max() < 0.01
+    assert np.abs(known.host_posterior - all_[all_.index.notna()].host_posterior).max() < 0.01
+
+
 def test_site_quality_of_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", "x", "u", 1, 2, 3), (1, "c d", None, "u", 1, 2, 3), (None, None, None, None, 1, 2, 3)], "doc_id long, text string, n string, s string, evidence int, __y int, mean int")
     labels = spark.createDataFrame([(1, 1, 7), (1, 0, 7)], "doc_id long, quality int, text int")

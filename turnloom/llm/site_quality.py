@@ -8,8 +8,8 @@ the global prior. A document's score puts its path's posterior in the global pri
 left out of its path's and its host's posterior.
 
 Without a column of addresses the source stands for the host and source and language for the path. All is
-DataFrame functions but the fit of the curve, on at most MAX_LABELLED labelled texts (of one doc_id one). Groups are summed
-before they are shuffled; their sums are broadcast if they are counted to be few, else joined by key, where hot ones are left to the skew join.
+DataFrame functions but the fit of the curve, on at most MAX_LABELLED labelled texts (of one doc_id one); every label, however many,
+is pooled. Groups are summed before they are shuffled; their sums are broadcast if they are counted to be few, else joined by key, where hot ones are left to the skew join.
 
 Defined results: a null or empty text has the shape of no words; null hosts and paths are groups of
 their own; of several labels of a doc_id the best wins; null labels aren't learnt from; without labels of
@@ -66,12 +66,13 @@ def _strength(groups: DataFrame, mean: str, towards: str) -> float:
     return float(min(max(r[2] / between - 1, 1.0), 1e5))
 
 
-def site_quality(docs: DataFrame, labels: DataFrame, *, host_cols=("source",), path_cols=("source", "lang"), id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def site_quality(docs: DataFrame, labels: DataFrame, *, host_cols=("source",), path_cols=("source", "lang"), id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """id_col, evidence, host_posterior, path_posterior, score and kept for every row."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((F.max("quality") > 0).cast("int").alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
-    known = written(known.withColumnRenamed(id_col, "__known"), "known")
+    known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((F.max("quality") > 0).cast("int").alias("__y"))
+    known = written(known.select(F.col(id_col).alias("__known"), "__y"), "known")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    one_text = texts.join(F.broadcast(known), F.col("__id") == F.col("__known")).groupBy("__known", "__y").agg(F.min("__text").alias("__text"))
+    sample = known.orderBy(F.xxhash64("__known"), "__known").limit(max_labelled)
+    one_text = texts.join(F.broadcast(sample), F.col("__id") == F.col("__known")).groupBy("__known", "__y").agg(F.min("__text").alias("__text"))
     sampled = one_text.select("__y", shape(F.col("__text")).alias("__shape")).select("__y", *[f"__shape.{x}" for x in SHAPE]).toArrow()
     y, *x = (c.to_numpy() for c in sampled.columns)
     columns = list(dict.fromkeys([*host_cols, *path_cols]))
@@ -80,7 +81,10 @@ def site_quality(docs: DataFrame, labels: DataFrame, *, host_cols=("source",), p
     p = _probability(_logistic(np.column_stack(x), y, float(y.mean()))) if 0 < y.sum() < len(y) else F.lit(float(y.mean()) if len(y) else 1.0)
     shaped = docs.select(F.col(id_col).alias("__id"), *own, shape(F.col(text_col)).alias("__shape"))
     learnt = F.coalesce(F.col("__y").cast("double"), F.col("evidence"))
-    scored = written(shaped.join(F.broadcast(known), F.col("__id") == F.col("__known"), "left").select("__id", *paths_at, p.alias("evidence"), "__y").select("__id", *paths_at, "evidence", learnt.alias("__e")), "evidence")
+    # rows without an id have no label; a join by shuffle deals them out by their shape
+    part = F.when(F.col("__id").isNull(), F.pmod(F.xxhash64("__shape"), F.lit(4096))).otherwise(F.lit(0).cast("long"))
+    every = sized(known.withColumn("__zero", F.lit(0).cast("long")))
+    scored = written(shaped.withColumn("__part", part).join(every, (F.col("__id") == F.col("__known")) & (F.col("__part") == F.col("__zero")), "left").select("__id", *paths_at, p.alias("evidence"), "__y").select("__id", *paths_at, "evidence", learnt.alias("__e")), "evidence")
     total = scored.agg(F.avg("__e")).first()[0] or 0.0
     sums = lambda cols: scored.groupBy(*cols).agg(F.count("*").alias("n"), F.sum("__e").alias("s"), F.coalesce(F.var_pop("__e"), F.lit(0.0)).alias("var"))
     same = lambda cols, prefix: [F.col(c).eqNullSafe(F.col(prefix + c)) for c in cols]

@@ -1,5 +1,7 @@
 """Rules of the correction chain, by hand."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def _segment(i, speaker, start, end, text, *, coverage=0.9, ambiguous=False, oth
 
 def _correct(spark, rows, same=True, approved=True):
     s = spark.createDataFrame(rows, SEGMENT)
-    out, proposals, records = correction.correct_segments(s, lambda b: b.withColumn("same", F.lit(same) if isinstance(same, bool) else F.col("run_index").isin(*same)), lambda p: p.withColumn("approved", F.lit(approved)))
+    out, proposals, records, _ = correction.correct_segments(s, lambda b: b.withColumn("same", F.lit(same) if isinstance(same, bool) else F.col("run_index").isin(*same)), lambda p: p.withColumn("approved", F.lit(approved)))
     return {r["index"]: (r.speaker, r.speaker_original, [w.speaker for w in r.words]) for r in out.collect()}, proposals.collect(), records.collect()
 
 
@@ -137,3 +139,99 @@ def test_small_functions(spark):
     assert [tuple(u) for u in df.select(T.stacked_units(units)).first()[0]] == [("a", False), ("\n", False), ("b", True)]
     tags = spark.createDataFrame([("<a>",), ("> x",), ("<|en|><|HAPPY|>> hi <b>",)], "t string").select(*T.parsed_tags(F.col("t"))).collect()
     assert [tuple(r) for r in tags] == [("a", ""), ("|EMO_UNKNOWN|", "x"), ("|HAPPY|", "hi")]
+
+
+# words that move to the next face
+
+
+def _spoken(i, speaker, start, *tokens, seen=True, labels=None):
+    words = [(start + 300 * k, start + 300 * k + 290, w, (labels or [None] * len(tokens))[k], "overlap", 290, 0.9, [], None, False, "visual" if seen else "audio", None, None) for k, w in enumerate(tokens)]
+    return (1, i, speaker, start, start + 300 * len(tokens) - 10, "".join(tokens).strip(), words, False)
+
+
+def _moved(spark, rows):
+    return {r["index"]: r for r in correction.moved_openers(spark.createDataFrame(rows, SEGMENT)).collect()}
+
+
+def test_an_opener_moves_to_the_face_that_says_it(spark):
+    got = _moved(spark, [_spoken(0, "S0", 0, " One", " end.", " So"), _spoken(1, "FACE_1", 900, " it", " goes."), _spoken(2, "FACE_2", 5000, " far", " off")])
+    assert (got[0].text, got[0].end_ms, got[1].text, got[1].start_ms) == ("One end.", 590, "So it goes.", 600)
+    assert [(w.word, w.speaker, w.speaker_original, w.correction_source) for w in got[1].words][0] == (" So", "FACE_1", "S0", "semantic_boundary_word")
+    assert [w.correction_source for w in got[0].words] == [None, None] and (got[0].handed_on, got[1].received, got[2].received) == (1, 1, 0)
+    done = correction.correct_segments(spark.createDataFrame([_spoken(0, "S0", 0, " One", " end.", " So"), _spoken(1, "FACE_1", 900, " it", " goes.")], SEGMENT))
+    assert {r["index"]: r.text for r in done.segments.collect()} == {0: "One end.", 1: "So it goes."}
+
+
+def test_an_opener_stays(spark):
+    face = _spoken(1, "FACE_1", 900, " it", " goes.")
+    for left, right in [
+        (_spoken(0, "S0", 0, " One", " end", " So"), face), (_spoken(0, "FACE_1", 0, " One", " end.", " So"), face), (_spoken(0, "S0", 0, " One", " end.", " So"), _spoken(1, "S1", 900, " it", " goes.")),
+        (_spoken(0, "S0", 0, " One", " end.", " So"), _spoken(1, "FACE_1", 900, " it", " goes.", seen=False)), (_spoken(0, "S0", 0, " One", " end.", " So"), _spoken(1, "FACE_1", 995, " it", " goes.")),
+        (_spoken(0, "S0", 0, " One", " end.", " So", labels=["S0", "S0", "S9"]), face), (_spoken(0, "S0", 600, " So."), face), (_spoken(0, "S0", -300, " One.", " a", " b", " c"), face),
+    ]:
+        got = _moved(spark, [left, right])
+        assert [got[i].text for i in (0, 1)] == [left[5], right[5]]
+
+
+def plain_moves(segments):
+    """One border after the other; segments: speaker, start, end, words of (start, end, token), and whether a face speaks for it."""
+    s = [[sp, w[0][0], w[-1][1], list(w), seen] for sp, w, seen in segments]
+    for left, right in zip(s, s[1:], strict=False):
+        words = left[3]
+        if left[0] == right[0] or not right[0].startswith("FACE_") or abs(right[1] - left[2]) > 100 or not right[4]:
+            continue
+        for size in range(1, min(2, len(words) - 1) + 1):
+            if words[-size - 1][2].strip()[-1] in ".!?" and sum(b - a for a, b, _ in words[-size:]) <= 650:
+                right[3][:0], left[3][-size:] = words[-size:], []
+                left[2], right[1] = left[3][-1][1], right[3][0][0]
+                break
+    return ["".join(w for _, _, w in x[3]).strip() for x in s]
+
+
+def test_moves_equal_border_by_border(spark):
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for video in range(60):
+        at, own = 0, []
+        for i in range(12):
+            speaker, n, seen = rnd.choice(["FACE_1", "FACE_2", "FACE_3", "S0"]), rnd.choice([1, 1, 1, 2, 2, 3, 4]), rnd.random() < 0.9
+            words = []
+            for _ in range(n):
+                words.append((at, at + rnd.choice([100, 290, 400]), " " + rnd.choice(["a", "b.", "c!", "d"])))
+                at = words[-1][1] + 10
+            at += rnd.choice([0, 0, 0, 200])
+            own.append((speaker, words, seen))
+            rows.append((video, i, speaker, words[0][0], words[-1][1], "".join(w for _, _, w in words).strip(), [(a, b, w, speaker, "overlap", 1, 0.9, [], None, False, "visual" if seen else "audio", None, None) for a, b, w in words], False))
+        want |= {(video, i): t for i, t in enumerate(plain_moves(own))}
+    got = correction.moved_openers(spark.createDataFrame(rows, SEGMENT)).collect()
+    assert {(r.video_id, r["index"]): r.text for r in got} == want
+    assert sum(r.received for r in got) > 50 and any(r.received and r.handed_on and len(r.words) < 3 for r in got)
+
+
+def test_contexts_of_judge_and_verifier(spark):
+    rows = [_segment(k, s, 4000 * k, 4000 * k + ms, f"t{k}") for k, (s, ms) in enumerate([("A", 3900), ("B", 3900), ("A", 3900), ("C", 900), ("B", 3900), ("A", 3900)])]
+    shown = {}
+
+    def judge(b):
+        shown["borders"] = b.collect()
+        return b.withColumn("same", F.lit(True))
+
+    def verify(p):
+        shown["proposals"] = p.collect()
+        return p.withColumn("approved", F.lit(True))
+
+    done = correction.correct_segments(spark.createDataFrame([(*r[:7], k in (1, 2, 4)) for k, r in enumerate(rows)], SEGMENT), judge, verify, max_gap_ms=10_000)
+    lines = lambda text: [x.split(":")[0].split(" [")[0] for x in text.split("\n")[1:]]
+    assert {b.run_index: (b.candidate_run, lines(b.context)) for b in shown["borders"]} == {2: (3, ["RUN_2", "RUN_3", "RUN_4"]), 3: (3, ["RUN_2", "RUN_3", "RUN_4"])}
+    assert shown["proposals"] == []  # the neighbours don't agree
+    assert [(b.run_index, b.skipped_reason, b.same) for b in done.borders.orderBy("run_index").collect()] == [(2, None, True), (3, None, True)]
+    rows = [_segment(0, "A", 0, 4000, "one"), _segment(1, "B", 4000, 5000, "two"), _segment(2, "A", 5000, 9000, "three")]
+    correction.correct_segments(spark.createDataFrame(rows, SEGMENT), judge, verify)
+    p = shown["proposals"][0]
+    assert (p.target_text, p.anchor_texts) == ("two", ["one", "three"])
+    assert p.context.split("\n")[1:] == ["RUN_0 [ANCHOR] [0.00-4.00]: one", "RUN_1 [TARGET] [4.00-5.00]: two", "RUN_2 [ANCHOR] [5.00-9.00]: three"]
+    rows = [_segment(0, "A", 0, 3000, "one"), _segment(1, "A", 3000, 3400, "uh", coverage=0.5, ambiguous=True, other=("A", "B")), _segment(2, "B", 3400, 5000, "two"), _segment(3, "C", 9000, 12_900, "three")]
+    done = correction.correct_segments(spark.createDataFrame(rows, SEGMENT), judge, verify)
+    assert shown["proposals"][0].context.split("\n")[1:3] == ["RUN_0 [TARGET] [3.00-3.40]: uh", "RUN_1 [ANCHOR] [3.40-5.00]: two"]
+    assert [(b.run_index, b.skipped_reason) for b in done.borders.orderBy("run_index").collect()] == [(0, None), (1, "gap_too_large")]
+    assert {r["index"]: r.correction_source for r in done.segments.collect()} == {0: None, 1: "context_continuation", 2: None, 3: None}

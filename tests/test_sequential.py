@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -104,38 +105,110 @@ def test_wrapped_texts(spark):
     assert {r.id: r.lines for r in got} == {"a": ["aa bb", "cc dd"], "b": []}
 
 
-def test_words_move_to_the_next_face(spark):
-    def seg(i, speaker, start, *tokens):
-        return [(1, i, speaker, 10 * i + k, start + 300 * k, start + 300 * k + 300, w, speaker.startswith("FACE")) for k, w in enumerate(tokens)]
+def test_wrapped_like_the_text_library(spark):
+    r = random.Random(1)
+    parts = ["a", "bb", "ccc-dd", "e-f", "x--y", "foo---bar", "well-known", "étre-là", "  ", " ", "\t", "\n", "12-34", "z" * 50, "-", "--", "a.-b", " q ", "日本語-日本"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(500)] + ["", " ", "\t", "a" * 60]
+    got = {x.i: x.w for x in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.wrapped(F.col("t"), 20).alias("w")).collect()}
+    assert got == {i: "\n".join(textwrap.wrap(t, width=20, break_long_words=False)) for i, t in enumerate(texts)}
 
-    rows = seg(0, "S0", 0, " One", " end.", " So") + seg(1, "FACE_1", 900, " it", " goes.", " And") + seg(2, "FACE_2", 1800, " on") + seg(3, "FACE_3", 5000, " far", " off")
-    w = spark.createDataFrame(rows, "video_id long, index long, speaker string, word_index long, start_ms long, end_ms long, word string, visual boolean")
-    got = {r.word_index: (r["index"], r.speaker, r.speaker_original) for r in S.move_openers(w).filter("moved").collect()}
-    assert got == {2: (1, "FACE_1", "S0"), 12: (2, "FACE_2", "FACE_1")}
 
-
-def test_a_moved_word_can_move_on():
-    word = lambda ms, ends: {"ms": ms, "ends": ends, "own": True}
-    steps = [
-        {"n": 3, "tail": [word(300, False), word(300, True), word(200, False)], "goes": True},  # its last word goes on
-        {"n": 1, "tail": [word(300, False)], "goes": True},  # now two words, but the first doesn't end a sentence
-        {"n": 2, "tail": [word(300, True), word(200, False)], "goes": True},
-        {"n": 1, "tail": [word(100, False)], "goes": False},
-    ]
-    assert S.moved_words(steps) == [(0, 1, 1), (2, 1, 3)]
-    steps[0]["tail"][-1]["ends"] = True  # the last word is a sentence of its own: it moves, and what follows it moves after it
-    assert S.moved_words(steps) == [(0, 1, 1), (1, 1, 2), (2, 1, 3)]
-    steps[0]["tail"][1]["ms"] = 9000
-    assert S.moved_words([{"n": 1, "tail": [word(1, True)], "goes": True}, *steps[3:]]) == []  # a lone word stays
+def plain_linkage(vectors, cut):
+    """The two nearest clusters merge, again and again; mean distances worked out pair by pair."""
+    unit = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
+    pair = 1 - unit @ unit.T
+    clusters = [[i] for i in range(len(vectors))]
+    while len(clusters) > 1:
+        far, i, j = min((round(pair[np.ix_(a, b)].mean(), 12), i, j) for (i, a), (j, b) in itertools.combinations(enumerate(clusters), 2))
+        if far >= cut:
+            break
+        clusters[i] += clusters.pop(j)
+    label = {}
+    for k, c in enumerate(sorted(clusters, key=min)):
+        label |= dict.fromkeys(c, k)
+    return [label[i] for i in range(len(vectors))]
 
 
 def test_average_linkage():
     rng = np.random.default_rng(0)
-    centres = np.eye(4)[:3]
-    v = np.concatenate([c + rng.normal(0, 0.05, (5, 4)) for c in centres])
-    labels = S.average_linkage(v)
-    assert len(set(labels)) == 3 and all(len(set(labels[k : k + 5])) == 1 for k in (0, 5, 10))
-    assert S.average_linkage(v[:1]).tolist() == [0]
+    for n, dims, cut in [(1, 4, 0.7), (2, 4, 0.7), (12, 3, 0.3), (30, 5, 0.7), (40, 8, 0.9), (40, 2, 0.05), (25, 3, 5.0)]:
+        v = rng.normal(size=(n, dims))
+        assert S.average_linkage(v, cut).tolist() == plain_linkage(v, cut)
+        tied = np.concatenate([v, v[: n // 2], -v[: n // 3]])  # equal vectors, and opposite ones
+        assert S.average_linkage(tied, cut).tolist() == plain_linkage(tied, cut)
+    assert S.average_linkage(np.zeros((0, 3))).tolist() == []
+
+
+def test_five_thousand_tracks_in_a_group():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(50, 64))
+    own = rng.integers(0, 50, 5000)
+    labels = S.average_linkage(centres[own] + rng.normal(0, 0.1, (5000, 64)), 0.3)
+    assert len(set(labels)) == len(set(zip(labels.tolist(), own.tolist(), strict=True))) == 50
+
+
+def test_clusters_of_each_video(spark):
+    rows = [(v, t, [1.0, 0.0] if (t + v) % 2 else [0.0, 1.0]) for v in (0, 1) for t in range(5)]
+    got = {(r.video_id, r.track): r.face_id for r in S.cluster_tracks(spark.createDataFrame(rows, "video_id int, track int, embedding array<float>")).collect()}
+    assert got == {(v, t): t % 2 for v in (0, 1) for t in range(5)}
+
+
+def _video(seed, frames):
+    r = random.Random(seed)
+    rows = []
+    for f in sorted(r.sample(range(3 * frames), frames)):
+        for k in range(r.randint(0, 4)):
+            x, y, side = r.randint(0, 60), r.randint(0, 10), r.randint(5, 20)
+            rows.append((seed, f, k, x, y, x + side, y + side))
+    return rows
+
+
+def plain_overlaps(rows, least=0.5, gap=10):
+    """Pass by pass over all frames, each taking one track's boxes out of lists that it walks through."""
+    frames = [[list(r) for r in own] for _, own in itertools.groupby(rows, lambda r: r[1])]
+    out, n = {}, 0
+    while any(frames):
+        last = None
+        for frame in frames:
+            for box in frame:  # the list shrinks under the loop, so what follows a taken box is passed over
+                if last is not None and box[1] - last[1] > gap:
+                    break
+                if last is None or S._iou(np.array(box[3:], float), np.array(last[3:], float)) > least:
+                    out[tuple(box[:3])], last = n, box
+                    frame.remove(box)
+        n += 1
+    return out
+
+
+def test_overlap_tracks_equal_pass_by_pass(spark):
+    rows = [r for seed in range(12) for r in _video(seed, 40)]
+    df = spark.createDataFrame(rows, "video_id long, frame long, box long, x1 int, y1 int, x2 int, y2 int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # frames go on from batch to batch
+    try:
+        got = {(r.video_id, r.frame, r.box): r.track for r in S.overlap_tracks(df).collect()}
+        want = {}
+        for _, own in itertools.groupby(rows, lambda r: r[0]):
+            want |= plain_overlaps(list(own))
+        assert got == want
+        centred = df.selectExpr("video_id", "frame", "box", "x1 AS x", "y1 AS y", "x2 - x1 AS w", "y2 - y1 AS h")
+        tracks = {(r.video_id, r.frame, r.box): r.track for r in S.centre_tracks(centred).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for seed in range(12):
+        centres = []
+        for _, f, k, x1, y1, x2, y2 in (r for r in rows if r[0] == seed):
+            c = ((x1 + x2) / 2, (y1 + y2) / 2)
+            far = [np.hypot(c[0] - a, c[1] - b) for a, b in centres]
+            own = far.index(min(far)) if far and min(far) < (x2 - x1) / 2 else len(centres)
+            centres[own : own + 1] = [c]
+            assert tracks[seed, f, k] == own
+
+
+def test_trackers_hold_open_tracks_only():
+    t = S.OverlapTracks(0.5, 10)
+    for f in range(20_000):
+        t.frame(f * 20 if f % 50 == 0 else f * 20 + 1, np.array([[f % 7 * 100.0, 0, f % 7 * 100 + 50, 50]]))
+    assert len(t.open) == 1 and t.n == 20_000
 
 
 def test_tracks_by_hand(spark):

@@ -1,0 +1,7 @@
+"""Operators. What of them runs on executors is pickled by value, so a cluster needs no copy of this package on its Python path."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

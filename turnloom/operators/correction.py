@@ -3,16 +3,22 @@
 segments: video_id, index, speaker, start_ms, end_ms, text, words (see intervals.WORD_FIELDS). The chains keep what several steps read as checkpoints.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.text import collapsed, joined_lines
+from turnloom.functions.text import MOVE_ENDS, collapsed, ends_sentence, joined_lines
 from turnloom.operators import asking, labels
 from turnloom.operators import intervals as I
 from turnloom.operators._kept import kept
 
 #: Fixed values of the fragment rule and of what a word has to have.
 FRAGMENT_MS, FRAGMENT_WORDS, WEAK_COVERAGE, STABLE_COVERAGE, VISUAL_SHARE = 500, 2, 0.5, 0.75, 0.5
+#: Fixed values of the word moves: a sentence opener's words and time, how near the next segment is, and the share of it that a face speaks for.
+MOVE_WORDS, MOVE_MS, MOVE_GAP_MS, MOVE_SHARE = 2, 650, 100, 0.75
+#: Fixed first line of what a judge or a verifier is shown.
+CONTEXT_TITLE = "Transcript context (speaker IDs omitted):"
 
 
 def _own(words: Column, speaker: Column) -> Column:
@@ -37,6 +43,69 @@ def visual_share() -> Column:
     return F.when(F.col("own_ms") > 0, F.col("visual_ms") / F.col("own_ms")).otherwise(0.0)
 
 
+_TAIL = "array<struct<ms:bigint,ends:boolean,own:boolean>>"
+
+
+def handed_on(steps: Column) -> Column:
+    """WIN-18: how many of its last words each of consecutive segments hands to the next one, in order.
+
+    steps: array of n (the segment's words), tail (ms, ends and own of its last three at most: time, whether a sentence ends, whether it carries the
+    segment's label) and goes (whether words may go to the next segment). What a segment was handed stands before its own words.
+    """
+
+    def step(done, s):
+        line = F.when(s["n"] <= MOVE_WORDS, F.concat(done["got"], s["tail"])).otherwise(s["tail"])
+        last = lambda k: F.slice(line, F.size(line) - k + 1, k)
+        ms = lambda k: F.aggregate(last(k), F.lit(0).cast("bigint"), lambda a, w: a + w["ms"])
+        opens = lambda k: (F.size(line) > k) & F.coalesce(F.get(line, F.size(line) - k - 1)["ends"], F.lit(False)) & (ms(F.lit(k)) <= MOVE_MS)
+        many = F.when(~s["goes"], 0)
+        for k in range(1, MOVE_WORDS + 1):
+            many = many.when(opens(k), F.when(F.forall(last(F.lit(k)), lambda w: w["own"]), k).otherwise(0))
+        many = many.otherwise(0)
+        return F.struct(F.transform(last(many), lambda w: w.withField("own", F.lit(True))).cast(_TAIL).alias("got"), F.concat(done["many"], F.array(many)).alias("many"))
+
+    return F.aggregate(steps, F.struct(F.array().cast(_TAIL).alias("got"), F.array().cast("array<int>").alias("many")), step, lambda done: done["many"])
+
+
+def moved_openers(segments: DataFrame) -> DataFrame:
+    """WIN-17, WIN-18, PRJ-17: one or two short words after a sentence end go to the next segment, if a face there is sure; both segments are built anew from their words.
+
+    What a segment hands on can depend on what it was handed, and so on backwards, but only if it has two words at most and may hand on at all; such stretches
+    are folded in order, all in the JVM. Words keep their order, so a segment's words are then the last ones before it, as many as it was handed, and
+    its own but those it hands on; they stand in the two segments before it. Columns received and handed_on count them.
+    """
+    columns = segments.columns
+    order = Window.partitionBy("video_id").orderBy("index")
+    after = lambda c: F.lead(c).over(order)
+    label = lambda w: F.coalesce(w["speaker"], F.col("speaker"))
+    words = F.transform("words", lambda w: w.withField("correction_source", F.lit(None).cast("string")))
+    t = word_support(segments).withColumns({"words": words, "n": F.size("words")})
+    tail = F.transform(
+        F.slice("words", F.greatest(F.col("n") - MOVE_WORDS, F.lit(1)), MOVE_WORDS + 1),
+        lambda w: F.struct(F.greatest(w["end_ms"] - w["start_ms"], F.lit(0)).cast("bigint").alias("ms"), ends_sentence(w["word"], MOVE_ENDS, ()).alias("ends"), (label(w) == F.col("speaker")).alias("own")),
+    )
+    sure = (F.col("own_ms") > 0) & (F.col("visual_ms") >= MOVE_SHARE * F.col("own_ms"))
+    goes = (F.col("speaker") != after("speaker")) & after("speaker").startswith("FACE_") & (F.abs(after("start_ms") - F.col("end_ms")) <= MOVE_GAP_MS) & after(sure) & (after("n") > 0)
+    t = t.withColumns({"goes": F.coalesce(goes, F.lit(False)), "tail": F.when(F.col("n") > 0, tail).otherwise(F.array().cast(_TAIL)), "sure": sure})
+    t = I.islands(t, ["index"], (F.col("n") > MOVE_WORDS) | ~F.lag("goes").over(order), "stretch")
+    steps = F.sort_array(F.collect_list(F.struct("index", "n", "tail", "goes")))
+    folded = t.groupBy("video_id", "stretch").agg(steps.alias("steps")).filter(F.exists("steps", lambda x: x["goes"]))
+    many = folded.select("video_id", F.explode(F.arrays_zip(F.transform("steps", lambda x: x["index"]).alias("index"), handed_on(F.col("steps")).alias("handed_on"))).alias("s"))
+    t = t.drop("stretch", "tail", "goes", "sure").join(many.select("video_id", "s.*"), ["video_id", "index"], "left").fillna(0, ["handed_on"])
+    own_last = F.transform(F.slice("words", F.greatest(F.col("n") - MOVE_WORDS + 1, F.lit(1)), MOVE_WORDS), lambda w: w.withField("speaker", label(w)))
+    none = F.array().cast(t.schema["words"].dataType)
+    t = t.withColumn("last", F.when(F.col("n") > 0, own_last).otherwise(none))
+    t = t.withColumns({"before": F.concat(F.coalesce(F.lag("last", 2).over(order), none), F.coalesce(F.lag("last").over(order), none)), "received": F.coalesce(F.lag("handed_on").over(order), F.lit(0))})
+    came = F.transform(
+        F.slice("before", F.size("before") - F.col("received") + 1, F.col("received") - F.greatest(F.col("handed_on") - F.col("n"), F.lit(0))),
+        lambda w: w.withField("speaker_original", F.coalesce(w["speaker_original"], w["speaker"])).withField("speaker", F.col("speaker")).withField("correction_source", F.lit("semantic_boundary_word")),
+    )
+    changed = (F.col("received") > 0) | (F.col("handed_on") > 0)
+    t = t.withColumn("words", F.when(changed, F.concat(came, F.slice("words", F.lit(1), F.greatest(F.col("n") - F.col("handed_on"), F.lit(0))))).otherwise(F.col("words")))
+    t = t.withColumns({c: F.when(changed, x).otherwise(F.col(c)) for c, x in I.from_words(F.col("words")).items() if c in columns})
+    return t.select(*columns, "received", "handed_on")
+
+
 def weak_fragment(segment: Column, speaker: Column, target: Column) -> Column:
     """AGG-15: one or two words, at most half a second, all of the run's own label, ambiguous, hardly covered, and with the target among their candidates (JOIN-18). A word without coverage is not weak."""
     weak = lambda w: (
@@ -105,27 +174,52 @@ def repair_segments(segments: DataFrame, judge: asking.Step = asking.rule_span_j
     return remerged(out, glue_ms=glue_ms), decisions.select("video_id", "lo", "hi", "text", "left_label", "right_label", F.col("approved").alias("same_utterance"), F.when(F.col("approved"), F.col("target_speaker")).alias("target_speaker"), how.alias("resolution"))
 
 
-def context_lines(runs: DataFrame, *, count: int = 3) -> DataFrame:
-    """WIN-08, PRJ-25: of each run the texts of a window of `count` runs around it, as wide as it can be at the edges too."""
+def context_windows(runs: DataFrame, *, count: int = 3) -> DataFrame:
+    """WIN-08: of each run a window of `count` runs around it, as wide as it can be at the edges too: near, an array of run_index, start_ms, end_ms, text."""
     order = Window.partitionBy("video_id").orderBy("run_index")
-    seconds = lambda ms: F.concat(F.floor(F.rint(ms / 10) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((F.rint(ms / 10).cast("bigint") % 100).cast("string"), 2, "0"))
-    line = F.concat(F.lit("RUN_"), "run_index", F.lit(" ["), seconds(F.col("start_ms")), F.lit("-"), seconds(F.col("end_ms")), F.lit("]: "), "text")
-    near = F.collect_list(F.struct("run_index", line.alias("line"))).over(order.rowsBetween(-count + 1, count - 1))
+    near = F.collect_list(F.struct("run_index", "start_ms", "end_ms", "text")).over(order.rowsBetween(-count + 1, count - 1))
     t = runs.select("video_id", "run_index", near.alias("near"), F.count("*").over(Window.partitionBy("video_id")).alias("n"))
     t = t.withColumn("c", F.least(F.lit(count), "n")).withColumn("s", F.expr("greatest(0, least(run_index - c div 2, n - c))"))
-    return t.select("video_id", "run_index", F.expr("array_join(transform(filter(near, x -> x.run_index >= s and x.run_index < s + c), x -> x.line), '\n')").alias("context"))
+    return t.select("video_id", "run_index", F.expr("filter(near, x -> x.run_index >= s and x.run_index < s + c)").alias("near"))
+
+
+def context_text(near: Column, target: Column | None = None, anchors: Column | None = None) -> Column:
+    """PRJ-25: the lines of a window. target: the run in question, with times and text of its own (a fragment's, if only that is in question); anchors: indices of the runs that speak for it."""
+    hundredths = lambda ms: F.rint(F.abs(ms) / 10).cast("bigint")
+    seconds = lambda ms: F.concat(F.when(ms < 0, "-").otherwise(""), F.floor(hundredths(ms) / 100).cast("string"), F.lit("."), F.lpad((hundredths(ms) % 100).cast("string"), 2, "0"))
+
+    def line(x):
+        mark = F.lit("")
+        if target is not None:
+            own = x["run_index"] == target["run_index"]
+            names = F.array_join(F.array_compact(F.array(F.when(own, "TARGET"), F.when(F.array_contains(anchors, x["run_index"]), "ANCHOR"))), " ")
+            mark = F.when(names != "", F.concat(F.lit(" ["), names, F.lit("]"))).otherwise("")
+            x = {c: F.when(own, target[c]).otherwise(x[c]) for c in ("start_ms", "end_ms", "text")} | {"run_index": x["run_index"]}
+        return F.concat(F.lit("RUN_"), x["run_index"], mark, F.lit(" ["), seconds(x["start_ms"]), F.lit("-"), seconds(x["end_ms"]), F.lit("]: "), x["text"])
+
+    return F.concat(F.lit(CONTEXT_TITLE + "\n"), F.array_join(F.transform(near, line), "\n"))
+
+
+class Correction(NamedTuple):
+    """What OP-04 gives: segments; proposals with their status; a record of each candidate; a record of each border looked at, with the reason where it wasn't asked."""
+
+    segments: DataFrame
+    proposals: DataFrame
+    candidates: DataFrame
+    borders: DataFrame
 
 
 def correct_segments(
     segments: DataFrame, judge: asking.Step = asking.rule_judge, verify: asking.Step = asking.rule_verifier, *,
     max_ms: int = 3000, merge_gap_ms: int = 1500, max_gap_ms: int = 1500, max_overlap_ms: int = 50, context_runs: int = 3, verify_adjustments: bool = True,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """OP-04: (segments, proposals, candidates). Short runs between others are relabelled if the judge says that an utterance goes on over their borders and the
-    verifier agrees; a weak fragment at the neighbour's edge moves instead if the run has a stable word; a run that faces speak for stays.
+) -> Correction:
+    """OP-04. Words that open a sentence move to the face that says it. Then short runs between others are relabelled if the judge says that an utterance goes on over
+    their borders and the verifier agrees; a weak fragment at the neighbour's edge moves instead if the run has a stable word; a run that faces speak for stays.
 
-    The judge sees each border that can be one (PRJ-20) and is beside a candidate, once; proposals in conflict aren't applied.
+    The judge sees each border that can be one (PRJ-20) and is beside a candidate, once: left_text, right_text, gap_ms, and as context the window around the candidate that
+    asks first. The verifier sees target_text, the anchors' texts and the window with target and anchors marked, a fragment in its run's place. Proposals in conflict aren't applied.
     """
-    segments = kept(segments)
+    segments = kept(moved_openers(segments))
     s = word_support(segments.withColumn("pos", F.col("index")))
     checked = F.coalesce(F.col("checked"), F.lit(False)) if "checked" in segments.columns else F.lit(False)
     edge = F.struct("pos", "start_ms", "end_ms", "words", collapsed(F.col("text")).alias("text"))
@@ -134,26 +228,31 @@ def correct_segments(
         ((F.sum("own_ms") > 0) & (F.sum("visual_ms") >= VISUAL_SHARE * F.sum("own_ms"))).alias("direct_visual"), F.min_by(edge, "pos").alias("head"), F.max_by(edge, "pos").alias("tail"),
     ))
     order = Window.partitionBy("video_id").orderBy("run_index")
-    beside = runs.withColumns({"left_tail": F.lag("tail").over(order), "right_head": F.lead("head").over(order)})
-    candidates = labels.run_candidates(beside, max_ms=max_ms).filter("not checked")
-    context = context_lines(runs, count=context_runs)
+    windows = context_windows(runs, count=context_runs)
+    beside = runs.withColumns({"left_tail": F.lag("tail").over(order), "right_head": F.lead("head").over(order), "left_text": F.lag("text").over(order), "right_text": F.lead("text").over(order)})
+    candidates = labels.run_candidates(beside, max_ms=max_ms).filter("not checked").join(windows, ["video_id", "run_index"])
 
+    asks = candidates.select("video_id", F.col("run_index").alias("candidate_run"), context_text(F.col("near")).alias("context"), F.explode(F.array(F.col("run_index") - 1, "run_index")).alias("run_index"))
+    asks = asks.groupBy("video_id", "run_index").agg(F.min(F.struct("candidate_run", "context")).alias("a")).select("video_id", "run_index", "a.*")
     texts = runs.select("video_id", "run_index", F.col("text").alias("left_text"), F.lead("text").over(order).alias("right_text"))
-    wanted = candidates.select("video_id", F.explode(F.array(F.col("run_index") - 1, "run_index")).alias("run_index")).distinct()
-    borders = labels.eligibility(runs, max_gap_ms=max_gap_ms, max_overlap_ms=max_overlap_ms).join(wanted, ["video_id", "run_index"], "left_semi").join(texts, ["video_id", "run_index"]).join(context, ["video_id", "run_index"])
-    judged = judge(borders.filter("eligible")).select("video_id", "run_index", "same")
-    c = kept(labels.with_borders(candidates, judged))
+    looked_at = labels.eligibility(runs, max_gap_ms=max_gap_ms, max_overlap_ms=max_overlap_ms).join(asks, ["video_id", "run_index"]).join(texts, ["video_id", "run_index"])
+    judged = judge(looked_at.filter("eligible")).select("video_id", "run_index", "same")
+    borders = kept(looked_at.drop("left_text", "right_text", "eligible").withColumnRenamed("reason", "skipped_reason").join(judged, ["video_id", "run_index"], "left").fillna(False, ["same"]))
+    c = kept(labels.with_borders(candidates, borders))
 
     how, target, anchors = labels.resolved(*(F.col(x) for x in ("left_speaker", "right_speaker", "left_same", "right_same", "run_index")))
     from_left = F.col("stable") & F.col("left_same") & ~F.col("right_same") & weak_fragment(F.col("left_tail"), F.col("left_speaker"), F.col("speaker"))
     from_right = F.col("stable") & F.col("right_same") & ~F.col("left_same") & weak_fragment(F.col("right_head"), F.col("right_speaker"), F.col("speaker"))
+    shown = lambda run, x: F.struct(run.alias("run_index"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["text"].alias("text"))
     fragment = lambda run, seg, old, name: F.struct(
         F.lit("move_boundary_fragment").alias("action"), run.alias("run_index"), seg["pos"].alias("lo"), seg["pos"].alias("hi"), old.alias("from_speaker"), F.col("speaker").alias("to_speaker"),
-        F.array("run_index").alias("anchors"), F.lit(name).alias("resolution"), seg["text"].alias("target_text"), F.col("text").alias("anchor_text"),
+        F.array("run_index").alias("anchors"), F.lit(name).alias("resolution"), seg["text"].alias("target_text"), F.array("text").alias("anchor_texts"), context_text(F.col("near"), shown(run, seg), F.array("run_index")).alias("context"),
     )
+    beside_texts = F.when(how == "both_agree", F.array("left_text", "right_text")).when(how == "left", F.array("left_text")).otherwise(F.array("right_text"))
+    own = F.struct("start_ms", "end_ms", "text")
     whole = F.struct(
         F.lit("relabel_run").alias("action"), F.col("run_index").alias("run_index"), F.col("first_pos").alias("lo"), F.col("last_pos").alias("hi"), F.col("speaker").alias("from_speaker"), target.alias("to_speaker"),
-        anchors.alias("anchors"), how.alias("resolution"), F.col("text").alias("target_text"), F.when(how == "right", F.col("right_head.text")).otherwise(F.col("left_tail.text")).alias("anchor_text"),
+        anchors.alias("anchors"), how.alias("resolution"), F.col("text").alias("target_text"), beside_texts.alias("anchor_texts"), context_text(F.col("near"), shown(F.col("run_index"), own), anchors).alias("context"),
     )
     p = F.when(from_left, fragment(F.col("run_index") - 1, F.col("left_tail"), F.col("left_speaker"), "move_left_tail_to_candidate")).when(
         from_right, fragment(F.col("run_index") + 1, F.col("right_head"), F.col("right_speaker"), "move_right_head_to_candidate")
@@ -174,17 +273,21 @@ def correct_segments(
     to = out.filter("status = 'applied'").select("video_id", F.explode(F.sequence("lo", "hi")).alias("index"), F.struct("candidate_run", "to_speaker", "action").alias("t")).groupBy("video_id", "index").agg(F.max("t").alias("t"))
     fixed = segments.join(to, ["video_id", "index"], "left")
     moved = F.col("t.to_speaker").isNotNull()
-    before = F.col("speaker_original") if "speaker_original" in segments.columns else F.lit(None).cast("string")
+    before = lambda name: F.col(name) if name in segments.columns else F.lit(None).cast("string")
     # words first: inside a lambda a name means the new column of the same projection
     fixed = fixed.withColumn("words", F.when(moved, relabelled(F.col("words"), F.col("speaker"), F.col("t.to_speaker"), keep_original=True)).otherwise(F.col("words")))
     fixed = fixed.withColumns({
-        "speaker_original": F.when(moved, F.coalesce(before, F.col("speaker"))).otherwise(before), "coverage_speaker": F.when(moved, F.col("speaker")), "speaker_correction_action": F.col("t.action"), "speaker": F.coalesce("t.to_speaker", "speaker"),
+        "speaker_original": F.when(moved, F.coalesce(before("speaker_original"), F.col("speaker"))).otherwise(before("speaker_original")), "coverage_speaker": F.when(moved, F.coalesce(before("coverage_speaker"), F.col("speaker"))).otherwise(before("coverage_speaker")),
+        "speaker_correction_action": F.col("t.action"), "correction_source": F.when(moved, "context_continuation").otherwise(before("correction_source")), "speaker": F.coalesce("t.to_speaker", "speaker"),
     }).drop("t")
-    return fixed, out, records
+    return Correction(fixed, out, records, borders)
 
 
-def correction_audit(proposals: DataFrame, candidates: DataFrame) -> DataFrame:
-    """SNK-15, AGG-22: counters of OP-04 by video."""
-    n = candidates.groupBy("video_id").agg(F.count("*").alias("num_candidates"), F.count_if("direct_visual").alias("num_preserved"))
-    p = proposals.groupBy("video_id").agg(F.count("*").alias("num_proposals"), F.count_if(F.col("status") == "applied").alias("num_corrections"))
-    return n.join(p, "video_id", "left").fillna(0, ["num_proposals", "num_corrections"])
+def correction_audit(done: Correction) -> DataFrame:
+    """SNK-15, AGG-22: counters of OP-04 by video: words moved, candidates, borders asked and skipped, proposals, corrections."""
+    moves = done.segments.groupBy("video_id").agg(F.count_if(F.col("handed_on") > 0).alias("num_semantic_repairs"))
+    n = done.candidates.groupBy("video_id").agg(F.count("*").alias("num_candidates"), F.count_if("direct_visual").alias("num_preserved"))
+    b = done.borders.groupBy("video_id").agg(F.count_if(F.col("skipped_reason").isNull()).alias("num_asked"), F.count("skipped_reason").alias("num_skipped"))
+    p = done.proposals.groupBy("video_id").agg(F.count("*").alias("num_proposals"), F.count_if(F.col("status") == "applied").alias("num_corrections"))
+    counts = ["num_candidates", "num_preserved", "num_asked", "num_skipped", "num_proposals", "num_corrections"]
+    return moves.join(n, "video_id", "left").join(b, "video_id", "left").join(p, "video_id", "left").fillna(0, counts)

@@ -5,17 +5,14 @@ last outcome is Python, over arrays of one segment or a few numbers for each seg
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from turnloom.functions.text import MOVE_ENDS, break_penalty, ends_phrase, ends_sentence, joined, stripped
 
-#: Fixed values of the cue rules, of the word moves and of face tracks.
+#: Fixed values of the cue rules and of face tracks.
 MIN_CUE_MS, MAX_CUE_MS, MAX_CUE_WORDS = 750, 3500, 12
-MOVE_MS, MOVE_WORDS, MOVE_GAP_MS, MOVE_SHARE = 650, 2, 100, 0.75
 TRACK_IOU, TRACK_GAP, TRACK_FRAMES, TRACK_SIZE = 0.5, 10, 10, 1
 
 
@@ -108,119 +105,107 @@ def wrap_lines(texts: DataFrame, *, letter: float = 1.0, space: float = 1.0, roo
     return out.select("id", line.alias("lines"))
 
 
-@F.pandas_udf(StringType())
-def wrapped_44(text: pd.Series) -> pd.Series:
-    """FN-06: lines of at most 44 characters, words whole."""
-    import textwrap
+#: Where a line may be broken: beside blanks, after a hyphen with letters on both sides, and beside dashes between words.
+_WRAP_AT = r"(?U)(?<= )(?=[^ ])|(?<=[^ ])(?= )|(?:(?<=[^\d\W]{2}-)|(?<=[^\d\W]-[^\d\W]-))(?=[^\d\W]-?[^\d\W])|(?<=[\w!\"'&.,?])(?=-{2,}\w)|(?<=[\w!\"'&.,?]-{2,9})(?=\w)"
 
-    return text.map(lambda t: "\n".join(textwrap.wrap(t or "", width=44, break_long_words=False) or [""]))
 
+def wrapped(text: Column, width: int = 44) -> Column:
+    """FN-06: lines of at most `width` characters, words whole; a longer word has a line of its own. White space counts as blanks, tabs reach to the next
+    multiple of eight; blanks go at the ends of lines and at the beginnings of all but the first."""
+    tabs = F.split(F.translate(F.coalesce(text, F.lit("")), "\r", "\n"), "\t")
+    column = lambda a: F.length(F.substring_index(a, "\n", -1))
+    spread = F.aggregate(F.slice(tabs, F.lit(2), F.size(tabs)), F.get(tabs, F.lit(0)), lambda a, x: F.concat(a, F.repeat(F.lit(" "), 8 - column(a) % 8), x))
+    spread = F.translate(spread, "\n\x0b\x0c", "   ")
 
-def moved_words(steps: list[dict]) -> list[tuple[int, int, int]]:
-    """WIN-18's order-dependent part: (segment, place from its end, segment that it ends up in) of the words that move.
+    def add(done, piece):
+        lines, line = done["lines"], done["line"]
+        both = lambda lines, line: F.struct(lines.alias("lines"), line.alias("line"))
+        blank = F.trim(piece) == ""
+        ended = F.when(F.rtrim(line) == "", lines).otherwise(F.concat(lines, F.array(F.rtrim(line))))
+        fits = (F.length(line) + F.length(piece) <= width) | (line == "")
+        return F.when(blank & (line == "") & (F.size(lines) > 0), done).when(fits, both(lines, F.concat(line, piece))).otherwise(both(ended, F.when(blank & (F.size(ended) > 0), "").otherwise(piece)))
 
-    steps: of each segment in order: n (its words), tail (of its last words, at most MOVE_WORDS + 1: ms, whether it ends a sentence,
-    whether it carries the segment's label), goes (whether words may go to the next segment).
-    """
-    out, got = {}, []  # got: words that came from the segment before
-    for k, step in enumerate(steps):
-        own = [(k, len(step["tail"]) - i, w) for i, w in enumerate(step["tail"])]
-        all_n, line = len(got) + step["n"], (got + own if step["n"] <= MOVE_WORDS else own)
-        going = []
-        if step["goes"]:
-            for size in range(1, min(MOVE_WORDS, all_n - 1) + 1):
-                tail = line[-size:]
-                if line[-size - 1][2]["ends"] and sum(w["ms"] for _, _, w in tail) <= MOVE_MS:
-                    going = tail if all(w["own"] for _, _, w in tail) else []
-                    break
-        got = [(s, place, {**w, "own": True}) for s, place, w in going]
-        for s, place, _ in going:
-            out[s, place] = k + 1
-    return [(s, place, to) for (s, place), to in out.items()]
-
-
-def move_openers(words: DataFrame) -> DataFrame:
-    """WIN-17, WIN-18: one or two short words after a sentence end go to the next segment, if a face there is sure.
-
-    words: video_id, index (segment, from 0), speaker, word_index, start_ms, end_ms, word, visual (the word's label came
-    from a face), and word_speaker, if it may differ from the segment's. Segments are taken in order, each with what the step before left
-    it; a segment's own times and its faces don't change before its turn, so whether words may go is known beforehand.
-    """
-    own = F.col("word_speaker") == F.col("speaker") if "word_speaker" in words.columns else F.lit(True)
-    ms = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
-    tail = F.struct("word_index", ms.alias("ms"), ends_sentence(F.col("word"), MOVE_ENDS, ()).alias("ends"), own.alias("own"))
-    s = words.groupBy("video_id", "index").agg(
-        F.first("speaker").alias("speaker"), F.min_by("start_ms", "word_index").alias("start_ms"), F.max_by("end_ms", "word_index").alias("end_ms"), F.count("*").cast("int").alias("n"),
-        F.slice(F.reverse(F.array_sort(F.collect_list(tail))), 1, MOVE_WORDS + 1).alias("last"), F.sum(F.when(own, ms)).alias("own_ms"), F.sum(F.when(own & F.col("visual"), ms)).alias("visual_ms"),
-    )
-    order = Window.partitionBy("video_id").orderBy("index")
-    after = lambda c: F.lead(c).over(order)
-    goes = (F.col("speaker") != after("speaker")) & after("speaker").startswith("FACE_") & (F.abs(after("start_ms") - F.col("end_ms")) <= MOVE_GAP_MS) & (after("visual_ms") >= MOVE_SHARE * after("own_ms")) & (after("own_ms") > 0)
-    step = F.struct("index", "n", F.reverse("last").alias("tail"), F.coalesce(goes, F.lit(False)).alias("goes"), after("index").alias("next"), after("speaker").alias("to_speaker"))
-    videos = s.select("video_id", step.alias("step")).groupBy("video_id").agg(F.sort_array(F.collect_list("step")).alias("steps")).filter(F.exists("steps", lambda x: x["goes"]))
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for video, steps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(video, steps[k]["tail"][-place]["word_index"], steps[k]["index"], steps[to]["index"], steps[to - 1]["to_speaker"]) for k, place, to in moved_words(steps)]
-            video, word, old, new, speaker = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(video, b.schema.field(0).type), *(pa.array(x, pa.int64()) for x in (word, old, new)), pa.array(speaker, pa.string())], names=["video_id", "word_index", "index", "new_index", "new_speaker"])
-
-    moved = videos.mapInArrow(run, f"video_id {dict(words.dtypes)['video_id']}, word_index long, index long, new_index long, new_speaker string")
-    out = words.join(moved, ["video_id", "index", "word_index"], "left")
-    went = F.col("new_index").isNotNull()
-    return out.select(
-        "video_id", F.coalesce("new_index", "index").alias("index"), "word_index", "start_ms", F.coalesce("new_speaker", "speaker").alias("speaker"), F.when(went, F.col("speaker")).alias("speaker_original"), went.alias("moved"),
-    )
+    last = lambda d: F.array_join(F.when(F.rtrim(d["line"]) == "", d["lines"]).otherwise(F.concat(d["lines"], F.array(F.rtrim(d["line"])))), "\n")
+    return F.aggregate(F.split(spread, _WRAP_AT), F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line")), add, last)
 
 
 def average_linkage(vectors: np.ndarray, cut: float = 0.7) -> np.ndarray:
-    """AGG-19: labels of agglomerative clustering by cosine distance, average linkage, stopped at `cut`."""
+    """AGG-19: labels of agglomerative clustering by cosine distance, average linkage, stopped at `cut`.
+
+    Chains of nearest neighbours: the two at a chain's end, nearest to each other, merge, whatever lies elsewhere. The mean distance of two
+    clusters is 1 - (their sums' product) / (their sizes' product), so there is no matrix of distances: memory is that of the vectors, time is quadratic in
+    their number. What is nearest to nothing within `cut` is done, as merges elsewhere bring nothing nearer.
+    """
     n = len(vectors)
-    unit = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
-    distance = 1 - unit @ unit.T
-    np.fill_diagonal(distance, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = sorted(np.unravel_index(np.argmin(distance), distance.shape))
-        if distance[i, j] >= cut:
-            break
-        merged = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
-        distance[i], distance[:, i] = merged, merged
-        distance[i, i] = np.inf
-        distance[j], distance[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
-    return np.unique(owner, return_inverse=True)[1]
+    sums = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
+    size, root, at = np.ones(n), np.arange(n), np.arange(n)  # at: which vector each row of sums began with
+    open_, chain = np.ones(n, bool), []
+    begin = 0
+    while True:
+        if not chain:
+            left = np.flatnonzero(open_[begin:])
+            if not len(left):
+                break
+            begin += int(left[0])
+            if open_.sum() < len(open_) // 2:  # rows that are done go, so later steps are shorter
+                sums, size, at = sums[open_], size[open_], at[open_]
+                open_, begin = np.ones(len(at), bool), 0
+            chain = [begin]
+        x = chain[-1]
+        far = np.where(open_, 1 - (sums @ sums[x]) / (size * size[x]), np.inf)
+        far[x] = np.inf
+        y = int(far.argmin())
+        if len(chain) > 1 and far[chain[-2]] <= far[y]:
+            y = chain[-2]
+        if far[y] >= cut:
+            open_[x] = False
+            chain.pop()
+        elif len(chain) > 1 and y == chain[-2]:
+            i, j = sorted((x, y))
+            sums[i] += sums[j]
+            size[i] += size[j]
+            open_[j] = False
+            root[at[j]] = at[i]
+            del chain[-2:]
+        else:
+            chain.append(y)
+    while (root[root] != root).any():
+        root = root[root]
+    return np.unique(root, return_inverse=True)[1]
 
 
 def cluster_tracks(tracks: DataFrame, *, cut: float = 0.7) -> DataFrame:
-    """tracks: video_id, track, embedding. face_id for each track; a video's tracks are one group."""
+    """AGG-19: tracks (video_id, track, embedding) with face_id. A video's vectors are one group, as each merge depends on all of them; that group takes the memory of its vectors."""
+    kinds = dict(tracks.dtypes)
 
-    def of_video(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("track")
-        return pd.DataFrame({"video_id": p.video_id, "track": p.track, "face_id": average_linkage(np.stack(p.embedding.to_numpy()).astype(float), cut)})
+    def of_video(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("track")
+        vectors = np.stack(rows.column("embedding").to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))
+        return pa.table({"video_id": rows.column("video_id"), "track": rows.column("track"), "face_id": pa.array(average_linkage(vectors, cut), pa.int64())})
 
-    return tracks.groupBy("video_id").applyInPandas(of_video, "video_id long, track long, face_id long")
+    return tracks.select("video_id", "track", "embedding").groupBy("video_id").applyInArrow(of_video, f"video_id {kinds['video_id']}, track {kinds['track']}, face_id long")
 
 
-def centre_tracks(boxes: DataFrame) -> DataFrame:
-    """JOIN-20: boxes (video_id, frame, box, x, y, w, h) to tracks: the nearest track within half a box's width, else a new one."""
+class CentreTracks:
+    """JOIN-20: each box goes to the track whose last centre is nearest, within half the box's width, else begins one. Holds one centre for each track."""
 
-    def of_video(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["frame", "box"])
-        centres, ids = np.zeros((0, 2)), []
-        for x, y, w, h in p[["x", "y", "w", "h"]].to_numpy(float):
-            centre = np.array([x + w / 2, y + h / 2])
-            far = np.hypot(*(centres - centre).T) if len(centres) else np.array([np.inf])
-            own = int(far.argmin()) if far.min() < w / 2 else len(centres)
-            centres = np.vstack([centres, centre]) if own == len(centres) else centres
-            centres[own] = centre
-            ids.append(own)
-        return pd.DataFrame({"video_id": p.video_id, "frame": p.frame, "box": p.box, "track": ids})
+    def __init__(self):
+        self.centres, self.n = np.zeros((16, 2)), 0
 
-    return boxes.groupBy("video_id").applyInPandas(of_video, "video_id long, frame long, box long, track long")
+    def frame(self, _, boxes: np.ndarray) -> list[int]:
+        out = []
+        for x, y, w, h in boxes:
+            centre = (x + w / 2, y + h / 2)
+            far = np.hypot(*(self.centres[: self.n] - centre).T)
+            own = int(far.argmin()) if self.n else 0
+            if not self.n or far[own] >= w / 2:
+                own = self.n
+                self.n += 1
+                if own == len(self.centres):
+                    self.centres = np.concatenate([self.centres, np.zeros_like(self.centres)])
+            self.centres[own] = centre
+            out.append(own)
+        return out
 
 
 def _iou(box: np.ndarray, other: np.ndarray) -> float:
@@ -230,28 +215,84 @@ def _iou(box: np.ndarray, other: np.ndarray) -> float:
     return shared / (whole or 1.0)
 
 
+class OverlapTracks:
+    """JOIN-19: in order of their beginning, tracks take of each frame's free boxes those that overlap their last one; a box that is left begins a track.
+
+    A track takes no box right after one that it took of the same frame; that one is free for the next track. Holds the last box of each track
+    that can still go on, `gap` frames at most after it.
+    """
+
+    def __init__(self, least: float, gap: int):
+        self.least, self.gap, self.n, self.open = least, gap, 0, []
+
+    def frame(self, frame: int, boxes: np.ndarray) -> list[int]:
+        free, out = list(range(len(boxes))), [-1] * len(boxes)
+        self.open = [t for t in self.open if frame - t["frame"] <= self.gap]
+        for track in self.open:
+            self._take(track, frame, boxes, free, out)
+        while free:
+            self.open.append({"track": self.n, "frame": frame, "box": None})
+            self.n += 1
+            self._take(self.open[-1], frame, boxes, free, out)
+        return out
+
+    def _take(self, track: dict, frame: int, boxes: np.ndarray, free: list[int], out: list[int]) -> None:
+        k = 0
+        while k < len(free):
+            box = boxes[free[k]]
+            if track["box"] is None or _iou(box, track["box"]) > self.least:
+                out[free[k]] = track["track"]
+                track.update(box=box, frame=frame)
+                del free[k]
+            k += 1  # the box after a taken one is passed over
+
+
+def _frame_by_frame(boxes: DataFrame, corners: tuple[str, ...], make) -> DataFrame:
+    """boxes with track: each video's frames in order through make()'s tracker. Rows stream through a task sorted, so it holds a batch and a tracker whatever the video's length."""
+    kinds = dict(boxes.dtypes)
+    keys = ["video_id", "frame", "box"]
+    ordered = boxes.select(*keys, *[F.col(c).cast("double") for c in corners]).repartition("video_id").sortWithinPartitions(*keys)
+
+    def run(batches):
+        tracker, video, held = None, None, []  # held: the rows of a frame that may go on in the next batch
+
+        def tracked(rows: pa.RecordBatch):
+            nonlocal tracker, video
+            v, f = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            at = np.column_stack([rows.column(k).to_numpy() for k in range(3, 3 + len(corners))])
+            edges = [i for i in range(len(v)) if i == 0 or v[i] != v[i - 1] or f[i] != f[i - 1]]
+            out = []
+            for lo, hi in zip(edges, [*edges[1:], len(v)], strict=True):
+                if tracker is None or v[lo] != video:
+                    tracker, video = make(), v[lo]
+                out += tracker.frame(f[lo], at[lo:hi])
+            return pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(out, pa.int64())], names=[*keys, "track"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+            last = (whole.column(0)[-1], whole.column(1)[-1])
+            end = whole.num_rows
+            while end and (whole.column(0)[end - 1], whole.column(1)[end - 1]) == last:
+                end -= 1
+            held = [whole.slice(end)]
+            if end:
+                yield tracked(whole.slice(0, end))
+        if held:
+            yield tracked(held[0])
+
+    return ordered.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", track long")
+
+
+def centre_tracks(boxes: DataFrame) -> DataFrame:
+    """JOIN-20: boxes (video_id, frame, box, x, y, w, h) to tracks; see CentreTracks."""
+    return _frame_by_frame(boxes, ("x", "y", "w", "h"), CentreTracks)
+
+
 def overlap_tracks(boxes: DataFrame, *, least: float = TRACK_IOU, gap: int = TRACK_GAP) -> DataFrame:
-    """JOIN-19: boxes (video_id, frame, box, x1, y1, x2, y2) to tracks. The first free box begins a track, and each later free one that overlaps
-    its last box by more than `least`, at most `gap` frames on, goes on with it; of a frame the box right after one that was taken waits for the next track."""
-
-    def of_video(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["frame", "box"])
-        frame, at = p.frame.to_numpy(), p[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        track, n = np.full(len(p), -1), 0
-        while (free := np.flatnonzero(track < 0)).size:
-            last = skipped = None
-            for k in free:
-                if skipped == frame[k]:  # of this frame one was just taken
-                    skipped = None
-                    continue
-                if last is None or frame[k] - frame[last] <= gap and _iou(at[k], at[last]) > least:
-                    track[k], last, skipped = n, k, frame[k]
-                elif frame[k] - frame[last] > gap:
-                    break
-            n += 1
-        return pd.DataFrame({"video_id": p.video_id, "frame": p.frame, "box": p.box, "track": track})
-
-    return boxes.groupBy("video_id").applyInPandas(of_video, "video_id long, frame long, box long, track long")
+    """JOIN-19: boxes (video_id, frame, box, x1, y1, x2, y2) to tracks; see OverlapTracks."""
+    return _frame_by_frame(boxes, ("x1", "y1", "x2", "y2"), lambda: OverlapTracks(least, gap))
 
 
 def filled_tracks(boxes: DataFrame, *, frames: int = TRACK_FRAMES, size: float = TRACK_SIZE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import text as T
 from turnloom.operators import intervals as I
 from turnloom.operators import labels as L
+from turnloom.operators import vectors as V
 from turnloom.sources.adapters import INTERVALS, TURNS, WORDS, intervals, read, turns, words
 
 _QUERIES: dict = {}
@@ -490,24 +491,15 @@ def _(spark, d):
 MEANS = "means AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL), norms AS (SELECT label, sqrt(sum(m * m)) + 1e-9 AS norm, list(m ORDER BY i) AS v FROM means GROUP BY label)"
 
 
-def mean_vectors(vectors, key: str):
-    """AGG-18: the mean of each group's vectors, to length one."""
-    e = vectors.select(key, F.posexplode("embedding").alias("i", "v")).groupBy(key, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    g = e.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
-    return g.select(key, T.unit_vector(F.col("mean")).alias("mean"))
-
-
 @query("fn16_agg18_mean_embedding", f"WITH {MEANS} SELECT label, i, round(m / norm * 10000)::BIGINT AS mean FROM means JOIN norms USING (label)")
 def _(spark, d):
-    return mean_vectors(read(spark, d, "embeddings"), "label").select("label", F.posexplode("mean").alias("k", "m")).select("label", (F.col("k") + 1).cast("bigint").alias("i"), F.round(F.col("m") * 10000).cast("bigint").alias("mean"))
+    return V.mean_vectors(read(spark, d, "embeddings"), "label").select("label", F.posexplode("mean").alias("k", "m")).select("label", (F.col("k") + 1).cast("bigint").alias("i"), F.round(F.col("m") * 10000).cast("bigint").alias("mean"))
 
 
-@query("agg11_representative", "SELECT label, arg_max(vec_id, (greatest(vec_id * 7 % 25, 1), -vec_id)) AS best FROM (SELECT *, sum(vec_id * 7 % 25) OVER (PARTITION BY label) AS n FROM embeddings) WHERE n > 0 GROUP BY label")
+# a track's frames: the entries of its vector that are over a twentieth
+@query("agg11_representative", "WITH n AS (SELECT label, vec_id, len(list_filter(embedding, lambda c: c > 0.05)) AS n FROM embeddings) SELECT label, arg_max(vec_id, (greatest(n, 1), -vec_id)) AS best FROM n GROUP BY label HAVING sum(n) > 0")
 def _(spark, d):
-    # a face's representative track is the one with most speaking frames (at least one counts), the first of equals; silent faces have none
-    n = F.expr("vec_id * 7 % 25")
-    e = read(spark, d, "embeddings").groupBy("label").agg(F.sum(n).alias("n"), F.max_by("vec_id", F.struct(F.greatest(n, F.lit(1)), -F.col("vec_id"))).alias("best"))
-    return e.filter("n > 0").select("label", "best")
+    return V.representative(read(spark, d, "embeddings"), "label", F.col("vec_id"), F.size(F.filter("embedding", lambda c: c > F.lit(0.05).cast("float"))))
 
 
 @query("agg07_bipartite_sets", f"WITH {RECONCILED} SELECT video_id, speaker_audio, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS faces FROM reconciled WHERE reconcile_source <> 'audio' GROUP BY ALL")
@@ -558,21 +550,19 @@ def _(spark, d):
     return cluster_tracks(e)
 
 
-@query("join20_centre_tracks")
+@query("join20_centre_tracks", f"""WITH RECURSIVE {TURNS}, b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame, box) AS rn FROM (SELECT video_id, pos AS frame, box, box * 25 + pos * (video_id % 9) AS x, video_id % 50 AS y, 20 + 10 * (pos % 3) AS w FROM turns, unnest([0, 1, 2]) AS u(box))),
+go AS (
+  SELECT video_id, 0::BIGINT AS rn, NULL::BIGINT AS frame, NULL::INT AS box, NULL::BIGINT AS track, CAST([] AS DOUBLE[][]) AS centres FROM (SELECT DISTINCT video_id FROM b)
+  UNION ALL
+  SELECT video_id, rn, frame, box, own - 1 AS track, list_concat(list_concat(centres[:own - 1], [[cx, cy]]), centres[own + 1:]) AS centres
+  FROM (SELECT *, CASE WHEN len(far) > 0 AND list_min(far) < w / 2 THEN list_position(far, list_min(far)) ELSE len(centres) + 1 END AS own
+    FROM (SELECT b.*, go.centres, b.x + b.w / 2 AS cx, b.y + 20.0 AS cy, list_transform(go.centres, lambda c: sqrt((c[1] - b.x - b.w / 2) ** 2 + (c[2] - b.y - 20) ** 2)) AS far FROM go JOIN b ON b.video_id = go.video_id AND b.rn = go.rn + 1))
+) SELECT video_id, frame, box, track FROM go WHERE rn > 0""")
 def _(spark, d):
     from turnloom.operators.sequential import centre_tracks
 
-    boxes = turns(spark, d).select("video_id", F.col("pos").alias("frame"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(3)])).alias("box"))
-    return centre_tracks(boxes.withColumns({"x": F.expr("box * 100 + frame * 7"), "y": F.expr("video_id % 50"), "w": F.lit(40), "h": F.lit(40)}))
-
-
-@query("win18_move_openers")
-def _(spark, d):
-    from turnloom.operators.sequential import move_openers
-
-    w = I.word_islands(I.assign(words(spark, d), turns(spark, d)))
-    w = w.withColumn("speaker", F.when(F.col("speaker") == "S1", "FACE_1").otherwise(F.col("speaker")))
-    return move_openers(w.select("video_id", F.col("island").alias("index"), "speaker", F.expr("asr_segment_id * 100000 + word_index").alias("word_index"), "start_ms", "end_ms", "word", (F.col("speaker") == "FACE_1").alias("visual")))
+    boxes = turns(spark, d).select("video_id", F.col("pos").alias("frame"), F.explode(F.array(*map(F.lit, range(3)))).alias("box"))
+    return centre_tracks(boxes.withColumns({"x": F.expr("box * 25 + frame * (video_id % 9)"), "y": F.expr("video_id % 50"), "w": F.expr("20 + 10 * (frame % 3)"), "h": F.lit(40)}))
 
 
 # --- further projections, joins and aggregates ----------------------------------------------------------------------

@@ -11,7 +11,7 @@ from turnloom.plans.catalog import (
     ASSIGNED, BOUNDARY, CAPTION, DIALOGUE, NAMES_SQL, PROPOSALS, RECONCILED, RUNS, SEGMENTS, TIMELINE, TURNS, _boundary, _faces, _names, _runs, _timeline, clean_sql, query, strip_sql, with_caption,
 )
 from turnloom.sources import artifacts, sinks
-from turnloom.sources.adapters import read, turns, words
+from turnloom.sources.adapters import SPREAD_TURNS, read, turns, words
 
 # --- sources --------------------------------------------------------------------------------------------------------
 
@@ -223,9 +223,59 @@ def _(spark, d):
     return correction.word_support(_evident(spark, d)).select("video_id", "index", "own_ms", "visual_ms", "stable", F.round(correction.visual_share(), 6).alias("visual_share"))
 
 
+#: Segments over spread turns with the same evidence; those of one or two words are hardly covered and have every label among their candidates, if video and index are even together.
+_SPREAD = SEGMENTS.replace(TURNS, SPREAD_TURNS) + """, wd AS (
+  SELECT i.video_id, i.index, speaker, asr_segment_id, word_index, start_ms, end_ms, end_ms - start_ms AS dur, word, matched_by, overlap_ms, n, (n <= 2 AND (i.video_id + i.index) % 2 = 0) AS hardly,
+    CASE WHEN n <= 2 AND (i.video_id + i.index) % 2 = 0 THEN 0.4 ELSE coverage END AS coverage, boundary_ambiguous OR (n <= 2 AND (i.video_id + i.index) % 2 = 0) AS boundary_ambiguous, candidates,
+    asr_segment_id % 3 = 0 AS face, CASE WHEN asr_segment_id % 5 = 0 THEN 'Other' END AS former, row_number() OVER (PARTITION BY i.video_id ORDER BY i.index, asr_segment_id, word_index) - 1 AS nth
+  FROM i JOIN (SELECT video_id, index, count(*) AS n FROM i GROUP BY ALL) c ON c.video_id = i.video_id AND c.index = i.index
+)"""
+
+#: WIN-18 as a recursion over a video's segments: got is what the segment before hands on.
+_OPENERS = _SPREAD + """, sg AS (
+  SELECT *, coalesce(speaker <> lead(speaker) OVER w AND lead(speaker) OVER w LIKE 'FACE~_%' ESCAPE '~' AND abs(lead(start_ms) OVER w - end_ms) <= 100 AND lead(own_ms) OVER w > 0 AND lead(visual_ms) OVER w >= 0.75 * lead(own_ms) OVER w, false) AS goes
+  FROM (SELECT video_id, index, any_value(speaker) AS speaker, arg_min(start_ms, nth) AS start_ms, arg_max(end_ms, nth) AS end_ms, count(*) AS n, min(nth) AS first_at, sum(dur) AS own_ms, sum(CASE WHEN face AND coalesce(former, speaker) = speaker THEN dur ELSE 0 END) AS visual_ms,
+    list({'ms': greatest(dur, 0), 'ends': right(trim(word), 1) IN ('.', '!', '?', '…', '。', '！', '？')} ORDER BY nth)[-3:] AS tail FROM wd GROUP BY video_id, index) WINDOW w AS (PARTITION BY video_id ORDER BY index)
+), mv AS (
+  WITH RECURSIVE go AS (
+    SELECT video_id, -1::BIGINT AS index, 0 AS many, tail[1:0] AS got FROM sg WHERE index = 0
+    UNION ALL
+    SELECT s.video_id, s.index, k AS many, line[len(line) - k + 1:] AS got
+    FROM (SELECT s.*, CASE WHEN s.n <= 2 THEN list_concat(go.got, s.tail) ELSE s.tail END AS line FROM go JOIN sg s ON s.video_id = go.video_id AND s.index = go.index + 1) s,
+      LATERAL (SELECT CASE WHEN NOT s.goes THEN 0 WHEN len(s.line) > 1 AND s.line[-2].ends AND s.line[-1].ms <= 650 THEN 1 WHEN len(s.line) > 2 AND s.line[-3].ends AND s.line[-1].ms + s.line[-2].ms <= 650 THEN 2 ELSE 0 END AS k)
+  ) SELECT video_id, index, many FROM go WHERE index >= 0
+), cuts AS (
+  SELECT sg.video_id, sg.index, speaker, many, coalesce(lag(many) OVER w, 0) AS received, first_at - coalesce(lag(many) OVER w, 0) AS lo, first_at + n - many AS hi FROM sg JOIN mv USING (video_id, index) WINDOW w AS (PARTITION BY video_id ORDER BY index)
+), wm AS (
+  SELECT wd.* REPLACE (c.index AS index, c.speaker AS speaker, CASE WHEN c.index <> wd.index THEN coalesce(wd.former, wd.speaker) ELSE wd.former END AS former), c.index <> wd.index AS came FROM wd JOIN cuts c ON c.video_id = wd.video_id AND wd.nth >= c.lo AND wd.nth < c.hi
+), moved AS (
+  SELECT wm.video_id, wm.index, arg_min(start_ms, nth) AS start_ms, arg_max(end_ms, nth) AS end_ms, any_value(wm.speaker) AS speaker, """ + strip_sql("string_agg(word, '' ORDER BY nth)") + """ AS text, count(*) AS num_words, sum(overlap_ms)::BIGINT AS overlap_ms,
+    round(avg(coverage), 6) AS coverage, any_value(received)::INT AS received, any_value(many)::INT AS handed_on, count(*) FILTER (WHERE came)::INT AS came
+  FROM wm JOIN cuts USING (video_id, index) GROUP BY wm.video_id, wm.index
+)"""
+
+
+def _spread(spark, d):
+    s = I.segments(I.assign(words(spark, d, spread=True), turns(spark, d, spread=True)))
+    asr, hardly = F.get("asr_segment_ids", F.lit(0)), F.expr("num_words <= 2 and (video_id + index) % 2 = 0")
+    every = F.array(*[F.struct(F.lit(x).alias("speaker"), F.lit(1).cast("bigint").alias("overlap_ms"), F.lit(0.4).alias("coverage")) for x in ("FACE_0", "FACE_1", "S1", "S2", "Unknown")])
+    weak = lambda w: w.withField("coverage", F.when(hardly, 0.4).otherwise(w["coverage"])).withField("boundary_ambiguous", hardly | w["boundary_ambiguous"]).withField("candidates", F.when(hardly, every).otherwise(w["candidates"]))
+    marked = F.transform("words", lambda w: weak(w).withField("reconcile_source", F.when(asr % 3 == 0, "visual").otherwise("audio")).withField("speaker_original", F.when(asr % 5 == 0, F.lit("Other"))))
+    return s.withColumn("words", marked).withColumns({k: x for k, x in I.from_words(F.col("words")).items() if k in ("coverage", "boundary_ambiguous")})
+
+
+@query("win18_move_openers", f"WITH {_OPENERS} SELECT * FROM moved")
+def _(spark, d):
+    s = correction.moved_openers(_spread(spark, d))
+    came = F.size(F.filter("words", lambda w: F.coalesce(w["correction_source"], F.lit("")) == "semantic_boundary_word"))
+    return s.select("video_id", "index", "start_ms", "end_ms", "speaker", "text", "num_words", "overlap_ms", F.round("coverage", 6).alias("coverage"), "received", "handed_on", came.alias("came"))
+
+
 # gaps as in the turns; the run rules are wide, so that short conversations have candidates
-_CHAIN = _EVIDENCE + f""", k1 AS (
-  SELECT g.*, sup.own_ms, sup.visual_ms, sup.stable, {clean_sql('text')} AS clean, g.index AS pos FROM segments g JOIN sup USING (video_id, index)
+_CHAIN = _OPENERS + f""", sup AS (
+  SELECT video_id, index, sum(dur)::BIGINT AS own_ms, sum(CASE WHEN face AND coalesce(former, speaker) = speaker THEN dur ELSE 0 END)::BIGINT AS visual_ms, bool_or(NOT boundary_ambiguous AND coverage >= 0.75) AS stable FROM wm GROUP BY ALL
+), k1 AS (
+  SELECT g.*, sup.own_ms, sup.visual_ms, sup.stable, {clean_sql('text')} AS clean, g.index AS pos FROM moved g JOIN sup USING (video_id, index)
 ), k2 AS (
   SELECT *, sum(CASE WHEN speaker = ls THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) AS stretch FROM (SELECT *, lag(speaker) OVER (PARTITION BY video_id ORDER BY pos) AS ls FROM k1)
 ), k3 AS (
@@ -238,17 +288,17 @@ _CHAIN = _EVIDENCE + f""", k1 AS (
   FROM k4 GROUP BY video_id, run_index
 ), rn AS (
   SELECT *, lag(speaker) OVER w AS left_speaker, lead(speaker) OVER w AS right_speaker, lag(last_pos) OVER w AS tail_pos, lead(first_pos) OVER w AS head_pos, lag(tail_text) OVER w AS left_tail, lead(head_text) OVER w AS right_head,
-    lead(text) OVER w AS next_text, lead(start_ms) OVER w - end_ms AS gap_ms, count(*) OVER (PARTITION BY video_id) AS n, coalesce(lag(speech_ms) OVER w, lead(speech_ms) OVER w) AS other_ms, coalesce(lag(n_seg) OVER w, lead(n_seg) OVER w) AS other_n
+    lag(text) OVER w AS left_text, lead(text) OVER w AS next_text, lead(start_ms) OVER w - end_ms AS gap_ms, count(*) OVER (PARTITION BY video_id) AS n, coalesce(lag(speech_ms) OVER w, lead(speech_ms) OVER w) AS other_ms, coalesce(lag(n_seg) OVER w, lead(n_seg) OVER w) AS other_n
   FROM run WINDOW w AS (PARTITION BY video_id ORDER BY run_index)
 ), cd AS (
   SELECT * FROM rn WHERE (coalesce(left_speaker <> speaker, false) OR coalesce(right_speaker <> speaker, false)) AND CASE
     WHEN n <> 2 THEN text <> '' AND speech_ms <= 60000 AND left_speaker IS NOT NULL AND right_speaker IS NOT NULL
     WHEN n_seg < other_n AND speech_ms <= 60000 THEN true WHEN n_seg > other_n AND other_ms <= 60000 THEN false ELSE speech_ms <= 60000 AND speech_ms < other_ms END
 ), bd AS (
-  SELECT video_id, run_index, speaker <> right_speaker AND gap_ms <= 1500 AND gap_ms >= -50 AND text <> '' AND next_text <> '' AND (video_id + run_index) % 3 <> 0 AS same FROM rn WHERE right_speaker IS NOT NULL
+  SELECT video_id, run_index, speaker <> right_speaker AND gap_ms <= 1500 AND gap_ms >= -50 AND text <> '' AND next_text <> '' AND (video_id + run_index) % 4 <> 0 AS same FROM rn WHERE right_speaker IS NOT NULL
 ), weak AS (
-  SELECT video_id, index AS pos, target, count(*) BETWEEN 1 AND 2 AND max(end_ms) - min(start_ms) <= 500 AND bool_and(boundary_ambiguous AND coverage <= 0.5 AND list_contains(list_transform(string_split(candidates, ','), lambda x: string_split(x, ':')[1]), target)) AS weak
-  FROM wd, (SELECT DISTINCT speaker AS target FROM run) GROUP BY ALL
+  SELECT video_id, index AS pos, target, count(*) BETWEEN 1 AND 2 AND max(end_ms) - min(start_ms) <= 500 AND bool_and(boundary_ambiguous AND coverage <= 0.5 AND (hardly OR list_contains(list_transform(string_split(candidates, ','), lambda x: string_split(x, ':')[1]), target))) AS weak
+  FROM wm, (SELECT DISTINCT speaker AS target FROM run) GROUP BY ALL
 ), cs AS (
   SELECT cd.*, coalesce(l.same, false) AS left_same, coalesce(r.same, false) AS right_same, coalesce(wl.weak, false) AS left_weak, coalesce(wr.weak, false) AS right_weak
   FROM cd LEFT JOIN bd l ON l.video_id = cd.video_id AND l.run_index + 1 = cd.run_index LEFT JOIN bd r ON r.video_id = cd.video_id AND r.run_index = cd.run_index
@@ -274,15 +324,15 @@ _CHAIN = _EVIDENCE + f""", k1 AS (
 
 
 def _corrected(spark, d):
-    judge = lambda b: b.withColumn("same", F.expr("(video_id + run_index) % 3 <> 0"))
+    judge = lambda b: b.withColumn("same", F.expr("(video_id + run_index) % 4 <> 0"))
     verify = lambda p: p.withColumn("approved", F.expr("(video_id + candidate_run) % 4 <> 0"))
-    return correction.correct_segments(_evident(spark, d), judge, verify, max_ms=60_000)
+    return correction.correct_segments(_spread(spark, d), judge, verify, max_ms=60_000)
 
 
-@query("stage04_segments", f"WITH {_CHAIN} SELECT s.video_id, s.index, coalesce(t.to_speaker, s.speaker) AS speaker, coalesce(t.to_speaker, s.speaker) AS word_speakers, CASE WHEN t.to_speaker IS NOT NULL THEN s.speaker END AS speaker_original, t.action AS speaker_correction_action FROM segments s LEFT JOIN (SELECT * FROM done, unnest(range(lo, hi + 1)) AS u(index) WHERE status = 'applied' QUALIFY row_number() OVER (PARTITION BY video_id, index ORDER BY candidate_run DESC) = 1) t ON t.video_id = s.video_id AND t.index = s.index")
+@query("stage04_segments", f"WITH {_CHAIN} SELECT s.video_id, s.index, coalesce(t.to_speaker, s.speaker) AS speaker, coalesce(t.to_speaker, s.speaker) AS word_speakers, CASE WHEN t.to_speaker IS NOT NULL THEN s.speaker END AS speaker_original, t.action AS speaker_correction_action, CASE WHEN t.to_speaker IS NOT NULL THEN 'context_continuation' END AS correction_source FROM moved s LEFT JOIN (SELECT * FROM done, unnest(range(lo, hi + 1)) AS u(index) WHERE status = 'applied' QUALIFY row_number() OVER (PARTITION BY video_id, index ORDER BY candidate_run DESC) = 1) t ON t.video_id = s.video_id AND t.index = s.index")
 def _(spark, d):
     s = _corrected(spark, d)[0]
-    return s.select("video_id", "index", "speaker", F.array_join(F.array_distinct(F.transform("words", lambda w: w["speaker"])), ",").alias("word_speakers"), "speaker_original", "speaker_correction_action")
+    return s.select("video_id", "index", "speaker", F.array_join(F.array_distinct(F.transform("words", lambda w: w["speaker"])), ",").alias("word_speakers"), "speaker_original", "speaker_correction_action", "correction_source")
 
 
 @query("stage04_proposals", f"WITH {_CHAIN} SELECT video_id, candidate_run, run_index, lo, hi, action, to_speaker, resolution, array_to_string(anchors, ',') AS anchors, status FROM done")
@@ -292,17 +342,44 @@ def _(spark, d):
 
 @query("stage04_candidates", f"WITH {_CHAIN} SELECT video_id, run_index, speaker, speech_ms, left_same, right_same, direct_visual, coalesce(move, CASE WHEN direct_visual THEN 'preserve_direct_visual' ELSE how END) AS resolution FROM pr")
 def _(spark, d):
-    return _corrected(spark, d)[2]
+    return _corrected(spark, d).candidates
+
+
+_HUNDREDTHS = "(" + "CASE WHEN {0} < 0 THEN '-' ELSE '' END || printf('%d.%02d', round_even(abs({0}) / 10, 0)::BIGINT // 100, round_even(abs({0}) / 10, 0)::BIGINT % 100)" + ")"
+_RUN_LINE = "'RUN_' || r.run_index || {mark} || ' [' || " + _HUNDREDTHS.format("{start}") + " || '-' || " + _HUNDREDTHS.format("{end}") + " || ']: ' || {text}"
+_WINDOW_OF = "SELECT video_id, run_index AS t, least(3, n) AS c, greatest(0, least(run_index - least(3, n) // 2, n - least(3, n))) AS s FROM (SELECT video_id, run_index, count(*) OVER (PARTITION BY video_id) AS n FROM {0})"
+_TITLE = "'" + correction.CONTEXT_TITLE + "' || chr(10) || "
+
+
+@query("stage04_borders", f"""WITH {_CHAIN}, win AS ({_WINDOW_OF.format('run')}), ask AS (SELECT video_id, b AS run_index, min(run_index) AS candidate_run FROM cd, unnest([run_index - 1, run_index]) AS u(b) GROUP BY ALL),
+  shown AS (SELECT w.video_id, w.t, {_TITLE}string_agg({_RUN_LINE.format(mark="''", start='r.start_ms', end='r.end_ms', text='r.text')}, chr(10) ORDER BY r.run_index) AS context FROM win w JOIN run r ON r.video_id = w.video_id AND r.run_index >= w.s AND r.run_index < w.s + w.c GROUP BY ALL)
+  SELECT a.video_id, a.run_index, a.candidate_run, gap_ms, CASE WHEN speaker = right_speaker THEN 'same_label' WHEN gap_ms > 1500 THEN 'gap_too_large' WHEN gap_ms < -50 THEN 'overlap' WHEN text = '' OR next_text = '' THEN 'empty_text' END AS skipped_reason, same, context
+  FROM ask a JOIN rn ON rn.video_id = a.video_id AND rn.run_index = a.run_index AND right_speaker IS NOT NULL JOIN bd ON bd.video_id = a.video_id AND bd.run_index = a.run_index JOIN shown s ON s.video_id = a.video_id AND s.t = a.candidate_run""")
+def _(spark, d):
+    return _corrected(spark, d).borders
+
+
+@query("stage04_verifications", f"""WITH {_CHAIN}, win AS ({_WINDOW_OF.format('run')}), q AS (SELECT pp.*, m.start_ms AS fs, m.end_ms AS fe, {clean_sql('m.text')} AS ft FROM pp LEFT JOIN moved m ON action = 'move_boundary_fragment' AND m.video_id = pp.video_id AND m.index = pp.lo),
+  lines AS (SELECT q.video_id, q.candidate_run, r.run_index, {_RUN_LINE.format(mark="CASE WHEN r.run_index = q.run_index THEN ' [TARGET]' WHEN list_contains(anchors, r.run_index) THEN ' [ANCHOR]' ELSE '' END", start='CASE WHEN r.run_index = q.run_index THEN coalesce(fs, r.start_ms) ELSE r.start_ms END', end='CASE WHEN r.run_index = q.run_index THEN coalesce(fe, r.end_ms) ELSE r.end_ms END', text='CASE WHEN r.run_index = q.run_index THEN coalesce(ft, r.text) ELSE r.text END')} AS line
+    FROM q JOIN win w ON w.video_id = q.video_id AND w.t = q.candidate_run JOIN run r ON r.video_id = w.video_id AND r.run_index >= w.s AND r.run_index < w.s + w.c)
+  SELECT q.video_id, q.candidate_run, coalesce(ft, any_value(o.text)) AS target_text, (SELECT string_agg(a.text, ' / ' ORDER BY a.run_index) FROM run a WHERE a.video_id = q.video_id AND list_contains(q.anchors, a.run_index)) AS anchor_texts, {_TITLE}string_agg(line, chr(10) ORDER BY l.run_index) AS context
+  FROM q JOIN lines l USING (video_id, candidate_run) JOIN run o ON o.video_id = q.video_id AND o.run_index = q.run_index GROUP BY q.video_id, q.candidate_run, ft, q.anchors""")
+def _(spark, d):
+    return _corrected(spark, d).proposals.select("video_id", "candidate_run", "target_text", F.array_join("anchor_texts", " / ").alias("anchor_texts"), "context")
 
 
-@query("snk15_correction_audit", f"WITH {_CHAIN} SELECT c.video_id, num_candidates, num_preserved, coalesce(num_proposals, 0) AS num_proposals, coalesce(num_corrections, 0) AS num_corrections FROM (SELECT video_id, count(*) AS num_candidates, count(*) FILTER (WHERE direct_visual) AS num_preserved FROM pr GROUP BY 1) c LEFT JOIN (SELECT video_id, count(*) AS num_proposals, count(*) FILTER (WHERE status = 'applied') AS num_corrections FROM done GROUP BY 1) p USING (video_id)")
+@query("snk15_correction_audit", f"""WITH {_CHAIN}, ask AS (SELECT DISTINCT video_id, b AS run_index FROM cd, unnest([run_index - 1, run_index]) AS u(b)), b AS (
+  SELECT rn.video_id, count(*) FILTER (WHERE ok) AS num_asked, count(*) FILTER (WHERE NOT ok) AS num_skipped FROM (SELECT *, speaker <> right_speaker AND gap_ms <= 1500 AND gap_ms >= -50 AND text <> '' AND next_text <> '' AS ok FROM rn WHERE right_speaker IS NOT NULL) rn JOIN ask USING (video_id, run_index) GROUP BY ALL),
+  m AS (SELECT video_id, count(*) FILTER (WHERE handed_on > 0) AS num_semantic_repairs FROM moved GROUP BY 1), c AS (SELECT video_id, count(*) AS num_candidates, count(*) FILTER (WHERE direct_visual) AS num_preserved FROM pr GROUP BY 1), p AS (SELECT video_id, count(*) AS num_proposals, count(*) FILTER (WHERE status = 'applied') AS num_corrections FROM done GROUP BY 1)
+  SELECT video_id, num_semantic_repairs, coalesce(num_candidates, 0) AS num_candidates, coalesce(num_preserved, 0) AS num_preserved, coalesce(num_asked, 0) AS num_asked, coalesce(num_skipped, 0) AS num_skipped, coalesce(num_proposals, 0) AS num_proposals, coalesce(num_corrections, 0) AS num_corrections FROM m LEFT JOIN c USING (video_id) LEFT JOIN b USING (video_id) LEFT JOIN p USING (video_id)""")
 def _(spark, d):
-    return correction.correction_audit(*_corrected(spark, d)[1:])
+    return correction.correction_audit(_corrected(spark, d))
 
 
-@query("prj25_context_lines", f"WITH {RUNS}, c AS (SELECT video_id, run_index AS t, count(*) OVER (PARTITION BY video_id) AS n FROM runs), s AS (SELECT video_id, t, least(3, n) AS c, greatest(0, least(t - least(3, n) // 2, n - least(3, n))) AS s FROM c), r AS (SELECT *, 'RUN_' || run_index || ' [' || printf('%d.%02d', round_even(start_ms / 10, 0)::BIGINT // 100, round_even(start_ms / 10, 0)::BIGINT % 100) || '-' || printf('%d.%02d', round_even(end_ms / 10, 0)::BIGINT // 100, round_even(end_ms / 10, 0)::BIGINT % 100) || ']: ' || text AS line FROM runs) SELECT s.video_id, s.t AS run_index, string_agg(r.line, chr(10) ORDER BY r.run_index) AS context FROM s JOIN r ON r.video_id = s.video_id AND r.run_index >= s.s AND r.run_index < s.s + s.c GROUP BY ALL")
+@query("prj25_context_lines", f"""WITH {RUNS}, win AS ({_WINDOW_OF.format('runs')}) SELECT w.video_id, w.t AS run_index, {_TITLE}string_agg({_RUN_LINE.format(mark="''", start='r.start_ms', end='r.end_ms', text='r.text')}, chr(10) ORDER BY r.run_index) AS context
+  FROM win w JOIN runs r ON r.video_id = w.video_id AND r.run_index >= w.s AND r.run_index < w.s + w.c GROUP BY ALL""")
 def _(spark, d):
-    return correction.context_lines(_runs(spark, d))
+    return correction.context_windows(_runs(spark, d)).select("video_id", "run_index", correction.context_text(F.col("near")).alias("context"))
 
 
 @query("stage03_segments")
@@ -359,10 +436,9 @@ def _(spark, d):
 
 @query("fn16_cosine_to_mean", "WITH m AS (SELECT label, list(a ORDER BY i) AS mean FROM (SELECT label, i, avg(v) AS a FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL) GROUP BY label) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 4) AS cosine FROM embeddings JOIN m USING (label)")
 def _(spark, d):
-    from turnloom.plans.catalog import mean_vectors
+    from turnloom.operators.vectors import to_mean
 
-    e = read(spark, d, "embeddings")
-    return e.join(mean_vectors(e, "label"), "label").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("mean")), 4).alias("cosine"))
+    return to_mean(read(spark, d, "embeddings"), "label").select("vec_id", F.round("cosine", 4).alias("cosine"))
 
 
 @query("sort07_listing", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_name), c_custkey) - 1 AS place FROM customer")

@@ -58,10 +58,10 @@ def drawtext_filter(file: Column, place: Column) -> Column:
 
 def drawtext(cues: DataFrame) -> DataFrame:
     """SNK-06, FN-06: of each cue (video_id, pos from 0, start_ms, end_ms, caption, place) its file's name and wrapped text, and its filter."""
-    from turnloom.operators.sequential import wrapped_44
+    from turnloom.operators.sequential import wrapped
 
     file = F.format_string("_drawtext_captions/caption_%04d.txt", F.col("pos"))
-    return cues.select("video_id", "pos", file.alias("file"), plain_lines(wrapped_44(F.col("caption"))).alias("text"), drawtext_filter(file, F.col("place")).alias("filter"))
+    return cues.select("video_id", "pos", file.alias("file"), plain_lines(wrapped(F.col("caption"))).alias("text"), drawtext_filter(file, F.col("place")).alias("filter"))
 
 
 def filter_graph(files: DataFrame) -> DataFrame:

@@ -183,7 +183,8 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a
 
 def test_html(spark):
     tree = html_text.train()
-    assert all(html_text.predict(tree, r[:-1]) == r[-1] for r in html_text.LABELLED)
+    rows = html_text.labelled()
+    assert len(rows) > 150 and sum(html_text.predict(tree, r[:-1]) == r[-1] for r in rows) >= 0.97 * len(rows)
     assert html_text.main_text(PAGE, tree) == "The title\n\nFirst & long paragraph of the article, with enough words to count.\n\nBroken.\n\nSecond é one."
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (3, "u", "<p"), (None, "u", "a < b & c")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), keep=["page_id", "url"]).collect()

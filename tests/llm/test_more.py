@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,6 +33,16 @@ TREE = html_text.train()
         (f'<table><tr><td class="sidebar"><p>Other things that you may like to read here.<td><p>{LONG}</table>', LONG),
         (f'<p>{LONG} <span class="ad">Buy it now</span> More of what the article has to say.</p>', f"{LONG}\n\nMore of what the article has to say."),
         (f"<select><option>One<p>{LONG}", LONG),
+        (f'<article class="post type-post category-legal tag-social hentry"><p>{LONG}</p></article>', LONG), (f'<article id="public-notice-2020"><p>{LONG}</p></article>', LONG), (f'<main class="search-engines"><p>{LONG}</p></main>', LONG),
+        (f'<div class="sidebar-right layout"><nav><a>Home</a></nav><article><p>{LONG}</p></article></div>', LONG), (f'<article><p>{LONG}</p><div class="note alert-info">{LONG}</div></article>', f"{LONG}\n\n{LONG}"), (f'<p data-class="ad">{LONG}</p>', LONG),
+        (f'<form id="aspnetForm"><article><p>{LONG}</p></article></form>', LONG), (f"<nav><a href=x>Home</a><main><p>{LONG}</p></main>", LONG), (f"<!--><p>{LONG}</p>", LONG), (f"<!--->{LONG}<!-- x --!><p>{LONG}</p>", f"{LONG}\n\n{LONG}"),
+        (f"<article><p>{LONG}</p><p><a href=x>A linked line</a></p><p>{LONG}</p></article>", f"{LONG}\n\nA linked line\n\n{LONG}"), (f"<article><p>{LONG}</p><p>And so it ended.</p></article><nav><a>Home</a></nav><ul><li><a>More of it</a></ul>", f"{LONG}\n\nAnd so it ended."),
+        (f"<article><p>{LONG}</p><h2>Sources</h2><ul><li><a>A book</a><li><a>A paper of his</a></ul></article>", f"{LONG}\n\nSources\n\nA book\n\nA paper of his"),
+        (f'<p title="a > b">{LONG}</p>', LONG), (f'<p>{LONG} <img alt="x > y" src=a></p>', LONG), (f'<p title="open>{LONG}</p>', LONG),
+        (f'<div class="header"><p>The site that you are on</p></div><p>{LONG}</p>', LONG), (f'<div id="page-header">The site that you are on</div><p>{LONG}</p>', LONG), (f'<div class="entry-header"><h1>The title</h1></div><p>{LONG}</p>', f"The title\n\n{LONG}"),
+        (f'<p>{LONG}</p><ol class="commentlist"><li>{LONG}<li>I liked it.</ol>', LONG), (f'<p>{LONG}</p><div class="siteFooter">All rights are reserved by us</div>', LONG), (f'<div class="mainMenu">Home and all of the news</div><p>{LONG}</p>', LONG),
+        (f"<p>{LONG}</p><p hidden>{LONG}</p><p style='display: none'>{LONG}</p>", LONG), (f"<article><p>{LONG} <button>Copy</button></p></article>", LONG), (f'<article><p>{LONG}</p><div id="comments"><article class="comment"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></div></article>', LONG),
+        (f'<aside class="related"><article><a>Another story of the day</a></article></aside><article><p>{LONG}</p></article>', LONG), (f'<div class="cookie-consent"><p>{LONG}</p><p>{LONG}</p></div><article><p>{LONG}</p></article>', LONG),
     ],
 )
 def test_markup(page, want):
@@ -39,6 +50,30 @@ def test_markup(page, want):
     assert got.replace("One\n\n", "") == want
 
 
+#: Layouts that the tree wasn't trained on: text of the article in capitals, other text in small letters.
+HELD_OUT = (
+    "<div id=top><span>{3}</span><a>{2}</a><a>{1}</a></div><div id=wrap><div id=left><ul><li><a>{2}</a><li><a>{3}</a><li><a>{2}</a></ul></div><div id=text><h2>{T5}</h2><p>{T35}</p><blockquote>{T18}</blockquote><p>{T50}</p><p>{T8}</p></div></div><div id=foot><a>{1}</a> <a>{2}</a></div>",
+    "<body><section role=banner><p>{4}</p></section><section><h1>{T7}</h1><p>{T22}</p><figure><figcaption>{T9}</figcaption></figure><p>{T48}</p><p>{T26}</p></section><section class=newsletter-signup><p>{20}</p></section><section role=contentinfo><p>{12}</p></section>",
+    "<center><font><a>{1}</a> <a>{1}</a> <a>{2}</a></font></center><h1>{T4}</h1>{T40}<p>{T33}<p>{T29}<hr><a>{3}</a> <a>{2}</a>",
+    "<main><header><h1>{T6}</h1><p>{T3}</p></header><section><p>{T30}</p><pre>{T12}</pre><dl><dt>{T2}<dd>{T10}<dt>{T1}<dd>{T14}</dl></section><div class=shareBar><a>{1}</a></div></main><div id=relatedPosts><p>{24}</p></div>",
+    "<table><tr><td colspan=2><a>{1}</a> <a>{2}</a> <a>{1}</a><tr><td><a>{2}</a><br><a>{3}</a><br><a>{2}</a><td><p>{T31}<p>{T17}<p>{T44}</table>",
+)
+
+
+def test_layouts_held_out():
+    """Of the words of each class, how many come out right."""
+    right = [0, 0]
+    total = [0, 0]
+    for page in HELD_OUT:
+        filled = re.sub(r"\{(T?)(\d+)\}", lambda m: " ".join(["WORD" if m[1] else "word"] * int(m[2])), page)
+        got = html_text.main_text(filled, TREE)
+        for k, word in enumerate(("WORD", "word")):
+            n = filled.count(word)
+            total[k] += n
+            right[k] += got.count(word) if k == 0 else n - got.count(word)
+    assert right[0] >= 0.98 * total[0] and right[1] >= 0.9 * total[1]
+
+
 class _Articles(HTMLParser):
     """Blocks of the text inside <article>, by the standard library's parser."""
 

@@ -103,6 +103,9 @@ def test_lines_cost_least():
 def test_wrapped_texts(spark):
     got = S.wrap_lines(spark.createDataFrame([("a", ["aa", "bb", "cc", "dd"]), ("b", [])], "id string, words array<string>"), room=5.0).collect()
     assert {r.id: r.lines for r in got} == {"a": ["aa bb", "cc dd"], "b": []}
+    narrow = S.wrap_lines(spark.createDataFrame([("a", ["ii", "ii", "ii", "mm"])], "id string, words array<string>"), advances={"i": 0.25, "m": 2.0}, room=5.0, space=1.0)
+    assert narrow.first().lines == ["ii ii ii", "mm"]  # 0.5 each and two blanks; four
+    assert spark.range(1).select(S.text_width(F.lit("imx"), {"i": 0.25, "m": 2.0}, 0.5), S.text_width(F.lit(""), {"i": 1.0})).first()[:] == (2.75, 0.0)
 
 
 def test_wrapped_like_the_text_library(spark):

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import joined_lines, stripped
+from turnloom.operators._kept import kept
 
 KEY = ("video_id", "asr_segment_id", "word_index")
 
@@ -75,13 +76,46 @@ def nearest(words: DataFrame, turns: DataFrame, *, max_gap_ms: int, bucket_ms: i
     return pair.groupBy(*KEY).agg(best).select(*KEY, F.col("best.speaker").alias("speaker"), F.col("best.gap_ms").alias("nearest_gap_ms"), "best.reconcile_source", F.col("best.cov").alias("reconcile_cov"))
 
 
+def near_turns(words: DataFrame, turns: DataFrame, *, max_gap_ms: int, bucket_ms: int = 60_000) -> DataFrame:
+    """JOIN-01 and JOIN-03 in one pass: words with near, an array of the turns that overlap them or lie within the tolerance: pos, speaker, overlap_ms, gap_ms, d (twice the
+    distance of the centres) and what reconciliation adds. Words meet the turns of their time buckets once; turns are widened by the tolerance, and a pair with several common buckets is taken in the first."""
+    others = [c for c in words.columns if c not in KEY]
+    t = _evidence(turns).select("video_id", F.col("pos").alias("__pos"), F.col("speaker").alias("__speaker"), F.col("reconcile_source").alias("__rs"), F.col("cov").alias("__cov"), F.col("start_ms").alias("t0"), F.col("end_ms").alias("t1"))
+    t = t.withColumn("b", F.explode(buckets(F.col("t0") - max_gap_ms, F.col("t1") + max_gap_ms, bucket_ms)))
+    own = words.withColumn("b", F.explode(buckets(F.col("start_ms"), F.greatest("start_ms", "end_ms"), bucket_ms)))
+    times = [F.col(c) for c in ("start_ms", "end_ms", "t0", "t1")]
+    first_common = F.greatest(F.floor(F.col("start_ms") / bucket_ms), F.floor((F.col("t0") - max_gap_ms) / bucket_ms))
+    shared = F.when((F.col("end_ms") > F.col("start_ms")) & (F.col("t1") > F.col("t0")), overlap(*times)).otherwise(0)
+    pair = F.struct(F.col("__pos").alias("pos"), F.col("__speaker").alias("speaker"), shared.cast("bigint").alias("overlap_ms"), interval_gap(*times).alias("gap_ms"), centre_distance2(*times).alias("d"), F.col("__rs").alias("reconcile_source"), F.col("__cov").alias("reconcile_cov"))
+    met = own.join(t, ["video_id", "b"], "left").withColumn("__pair", F.when(F.col("t0").isNotNull() & (F.col("b") == first_common) & (interval_gap(*times) <= max_gap_ms), pair))
+    return met.groupBy(*KEY).agg(F.first(F.struct(*others)).alias("__own"), F.collect_list("__pair").alias("near")).select(*KEY, *[F.col("__own")[c].alias(c) for c in others], "near")
+
+
 def assign(words: DataFrame, turns: DataFrame, *, max_gap_ms: int = 3000, margin_ms: int = 50, unknown: str = "UNKNOWN") -> DataFrame:
-    """JOIN-01 to JOIN-04: every word with its speaker, by overlap, else nearest turn, else unknown, and what speaks for it."""
-    top = dominant(words, turns, margin_ms=margin_ms)
-    rest = nearest(words.join(top.select(*KEY), list(KEY), "left_anti"), turns, max_gap_ms=max_gap_ms)
-    found = top.withColumn("matched_by", F.lit("overlap")).unionByName(rest.withColumn("matched_by", F.lit("nearest")), allowMissingColumns=True)
-    none = {"speaker": F.lit(unknown), "matched_by": F.lit("unknown"), "overlap_ms": F.lit(0).cast("bigint"), "coverage": F.lit(0.0), "boundary_ambiguous": F.lit(False), "candidates": F.array().cast("array<struct<speaker:string,overlap_ms:bigint,coverage:double>>")}
-    return words.join(found, list(KEY), "left").withColumns({c: F.coalesce(c, x) for c, x in none.items()})
+    """JOIN-01 to JOIN-04: every word with its speaker, by overlap, else nearest turn, else unknown, and what speaks for it. A word's few turns are compared in its row."""
+    met = near_turns(words, turns, max_gap_ms=max_gap_ms)
+    hits = F.filter("near", lambda x: x["overlap_ms"] > 0)
+    length = F.col("end_ms") - F.col("start_ms")
+
+    def of_speaker(name):
+        own = F.filter(hits, lambda x: x["speaker"].eqNullSafe(name))
+        shared = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x["overlap_ms"])
+        first = F.array_min(F.transform(own, lambda x: F.struct(x["pos"].alias("pos"), x["reconcile_source"].alias("reconcile_source"), x["reconcile_cov"].alias("reconcile_cov"))))
+        return F.struct((-shared).alias("o"), first["pos"].alias("first_pos"), name.alias("speaker"), shared.alias("overlap_ms"), (shared / length).alias("coverage"), first["reconcile_source"].alias("reconcile_source"), first["reconcile_cov"].alias("reconcile_cov"))
+
+    best = F.sort_array(F.transform(F.array_distinct(F.transform(hits, lambda x: x["speaker"])), of_speaker))
+    nearest_ = F.array_min(F.transform("near", lambda x: F.struct(x["gap_ms"].alias("gap_ms"), x["d"].alias("d"), x["pos"].alias("pos"), x["speaker"].alias("speaker"), x["reconcile_source"].alias("reconcile_source"), x["reconcile_cov"].alias("reconcile_cov"))))
+    t = met.withColumns({"__best": best, "__nearest": nearest_})
+    top, second, next_ = F.get("__best", F.lit(0)), F.get("__best", F.lit(1)), F.col("__nearest")
+    found, near = F.size("__best") > 0, F.col("__nearest").isNotNull()
+    margin = top["overlap_ms"] - second["overlap_ms"]
+    none = F.array().cast("array<struct<speaker:string,overlap_ms:bigint,coverage:double>>")
+    return t.select(
+        *words.columns, F.when(found, top["speaker"]).when(near, next_["speaker"]).otherwise(F.lit(unknown)).alias("speaker"), F.when(found, "overlap").when(near, "nearest").otherwise("unknown").alias("matched_by"),
+        F.coalesce(top["overlap_ms"], F.lit(0).cast("bigint")).alias("overlap_ms"), F.coalesce(top["coverage"], F.lit(0.0)).alias("coverage"), margin.alias("overlap_margin_ms"), F.coalesce(margin <= margin_ms, F.lit(False)).alias("boundary_ambiguous"),
+        F.when(found, top["reconcile_source"]).otherwise(next_["reconcile_source"]).alias("reconcile_source"), F.when(found, top["reconcile_cov"]).otherwise(next_["reconcile_cov"]).alias("reconcile_cov"),
+        F.when(found, F.transform("__best", lambda x: F.struct(x["speaker"].alias("speaker"), x["overlap_ms"].alias("overlap_ms"), x["coverage"].alias("coverage")))).otherwise(none).alias("candidates"), F.when(~found, next_["gap_ms"]).alias("nearest_gap_ms"),
+    )
 
 
 def islands(df: DataFrame, order: list, breaks: Column, name: str = "island") -> DataFrame:
@@ -147,6 +181,19 @@ def rolled_up(members: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def places(rows: DataFrame, order: list[Column], keep: list[str]) -> DataFrame:
+    """SORT-07: the columns in keep and place, each row's number (from 0) in the whole order, which no task sorts alone: ranges are sorted and kept, so that
+    the count of a range, and of those before it, is that of the rows themselves. Ties come in any order; make the order total."""
+    by = [c.alias(f"__o{i}") for i, c in enumerate(order)]
+    names = [f"__o{i}" for i in range(len(by))]
+    ranged = kept(rows.select(*keep, *by).repartitionByRange(*names).sortWithinPartitions(*names).select(*keep, F.monotonically_increasing_id().alias("__id")))
+    part = F.shiftright("__id", 33)  # an id is a partition's number and a row's in it
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("rows"))
+    before = counts.select("__part", (F.sum("rows").over(Window.orderBy("__part")) - F.col("rows")).alias("before"))
+    at = ranged.withColumns({"__part": part, "__n": F.col("__id") - F.shiftleft(part, 33)})
+    return at.join(F.broadcast(before), "__part").select(*keep, (F.col("before") + F.col("__n")).alias("place"))
+
+
 def pack(intervals: DataFrame, keys: list[str], *, gap_ms: int = 200) -> DataFrame:
     """WIN-03: intervals of a key merged where they start within the gap of the greatest end so far."""
     w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms", "event_id")

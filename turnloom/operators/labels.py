@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import assignment, collapsed, stripped
+from turnloom.operators._kept import kept
 from turnloom.operators.intervals import overlap_join
 
 
@@ -105,26 +106,33 @@ def face_overlaps(turns: DataFrame, faces: DataFrame) -> DataFrame:
     return g.select("*", F.row_number().over(w).alias("rn"), F.coalesce(F.lead("overlap_ms").over(w), F.lit(0)).alias("second"))
 
 
+def with_faces(turns: DataFrame, faces: DataFrame) -> DataFrame:
+    """turns with faces, an array of struct(o, first_seen, face_id, overlap_ms), the most overlapping first."""
+    g = face_overlaps(turns, faces)
+    each = g.groupBy("video_id", "pos").agg(F.sort_array(F.collect_list(F.struct((-F.col("overlap_ms")).alias("o"), "first_seen", "face_id", "overlap_ms"))).alias("faces"))
+    return turns.join(each, ["video_id", "pos"], "left")
+
+
 def reconcile(turns: DataFrame, faces: DataFrame) -> DataFrame:
     """OP-02: phase A takes a turn's confident face (coverage 0.2, margin 0.15, 0.12 s); phase B gives what is left
-    the confident face of its audio label (coverage 0.65, margin 0.25, 2 s) if A found that label no other. Thresholds are compared as integers."""
-    ranked = face_overlaps(turns, faces)
-    sure = F.expr("rn = 1 and 100 * overlap_ms >= 20 * dur and 100 * (overlap_ms - second) >= 15 * dur and overlap_ms >= 120")
-    direct = ranked.filter(sure).select("video_id", "pos", "face_id", F.round(F.col("overlap_ms") / F.col("dur"), 3).alias("cov"), F.round((F.col("overlap_ms") - F.col("second")) / F.col("dur"), 3).alias("margin"))
-    totals = turns.groupBy("video_id", "speaker").agg(F.sum(F.expr("end_ms - start_ms")).alias("total"))
-    matrix = ranked.groupBy("video_id", "speaker", "face_id").agg(F.sum("overlap_ms").alias("o"), F.min(F.struct("pos", "rn")).alias("first"))
-    w = Window.partitionBy("video_id", "speaker").orderBy(F.desc("o"), "first")
-    top = matrix.select("*", F.row_number().over(w).alias("k"), F.coalesce(F.lead("o").over(w), F.lit(0)).alias("o2")).filter("k = 1").join(totals, ["video_id", "speaker"])
-    found = turns.join(direct, ["video_id", "pos"]).groupBy("video_id", "speaker").agg(F.collect_set("face_id").alias("faces"))
-    back = (
-        top.filter("100 * o >= 65 * total and 100 * (o - o2) >= 25 * total and total >= 2000")
-        .join(found, ["video_id", "speaker"], "left")
-        .filter("faces is null or (size(faces) = 1 and faces[0] = face_id)")
-        .select("video_id", "speaker", F.col("face_id").alias("back_face"))
-    )
-    out = turns.join(direct, ["video_id", "pos"], "left").join(back, ["video_id", "speaker"], "left")
+    the confident face of its audio label (coverage 0.65, margin 0.25, 2 s) if A found that label no other. Thresholds are compared as integers.
+
+    Turns meet faces once; each turn then has its faces in its row, and what labels need is summed from there."""
+    top, second = F.get("faces", F.lit(0)), F.coalesce(F.get("faces", F.lit(1))["overlap_ms"], F.lit(0))
+    dur = F.col("end_ms") - F.col("start_ms")
+    sure = F.coalesce((100 * top["overlap_ms"] >= 20 * dur) & (100 * (top["overlap_ms"] - second) >= 15 * dur) & (top["overlap_ms"] >= 120), F.lit(False))
+    t = kept(with_faces(turns.select("video_id", "pos", "speaker", "start_ms", "end_ms"), faces).select(
+        "video_id", "pos", "speaker", "start_ms", "end_ms", "faces", F.when(sure, top["face_id"]).alias("face_id"), F.when(sure, F.round(top["overlap_ms"] / dur, 3)).alias("cov"), F.when(sure, F.round((top["overlap_ms"] - second) / dur, 3)).alias("margin"),
+    ))
+    of_label = t.groupBy("video_id", "speaker").agg(F.sum(dur).alias("total"), F.collect_set("face_id").alias("found"))
+    seen = t.select("video_id", "speaker", "pos", F.posexplode("faces").alias("rn", "f")).groupBy("video_id", "speaker", F.col("f.face_id").alias("face_id")).agg(F.sum("f.overlap_ms").alias("o"), F.min(F.struct("pos", "rn")).alias("first"))
+    best = seen.groupBy("video_id", "speaker").agg(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("less"), "first", "face_id", "o"))).alias("b"))
+    o, o2 = F.get("b", F.lit(0))["o"], F.coalesce(F.get("b", F.lit(1))["o"], F.lit(0))
+    face_of_label = F.get("b", F.lit(0))["face_id"]
+    alone = (F.size("found") == 0) | ((F.size("found") == 1) & (F.get("found", F.lit(0)) == face_of_label))
+    back = of_label.join(best, ["video_id", "speaker"]).filter((100 * o >= 65 * F.col("total")) & (100 * (o - o2) >= 25 * F.col("total")) & (F.col("total") >= 2000) & alone).select("video_id", "speaker", face_of_label.alias("back_face"))
     face = F.coalesce("face_id", "back_face")
-    return out.select(
+    return t.join(back, ["video_id", "speaker"], "left").select(
         "video_id", "pos", F.col("speaker").alias("speaker_audio"), F.coalesce(F.concat(F.lit("FACE_"), face), F.col("speaker")).alias("speaker"),
         F.when(F.col("face_id").isNotNull(), "visual").when(F.col("back_face").isNotNull(), "visual_global").otherwise("audio").alias("reconcile_source"), "cov", "margin", "start_ms", "end_ms",
     )

@@ -90,10 +90,18 @@ def line_ends(widths, penalties, space: float, room: float) -> list[int]:
     return out
 
 
-def wrap_lines(texts: DataFrame, *, letter: float = 1.0, space: float = 1.0, room: float = 44.0) -> DataFrame:
-    """WIN-21: texts(id, words array<string>) with lines; widths are `letter` for each character."""
+def text_width(text: Column, advances: dict[str, float] | None = None, other: float = 1.0) -> Column:
+    """The sum of the characters' advances, those of a font, `other` for what has none of its own."""
+    if not advances:
+        return F.length(text) * other
+    table = F.create_map(*[F.lit(x) for c, w in advances.items() for x in (c, float(w))])
+    return F.aggregate(F.split(text, ""), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).otherwise(F.coalesce(F.try_element_at(table, c), F.lit(float(other)))))
+
+
+def wrap_lines(texts: DataFrame, *, advances: dict[str, float] | None = None, letter: float = 1.0, space: float = 1.0, room: float = 44.0) -> DataFrame:
+    """WIN-21: texts(id, words array<string>) with lines; widths are the characters' advances, `letter` for each that has none."""
     penalty = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: break_penalty(F.get("words", i - 1), F.get("words", i)))
-    rows = texts.select("id", "words", F.transform("words", lambda w: F.length(w) * letter).cast("array<double>").alias("widths"), F.when(F.size("words") > 1, penalty).otherwise(F.array().cast("array<double>")).alias("penalties"))
+    rows = texts.select("id", "words", F.transform("words", lambda w: text_width(w, advances, letter)).cast("array<double>").alias("widths"), F.when(F.size("words") > 1, penalty).otherwise(F.array().cast("array<double>")).alias("penalties"))
 
     def run(batches):
         for b in batches:

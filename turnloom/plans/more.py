@@ -443,12 +443,7 @@ def _(spark, d):
 
 @query("sort07_listing", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_name), c_custkey) - 1 AS place FROM customer")
 def _(spark, d):
-    # places over a whole table without one task for it: ranges of the order, and how many rows come before each
-    name = F.lower("c_name").alias("name")
-    c = read(spark, d, "customer").select(name, "c_custkey").repartitionByRange("name", "c_custkey").sortWithinPartitions("name", "c_custkey").withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33))
-    counts = c.groupBy("part").agg(F.count("*").alias("rows"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("before"))
-    return c.join(before, "part").select("c_custkey", (F.col("before") + F.col("n")).alias("place"))
+    return I.places(read(spark, d, "customer"), [F.lower("c_name"), F.col("c_custkey")], ["c_custkey"])
 
 
 _MEDIAN = "SELECT user_id, event_id, list_sort(list_concat(l, list_transform(range(0, 13 - len(l)), lambda x: 0::DOUBLE)))[7] AS median FROM (SELECT user_id, event_id, list(value::DOUBLE) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS l FROM events)"
@@ -499,6 +494,15 @@ def _(spark, d):
     return S.mean_scores(read(spark, d, "events").select(F.col("user_id").alias("track"), F.expr("event_id div 50").alias("frame"), (F.expr("event_id % 9") / 4).alias("score")))
 
 
+#: Advances of letters that are narrower or wider than most, as a font has them.
+_ADVANCES = {**dict.fromkeys("ijl.,'|!", 0.3), **dict.fromkeys("frt()-", 0.4), **dict.fromkeys("mwMW", 0.9)}
+
+
+@query("win21_text_widths", f"WITH {TURNS} SELECT video_id, pos, list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN contains('ijl.,''|!', c) THEN 3 WHEN contains('frt()-', c) THEN 4 WHEN contains('mwMW', c) THEN 9 ELSE 6 END))::BIGINT AS tenths FROM turns WHERE text <> ''")
+def _(spark, d):
+    return turns(spark, d).filter("text <> ''").select("video_id", "pos", F.round(S.text_width(F.col("text"), _ADVANCES, 0.6) * 10).cast("bigint").alias("tenths"))
+
+
 @query("win21_wrapped_lines")
 def _(spark, d):
     t = turns(spark, d).select(F.concat_ws(":", "video_id", "pos").alias("id"), F.filter(F.split(T.collapsed(F.col("text")), " "), lambda w: w != "").alias("words"))

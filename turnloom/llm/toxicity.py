@@ -60,7 +60,7 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 DISCOUNT = 0.75
 REPEATS = 4
-#: How many times the chance level, in nats, a split has to gain at most.
+#: How many times the chance level, in nats, a split has to gain, as copies of a text aren't independent witnesses.
 GAIN = 2.0
 
 
@@ -96,7 +96,7 @@ def told_apart(counts: DataFrame, sizes: dict) -> DataFrame:
     """The rows of counts whose split between the classes may not be chance; sizes: row of sums for each (what, fold).
 
     The log-likelihood of its split, against a split by the classes' sizes, has to exceed the
-    logarithm of how many expressions there are, so hardly one in all passes by chance.
+    logarithm of how many expressions there are, GAIN times, so hardly one in all passes by chance; the same at every size.
     """
     sure = F.lit(False)
     for (what, fold), r in sizes.items():
@@ -105,9 +105,7 @@ def told_apart(counts: DataFrame, sizes: dict) -> DataFrame:
             continue
         both = F.col("ordinary") + F.col("toxic")
         gain = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * part))).otherwise(0.0) for c, part in (("toxic", share), ("ordinary", 1 - share))]
-        # copies of a text aren't independent, and the more texts there are the more copies: up to GAIN times the chance level
-        times = min(max(np.log10(max(r.most / REPEATS, 1)), 1.0), GAIN)
-        sure |= (F.col("what") == what) & (F.col("fold") == fold) & (gain[0] + gain[1] > float((np.log(r.n) + 1) * times))
+        sure |= (F.col("what") == what) & (F.col("fold") == fold) & (gain[0] + gain[1] > float((np.log(r.n) + 1) * GAIN))
     return counts.filter(sure)
 
 
@@ -276,7 +274,7 @@ def fitted_models(docs: DataFrame, labelled: DataFrame, text_col: str) -> tuple[
     """The models of both folds. labelled: text, label + 2 * fold."""
     spark = docs.sparkSession
     counts = written(class_counts(labelled), "class-expressions")
-    sizes = {(r.what, r.fold): r for r in counts.groupBy("what", "fold").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("n"), F.max("toxic").alias("most")).collect()}
+    sizes = {(r.what, r.fold): r for r in counts.groupBy("what", "fold").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("n")).collect()}
     sure = [x.to_numpy() for x in told_apart(counts, sizes).toArrow().columns]  # bounded by the labelled texts
     what, fold = sure[:2]
     at, stem, before = (x.view(np.uint64) for x in sure[2:5])

@@ -146,6 +146,11 @@ def face_hints(turns: DataFrame, faces: DataFrame, reconciled: DataFrame) -> Dat
     return best.join(resolved, ["video_id", "speaker_audio"], "left_anti").select("video_id", "speaker_audio", F.col("best.face_id").alias("face_id"))
 
 
+def track_faces(frames: DataFrame, faces: DataFrame) -> DataFrame:
+    """JOIN-16, AGG-17: of each face its tracks and their frames; frames: video_id, track, frame (null for a track without any); faces: video_id, track, face_id of the tracks that have one."""
+    return frames.join(faces, ["video_id", "track"]).groupBy("video_id", "face_id").agg(F.count_distinct("track").alias("tracks"), F.count("frame").alias("frames"))
+
+
 def shown_crops(speakers: DataFrame, crops: DataFrame, hints: DataFrame) -> DataFrame:
     """JOIN-10: the face crop of each speaker (video_id, speaker): its own FACE_n, else that of its hint; only crops(video_id, crop) that exist."""
     hinted = speakers.join(hints.select("video_id", F.col("speaker_audio").alias("speaker"), "face_id"), ["video_id", "speaker"], "left")

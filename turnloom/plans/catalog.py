@@ -637,7 +637,9 @@ def _(spark, d):
 
 @query("src13_video_by_name", "SELECT page_id, 'videos/' || coalesce(nullif(regexp_extract(url, '[^\\\\/]+$', 0), ''), 'none') AS path FROM pages")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", F.concat(F.lit("videos/"), F.coalesce(F.nullif(T.basename(F.col("url")), F.lit("")), F.lit("none"))).alias("path"))
+    from turnloom.sources.artifacts import moved_path
+
+    return read(spark, d, "pages").select("page_id", F.coalesce(moved_path(F.col("url")), F.lit("videos/none")).alias("path"))
 
 
 @query("stage04_correction", f"WITH {PROPOSALS}, an AS (SELECT video_id, run_index, to_speaker, unnest(CASE resolution WHEN 'both_agree' THEN [run_index - 1, run_index + 1] WHEN 'left' THEN [run_index - 1] ELSE [run_index + 1] END) AS anchor FROM proposals), hit AS (SELECT an.video_id, an.run_index, an.anchor FROM an JOIN proposals q ON q.video_id = an.video_id AND q.run_index = an.anchor AND q.to_speaker <> an.to_speaker), bad AS (SELECT video_id, run_index FROM hit UNION SELECT video_id, anchor FROM hit), clear AS (SELECT * FROM proposals p WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.video_id = p.video_id AND bad.run_index = p.run_index)) SELECT r.video_id, r.run_index, coalesce(c.to_speaker, r.speaker) AS speaker, CASE WHEN c.to_speaker IS NOT NULL THEN r.speaker END AS speaker_original FROM runs r LEFT JOIN clear c USING (video_id, run_index)")
@@ -692,13 +694,13 @@ def _(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("prj05_turn_list_pick", f"WITH {TURNS} SELECT video_id, pos, speaker FROM turns WHERE CASE WHEN video_id % 3 = 0 THEN pos % 2 = 0 ELSE true END AND video_id % 3 < 2 AND NOT (video_id % 3 = 0 AND pos % 2 = 1)")
+@query("prj05_turn_list_pick", f"WITH {TURNS} SELECT video_id, pos, speaker FROM turns t WHERE trim(text) <> '' OR NOT EXISTS (SELECT 1 FROM turns o WHERE o.video_id = t.video_id AND trim(o.text) <> '')")
 def _(spark, d):
-    # of every third video the first list has the even turns, of others it is empty, and of some there is neither
+    # the first list has the turns with text; where a video has none, its second list, of all turns, is taken
     from turnloom.sources.artifacts import picked_turns
 
     one = F.struct("pos", "speaker")
-    g = turns(spark, d).groupBy("video_id").agg(F.collect_list(F.when(F.expr("video_id % 3 = 0 and pos % 2 = 0"), one)).alias("a"), F.when(F.expr("video_id % 3 < 2"), F.collect_list(one)).alias("s"))
+    g = turns(spark, d).groupBy("video_id").agg(F.collect_list(F.when(F.trim("text") != "", one)).alias("a"), F.collect_list(one).alias("s"))
     return g.select("video_id", F.inline(picked_turns(F.col("a"), F.col("s"))))
 
 

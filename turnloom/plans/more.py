@@ -44,31 +44,37 @@ def _(spark, d):
     return _latest(spark, d, labels.CAPTION_VERSIONS)
 
 
-@query("src09_path_context", r"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/data/audio/' || split || '/' || stem || '.wav' WHEN 1 THEN '/data/' || stem || '.tar.gz' ELSE 'audio/' || stem END AS path, page_id % 3 AS kind, split, stem
-  FROM (SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS split, 'p' || page_id AS stem FROM pages))
-SELECT page_id, CASE WHEN kind = 0 THEN nullif(split, '') END AS split, CASE kind WHEN 1 THEN stem || '.tar' ELSE stem END AS stem,
-  CASE WHEN kind = 0 AND split <> '' AND page_id % 2 = 0 THEN '/data/meta/' || split || '/' || stem || '.json' END AS meta, CASE WHEN kind = 0 AND split <> '' AND page_id % 5 = 0 THEN '/data/rttm/' || split || '/' || stem || '.rttm' END AS rttm
-FROM p WHERE NOT (kind = 0 AND split = '')""")
+_SPLIT = "coalesce(nullif(regexp_extract(url, '/([a-z]{2})/', 1), ''), 'none')"
+
+
+@query("src09_path_context", f"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/data/audio/' || split || '/' || stem || '.wav' WHEN 1 THEN '/data/' || stem || '.tar.gz' ELSE 'audio/' || stem END AS path, page_id % 3 AS kind, split, stem, html
+  FROM (SELECT page_id, html, {_SPLIT} AS split, 'p' || page_id AS stem FROM pages))
+SELECT page_id, CASE WHEN kind = 0 THEN split END AS split, CASE kind WHEN 1 THEN stem || '.tar' ELSE stem END AS stem,
+  CASE WHEN kind = 0 AND contains(html, 'a') THEN '/data/meta/' || split || '/' || stem || '.json' END AS meta, CASE WHEN kind = 0 AND contains(html, 'ß') THEN '/data/rttm/' || split || '/' || stem || '.rttm' END AS rttm
+FROM p""")
 def _(spark, d):
-    p = read(spark, d, "pages").select("page_id", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("split"), F.concat(F.lit("p"), "page_id").alias("stem")).filter("not (page_id % 3 = 0 and split = '')")
+    # paths in turn of the three forms; a meta file and an rttm file are there for pages with certain letters
+    p = read(spark, d, "pages").select("page_id", "html", F.expr(_SPLIT).alias("split"), F.concat(F.lit("p"), "page_id").alias("stem"))
     path = F.expr("case page_id % 3 when 0 then concat('/data/audio/', split, '/', stem, '.wav') when 1 then concat('/data/', stem, '.tar.gz') else concat('audio/', stem) end")
-    beside = lambda kind, end, every: p.filter(f"page_id % {every} = 0").select(F.expr(f"concat('/data/{kind}/', split, '/', stem, '.{end}')").alias("path"))
-    files = beside("meta", "json", 2).union(beside("rttm", "rttm", 5))
+    beside = lambda kind, end, letter: p.filter(F.contains("html", F.lit(letter))).select(F.expr(f"concat('/data/{kind}/', split, '/', stem, '.{end}')").alias("path"))
+    files = beside("meta", "json", "a").union(beside("rttm", "rttm", "ß"))
     audio = p.select("page_id", path.alias("path"))
     return audio.join(artifacts.with_side_files(audio.select("path"), files), "path").select("page_id", "split", "stem", "meta", "rttm")
 
 
-@query("src11_library_listing", r"""WITH m AS (SELECT 'V' || page_id AS video_id, page_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE upper(url) END AS title, url, CASE WHEN page_id % 6 > 0 THEN page_id * 1.5::DOUBLE END AS duration_sec FROM pages),
-names AS (SELECT DISTINCT regexp_extract(url, '[^\\/]+$', 0) AS name FROM pages WHERE page_id % 3 = 0 OR page_id % 2 = 0)
-SELECT video_id, coalesce(nullif(title, ''), video_id) AS title, CASE WHEN page_id % 2 = 0 THEN url ELSE 'videos/' || regexp_extract(url, '[^\\/]+$', 0) END AS video, coalesce(duration_sec, 0) AS duration_sec,
-  CASE WHEN page_id % 3 > 0 THEN page_id % 3 ELSE 2 END AS num_segments, page_id % 2 = 1 AS ready
-FROM m WHERE page_id % 5 > 0 AND page_id % 7 > 0 AND (page_id % 2 = 0 OR regexp_extract(url, '[^\\/]+$', 0) IN (SELECT name FROM names))""")
+@query("src11_library_listing", r"""WITH m AS (SELECT 'V' || page_id AS video_id, page_id, html, CASE WHEN page_id % 4 = 0 THEN '' ELSE upper(url) END AS title, url, CASE WHEN page_id % 6 > 0 THEN page_id * 1.5::DOUBLE END AS duration_sec FROM pages),
+names AS (SELECT DISTINCT name FROM (SELECT regexp_extract(url, '[^\\/]+$', 0) AS name FROM pages WHERE contains(html, 'ß') OR contains(html, 'é')) WHERE name <> '')
+SELECT video_id, coalesce(nullif(title, ''), video_id) AS title, CASE WHEN contains(html, 'ß') THEN url ELSE 'videos/' || regexp_extract(url, '[^\\/]+$', 0) END AS video, coalesce(duration_sec, 0) AS duration_sec,
+  CASE WHEN page_id % 3 > 0 THEN page_id % 3 ELSE 2 END AS num_segments, contains(html, 'ü') AS ready
+FROM m WHERE contains(html, 'a') AND contains(html, 'e') AND (contains(html, 'ß') OR regexp_extract(url, '[^\\/]+$', 0) IN (SELECT name FROM names))""")
 def _(spark, d):
-    p = read(spark, d, "pages").select("page_id", "url", F.concat(F.lit("V"), "page_id").alias("video_id"))
+    # what a folder has, and where its video is, follows from the letters of its page
+    with_ = lambda letter: F.contains("html", F.lit(letter))
+    p = read(spark, d, "pages").select("page_id", "url", "html", F.concat(F.lit("V"), "page_id").alias("video_id"))
     meta = p.select("video_id", F.expr("if(page_id % 4 = 0, '', upper(url))").alias("title"), F.col("url").alias("source_video"), F.expr("if(page_id % 6 > 0, page_id * 1.5D, null)").alias("duration_sec"))
-    emotion = p.filter("page_id % 7 > 0").select("video_id", F.expr("page_id % 3").alias("num_segments"), F.array(F.lit("a"), F.lit("b")).alias("segments"))
-    videos = p.filter("page_id % 2 = 0").select(F.col("url").alias("path")).union(p.filter("page_id % 3 = 0").select(F.concat(F.lit("else/"), T.basename(F.col("url")))))
-    return artifacts.library(meta, p.filter("page_id % 5 > 0"), emotion, videos, p.filter("page_id % 2 = 1"))
+    emotion = p.filter(with_("e")).select("video_id", F.expr("page_id % 3").alias("num_segments"), F.array(F.lit("a"), F.lit("b")).alias("segments"))
+    videos = p.filter(with_("ß")).select(F.col("url").alias("path")).union(p.filter(with_("é")).select(F.concat(F.lit("else/"), T.basename(F.col("url")))))
+    return artifacts.library(meta, p.filter(with_("a")), emotion, videos, p.filter(with_("ü")))
 
 
 # of every fourth conversation the names are in a map, in a list of rows, in a bare map, or in both of the first two
@@ -172,14 +178,12 @@ def _(spark, d):
     return labels.shown_crops(r.select("video_id", "speaker").distinct(), crops, labels.face_hints(t, f, r))
 
 
-@query("join16_track_faces", "SELECT video_id, face_id, count(*) AS tracks, sum(n)::BIGINT AS frames FROM (SELECT vec_id // 50 AS video_id, label AS face_id, vec_id % 25 AS n FROM embeddings WHERE vec_id % 3 <> 1) GROUP BY ALL")
+@query("join16_track_faces", "SELECT video_id, face_id, count(*) AS tracks, sum(n)::BIGINT AS frames FROM (SELECT vec_id // 50 AS video_id, label AS face_id, len(list_filter(embedding, lambda c: c > 0.05)) AS n FROM embeddings WHERE embedding[1] > 0) GROUP BY ALL")
 def _(spark, d):
-    # AGG-17: tracks that no face was found for have none
-    e = read(spark, d, "embeddings").select(F.expr("vec_id div 50").alias("video_id"), F.col("vec_id").alias("track"), "label")
-    frames = e.select("video_id", "track", F.explode(F.expr("transform(filter(sequence(0, 24), x -> x < track % 25), x -> x)")).alias("frame"))
-    silent = e.select("video_id", "track").join(frames, ["video_id", "track"], "left_anti").withColumn("frame", F.lit(None).cast("int"))
-    face = e.filter("track % 3 <> 1").select("video_id", "track", F.col("label").alias("face_id"))
-    return frames.unionByName(silent).join(face, ["video_id", "track"]).groupBy("video_id", "face_id").agg(F.count_distinct("track").alias("tracks"), F.count("frame").alias("frames"))
+    # AGG-17: a face was found for the tracks whose vectors begin above zero, others have none; a track's frames are the places of its larger entries
+    e = read(spark, d, "embeddings").select(F.expr("vec_id div 50").alias("video_id"), F.col("vec_id").alias("track"), "label", "embedding")
+    frames = e.select("video_id", "track", F.explode_outer(F.filter(F.transform("embedding", lambda c, i: F.when(c > F.lit(0.05).cast("float"), i)), lambda i: i.isNotNull())).alias("frame"))
+    return labels.track_faces(frames, e.filter(F.get("embedding", F.lit(0)) > 0).select("video_id", "track", F.col("label").alias("face_id")))
 
 
 @query("join17_positional_zip", f"WITH {TURNS} SELECT video_id, i, speaker, crop FROM (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS i, speaker FROM turns WHERE trim(text) <> '') JOIN (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_ms DESC, pos) - 1 AS i, 'c' || pos AS crop FROM turns WHERE pos % 3 > 0) USING (video_id, i)")

@@ -75,15 +75,20 @@ def with_side_files(audio: DataFrame, files: DataFrame) -> DataFrame:
     return a.drop("root")
 
 
+def moved_path(path):
+    """SRC-13: where a video is looked for that isn't at its own path: by its name among the videos; null without a name."""
+    name = F.nullif(basename(F.coalesce(path, F.lit(""))), F.lit(""))
+    return F.concat(F.lit("videos/"), name)
+
+
 def library(meta: DataFrame, tables: DataFrame, emotion: DataFrame, videos: DataFrame, ready: DataFrame) -> DataFrame:
     """SRC-11, SRC-13, SORT-07: folders that have meta, speaker table and emotion documents and whose video exists: at its path, else by its name
     among videos(path). Title, duration, number of segments; sorted by name in lower case, so collect it or write it as it is."""
     m = meta.filter(safe_child(F.col("video_id")).isNotNull()).join(tables.select("video_id"), "video_id", "left_semi")
     n = emotion.select("video_id", F.coalesce(F.nullif("num_segments", F.lit(0)), F.size(F.coalesce("segments", F.array())), F.lit(0)).alias("num_segments"))
-    name = basename(F.coalesce("source_video", F.lit("")))
     at = videos.select(F.col("path").alias("there")).distinct()
-    by_name = videos.select(F.concat(F.lit("videos/"), basename(F.col("path"))).alias("moved")).distinct()
-    found = m.join(n, "video_id").join(at, F.col("source_video") == F.col("there"), "left").join(by_name, F.concat(F.lit("videos/"), name) == F.col("moved"), "left")
+    by_name = videos.select(moved_path(F.col("path")).alias("moved")).distinct()
+    found = m.join(n, "video_id").join(at, F.col("source_video") == F.col("there"), "left").join(by_name, moved_path(F.col("source_video")) == F.col("moved"), "left")
     done = ready.select("video_id", F.lit(True).alias("ready"))
     out = found.withColumn("video", F.coalesce("there", "moved")).filter("video is not null").join(done, "video_id", "left")
     return out.select(

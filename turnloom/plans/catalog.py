@@ -534,7 +534,37 @@ def _(spark, d):
 # --- grouped pandas, without SQL ------------------------------------------------------------------------------------
 
 
-@query("win19_caption_cues")
+def _among(text: str, characters: str) -> str:
+    return f"right({text}, 1) IN ({', '.join(repr(c) for c in characters)})"
+
+
+def _cues_sql() -> str:
+    """WIN-19 as a recursion from cut to cut; places count from 0, lists from 1. A cue has twelve words at most, but for the last ones, so forty places are enough to find its end."""
+    lasts = lambda k: f"(en[{k} + 1] - st[at + 1])"
+    viable = lambda k: f"({k} + 1 = n OR (n - {k} - 1 >= 2 AND en[n] - st[{k} + 2] >= 750))"
+    readable = lambda k: f"({lasts(k)} >= 750 AND {viable(k)})"
+    full = f"(k + 1 < n AND ({lasts('k')} >= 3500 OR k + 1 - at >= 12))"
+    border = f"coalesce(list_max(list_filter(range(at, k + 1), lambda j: {readable('j')} AND so[j + 1])) + 1, 0)"
+    target = f"CASE WHEN k + 1 < n AND {readable('k')} AND se[k + 1] THEN k + 1 WHEN {full} AND {border} > 0 THEN {border} WHEN {full} AND {viable('k')} THEN k + 1 ELSE 0 END"
+    short = ", ".join(f"'{x}'" for x in T.ABBREVIATIONS)
+    return f"""WITH RECURSIVE {WORDS}, tok AS (
+  SELECT *, row_number() OVER (PARTITION BY video_id, asr_segment_id ORDER BY word_index) - 1 AS k, {strip_sql('word')} AS t FROM words
+), wl AS (
+  SELECT video_id, asr_segment_id AS parent_index, list(start_ms ORDER BY k) AS st, list(end_ms ORDER BY k) AS en, list({_among('t', T.SENTENCE_ENDS)} AND lower(t) NOT IN ({short}) ORDER BY k) AS se,
+    list(({_among('t', T.SENTENCE_ENDS)} AND lower(t) NOT IN ({short})) OR {_among('t', T.SOFT_ENDS)} ORDER BY k) AS so, count(*) AS n, count(*) >= 2 AND bool_and(t <> '' AND end_ms >= start_ms) AS valid FROM tok GROUP BY ALL
+), go AS (
+  SELECT video_id, parent_index, 0::BIGINT AS at_, 0::BIGINT AS lo, 0::BIGINT AS part FROM wl
+  UNION ALL
+  SELECT video_id, parent_index, CASE WHEN valid THEN coalesce(list_filter(list_transform(range(at_, least(n, at_ + 40)), lambda k: {target}), lambda x: x > 0)[1], n) ELSE n END AS at_, at_ AS lo, part + 1 AS part FROM go JOIN wl USING (video_id, parent_index) WHERE at_ < n
+), cue AS (SELECT *, max(part) OVER (PARTITION BY video_id, parent_index) AS part_count FROM go WHERE part > 0
+), said AS (
+  SELECT c.*, t.start_ms, t.end_ms, t.k, t.word, t.t, t.t <> '' AS filled, row_number() OVER (PARTITION BY c.video_id, c.parent_index, part, t.t <> '' ORDER BY t.k) AS nth FROM cue c JOIN tok t ON t.video_id = c.video_id AND t.asr_segment_id = c.parent_index AND t.k >= c.lo AND t.k < c.at_
+) SELECT video_id, parent_index, part, part_count, arg_min(start_ms, k) AS start_ms, arg_max(end_ms, k) AS end_ms, count(*) AS num_words,
+  {strip_sql("string_agg(CASE WHEN filled AND nth = 1 THEN t WHEN filled AND (regexp_matches(word, '^" + _WS + "') OR left(t, 1) IN (" + ", ".join(repr(c) for c in T.CLOSING_MARKS) + ")) THEN word WHEN filled THEN ' ' || word ELSE '' END, '' ORDER BY k)")} AS text
+FROM said GROUP BY video_id, parent_index, part, part_count""".replace("st[at + 1]", "st[at_ + 1]").replace("range(at, k + 1)", "range(at_, k + 1)").replace("k + 1 - at >=", "k + 1 - at_ >=")
+
+
+@query("win19_caption_cues", _cues_sql())
 def _(spark, d):
     from turnloom.operators.sequential import split_cues
 

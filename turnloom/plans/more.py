@@ -1,5 +1,7 @@
 """Queries of sources, sinks, word evidence, chains, tracks and scalar functions; see catalog."""
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -386,7 +388,18 @@ def _(spark, d):
     return correction.context_windows(_runs(spark, d)).select("video_id", "run_index", correction.context_text(F.col("near")).alias("context"))
 
 
-@query("stage03_segments")
+#: OP-03 over recognised segments in the place of turns; whole texts of glued parts, words counted.
+_STAGE03 = BOUNDARY.replace(TURNS, re.sub(r"\bturns\b", "said", SEGMENTS) + ", turns AS (SELECT video_id, index AS pos, speaker, start_ms, end_ms, text, num_words FROM segments)") + f""", fixed AS (
+  SELECT t.*, coalesce(b.target_speaker, t.speaker) AS new_speaker, CASE WHEN b.target_speaker <> t.speaker THEN t.speaker END AS speaker_original, EXISTS (SELECT 1 FROM boundary c WHERE c.video_id = t.video_id AND t.pos BETWEEN c.lo AND c.hi) AS checked
+  FROM turns t LEFT JOIN boundary b ON t.video_id = b.video_id AND t.pos BETWEEN b.lo AND b.hi AND b.target_speaker IS NOT NULL AND (b.video_id + b.lo) % 2 = 0
+), m AS (
+  SELECT * EXCLUDE (speaker), new_speaker AS speaker, (sum(CASE WHEN new_speaker = ls AND start_ms - le BETWEEN -50 AND 100 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY pos) - 1)::BIGINT AS index
+  FROM (SELECT *, lag(new_speaker) OVER w AS ls, lag(end_ms) OVER w AS le FROM fixed WINDOW w AS (PARTITION BY video_id ORDER BY pos))
+) SELECT video_id, index, min(speaker) AS speaker, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms, CASE WHEN count(*) = 1 THEN any_value(text) ELSE coalesce(string_agg(nullif({clean_sql('text')}, ''), ' ' ORDER BY pos), '') END AS text,
+  sum(num_words)::BIGINT AS num_words, bool_or(checked) AS checked, arg_min_null(speaker_original, pos) AS speaker_original FROM m GROUP BY video_id, index"""
+
+
+@query("stage03_segments", f"WITH {_STAGE03}")
 def _(spark, d):
     s, _ = correction.repair_segments(I.segments(I.assign(words(spark, d), turns(spark, d))), lambda p: p.withColumn("approved", F.expr("(video_id + lo) % 2 = 0")))
     return s.select("video_id", "index", "speaker", "start_ms", "end_ms", "text", "num_words", "checked", "speaker_original")

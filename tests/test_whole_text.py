@@ -14,12 +14,15 @@ def test_collapsed_takes_the_whole_text(spark):
     assert texts and all(got[i] == " ".join(t.split()) for i, t in texts.items())
 
 
+#: Picks written out by hand.
+EIGHT = {0: [], 5: [0, 1, 2, 3, 4], 8: [0, 1, 2, 3, 4, 5, 6, 7], 9: [0, 1, 2, 3, 4, 5, 6, 8], 15: [0, 2, 4, 6, 8, 10, 12, 14], 100: [0, 14, 28, 42, 56, 70, 84, 99]}
+THIRTY = {3: [0, 1, 2], 30: [*range(30)], 31: [*range(15), *range(16, 31)], 59: [*range(0, 59, 2)], 88: [*range(0, 88, 3)]}
+
+
 def test_even_places(spark):
-    rows = spark.range(0, 400).select("id", T.even_places(F.col("id"), 8).alias("eight"), T.even_places(F.col("id"), 30, rounded=True).alias("thirty")).collect()
-    for r in rows:
-        n = r.id
-        assert r.eight == ([int(k * (n - 1) / 7) for k in range(8)] if n >= 8 else list(range(n)))
-        assert r.thirty == ([round(i * (n - 1) / 29) for i in range(30)] if n > 30 else list(range(n)))
+    eight, thirty = T.even_places(F.col("id"), 8), T.even_places(F.col("id"), 30, rounded=True)
+    got = {r.id: (r.eight, r.thirty) for r in spark.range(0, 101).select("id", eight.alias("eight"), thirty.alias("thirty")).collect()}
+    assert {n: got[n][0] for n in EIGHT} == EIGHT and {n: got[n][1] for n in THIRTY} == THIRTY
 
 
 def test_latest_of_all_segments_takes_every_conversation(spark):

@@ -46,12 +46,16 @@ def ass(cues: DataFrame) -> DataFrame:
     return cues.groupBy("video_id").agg(F.concat(F.array_join(F.concat(F.array(head), lines), "\n"), F.lit("\n")).alias("ass"))
 
 
+#: SNK-06. Fixed values of the filter's options.
+DRAWTEXT_OPTIONS = ":fontcolor=white:fontsize=28:line_spacing=6:box=1:boxcolor=black@0.68:boxborderw=10:x="
+
+
 def drawtext_filter(file: Column, place: Column) -> Column:
     """SNK-06: the filter that shows a caption's file from start_ms to end_ms, at least 50 ms."""
     start = F.greatest(F.lit(0), F.col("start_ms"))
     x, y = drawtext_xy(place)
     return F.concat(
-        F.lit("drawtext=textfile="), file, F.lit(":fontcolor=white:fontsize=28:line_spacing=6:box=1:boxcolor=black@0.68:boxborderw=10:x="), x, F.lit(":y="), y,
+        F.lit("drawtext=textfile="), file, F.lit(DRAWTEXT_OPTIONS), x, F.lit(":y="), y,
         F.lit(":enable='between(t,"), seconds3(start), F.lit(","), seconds3(F.greatest(start + 50, F.col("end_ms"))), F.lit(")'"),
     )
 

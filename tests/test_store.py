@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import chains
-from turnloom.sources import store
+from turnloom.sources import artifacts, store
 
 MANY = 10
 
@@ -51,6 +51,12 @@ def test_catalog_of_folders(spark, tmp_path):
         store.read_all(spark, str(tmp_path), "speaker_map")
 
 
+def test_bare_maps_of_several_lines(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/map.json").write_text(json.dumps({"S0": "Ada", "S1": "Ü"}, indent=2, ensure_ascii=False))
+    assert [(r.video_id, r.bare) for r in artifacts.read_bare_maps(spark, f"{tmp_path}/*/map.json").collect()] == [("v", {"S0": "Ada", "S1": "Ü"})]
+
+
 def test_a_library_goes_on_where_it_stopped(spark, tmp_path):
     root = str(tmp_path)
     turns = spark.createDataFrame([(v, k, "AB"[k], 2000 * k, 2000 * k + 2000) for v in (1, 2, 4) for k in range(2)], "video_id long, pos long, speaker string, start_ms long, end_ms long")

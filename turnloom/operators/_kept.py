@@ -2,16 +2,30 @@
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def own_folder(spark, name: str) -> str:
+    """A new path below the folder that all executors share."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        _checked(spark)
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return f"{folder.get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder of spark.checkpoint.dir (or the one that is set already); it survives lost executors. With a local master a folder of its own will do."""
-    context = df.sparkSession.sparkContext
+    _checked(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checked(spark) -> None:
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.gettempdir() + "/turnloom-checkpoints")
-    return df.checkpoint()

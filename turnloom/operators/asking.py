@@ -60,7 +60,9 @@ def kept_as_is(lines: DataFrame) -> DataFrame:
 
 
 class Busy(Exception):
-    """What a client raises if the same question may be answered later: too many requests, a failing server, no answer in time."""
+    """What a client raises if the same question may be answered later: too many requests, a failing server, no answer in time. Any exception with `again` set will do."""
+
+    again = True
 
 
 #: How often a question is asked at most, and seconds before the second time; each later pause is twice as long.
@@ -106,13 +108,14 @@ def _asked(prompts: DataFrame, make_client: Callable[[], Callable[[str], str]],
                     try:
                         reply, error = client(prompt), None
                         break
-                    except Busy as e:
+                    except Exception as e:  # noqa: BLE001 what one question meets is no reason to end the others
+                        # by the attribute: a worker can have the class twice, pickled and imported
+                        if not getattr(e, "again", False):
+                            error = f"{type(e).__name__}: {e}"
+                            break
                         error = f"busy: {e}"
                         if k + 1 < attempts:
                             time.sleep(pause_s * 2**k)
-                    except Exception as e:  # noqa: BLE001 what one question meets is no reason to end the others
-                        error = f"{type(e).__name__}: {e}"
-                        break
                 rows.append((reply, k + 1, error))
             reply, tries, error = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reply, pa.string()), pa.array(tries, pa.int32()), pa.array(error, pa.string())], names=["key", "reply", "attempts", "error"])

@@ -6,14 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.operators import captions, correction, labels
+from turnloom.operators import asking, captions, correction, labels
 from turnloom.operators import intervals as I
 from turnloom.operators import sequential as S
+from turnloom.operators._kept import kept, own_folder
 from turnloom.plans.catalog import (
     ASSIGNED, BOUNDARY, CAPTION, DIALOGUE, NAMES_SQL, PROPOSALS, RECONCILED, RUNS, SEGMENTS, TIMELINE, TURNS, _boundary, _faces, _names, _runs, _timeline, clean_sql, query, strip_sql, with_caption,
 )
 from turnloom.sources import artifacts, sinks
-from turnloom.sources.adapters import SPREAD_TURNS, read, turns, words
+from turnloom.sources.adapters import SPREAD_TURNS, WORDS, read, turns, words
 
 # --- sources --------------------------------------------------------------------------------------------------------
 
@@ -413,6 +414,45 @@ def _(spark, d):
     return captions.captions(captions.cue_chain(named, upper)).select("video_id", "index", "parent_index", "part", "part_count", "start_ms", "end_ms", "text", "text_ko", "caption")
 
 
+def _letters():
+    """A client that is busy at first, and answers by the letters of the prompt: bad JSON, a wrong type, or whether it is long."""
+    import json
+
+    from turnloom.operators.asking import Busy
+
+    tried = set()
+
+    def ask(prompt):
+        if prompt not in tried:
+            tried.add(prompt)
+            raise Busy("later")
+        good = json.dumps({"answer": len(prompt) > 200, "size": "long" if len(prompt) > 100 else "short"})
+        return json.dumps({"output_text": "{" if "ß" in prompt else json.dumps({"answer": 1, "size": "long"}) if "ñ" in prompt else good})
+
+    return ask
+
+
+@query("udf05_strict_answers", "SELECT conv_id, turn, CASE WHEN error IS NULL THEN length(text) > 200 END AS answer, CASE WHEN error IS NULL THEN CASE WHEN length(text) > 100 THEN 'long' ELSE 'short' END END AS size, error FROM (SELECT *, CASE WHEN contains(text, 'ß') THEN 'no JSON object' WHEN contains(text, 'ñ') THEN 'answer is no boolean' END AS error FROM conversations)")
+def _(spark, d):
+    fields = {"answer": "boolean", "size": ("long", "short")}
+    done = asking.strictly_asked(read(spark, d, "conversations"), F.col("text"), fields, _letters, own_folder(spark, "answers"), name="said", pause_s=0.0)
+    return done.select("conv_id", "turn", "said.answer", "said.size", F.col("said_error").alias("error"))
+
+
+@query("op12_library_run", f"WITH {WORDS}, v AS (SELECT DISTINCT conv_id AS video_id FROM conversations), w AS (SELECT DISTINCT video_id FROM words) SELECT v.video_id, CASE WHEN w.video_id IS NULL THEN 'failed' ELSE 'ready' END AS status, CASE WHEN w.video_id IS NULL THEN 'no words' END AS error, w.video_id IS NOT NULL AS has_srt, CASE WHEN w.video_id IS NULL THEN 'failed' ELSE 'skipped' END AS again FROM v LEFT JOIN w USING (video_id)")
+def _(spark, d):
+    # the whole library to a folder, what is in the folder then, and a second run over it
+    from turnloom.operators.chains import prepare_library
+
+    root = own_folder(spark, "library")
+    w, t = words(spark, d), turns(spark, d)
+    media = t.select("video_id").distinct().withColumn("source_video", F.concat(F.lit("videos/"), "video_id", F.lit(".mp4")))
+    first, second = (kept(prepare_library(w, t, media, root)) for _ in range(2))
+    files = spark.read.text(root, wholetext=True, pathGlobFilter="captions.srt", recursiveFileLookup=True)
+    srt = files.filter("value like '1\n%'").select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).cast("bigint").alias("video_id"), F.lit(True).alias("srt"))
+    return first.join(srt, "video_id", "left").join(second.select("video_id", F.col("status").alias("again")), "video_id").select("video_id", "status", "error", F.coalesce("srt", F.lit(False)).alias("has_srt"), "again")
+
+
 @query("op12_prepared_srt")
 def _(spark, d):
     from turnloom.operators.chains import prepared

@@ -34,7 +34,7 @@ def read_documents(spark: SparkSession, kind: str, paths) -> DataFrame:
 
 def read_bare_maps(spark: SparkSession, paths) -> DataFrame:
     """SRC-15: documents that are one map from id to name, as video_id and bare."""
-    text = spark.read.option("wholetext", True).text(paths)
+    text = spark.read.text(paths, wholetext=True)
     return text.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("video_id"), F.from_json(F.regexp_replace("value", "^\ufeff", ""), "map<string,string>").alias("bare"))
 
 

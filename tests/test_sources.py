@@ -50,3 +50,18 @@ def test_log_rows_append(spark, tmp_path):
         sinks.append_log(e, f"{tmp_path}/log")
     got = spark.read.json(f"{tmp_path}/log")
     assert got.count() == 4 and {(r.pid, r.names, r.position) for r in got.collect()} == {("p", '{"S0":"Ada"}', ""), ("", "{}", "top_center")}
+
+
+def test_library_listing_of_pages_with_one_address(spark, tmp_path):
+    import duckdb
+
+    from turnloom.plans import catalog
+
+    rows = [(0, "http://a/x?p=1", "ae ß"), (1, "http://a/x?p=1", "ae"), (2, "http://a/y", "ae"), (3, "http://b/y", "ae é"), (4, "http://a/", "ae")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.queries()["src11_library_listing"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.sql(catalog.oracle_sql()["src11_library_listing"])
+    assert sorted(map(repr, (tuple(r[k] for k in want.columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))

@@ -37,6 +37,16 @@ def test_documents_are_replaced_whole_or_not_at_all(spark, tmp_path):
     assert os.listdir(tmp_path) == ["a"]
 
 
+def test_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    # small bodies once came together in one task, which then wrote every file
+    docs = spark.range(60).select(F.concat(F.lit("v"), "id").alias("video_id"), F.lit("x.srt").alias("file"), F.concat(F.spark_partition_id().cast("string"), F.lit("\n")).alias("body"))
+    done = {}
+    write = type(docs.write).text
+    monkeypatch.setattr(type(docs.write), "text", lambda self, path, *a, **b: done.update(n=self._df.rdd.glom().map(len).filter(lambda n: n > 0).count()) or write(self, path, *a, **b))
+    assert store.write_documents(docs.coalesce(1), str(tmp_path), ending="\n") == 60
+    assert done["n"] > 4 and len(os.listdir(tmp_path)) == 61
+
+
 def test_catalog_of_folders(spark, tmp_path):
     for folder, files in {"a": ("meta.json", "asr.json", "other.json"), "train/b": ("meta.json",), "train/c.d": ("asr.json", "meta.json"), "_writing/x": ("meta.json",)}.items():
         (tmp_path / folder).mkdir(parents=True)

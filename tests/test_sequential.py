@@ -228,3 +228,9 @@ def test_filled_tracks(spark):
     rows = [(1, 0, f, f, 0, f + 10, 10) for f in (*range(10), 14)] + [(1, 1, f, 0, 0, 5, 5) for f in range(10)]
     got = {(r.track, r.frame): r.x1 for r in S.filled_tracks(spark.createDataFrame(rows, "video_id long, track long, frame long, x1 int, y1 int, x2 int, y2 int")).collect()}
     assert got == {(0, f): float(f) for f in range(15)}  # ten boxes aren't enough for the other
+
+
+def test_equal_spreads_go_to_the_first_track(spark):
+    rows = [(clip, track, f, 80, (x + 3 * track) / 400) for clip, line in enumerate(itertools.permutations((0, 7, 14, 98))) for track in (0, 1) for f, x in enumerate(line)]
+    got = S.speaking_tracks(spark.createDataFrame(rows, "clip long, track long, frame long, width int, opening double")).collect()
+    assert {(r.clip, r.track) for r in got} == {(clip, 0) for clip in range(24)} and {round(r.motion, 9) for r in got} == {0.09928455}

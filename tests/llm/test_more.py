@@ -235,3 +235,15 @@ def test_a_hot_group_is_dealt_over_parts(spark, monkeypatch, tmp_path):
     groups = spark.read.parquet(str(tmp_path / "groups"))
     got = suffix_dedup._of_groups(rows, groups, ["key"])
     assert sorted(got.collect()) == sorted(rows.join(groups, "key").drop("rows").collect())
+
+
+def test_texts_put_end_to_end_give_the_same_blocks_and_windows():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (400, 100, 151, 1000, 260)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    ids = np.array([7, 3, 90, 4, 11])
+    owner, start, n, lead = (np.concatenate(x) for x in zip(*[(np.full(len(r[0]), i), r[1], r[2], r[3]) for i, t in enumerate(texts) for r in [suffix_dedup.anchor_rows(t, np.array([0, len(t)]))]], strict=True))
+    for of_rows in (suffix_dedup._blocks, suffix_dedup._single):
+        got = of_rows(np.concatenate(texts), offsets, ids, owner, start + offsets[owner], n, lead).to_pylist()
+        alone = [of_rows(t, np.array([0, len(t)]), ids[i : i + 1], np.zeros(sum(owner == i), int), *(x[owner == i] for x in (start, n, lead))).to_pylist() for i, t in enumerate(texts)]
+        assert got == [r for rows in alone for r in rows] and {r["doc"] for r in got} == set(ids.tolist())

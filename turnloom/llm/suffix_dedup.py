@@ -28,6 +28,7 @@ their texts' hashes; an empty table gives an empty result; other columns aren't
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ BLOCK = 16
 PARTS = 4096
 #: Bytes of one text that are worked on at a time.
 TILE = 1 << 20
+#: Bytes of several texts that are put end to end; a longer text stands alone.
+TOGETHER = 1 << 18
 LOW = -(1 << 63)
 _OTHER = ((np.arange(256) * 167 + 13) % 256).astype(np.uint8)
 
@@ -159,22 +162,31 @@ def _unpack(z: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(z, n), np.uint8) if n else np.zeros(0, np.uint8)
 
 
-def _with_text(docs: DataFrame, rows: DataFrame, of_row, schema: str) -> DataFrame:
-    """of_row(bytes, doc, starts, ns, leads) over the documents of rows(doc, start, n, lead)."""
+def _with_text(docs: DataFrame, rows: DataFrame, of_rows, schema: str) -> DataFrame:
+    """of_rows(bytes, offsets, ids, owner, starts, ns, leads) over the documents of rows(doc, start, n, lead), several of them end to end; owner is a row's document, starts are places in bytes."""
     by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "lead")).alias("rows"))
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                data, own = _unpack(b.column(2)[i].as_py(), b.column(1)[i].as_py()), b.column(3)[i].values
+            ids, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + TOGETHER, "right")) - 1)
+                data = np.concatenate([_unpack(b.column(2)[i].as_py(), int(sizes[i])) for i in range(lo, hi)])
+                lists = b.column(3).slice(lo, hi - lo)
+                owner, own = np.repeat(np.arange(hi - lo), pc.list_value_length(lists).to_numpy()), lists.flatten()
                 start, n, lead = (own.field(k).to_numpy().astype(np.int64) for k in range(3))
-                ok = start + n - 1 + WINDOW <= len(data)
-                yield of_row(data, b.column(0)[i].as_py(), start[ok], n[ok], lead[ok])
+                ok = start + n - 1 + WINDOW <= sizes[lo:hi][owner]
+                owner = owner[ok]
+                offsets = total[lo : hi + 1] - total[lo]
+                yield of_rows(data, offsets, ids[lo:hi], owner, start[ok] + offsets[owner], n[ok], lead[ok])
+                lo = hi
 
     return _packed(docs, by_doc.select("doc")).join(by_doc, "doc").select("doc", "n_bytes", "z", "rows").mapInArrow(released(run), schema)
 
 
-def _blocks(data, doc, start, n, lead):
+def _blocks(data, offsets, ids, owner, start, n, lead):
     anchor, last = start + lead, start + n - 1
     k0, k1 = (anchor - last) // BLOCK, lead // BLOCK  # windows by their distance before the anchor
     many = k1 - k0 + 1
@@ -186,17 +198,19 @@ def _blocks(data, doc, start, n, lead):
     # low may lie before the text, but what all windows from low to high share lies in each of them
     key = mixed(span_hash(sums, high, low + WINDOW) ^ mixed(k.astype(np.uint64)))
     full = mixed(span_hash(sums, a, b + WINDOW) ^ mixed(((high - a) * 128 + (b - a)).astype(np.uint64)))
+    own = owner[row]
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), pa.array(np.full(len(a), doc, np.int64)), pa.array(a), pa.array((b - a + 1).astype(np.int32)), pa.array(np.zeros(len(a), np.int32))],
+        [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), pa.array(ids[own]), pa.array(a - offsets[own]), pa.array((b - a + 1).astype(np.int32)), pa.array(np.zeros(len(a), np.int32))],
         names=["key", "full", "doc", "start", "n", "lead"],
     )
 
 
-def _single(data, doc, start, n, lead):
+def _single(data, offsets, ids, owner, start, n, lead):
     at = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    own = np.searchsorted(offsets, at, "right") - 1
     w1 = span_hash(prefix_sums(data), at, at + WINDOW)
     w2 = span_hash(prefix_sums(_OTHER[data]), at, at + WINDOW)
-    return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at)], names=["w1", "w2", "doc", "start"])
+    return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[own]), pa.array(at - offsets[own])], names=["w1", "w2", "doc", "start"])
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,18 +244,22 @@ def merged(starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
 def cut(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans and kept (the bytes left; as_text: what is whole characters of them) for the documents in spans."""
 
+    def batch(ids, rows):
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+
     def run(batches):
         for b in batches:
+            lo, rows, size = 0, [], 0
             for i in range(b.num_rows):
-                data = _unpack(b.column(2)[i].as_py(), b.column(1)[i].as_py())
-                own = b.column(3)[i].values
+                data, own = _unpack(b.column(2)[i].as_py(), b.column(1)[i].as_py()), b.column(3)[i].values
                 a, e = merged(own.field(0).to_numpy(), own.field(1).to_numpy(), len(data))
-                keep = np.ones(len(data), bool)
-                for lo, hi in zip(a.tolist(), e.tolist(), strict=True):
-                    keep[lo:hi] = False
-                left = data[keep].tobytes()
-                kept = pa.array([left.decode("utf-8", "ignore")], pa.string()) if as_text else pa.array([left], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(data)]), pa.array([len(data) - len(left)]), pa.array([len(a)]), kept], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+                left = b"".join(data[x:y].tobytes() for x, y in zip([0, *e.tolist()], [*a.tolist(), len(data)], strict=True))
+                rows.append((len(data), len(data) - len(left), len(a), left.decode("utf-8", "ignore") if as_text else left))
+                size += len(left)
+                if size >= TOGETHER or i + 1 == b.num_rows:
+                    yield batch(b.column(0).slice(lo, i + 1 - lo), rows)
+                    lo, rows, size = i + 1, [], 0
 
     docs = _with_id(docs, id_col, text_col)
     schema = f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
@@ -255,7 +273,7 @@ def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = _numbered(docs, "id", "text")
     spans = repeated_spans(docs, id_col="__doc")
-    left = cut(docs, spans, id_col="__doc", as_text=True)
+    left = written(cut(docs, spans, id_col="__doc", as_text=True).select("doc", "kept"), "cut")  # in small batches, whoever writes the result
     texts = left.select(F.col("doc").alias("__doc"), F.col("kept").alias("text")).dropDuplicates(["__doc"])
     untouched = docs.join(sized(spans.select(F.col("doc").alias("__doc"))), "__doc", "left_anti").select("rest", "text")
     touched = docs.select("rest", "__doc").join(texts, "__doc").select("rest", "text")
@@ -265,7 +283,7 @@ def deduplicated_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = _numbered(table(spark, sf_dir, "documents"), "doc_id", "text")
     spans = repeated_spans(docs, id_col="__doc")
-    left = cut(docs, spans, id_col="__doc").select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")).dropDuplicates(["doc"])
+    left = written(cut(docs, spans, id_col="__doc").select("doc", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")), "cut").dropDuplicates(["doc"])
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", F.col("__doc").alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole_sha"))
     return own.join(left, "doc", "left").select(

@@ -247,3 +247,13 @@ def test_texts_put_end_to_end_give_the_same_blocks_and_windows():
         got = of_rows(np.concatenate(texts), offsets, ids, owner, start + offsets[owner], n, lead).to_pylist()
         alone = [of_rows(t, np.array([0, len(t)]), ids[i : i + 1], np.zeros(sum(owner == i), int), *(x[owner == i] for x in (start, n, lead))).to_pylist() for i, t in enumerate(texts)]
         assert got == [r for rows in alone for r in rows] and {r["doc"] for r in got} == set(ids.tolist())
+
+
+def test_passes_over_all_documents_take_small_batches(spark, monkeypatch):
+    seen = {}
+    for name in ("document_frequencies", "latent_basis"):
+        own = getattr(decontamination, name)
+        monkeypatch.setattr(decontamination, name, lambda *a, own=own, name=name: (seen.update({name: spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")}), own(*a))[1])
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 9) for i in range(40)], "doc_id long, text string")
+    decontamination.find_leaks(docs, spark.createDataFrame([(1, "some words of text 1 some words")], "item_id long, text string"))
+    assert seen == {"document_frequencies": "2000", "latent_basis": "2000"} and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

@@ -47,6 +47,31 @@ def test_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
     assert done["n"] > 4 and len(os.listdir(tmp_path)) == 61
 
 
+def test_a_folder_of_the_system_gets_the_files_alone(spark, tmp_path):
+    # Hadoop once made each file with a checksum beside it and a chmod for both, which took a library most of its time
+    docs = lambda body: spark.createDataFrame([(f"v {i}é", "x.srt", body) for i in range(MANY)], "video_id string, file string, body string")
+    (tmp_path / "v 0é").mkdir()
+    (tmp_path / "v 0é/.x.srt.crc").write_bytes(b"crc\0\0\0\2\0wrong")  # of a file that Hadoop wrote before
+    assert store.write_documents(docs("1\nä\r\n"), str(tmp_path), ending="\n") == MANY
+    assert all(os.listdir(tmp_path / f"v {i}é") == ["x.srt"] for i in range(MANY)) and os.listdir(tmp_path / store.STAGING) == []
+    assert {r.value for r in spark.read.text(f"{tmp_path}/v*/x.srt", wholetext=True).collect()} == {"1\nä\r\n"}
+
+
+@pytest.mark.parametrize("top", ["file://{}", "viewfs://library{}"])
+def test_files_of_videos_are_looked_up(spark, tmp_path, monkeypatch, top):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.library.link.{tmp_path}", f"file://{tmp_path}")
+    root = top.format(tmp_path)
+    monkeypatch.setattr(store, "HELD", 5)  # texts are handed on a few at a time
+    videos = spark.range(MANY).withColumnRenamed("id", "video_id").withColumn("more", F.col("video_id") * 2)
+    assert store.with_file(videos, root, "x.srt").count() == store.with_file(videos, root, "x.srt", text="said").count() == 0
+    docs = videos.filter("video_id % 3 = 0").select("video_id", F.lit("x.srt").alias("file"), F.concat(F.lit("é\r\n"), "video_id", F.lit("\n")).alias("body"))
+    assert store.write_documents(docs, root, ending="\n") == 4
+    assert sorted(map(tuple, store.with_file(videos, root, "x.srt").collect())) == [(0, 0), (3, 6), (6, 12), (9, 18)]
+    assert sorted(map(tuple, store.with_file(videos, root, "x.srt", text="said").collect())) == [(v, 2 * v, f"é\r\n{v}\n") for v in (0, 3, 6, 9)]
+    assert store.with_file(videos, root).count() == 0
+
+
 def test_catalog_of_folders(spark, tmp_path):
     for folder, files in {"a": ("meta.json", "asr.json", "other.json"), "train/b": ("meta.json",), "train/c.d": ("asr.json", "meta.json"), "_writing/x": ("meta.json",)}.items():
         (tmp_path / folder).mkdir(parents=True)

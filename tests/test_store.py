@@ -112,3 +112,12 @@ def test_a_library_goes_on_where_it_stopped(spark, tmp_path):
     again = state(chains.prepare_library(words, turns, media.filter("video_id < 3"), root))
     assert set(again.values()) == {("skipped", None)}
     assert state(chains.prepare_library(words, turns, media.filter("video_id = 1"), root, overwrite=True)) == {1: ("ready", None)}
+
+
+def test_a_video_where_nobody_is_known_has_all_its_documents(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "A", 0, 2000)], "video_id long, pos long, speaker string, start_ms long, end_ms long")
+    words = spark.createDataFrame([(1, 0, 0, 100000, 100500, " Far.")], "video_id long, asr_segment_id long, word_index long, start_ms long, end_ms long, word string")
+    media = spark.createDataFrame([(1, "videos/1.mp4")], "video_id long, source_video string")
+    assert [(r.video_id, r.status) for r in chains.prepare_library(words, turns, media, str(tmp_path)).collect()] == [(1, "ready")]
+    assert json.loads((tmp_path / "1/speaker_table.json").read_text()) == {"speakers": []}
+    assert json.loads((tmp_path / "1/aligned_segments_final.json").read_text())["segments"][0]["speaker"] == "UNKNOWN"

@@ -72,6 +72,22 @@ def test_files_of_videos_are_looked_up(spark, tmp_path, monkeypatch, top):
     assert store.with_file(videos, root).count() == 0
 
 
+@pytest.mark.parametrize("top", ["file://{}", "viewfs://indented{}"])
+def test_documents_are_indented_where_they_are_written(spark, tmp_path, monkeypatch, top):
+    # once the indented texts were shuffled and sorted, and came to the workers in Arrow batches of 64 MB, which took an executor over 3000 MB
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.indented.link.{tmp_path}", f"file://{tmp_path}")
+    docs = spark.range(MANY).select(F.col("id").alias("video_id"), F.array(F.struct(F.lit('ü"\n').alias("text"), F.lit(None).cast("string").alias("none"), F.lit(1e10).alias("x"))).alias("list"), F.array().cast("array<int>").alias("empty"))
+    seen = []
+    write = type(docs.write).text
+    monkeypatch.setattr(type(docs.write), "text", lambda self, path, *a, **b: seen.append([spark.conf.get(k) for k in store.BATCH]) or write(self, path, *a, **b))
+    before = [spark.conf.get(k, None) for k in store.BATCH]
+    assert store.write_documents(store.compact(docs, ["list", "empty"]).withColumn("file", F.lit("meta.json")), top.format(tmp_path), indent=True) == MANY
+    assert seen == [[str(x) for x in store.BATCH.values()]] and before == [spark.conf.get(k, None) for k in store.BATCH]
+    want = json.dumps({"list": [{"text": 'ü"\n', "none": None, "x": 1e10}], "empty": []}, indent=2, ensure_ascii=False)
+    assert [(tmp_path / f"{v}/meta.json").read_bytes().decode() for v in range(MANY)] == [want] * MANY
+    assert {r.body for r in store.pretty(docs, ["list", "empty"]).collect()} == {want}
+
+
 def test_catalog_of_folders(spark, tmp_path):
     for folder, files in {"a": ("meta.json", "asr.json", "other.json"), "train/b": ("meta.json",), "train/c.d": ("asr.json", "meta.json"), "_writing/x": ("meta.json",)}.items():
         (tmp_path / folder).mkdir(parents=True)
